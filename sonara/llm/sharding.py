@@ -98,7 +98,7 @@ def shard_documents(
         position.alias("_position"),
     ).withColumn("cell", F.floor(F.col("_position") / coarse).cast("int"))
     placed = rows.join(F.broadcast(spans), "cell", "left").withColumn(
-        "_arc", F.coalesce(F.expr("element_at(filter(near, x -> x.place >= _position), 1).arc"), F.lit(0))
+        "_arc", F.coalesce(F.expr("get(filter(near, x -> x.place >= _position), 0).arc"), F.lit(0))
     )
 
     counts = {r["_arc"]: r["n"] for r in placed.select("_arc").groupBy("_arc").agg(F.count("*").alias("n")).collect()}
@@ -111,7 +111,7 @@ def shard_documents(
     by_arc = admitted.groupBy("_arc").agg(F.collect_list(F.struct("lo", "hi", "shard", "base")).alias("flows"))
     rank = F.row_number().over(Window.partitionBy("_arc").orderBy("_position", "doc_id", "text_crc32", "size")) - 1
     ranked = placed.select("doc_id", "size", "text_crc32", "_arc", "_position").withColumn("_rank", rank.cast("long"))
-    found = ranked.join(F.broadcast(by_arc), "_arc").withColumn("flow", F.expr("element_at(filter(flows, x -> x.lo <= _rank and _rank < x.hi), 1)"))
+    found = ranked.join(F.broadcast(by_arc), "_arc").withColumn("flow", F.expr("get(filter(flows, x -> x.lo <= _rank and _rank < x.hi), 0)"))
     return found.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("flow.shard").alias("shard"), (F.col("flow.base") + F.col("_rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
