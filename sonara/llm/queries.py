@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding, sstable, url_filter
+from . import mil_toxicity, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
 from .common import table
 from .tokens import vocabulary_path
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -24,6 +28,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.score(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op8_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil_toxicity.score(docs, mil_toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2))
 
@@ -32,6 +46,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_sharding, op5_quality_rules, op9_sstable, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
