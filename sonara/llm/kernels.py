@@ -119,10 +119,15 @@ def words(chunk: Chunk, lower: bool = False) -> Words:
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each byte span."""
+    return span_hashes(data, start, [end])[0]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of byte spans with the same starts and several ends."""
     power, inverse = _BYTE_POWERS.upto(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return [mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)) for end in ends]
 
 
 def run_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

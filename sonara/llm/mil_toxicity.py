@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence gets a probability from hashed word weights, and the document's is
-their noisy-or: it is toxic unless every sentence is clean.  The weights are trained from document labels alone, and the
+A document is a bag of sentences.  Each sentence gets a probability from hashed weights of its words and of their first
+letters (which inflected forms share), and the document's is their noisy-or: it is toxic unless every sentence is clean.  The weights are trained from document labels alone, and the
 sentences that carry a document's score are the offending ones.
 """
 
@@ -16,21 +16,26 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .samples import held_out, training_labels
-from .tiling import folded_words
+from .tiling import FOLD, folded_words
 
 #: Most labelled documents that a model is fitted on.
-SAMPLE_BOUND = 8_000
-#: Hashed word weights.
+SAMPLE_BOUND = 6_000
+#: Hashed weights.
 BITS = 20
-#: Words in at least so many sampled documents get a weight.
+#: Features in at least so many sampled documents get a weight.
 MIN_DOCUMENTS = 4
+#: Least log odds ratio between toxic and other sampled documents for a feature to be trained.
+MIN_LOG_ODDS = 1.0
+#: Bytes of a word's beginnings that are features beside the word.
+PREFIXES = (4, 5, 6)
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 
 
 def sentences(chunk: K.Chunk) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded words; first word of each sentence with a word; its document; and the words' places in the weights.
+    """Folded words; first word of each sentence with a word; its document; and a row of places in the weights for the
+    words and for each of their beginnings.
 
     A sentence ends with ``.``, ``!``, ``?`` or a line break that is followed by white space or the text's end.
     """
@@ -41,7 +46,9 @@ def sentences(chunk: K.Chunk) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarr
     doc = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
     number = stops[w.start]
     first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    return w, first, doc[first], (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
+    hashes = [w.hash, *K.span_hashes(FOLD[data], w.start, [np.minimum(w.end, w.start + n) for n in PREFIXES])]
+    places = [K.mix(h + np.uint64(k)) >> np.uint64(64 - BITS) for k, h in enumerate(hashes)]
+    return w, first, doc[first], np.stack(places).astype(np.int64)
 
 
 class Model:
@@ -53,7 +60,7 @@ class Model:
         w, first, doc, place = sentences(chunk)
         if not len(first):
             return np.zeros(0), doc, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        z = np.add.reduceat(self.weights[place].astype(np.float64), first) + self.bias
+        z = np.add.reduceat(self.weights[place].sum(0, dtype=np.float64), first) + self.bias
         last = np.r_[first[1:], len(w.start)] - 1
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), doc, w.start[first], w.end[last]
 
@@ -72,34 +79,40 @@ class Model:
         return 1 - np.exp(clean), worst, most
 
 
-def fit_noisy_or(words: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    """Gradient descent on the documents' log loss.  ``words``: weight of each word; ``sentence_of``: its sentence;
-    ``doc_of``: the document of each sentence."""
-    n_docs, n_sentences = len(y), len(doc_of)
-    pairs = np.unique(doc_of[sentence_of].astype(np.int64) << BITS | words)
-    in_docs = np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS)
-    toxic = np.bincount((pairs & (1 << BITS) - 1)[y[pairs >> BITS] == 1], minlength=1 << BITS)
-    used = in_docs >= min(MIN_DOCUMENTS, max(1, n_docs // 50))
-    keep = used[words]
-    words, sentence_of = words[keep], sentence_of[keep]
+def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-5) -> Model:
+    """Gradient descent on the documents' log loss.  ``docs``: the places of each document's features and the number of
+    the sentence that each is in."""
+    n_docs = len(y)
+    in_docs, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for (places, _), label in zip(docs, y):
+        own = np.unique(places)
+        in_docs[own] += 1
+        toxic[own] += label
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    odds = np.log((toxic + share) / (in_docs - toxic + 1 - share) * (1 - share) / share)
+    used = (in_docs >= min(MIN_DOCUMENTS, max(1, n_docs // 50))) & (odds >= MIN_LOG_ODDS)
     known = np.flatnonzero(used)
     dense = np.zeros(1 << BITS, np.int64)
     dense[known] = np.arange(len(known))
-    x = dense[words]
-    share = max(float(y.mean()), 1e-3)
-    start = np.log((toxic[known] + share) / (in_docs[known] - toxic[known] + 1 - share) * (1 - share) / share)
-    w = np.where(start > 0, start, 0.25 * start).clip(-1, 6)
-    w[np.abs(w) < 0.8] = 0
-    bias = np.array([-6.0])
-    weight = np.where(y == 1, 1.0, 1.0) / n_docs
+
+    x, sentence_of, doc_of, n_sentences = [], [], [], 0
+    for d, (places, sentence) in enumerate(docs):
+        keep = used[places]
+        count = int(sentence.max()) + 1 if len(sentence) else 0
+        x.append(dense[places[keep]])
+        sentence_of.append(sentence[keep] + n_sentences)
+        doc_of.append(np.full(count, d))
+        n_sentences += count
+    x, sentence_of, doc_of = map(np.concatenate, (x, sentence_of, doc_of))
+    w, bias = odds[known].clip(0, 6) / (1 + len(PREFIXES)), np.array([-6.0])
     moments = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(1), np.zeros(1)]
     for t in range(1, steps + 1):
         z = np.clip(np.bincount(sentence_of, w[x], n_sentences) + bias, -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs))
         toxic_p = np.maximum(1 - clean, 1e-9)
-        g = p * np.where(y == 1, -clean / toxic_p, 1.0)[doc_of] * weight[doc_of]
-        for k, (value, d) in enumerate(((w, np.bincount(x, g[sentence_of], len(w)) + decay * w / 10), (bias, np.array([g.sum()])))):
+        g = p * np.where(y == 1, -clean / toxic_p, 1.0)[doc_of] / n_docs
+        for k, (value, d) in enumerate(((w, np.bincount(x, g[sentence_of], len(w)) + decay * w), (bias, np.array([g.sum()])))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * d
             moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * d * d
             value -= rate * (1 - t / (steps + 1)) * (moments[2 * k] / (1 - 0.9**t)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.999**t)) + 1e-8)
@@ -123,23 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int
                 number = np.cumsum(number)
                 for d in range(len(chunk.offsets) - 1):
                     own = slice(w.bounds[d], w.bounds[d + 1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([y[chunk.first + d]]), pa.array([place[own].astype("<i4").tobytes()]), pa.array([(number[own] - number[own][:1]).astype("<i4").tobytes()])],
-                        names=["y", "words", "sentence"],
-                    )
-
-    y, words, sentence_of, doc_of, n = [], [], [], [], 0
-    for r in rows.mapInArrow(run, "y int, words binary, sentence binary").toLocalIterator():
-        inside = np.frombuffer(r["sentence"], "<i4").astype(np.int64)
-        count = int(inside[-1]) + 1 if len(inside) else 0
-        words.append(np.frombuffer(r["words"], "<i4").astype(np.int64))
-        sentence_of.append(inside + n)
-        doc_of.append(np.full(count, len(y)))
+                    inside = np.tile(number[own] - number[own][:1], len(place))
+                    yield pa.RecordBatch.from_arrays([pa.array([y[chunk.first + d]]), pa.array([place[:, own].astype("<i4").tobytes()]), pa.array([inside.astype("<i4").tobytes()])], names=["y", "places", "sentence"])
+
+    y, bags = [], []
+    for r in rows.mapInArrow(run, "y int, places binary, sentence binary").toLocalIterator():
+        bags.append((np.frombuffer(r["places"], "<i4"), np.frombuffer(r["sentence"], "<i4")))
         y.append(r["y"])
-        n += count
     if not y or sum(y) in (0, len(y)):
         return Model(np.zeros(1 << BITS), -30.0 if not y or not sum(y) else 30.0)
-    return fit_noisy_or(np.concatenate(words), np.concatenate(sentence_of), np.concatenate(doc_of), np.array(y))
+    return fit_noisy_or(bags, np.array(y))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mil_toxicity, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
+from . import debruijn, mil_toxicity, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
 from .common import table
 from .tokens import vocabulary_path
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pu_quality.score(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
@@ -46,6 +50,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op6_debruijn, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

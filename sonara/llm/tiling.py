@@ -25,12 +25,12 @@ from . import kernels as K
 SLICE_WORDS = 2_000_000
 
 #: ASCII case is folded; ASCII punctuation and control characters separate words.
-_FOLD = K._LOWER.copy()
-_FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
+FOLD = K._LOWER.copy()
+FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
 def folded_words(chunk: K.Chunk) -> K.Words:
-    return K.words(K.Chunk(chunk.first, _FOLD[chunk.data], chunk.offsets))
+    return K.words(K.Chunk(chunk.first, FOLD[chunk.data], chunk.offsets))
 
 
 class ItemSlice:
