@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, mil_toxicity, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
+from . import debruijn, mil_toxicity, ngram_join, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
 from .common import table
 from .tokens import vocabulary_path
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op6_debruijn, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op6_debruijn, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
