@@ -185,14 +185,13 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3, t
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The documents that score below the threshold, all columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxicity(texts: Iterator) -> Iterator:
-        import pandas as pd
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
-        for series in texts:
-            parts = [shared.value.scores(c)[0] for c in K.chunks(pa.Array.from_pandas(series, pa.string()))]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shared.value.scores(c)[0] for c in K.chunks(batch.column(batch.num_columns - 1).cast(pa.string()))]
+            keep = np.concatenate(parts) < threshold if parts else np.zeros(0, bool)
+            rows = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=names)
 
-    return docs.where(toxicity(F.col(text).cast("string")) < threshold)
+    return docs.select("*", F.col(text).cast("string").alias("_text")).mapInArrow(run, docs.schema)
