@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import debruijn, mil_toxicity, ngram_join, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
+from . import debruijn, mil_toxicity, ngram_join, oracles, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
 from .common import table
 from .tokens import vocabulary_path
 
@@ -56,4 +55,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op6_debruijn, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op3_url_filter": oracles.URL_FILTER,
+    "op5_quality_rules": oracles.quality_rules_sql(),
+    "op6_debruijn": oracles.DEBRUIJN,
+}

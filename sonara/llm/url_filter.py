@@ -48,7 +48,7 @@ class RuleTrie:
             for segment in whole:
                 node = node.setdefault(("segment", segment), {})
             ends = node.setdefault("begun", {})
-            if ends.get(begun, rule).verdict != "block":
+            if begun not in ends or rule.verdict == "block":
                 ends[begun] = rule
 
     def find(self, host: str, path: str) -> Rule | None:
