@@ -132,7 +132,8 @@ class Repeats:
     """Where the repeated edges of ``docs`` lie.
 
     ``scanned``: _doc, _h1, _h2, _size, n_words, digest per row.  ``copied``: _h1, _h2, _size of texts that several rows
-    have.  ``spans``: _doc, _h1, and ``spans`` (first edge, edges) for the other rows that have repeated edges.
+    have.  ``spans``: _doc, _h1, and ``spans`` (first edge, edges) for the other rows that have repeated edges; such a
+    row is the only one with its text.
     """
 
     def __init__(self, docs: DataFrame, span: int = SPAN, seed: int = SEED, text: str = "text") -> None:
@@ -152,6 +153,7 @@ class Repeats:
         runs = sources.select(*_KEY, F.coalesce("times", F.lit(1)).alias("times"), F.explode("runs").alias("r")).select(*_KEY, "times", "r.*")
 
         buckets = runs.groupBy("least").agg(F.sum("times").alias("total"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("total > 1")
+        buckets = scratch.keep(buckets, "buckets")  # a plain table, so that Spark can split a minimizer that is very common
         again = scratch.keep(runs.join(buckets.select("least", (F.col("low") != F.col("high")).alias("branches")), "least"), "again")
         kinds = again.groupBy("least", "whole").agg(
             F.sum("times").alias("total"), F.first("branches").alias("branches"), *[F.first(c).alias(c) for c in (*_KEY, "begin", "edges")]
@@ -163,7 +165,7 @@ class Repeats:
 
         branching = kinds.where("branches").select("least", *_KEY, "begin", "edges", F.col("total").alias("times"))
         edges = scratch.keep(_open_runs(branching, self.identified, span), "edges")
-        often = edges.groupBy("least", "edge").agg(F.sum("times").alias("total")).where("total > 1").select(F.col("least").alias("_least"), F.col("edge").alias("_edge"))
+        often = scratch.keep(edges.groupBy("least", "edge").agg(F.sum("times").alias("total")).where("total > 1").select(F.col("least").alias("_least"), F.col("edge").alias("_edge")), "often")
         opened = edges.where("times = 1").join(often, (F.col("least") == F.col("_least")) & (F.col("edge") == F.col("_edge")), "left_semi").select(*_KEY, F.col("at").alias("first"), F.lit(1).alias("edges"))
         spans = marked.unionByName(opened).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "edges")).alias("spans"))
         self.spans = scratch.keep(spans, "spans")
@@ -198,7 +200,7 @@ class Repeats:
                     )
 
         kind = dict(self.identified.dtypes)["_doc"]
-        return rows.mapInArrow(run, f"_doc {kind}, _h1 long, n_removed long, kept_digest string, kept_text string").dropDuplicates(_KEY)
+        return rows.mapInArrow(run, f"_doc {kind}, _h1 long, n_removed long, kept_digest string, kept_text string")
 
 
 def _all_removed(span: int) -> Column:
