@@ -1 +1 @@
-
+"""Whole jobs composed of operators, and the registered queries."""

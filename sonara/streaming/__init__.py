@@ -1 +1 @@
-
+"""Reserved: the engine's jobs are batch jobs; it has no stream operators."""
