@@ -1,53 +1,13 @@
-"""Reading tables, shared scratch space and small helpers of the corpus operators."""
+"""Reading tables and shared scratch space of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words, as the contracts of the corpus operators define them.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..scratch import Scratch, shared_folder
+
+__all__ = ["Scratch", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sonara-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables of one operator call, written as Parquet to the shared folder.
-
-    Writing cuts the lineage: a lost executor costs only a re-read.  ``drop`` removes a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, operator: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex}"
-        self._count = 0
-
-    def path(self, name: str) -> str:
-        self._count += 1
-        return f"{self.root}/{self._count:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
-        return kept
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
