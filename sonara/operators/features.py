@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the front end.
 SAMPLE_RATE, N_FFT, WINDOW, HOP, MELS, LOW_HZ, HIGH_HZ, TOP_DB = 16000, 400, 400, 160, 80, 0.0, 8000.0, 80.0
@@ -37,7 +38,7 @@ def fbank(waves: np.ndarray) -> np.ndarray:
     return np.maximum(decibels, decibels.max((1, 2), keepdims=True) - TOP_DB).astype(np.float32)
 
 
-@F.pandas_udf("array<array<float>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
 def fbank_udf(waves: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in waves:
         out: list = [None] * len(batch)

@@ -1,5 +1,180 @@
-"""DuckDB SQL for the registered queries."""
+"""DuckDB SQL for the registered queries, written from their definitions."""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .queries import BROKEN, K, P, WIDTH
+
+#: Utterances and their speakers, and the embeddings' counterpart.
+UTT = "utt AS (SELECT CAST(user_id AS VARCHAR) AS speaker_id, CAST(user_id AS VARCHAR) || '/' || CAST(event_id AS VARCHAR) || '.wav' AS path FROM events)"
+EMB = "emb AS (SELECT CAST(label AS VARCHAR) AS speaker_id, CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR) || '.wav' AS path, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+SEP = "chr(31)"
+
+
+def _digest(*parts: str) -> str:
+    return "sha256('2026'" + "".join(f" || {SEP} || {p}" for p in parts) + ")"
+
+
+def _neighbours(source: str, name: str = "tr", only: str = "true") -> str:
+    nexts = lambda by: ", ".join(f"lead(path, {k}) OVER (PARTITION BY {by} ORDER BY d, path) AS p{k}, lead(speaker_id, {k}) OVER (PARTITION BY {by} ORDER BY d, path) AS s{k}" for k in range(1, WIDTH + 1))
+    spread = lambda t: " UNION ALL ".join(f"SELECT path, speaker_id, p{k} AS op, s{k} AS os FROM {t}" for k in range(1, WIDTH + 1))
+    cut = lambda t, target, where: f"SELECT least(path, op) AS l, greatest(path, op) AS r, CASE WHEN path < op THEN speaker_id ELSE os END AS ls, CASE WHEN path < op THEN os ELSE speaker_id END AS rs, {target} AS target FROM ({spread(t)}) WHERE op IS NOT NULL AND {where}"
+    return f"""
+{name}_p AS (SELECT DISTINCT speaker_id, path, {_digest("'neighbour'", "path")} AS d FROM {source} WHERE {only}),
+{name}_q AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % greatest(1, (SELECT CAST(ceil(count(*) / 4096.0) AS BIGINT) FROM {name}_p)) AS b FROM {name}_p),
+{name}_g AS (SELECT path, speaker_id, {nexts("speaker_id, b")} FROM {name}_q),
+{name}_i AS (SELECT path, speaker_id, {nexts("b")} FROM {name}_q),
+{name} AS ({cut(f"{name}_g", 1, "true")} UNION ALL {cut(f"{name}_i", 0, "os <> speaker_id")})"""
+
+
+def _scores(only: str = "true", name: str = "sc", t: str = "tr") -> str:
+    return f"""{_neighbours("emb", t, only)},
+{name} AS (SELECT l, r, target, round(coalesce(list_cosine_similarity(a.v, b.v), 0), 6) AS score FROM {t} JOIN emb a ON a.path = l JOIN emb b ON b.path = r)"""
+
+
+def _points(name: str = "pt", scores: str = "sc") -> str:
+    return f"""{name}_s AS (SELECT score, count(*) FILTER (WHERE target = 1) AS p, count(*) FILTER (WHERE target = 0) AS n FROM {scores} GROUP BY 1),
+{name} AS (
+  SELECT score AS threshold, sum(n) OVER w / (SELECT sum(n) FROM {name}_s) AS far, 1 - sum(p) OVER w / (SELECT sum(p) FROM {name}_s) AS frr, false AS is_anchor FROM {name}_s WINDOW w AS (ORDER BY score DESC)
+  UNION ALL SELECT nextafter(max(score), CAST('infinity' AS DOUBLE)), 0.0, 1.0, true FROM {name}_s
+)"""
+
+
+def _eer(points: str = "pt", name: str = "e") -> str:
+    return f"""{name}_x AS (SELECT threshold, far FROM {points} WHERE far = frr ORDER BY threshold DESC LIMIT 1),
+{name}_a AS (SELECT * FROM {points} WHERE far < frr ORDER BY threshold LIMIT 1),
+{name}_b AS (SELECT * FROM {points} WHERE far > frr ORDER BY threshold DESC LIMIT 1),
+{name}_n AS (SELECT * FROM {points} WHERE NOT is_anchor ORDER BY abs(far - frr), (far + frr) / 2, threshold DESC LIMIT 1),
+{name}_w AS (SELECT (a.frr - a.far) / ((b.far - b.frr) - (a.far - a.frr)) AS w FROM {name}_a a, {name}_b b),
+{name} AS (SELECT coalesce((SELECT far FROM {name}_x), (SELECT a.far + w * (b.far - a.far) FROM {name}_a a, {name}_b b, {name}_w)) AS eer,
+  coalesce((SELECT threshold FROM {name}_x), (SELECT a.threshold + w * (b.threshold - a.threshold) FROM {name}_a a, {name}_b b, {name}_w)) AS eer_threshold)"""
+
+
+SPLIT = f"""{UTT},
+spk AS (SELECT DISTINCT speaker_id, sha256('2026|' || speaker_id) AS ranking_sha256 FROM utt),
+num AS (SELECT count(*) AS s FROM spk),
+split AS (SELECT speaker_id, CASE WHEN rk < s - 2 * (s // 10) THEN 'train' WHEN rk < s - s // 10 THEN 'validation' ELSE 'final_test' END AS split, ranking_sha256
+  FROM (SELECT *, row_number() OVER (ORDER BY ranking_sha256, speaker_id) - 1 AS rk FROM spk), num),
+lab AS (SELECT speaker_id, row_number() OVER (ORDER BY CAST(speaker_id AS BIGINT), speaker_id) - 1 AS label FROM split WHERE split = 'train'),
+man AS (SELECT path AS relative_audio_path, utt.speaker_id, CAST(CASE WHEN split = 'train' THEN label ELSE -1 END AS INTEGER) AS speaker_label, split AS final_split
+  FROM utt JOIN split USING (speaker_id) LEFT JOIN lab USING (speaker_id))"""
+
+INDEX = f"""{SPLIT},
+idx0 AS (SELECT *, row_number() OVER (PARTITION BY final_split ORDER BY CAST(speaker_id AS BIGINT), speaker_id, relative_audio_path) - 1 AS manifest_row_index FROM man),
+idx AS (SELECT *, final_split || '/shard_' || lpad(CAST(manifest_row_index // 512 AS VARCHAR), 5, '0') || '.pt' AS shard_path, CAST(manifest_row_index % 512 AS INTEGER) AS within_shard_index FROM idx0)"""
+
+QUOTA = lambda purpose, total: f"""spk AS (SELECT speaker_id, {_digest(f"'{purpose}'", "speaker_id")} AS d FROM (SELECT DISTINCT speaker_id FROM utt)),
+num AS (SELECT count(*) AS s, {total} AS t FROM spk),
+quota AS (SELECT speaker_id, t // s + CASE WHEN row_number() OVER (ORDER BY d, speaker_id) - 1 < t % s THEN 1 ELSE 0 END AS quota FROM spk, num)"""
+TOTAL = "5 * count(*) + count(*) // 2"
+
+PK = f"""{UTT},
+rows AS (SELECT speaker_id, path, row_number() OVER (PARTITION BY speaker_id ORDER BY {_digest("'0'", "'row'", "path")}, path) - 1 AS place FROM utt),
+spk AS (SELECT speaker_id, n, row_number() OVER (ORDER BY {_digest("'0'", "'speaker'", "speaker_id")}, speaker_id) - 1 AS r FROM (SELECT speaker_id, count(*) AS n FROM utt GROUP BY 1)),
+tot AS (SELECT count(*) AS s, CAST(ceil(sum(n) / {P * K}.0) AS BIGINT) * {P} AS seats FROM spk),
+seat AS (SELECT speaker_id, n, s, r, unnest(range(0, CASE WHEN r < seats THEN (seats - 1 - r) // s + 1 ELSE 0 END)) AS e FROM spk, tot),
+take AS (SELECT speaker_id, n, e * s + r AS q, k, e * {K} + k AS t FROM seat, (SELECT unnest(range(0, {K})) AS k)),
+pk AS (SELECT q // {P} AS batch_id, CAST(q % {P} * {K} + k AS INTEGER) AS slot, take.speaker_id, path, t // n AS cycle FROM take JOIN rows ON rows.speaker_id = take.speaker_id AND rows.place = t % n),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY turn, speaker_id) - 1 AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, speaker_id ORDER BY slot) AS turn FROM pk))"""
+
+IDENTITY = lambda rows: f"""SELECT coalesce(CAST(sum(n) AS BIGINT), 0) AS n_rows, sha256(coalesce(string_agg(h, chr(10) ORDER BY p), '')) AS identity FROM
+  (SELECT substr(d, 1, 3) AS p, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM (SELECT sha256(j) AS d FROM ({rows})) GROUP BY 1)"""
+
+CENTROIDS = f"""{EMB},
+dim AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(0, len(v))) AS k FROM emb),
+mean AS (SELECT label, k, avg(x) AS m FROM dim GROUP BY 1, 2),
+cen AS (SELECT label AS class, k AS dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS w FROM mean),
+head AS (SELECT class, list(w ORDER BY dim) AS w FROM cen GROUP BY 1),
+cosine AS (SELECT vec_id, label, class, least(greatest(list_cosine_similarity(v, w), 1e-7 - 1), 1 - 1e-7) AS c FROM emb, head),
+aam AS (SELECT vec_id, label, class, 30.0 * CASE WHEN label <> class THEN c WHEN c > cos(pi() - 0.2) THEN c * cos(0.2) - sqrt(1 - c * c) * sin(0.2) ELSE c - sin(pi() - 0.2) * 0.2 END AS logit FROM cosine)"""
+
+_BROKEN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in BROKEN)
+_R = lambda *cs: ", ".join(f"round({c}, 9) AS {c}" for c in cs)
+
+ORACLE_SQL = {
+    "trial_scores": f"WITH {EMB},{_scores()} SELECT l AS left_audio_path, r AS right_audio_path, target, score FROM sc",
+    "eer_trials": f"""WITH {EMB},{_scores()}, {_points()}, {_eer()}
+SELECT (SELECT count(*) FROM sc WHERE target = 1) AS n_genuine, (SELECT count(*) FROM sc WHERE target = 0) AS n_impostor, {_R("eer", "eer_threshold")},
+  round(e_n.threshold, 9) AS empirical_threshold, round(e_n.far, 9) AS empirical_far, round(e_n.frr, 9) AS empirical_frr FROM e, e_n""",
+    "operating_points": f"WITH {EMB},{_scores()}, {_points()} SELECT {_R('threshold', 'far', 'frr')}, is_anchor FROM pt",
+    "empirical_errors_grid": f"""WITH {EMB},{_scores()},
+grid AS (SELECT DISTINCT round(unnest(quantile_cont(score, {[k / 100 for k in range(0, 101, 5)]})), 9) AS threshold FROM sc)
+SELECT threshold, round(avg(CASE WHEN target = 0 THEN CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END END), 9) AS far,
+  round(avg(CASE WHEN target = 1 THEN CASE WHEN score < threshold THEN 1.0 ELSE 0.0 END END), 9) AS frr FROM grid, sc GROUP BY 1""",
+    "score_summary_by_target": f"""WITH {EMB},{_scores()} SELECT target, count(*) AS "count", round(min(score), 6) AS minimum, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS standard_deviation,
+  round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS maximum FROM sc GROUP BY 1""",
+    "generalization_gap": f"""WITH {EMB},{_scores("vec_id % 2 = 1", "sc1", "t1")}, {_points("pt1", "sc1")}, {_eer("pt1", "e1")},{_scores("vec_id % 2 = 0", "sc0", "t0")}, {_points("pt0", "sc0")}, {_eer("pt0", "e0")}
+SELECT round(e1.eer - e0.eer, 9) AS gap FROM e1, e0""",
+    "speaker_split": f"WITH {SPLIT} SELECT * FROM split",
+    "train_labels": f"WITH {SPLIT} SELECT * FROM lab",
+    "portable_manifest": f"WITH {SPLIT} SELECT * FROM man",
+    "split_counts": f"WITH {SPLIT} SELECT final_split, count(*) AS n_rows, count(DISTINCT speaker_id) AS n_speakers FROM man GROUP BY 1",
+    "split_overlap": f"""WITH {SPLIT} SELECT (SELECT count(*) FROM (SELECT speaker_id FROM man GROUP BY 1 HAVING count(DISTINCT final_split) > 1)) AS shared_speakers,
+  (SELECT count(*) FROM (SELECT relative_audio_path FROM man GROUP BY 1 HAVING count(DISTINCT final_split) > 1)) AS shared_paths""",
+    "contract_violations": f"""WITH {UTT}, u AS (SELECT path, speaker_id FROM utt UNION ALL SELECT * FROM (VALUES {_BROKEN})),
+x AS (SELECT *, string_split(path, '/') AS parts FROM u)
+SELECT 'portable_path' AS rule, path AS key, '' AS detail FROM x WHERE NOT (path <> '' AND NOT starts_with(path, '/') AND NOT contains(path, chr(92)) AND NOT contains(path, ':') AND len(parts) = 2 AND NOT list_has_any(parts, ['..', '', '.']))
+UNION ALL SELECT 'parent_is_speaker', path, '' FROM x WHERE coalesce(parts[-2], '') <> speaker_id
+UNION ALL SELECT 'wav_suffix', path, '' FROM x WHERE NOT ends_with(lower(path), '.wav')
+UNION ALL SELECT 'empty_speaker', path, '' FROM x WHERE speaker_id = ''
+UNION ALL SELECT 'unique_path', path, CAST(count(*) AS VARCHAR) FROM x GROUP BY path HAVING count(*) > 1
+UNION ALL SELECT 'unique_path_ignoring_case', lower(path), CAST(count(DISTINCT path) AS VARCHAR) FROM x GROUP BY lower(path) HAVING count(DISTINCT path) > 1""",
+    "manifest_invariants": f"""WITH {SPLIT} SELECT 'row_split_is_speaker_split' AS rule, count(*) AS n FROM man WHERE final_split <> 'validation' AND ends_with(relative_audio_path, '7.wav') HAVING count(*) > 0""",
+    "provenance_diff": """SELECT doc_id AS key, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""",
+    "case_collisions": "SELECT lower(p_name) AS folded, count(*) AS n_rows, count(DISTINCT p_name) AS n_spellings FROM part GROUP BY 1 HAVING count(*) > 1",
+    "canonical_identity": f"""WITH {UTT} {IDENTITY("SELECT '{\"path\":\"' || path || '\",\"speaker_id\":\"' || speaker_id || '\"}' AS j FROM utt")}""",
+    "shard_index": f"WITH {INDEX} SELECT relative_audio_path, speaker_id, speaker_label, final_split, manifest_row_index, shard_path, within_shard_index FROM idx",
+    "shard_payload_sizes": f"WITH {INDEX} SELECT final_split, shard_path, count(*) AS n_rows, count(DISTINCT speaker_id) AS n_speakers, min(within_shard_index) AS first, max(within_shard_index) AS last FROM idx GROUP BY 1, 2",
+    "index_shard_alignment": f"WITH {INDEX} SELECT final_split, count(*) AS n_rows, count(*) FILTER (WHERE NOT ends_with(shard_path, '/shard_00000.pt')) AS n_agree FROM idx GROUP BY 1",
+    "cache_completeness": f"""WITH {INDEX}, left_over AS (SELECT * FROM idx WHERE NOT ends_with(relative_audio_path, '77.wav')),
+r AS (SELECT final_split, count(*) AS n, count(DISTINCT shard_path) AS s FROM left_over GROUP BY 1),
+t AS (SELECT final_split, shard_path, count(*) AS m, max(shard_path) OVER (PARTITION BY final_split) AS top FROM left_over GROUP BY 1, 2),
+v AS (SELECT 'number_of_shards' AS rule FROM r WHERE s <> ceil(n / 512.0) UNION ALL SELECT 'rows_of_shard' FROM t JOIN r USING (final_split) WHERE m <> CASE WHEN shard_path = top THEN (n - 1) % 512 + 1 ELSE 512 END)
+SELECT rule, count(*) AS n FROM v GROUP BY 1""",
+    "genuine_quota": f"WITH {UTT}, {QUOTA('genuine-quota', TOTAL)} SELECT * FROM quota",
+    "genuine_trials": f"""WITH {UTT}, {QUOTA("genuine-quota", TOTAL)}, p AS (SELECT DISTINCT * FROM utt),
+pr AS (SELECT a.speaker_id, a.path AS l, b.path AS r, {_digest("'genuine'", "a.speaker_id", "a.path", "b.path")} AS d FROM p a JOIN p b ON a.speaker_id = b.speaker_id AND a.path < b.path),
+rk AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY d, l, r) AS n FROM pr)
+SELECT l AS left_audio_path, r AS right_audio_path, rk.speaker_id AS left_speaker_id, rk.speaker_id AS right_speaker_id, 1 AS target FROM rk JOIN quota USING (speaker_id) WHERE n <= quota""",
+    "neighbour_trials": f"WITH {UTT},{_neighbours('utt')} SELECT l AS left_audio_path, r AS right_audio_path, ls AS left_speaker_id, rs AS right_speaker_id, target FROM tr",
+    "trial_participation": f"""WITH {UTT},{_neighbours("utt")}, ends AS (SELECT ls AS speaker_id, target FROM tr UNION ALL SELECT rs, target FROM tr WHERE target = 0)
+SELECT speaker_id, count(*) FILTER (WHERE target = 1) AS genuine_trials, count(*) FILTER (WHERE target = 0) AS impostor_endpoints FROM ends GROUP BY 1""",
+    "trial_validity": f"""WITH {UTT},{_neighbours("utt")}, bent AS (SELECT *, CASE WHEN ends_with(l, '7.wav') THEN 1 - target ELSE target END AS t FROM tr),
+v AS (SELECT 'target_is_same_speaker' AS rule FROM bent WHERE (t = 1) <> (ls = rs)
+  UNION ALL SELECT 'balanced_targets' FROM (SELECT count(*) FILTER (WHERE t = 1) AS g, count(*) FILTER (WHERE t = 0) AS i FROM bent) WHERE g <> i
+  UNION ALL SELECT 'unique_pair' FROM (SELECT l, r FROM bent GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'unique_id' FROM (SELECT target, l, r FROM bent GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT 'represented_speaker' FROM (SELECT DISTINCT speaker_id FROM utt) u WHERE NOT EXISTS (SELECT 1 FROM bent WHERE ls = u.speaker_id OR rs = u.speaker_id))
+SELECT rule, count(*) AS n FROM v GROUP BY 1""",
+    "random_batches": f"WITH {UTT}, r AS (SELECT path, row_number() OVER (ORDER BY {_digest("'0'", 'path')}, path) - 1 AS n FROM utt) SELECT n // 32 AS batch_id, CAST(n % 32 AS INTEGER) AS slot, path FROM r",
+    "pk_batches": f"WITH {PK} SELECT * FROM pk",
+    "epoch_stats": f"""WITH {PK}, a AS (SELECT path, count(*) AS n FROM pk GROUP BY 1), b AS (SELECT speaker_id, count(DISTINCT batch_id) AS e, max(cycle) AS c FROM pk GROUP BY 1)
+SELECT (SELECT count(DISTINCT batch_id) FROM pk) AS batches, (SELECT count(*) FROM pk) AS logical_selections, (SELECT count(*) FROM a) AS unique_selected,
+  CAST((SELECT sum(n - 1) FROM a) AS BIGINT) AS repeated_selections, CAST((SELECT sum(c) FROM b) AS BIGINT) AS queue_cycles, (SELECT min(e) FROM b) AS min_exposure, (SELECT max(e) FROM b) AS max_exposure""",
+    "round_robin": f"WITH {PK} SELECT batch_id, slot, speaker_id, path, position FROM rr",
+    "microbatches": f"WITH {PK} SELECT batch_id, CAST(position // {P} AS BIGINT) AS microbatch, count(*) AS n_rows, count(DISTINCT speaker_id) AS n_speakers, count(DISTINCT speaker_id) = count(*) AS distinct_speakers FROM rr GROUP BY 1, 2",
+    "collated_batches": f"WITH {PK} SELECT batch_id, string_agg(path, ' ' ORDER BY slot) AS paths, string_agg(speaker_id, ' ' ORDER BY slot) AS speakers FROM pk GROUP BY 1",
+    "class_centroids": f"WITH {CENTROIDS} SELECT class, CAST(dim AS INTEGER) AS dim, round(w, 6) AS weight FROM cen",
+    "softmax_logits": f"WITH {CENTROIDS} SELECT vec_id, class, round(30.0 * c, 5) AS logit FROM cosine",
+    "aam_logits": f"WITH {CENTROIDS} SELECT vec_id, class, round(logit, 5) AS logit FROM aam",
+    "cross_entropy": f"""WITH {CENTROIDS}, m AS (SELECT vec_id, max(logit) AS m FROM aam GROUP BY 1)
+SELECT aam.vec_id, round(ln(sum(exp(logit - m))) + any_value(m) - max(CASE WHEN label = class THEN logit END), 5) AS loss FROM aam JOIN m USING (vec_id) GROUP BY 1""",
+    "cosine_lr": """WITH s AS (SELECT unnest(range(0, CAST(ceil(count(*) / 32.0) AS BIGINT))) AS step, CAST(ceil(count(*) / 32.0) AS BIGINT) - 1 AS h FROM events),
+f AS (SELECT step, 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, step / CAST(greatest(1, h) AS DOUBLE)))) AS factor FROM s)
+SELECT step, round(factor, 9) AS factor, round(0.001 * factor, 12) AS learning_rate FROM f""",
+    "early_stopping": """WITH RECURSIVE d AS (SELECT event_type, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY epoch) AS i FROM d),
+f AS (
+  SELECT event_type, 0 AS i, CAST('infinity' AS DOUBLE) AS best, -1 AS best_epoch, 0 AS bad, -1 AS stopped, 0 AS n FROM (SELECT DISTINCT event_type FROM d)
+  UNION ALL SELECT f.event_type, f.i + 1, CASE WHEN value < best - 1e-4 THEN value ELSE best END, CASE WHEN value < best - 1e-4 THEN epoch ELSE best_epoch END,
+    CASE WHEN value < best - 1e-4 THEN 0 ELSE bad + 1 END, CASE WHEN value >= best - 1e-4 AND bad + 1 >= 2 THEN epoch ELSE -1 END, f.n + 1
+  FROM f JOIN o ON o.event_type = f.event_type AND o.i = f.i + 1 WHERE stopped < 0
+)
+SELECT event_type, best, best_epoch, stopped AS stopped_epoch, n AS epochs_run FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i DESC) AS z FROM f) WHERE z = 1""",
+    "mean_norm": f"WITH {CENTROIDS} SELECT vec_id, CAST(dim.k AS INTEGER) AS dim, round(x - m, 6) AS value FROM dim JOIN mean ON mean.label = dim.label AND mean.k = dim.k",
+    "framing": """WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events),
+f AS (SELECT user_id, value, unnest(range(greatest(0, CAST(ceil((p - 4) / 2.0) AS BIGINT)), p // 2 + 1)) AS frame FROM p)
+SELECT user_id, frame, count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP BY 1, 2 HAVING count(*) = 5""",
+    "max_difference": f"""WITH {CENTROIDS}, e AS (SELECT x, abs(round(x, 4) - x) AS d FROM dim)
+SELECT count(*) AS n, round(max(d), 6) AS max_abs_diff, bool_and(d <= 1e-6 + 1e-5 * abs(x)) AS all_close FROM e""",
+    "norm_and_delta": f"""WITH {CENTROIDS} SELECT round(sqrt(sum(x * x / 4)), 4) AS norm, round(max(abs(x / 2)), 4) AS max_delta, round(sum(abs(x / 2)), 4) AS sum_delta, CAST(0 AS BIGINT) AS n_bad FROM dim""",
+}

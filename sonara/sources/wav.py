@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.digests import table_identity
 from ..functions.text import parent_name
@@ -49,7 +50,7 @@ def headers(files: DataFrame) -> DataFrame:
     return files.withColumn("_h", read("content")).select("path", "speaker_id", "_h.*")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def samples(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """PCM16 samples in [-1, 1) of mono files; null for anything else."""
     for batch in content:
