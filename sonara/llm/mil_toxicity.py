@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .samples import held_out, training_labels
-from .tiling import FOLD, folded_words
+from .tiling import fold
 
 #: Most labelled documents that a model is fitted on.
 SAMPLE_BOUND = 6_000
@@ -39,14 +39,14 @@ def sentences(chunk: K.Chunk) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarr
 
     A sentence ends with ``.``, ``!``, ``?`` or a line break that is followed by white space or the text's end.
     """
-    w = folded_words(chunk)
-    data = chunk.data
+    data, folded = chunk.data, fold(chunk.data)
+    w = K.words(K.Chunk(chunk.first, folded, chunk.offsets))
     after = np.r_[K._SPACE[data[1:]], True] if len(data) else np.zeros(0, bool)
     stops = np.r_[0, np.cumsum(_STOP[data] & (after | (data == 10)))]
     doc = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
     number = stops[w.start]
     first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    hashes = [w.hash, *K.span_hashes(FOLD[data], w.start, [np.minimum(w.end, w.start + n) for n in PREFIXES])]
+    hashes = [w.hash, *K.span_hashes(folded, w.start, [np.minimum(w.end, w.start + n) for n in PREFIXES])]
     places = [K.mix(h + np.uint64(k)) >> np.uint64(64 - BITS) for k, h in enumerate(hashes)]
     return w, first, doc[first], np.stack(places).astype(np.int64)
 

@@ -296,16 +296,18 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
 
     # Candidates between different components.
     placed = entries.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
-    placed = scratch.keep(placed.select("token", "node", "size", "matches", "place", "component"), "placed")
+    placed = scratch.keep(placed.select("token", "node", "size", "matches", "before", "place", "component"), "placed")
     shares = placed.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max_by("component", "members").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     mixed = placed.join(shares, "token")
-    minor = mixed.where("component != major").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "place", "component")])
-    # A pair with both sides outside the major component is taken once; overlap is the least that links the two sizes.
+    minor = mixed.where("component != major").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "before", "place", "component")])
+    # A pair with both sides outside the major component is taken once; overlap is the least that links the two sizes, and
+    # a document whose unique shingles alone exceed what it may lack links with nothing of that size.
     overlap = f"ceil({percent} * (size + _size) / {100 + percent})"
     lesser = "least(matches, _matches)"
     pairs = minor.join(mixed, "token").where(
         f"_component != component and (component = major or _node < node) and 100 * least(size, _size) >= {percent} * greatest(size, _size)"
         f" and place < size - {overlap} + {lesser} and _place < _size - {overlap} + {lesser}"
+        f" and before <= size - {overlap} and _before <= _size - {overlap}"
     )
     candidates = (
         pairs.groupBy("_node", "node")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Scratch
-from .tokens import WordTokenizer
+from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
 
 #: Pieces packed by one task.
 GROUP_PIECES = 20_000
@@ -35,7 +35,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = WordTokenizer.of(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for chunk in K.chunks(batch.column(1)):
+            for chunk in K.chunks(batch.column(1), TOKEN_CHUNK_BYTES):
                 ids, offsets = tokenizer.encode(chunk)
                 sizes = np.diff(offsets) + 1
                 pieces = -(-sizes // capacity)

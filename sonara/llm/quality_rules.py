@@ -36,10 +36,10 @@ class Measure(NamedTuple):
 
 #: Per 10,000 words, or thousandths of a code point.
 MEASURES = {
-    "word_length": Measure("1000 * word_chars div n_words", 2000, lower=True),
-    "symbols": Measure("10000 * n_symbols div n_words", 1000),
-    "dup_lines": Measure("10000 * n_dup_lines div n_words", 400),
-    "repeats": Measure("10000 * n_repeat_words div n_words", 2500),
+    "word_length": Measure("1000 * word_chars div nullif(n_words, 0)", 2000, lower=True),
+    "symbols": Measure("10000 * n_symbols div nullif(n_words, 0)", 1000),
+    "dup_lines": Measure("10000 * n_dup_lines div nullif(n_words, 0)", 400),
+    "repeats": Measure("10000 * n_repeat_words div nullif(n_words, 0)", 2500),
 }
 
 

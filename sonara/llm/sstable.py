@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Scratch
-from .tokens import WordTokenizer
+from .tokens import TOKEN_CHUNK_BYTES, WordTokenizer
 
 MAGIC = b"SNSST001"
 FOOTER = struct.Struct("<QQQQQQQII8s")
@@ -211,7 +211,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str
                 stream = store.open_output_stream(inner)
                 writer = ShardWriter(stream, kind.itemsize)
             keys = batch.column(0).to_pylist()
-            for chunk in K.chunks(batch.column(1)):
+            for chunk in K.chunks(batch.column(1), TOKEN_CHUNK_BYTES):
                 ids, offsets = tokenizer.encode(chunk)
                 body, at = ids.astype(kind).tobytes(), (offsets * kind.itemsize).tolist()
                 for k in range(len(at) - 1):

@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as sequences of words without ASCII case and punctuation.  Runs of ``min_match`` words that a
+Texts are compared as sequences of words without case (of ASCII and Latin-1 letters) and ASCII punctuation.  Runs of ``min_match`` words that a
 document shares with a test item are the seeds; only (document, item) pairs whose seeds could cover enough of the item
 are tiled.  Tiling marks the longest matches first, found by Karp-Rabin hashes at falling search lengths, and never
 uses a word of either side twice, so passages count in whatever order they come.  An item's coverage is the share of
@@ -24,13 +24,23 @@ from . import kernels as K
 #: Words of test items broadcast at once.
 SLICE_WORDS = 2_000_000
 
-#: ASCII case is folded; ASCII punctuation and control characters separate words.
+#: Bytes after folding ASCII case; ASCII punctuation and control characters separate words.
 FOLD = K._LOWER.copy()
 FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Texts' bytes with the case of ASCII and Latin-1 letters folded and ASCII punctuation blanked."""
+    out = FOLD[data]
+    if len(data) > 1:
+        second = data[1:]
+        upper = (data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        out[1:][upper] += 0x20
+    return out
+
+
 def folded_words(chunk: K.Chunk) -> K.Words:
-    return K.words(K.Chunk(chunk.first, FOLD[chunk.data], chunk.offsets))
+    return K.words(K.Chunk(chunk.first, fold(chunk.data), chunk.offsets))
 
 
 class ItemSlice:

@@ -15,6 +15,8 @@ from . import kernels as K
 
 #: Words known to a worker at most.
 MAX_WORDS = 1_500_000
+#: Bytes of text encoded at once: more words of a chunk are alike the larger it is.
+TOKEN_CHUNK_BYTES = 1 << 21
 
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,")] = True
