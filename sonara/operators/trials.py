@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.digests import PART_SEPARATOR, canonical_pair, stable_digest
 from ..functions.ranking import digest_rank, ordered_rank
 from ..functions.text import numbered
+from ..scratch import Scratch
 from .contracts import all_of, duplicates, violations
 from .splits import SEED
 
 #: Purposes in the digests.
 GENUINE_QUOTA, IMPOSTOR_QUOTA, IMPOSTOR_SPEAKER, GENUINE, IMPOSTOR = "genuine-quota", "negative-participation", "negative-speaker", "genuine", "impostor"
-#: Utterances of a speaker whose pairs one task ranks against another such block.
+#: Utterances of a speaker that are paired at once with another such block.
 BLOCK = 512
 #: Most trials that the one-by-one rule may be asked for; beyond, use ``paired_rounds``.
 MAX_SEQUENTIAL = 200_000
@@ -42,33 +43,27 @@ def balanced_quotas(utterances: DataFrame, total: int, purpose: str, seed: int =
 def genuine_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
     """Per speaker the pairs of least digest, as many as its quota; columns ``COLUMNS`` and ``digest``.
 
-    All pairs of a speaker compete by definition.  Its utterances are dealt into blocks and each pair of blocks is ranked
-    by a task of its own that keeps no more than the quota, so a speaker with many utterances spreads over the cluster.
-    A speaker that cannot fill its quota is an error.
+    All pairs of a speaker compete by definition.  Its utterances are dealt into blocks and pairs are formed and hashed
+    block against block, so a speaker with many utterances spreads over the cluster, and no task hands on more pairs of a
+    speaker than its quota.  A speaker that cannot fill its quota is an error.
     """
     quotas = balanced_quotas(utterances, total, GENUINE_QUOTA, seed)
+    most = quotas.agg(F.max("quota")).first()[0]
     paths = utterances.select("speaker_id", "path").distinct()
     blocks = paths.groupBy("speaker_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = paths.join(blocks, "speaker_id").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = placed.select("speaker_id", "path", "block", F.explode(other).alias("other")).join(quotas, "speaker_id")
-    dealt = dealt.select("speaker_id", "path", "block", "quota", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def rank(frame: pd.DataFrame) -> pd.DataFrame:
-        speaker, quota, low, high = frame["speaker_id"].iloc[0], int(frame["quota"].iloc[0]), frame["low"].iloc[0], frame["high"].iloc[0]
-        first, second = sorted(frame["path"][frame["block"] == low]), sorted(frame["path"][frame["block"] == high])
-        pairs = ((a, b) for i, a in enumerate(first) for b in first[i + 1 :]) if low == high else ((min(a, b), max(a, b)) for a in first for b in second)
-        best = heapq.nsmallest(quota, ((_digest(seed, GENUINE, speaker, a, b), a, b) for a, b in pairs))
-        return pd.DataFrame([(speaker, quota, *x) for x in best], columns=["speaker_id", "quota", "digest", "a", "b"])
-
-    ranked = dealt.groupBy("speaker_id", "low", "high").applyInPandas(rank, "speaker_id string, quota long, digest string, a string, b string")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("speaker_id", "path", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    other = dealt.select(*[F.col(c).alias(f"_{c}") for c in dealt.columns])
+    same_blocks = (F.col("speaker_id") == F.col("_speaker_id")) & (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high"))
+    pairs = dealt.join(other, same_blocks & (F.col("path") < F.col("_path")) & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("_block"))))
+    hashed = pairs.select("speaker_id", F.col("path").alias("a"), F.col("_path").alias("b"), stable_digest(seed, GENUINE, F.col("speaker_id"), F.col("path"), F.col("_path")).alias("digest"))
     place = F.row_number().over(Window.partitionBy("speaker_id").orderBy("digest", "a", "b"))
-    chosen = ranked.withColumn("place", place).where("place <= quota")
+    best = hashed.withColumn("place", place).where(F.col("place") <= most)
+    chosen = Scratch(utterances.sparkSession, "genuine-trials").keep(best.join(quotas, "speaker_id").where("place <= quota"), "chosen")
     supply = quotas.where("quota > 0").join(chosen.groupBy("speaker_id").agg(F.count("*").alias("n")), "speaker_id", "left")
-    short = supply.where("coalesce(n, 0) < quota").agg(F.count("*").alias("short"))
-    checked = chosen.join(F.broadcast(short))
-    guard = F.when(F.col("short") > 0, F.raise_error(F.lit("a speaker cannot supply its genuine quota"))).otherwise(F.col("a"))
-    return checked.select(guard.alias("left_audio_path"), F.col("b").alias("right_audio_path"), F.col("speaker_id").alias("left_speaker_id"), F.col("speaker_id").alias("right_speaker_id"), F.lit(1).alias("target"), "digest")
+    if supply.where("coalesce(n, 0) < quota").take(1):
+        raise ValueError("a speaker cannot supply its genuine quota")
+    return chosen.select(F.col("a").alias("left_audio_path"), F.col("b").alias("right_audio_path"), F.col("speaker_id").alias("left_speaker_id"), F.col("speaker_id").alias("right_speaker_id"), F.lit(1).alias("target"), "digest")
 
 
 def impostor_speaker_pairs(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
