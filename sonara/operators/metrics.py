@@ -30,7 +30,7 @@ def operating_points(scores: DataFrame) -> DataFrame:
     points = by_score.join(F.broadcast(offsets), "_bucket").select(
         "threshold",
         ((F.col("_n0") + F.sum("n").over(inside)) / F.col("_all_n")).alias("far"),
-        (1 - (F.col("_p0") + F.sum("p").over(inside)) / F.col("_all_p")).alias("frr"),
+        ((F.col("_all_p") - F.col("_p0") - F.sum("p").over(inside)) / F.col("_all_p")).alias("frr"),
         F.lit(False).alias("is_anchor"),
     )
     anchor = scores.agg(F.max(F.col("score").cast("double")).alias("m")).where("m is not null").select(

@@ -34,7 +34,7 @@ def _scores(only: str = "true", name: str = "sc", t: str = "tr") -> str:
 def _points(name: str = "pt", scores: str = "sc") -> str:
     return f"""{name}_s AS (SELECT score, count(*) FILTER (WHERE target = 1) AS p, count(*) FILTER (WHERE target = 0) AS n FROM {scores} GROUP BY 1),
 {name} AS (
-  SELECT score AS threshold, sum(n) OVER w / (SELECT sum(n) FROM {name}_s) AS far, 1 - sum(p) OVER w / (SELECT sum(p) FROM {name}_s) AS frr, false AS is_anchor FROM {name}_s WINDOW w AS (ORDER BY score DESC)
+  SELECT score AS threshold, sum(n) OVER w / (SELECT sum(n) FROM {name}_s) AS far, ((SELECT sum(p) FROM {name}_s) - sum(p) OVER w) / (SELECT sum(p) FROM {name}_s) AS frr, false AS is_anchor FROM {name}_s WINDOW w AS (ORDER BY score DESC)
   UNION ALL SELECT nextafter(max(score), CAST('infinity' AS DOUBLE)), 0.0, 1.0, true FROM {name}_s
 )"""
 
