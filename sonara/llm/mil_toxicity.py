@@ -18,8 +18,8 @@ from . import kernels as K
 from .samples import held_out, training_labels
 from .tiling import fold
 
-#: Most labelled documents that a model is fitted on.
-SAMPLE_BOUND = 6_000
+#: Most labelled documents that a model is fitted on, half of them of each class.
+SAMPLE_BOUND = 5_000
 #: Hashed weights.
 BITS = 20
 #: Features in at least so many sampled documents get a weight.
@@ -79,17 +79,16 @@ class Model:
         return 1 - np.exp(clean), worst, most
 
 
-def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    """Gradient descent on the documents' log loss.  ``docs``: the places of each document's features and the number of
-    the sentence that each is in."""
-    n_docs = len(y)
+def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-5) -> Model:
+    """Gradient descent on the documents' weighted log loss.  ``docs``: the places of each document's features and the
+    number of the sentence that each is in."""
+    n_docs, weight = len(y), weight / weight.sum()
     in_docs, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for (places, _), label in zip(docs, y):
         own = np.unique(places)
         in_docs[own] += 1
         toxic[own] += label
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    odds = np.log((toxic + share) / (in_docs - toxic + 1 - share) * (1 - share) / share)
+    odds = np.log((toxic + 1) / (y.sum() + 1) * (n_docs - y.sum() + 1) / (in_docs - toxic + 1))
     used = (in_docs >= min(MIN_DOCUMENTS, max(1, n_docs // 50))) & (odds >= MIN_LOG_ODDS)
     known = np.flatnonzero(used)
     dense = np.zeros(1 << BITS, np.int64)
@@ -111,7 +110,7 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs))
         toxic_p = np.maximum(1 - clean, 1e-9)
-        g = p * np.where(y == 1, -clean / toxic_p, 1.0)[doc_of] / n_docs
+        g = p * (weight * np.where(y == 1, -clean / toxic_p, 1.0))[doc_of]
         for k, (value, d) in enumerate(((w, np.bincount(x, g[sentence_of], len(w)) + decay * w), (bias, np.array([g.sum()])))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * d
             moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * d * d
@@ -123,8 +122,8 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = SAMPLE_BOUND, text: str = "text") -> Model:
     """Fit on the texts of at most about ``bound`` labelled documents."""
-    chosen = training_labels(labels, column, bound, seed=3).select(F.col("doc_id").alias("_id"), "y")
-    rows = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(chosen, F.col("doc_id") == F.col("_id")).select("y", "_text")
+    chosen = training_labels(labels, column, bound, seed=3).select(F.col("doc_id").alias("_id"), "y", "weight")
+    rows = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(chosen, F.col("doc_id") == F.col("_id")).select("y", "_text", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,15 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int
                 for d in range(len(chunk.offsets) - 1):
                     own = slice(w.bounds[d], w.bounds[d + 1])
                     inside = np.tile(number[own] - number[own][:1], len(place))
-                    yield pa.RecordBatch.from_arrays([pa.array([y[chunk.first + d]]), pa.array([place[:, own].astype("<i4").tobytes()]), pa.array([inside.astype("<i4").tobytes()])], names=["y", "places", "sentence"])
+                    yield pa.RecordBatch.from_arrays([pa.array([y[chunk.first + d]]), batch.column(2).slice(chunk.first + d, 1), pa.array([place[:, own].astype("<i4").tobytes()]), pa.array([inside.astype("<i4").tobytes()])], names=["y", "weight", "places", "sentence"])
 
-    y, bags = [], []
-    for r in rows.mapInArrow(run, "y int, places binary, sentence binary").toLocalIterator():
+    y, weight, bags = [], [], []
+    for r in rows.mapInArrow(run, "y int, weight double, places binary, sentence binary").toLocalIterator():
         bags.append((np.frombuffer(r["places"], "<i4"), np.frombuffer(r["sentence"], "<i4")))
         y.append(r["y"])
+        weight.append(r["weight"])
     if not y or sum(y) in (0, len(y)):
         return Model(np.zeros(1 << BITS), -30.0 if not y or not sum(y) else 30.0)
-    return fit_noisy_or(bags, np.array(y))
+    return fit_noisy_or(bags, np.array(y), np.array(weight))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ candidates, at most entries / l, times the cost of verifying one) is least, and
 prefixes share as many shingles as the lesser l of the two.  Unique shingles fill prefix places but match nothing.
 
 *No pairs within groups.*  First each document is verified against one leader only, the likeliest among those it shares
-prefix shingles with, and linked ones are merged.  Then candidates are formed only between different components, the
+prefix shingles with, and linked ones are merged; those left over meet the leader of the component around them.  Then candidates are formed only between different components, the
 largest component of each posting list never against itself, so a group of near copies costs a star and not a square.
 """
 
@@ -48,6 +48,8 @@ HEAVY = 32
 LIGHT_COUNT = 4
 VERIFY_COST = 50
 MAX_MATCHES = 8
+#: Times that documents are verified against leaders before other pairs are formed.
+LEADER_ROUNDS = 2
 
 
 def shingle_sets(chunk: K.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +198,10 @@ def choose_matches(levels: np.ndarray, unique: int, base: int, most: int) -> tup
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, counts: CellCounts) -> DataFrame:
-    """Rows (node, size, fp1, fp2, matches, before, tokens) of documents whose prefix has shared shingles."""
+    """Rows (node, size, fp1, fp2, matches, before, weight, tokens) of documents whose prefix has shared shingles.
+
+    ``weight`` is the mean level of all shingles: in a group of near copies it is greatest for the one they derive from.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +226,15 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: CellCounts) -> Data
                     order = keep[np.argsort(level[keep], kind="stable")]
                     matches, length = choose_matches(level[order], alone, base, most)
                     if length:
-                        out.append((chunk.first + d, size, a[d], b[d], matches, alone, own[order[:length]].view(np.int64)))
+                        out.append((chunk.first + d, size, a[d], b[d], matches, alone, float(level.mean()), own[order[:length]].view(np.int64)))
                 if out:
-                    row, size, fa, fb, matches, alone, tokens = zip(*out)
+                    row, size, fa, fb, matches, alone, weight, tokens = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array(size, pa.int32()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(matches, pa.int32()), pa.array(alone, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
-                        names=["node", "size", "fp1", "fp2", "matches", "before", "tokens"],
+                        [batch.column(0).take(pa.array(row)), pa.array(size, pa.int32()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(matches, pa.int32()), pa.array(alone, pa.int32()), pa.array(weight, pa.float64()), pa.array(tokens, pa.list_(pa.int64()))],
+                        names=["node", "size", "fp1", "fp2", "matches", "before", "weight", "tokens"],
                     )
 
-    return docs.mapInArrow(run, "node long, size int, fp1 long, fp2 long, matches int, before int, tokens array<long>")
+    return docs.mapInArrow(run, "node long, size int, fp1 long, fp2 long, matches int, before int, weight double, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -285,19 +290,26 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
     first = _prefixes(docs.where("doc_id is not null"), n, percent, counts)
     reps = first.join(classes.withColumnRenamed("node", "_first"), key, "left").where("_first is null or _first = node").drop("_first")
     prefixes = scratch.keep(reps.dropDuplicates(["node", "fp1", "fp2"]), "prefixes")
-    entries = prefixes.select("node", "size", "matches", "before", F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("place") + F.col("before"))
-
-    # Leaders: in each posting list the document with the least part of unique shingles.
-    leading = entries.groupBy("token").agg(F.max_by("node", -F.col("before") / F.col("size")).alias("leader"), F.max_by("size", -F.col("before") / F.col("size")).alias("leader_size"), F.count("*").alias("length")).where("length > 1")
-    led = entries.join(leading, "token").where(f"node != leader and 100 * least(size, leader_size) >= {percent} * greatest(size, leader_size)")
-    star = led.groupBy("node", "leader").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("leader", "shared").alias("b")).select(F.col("node").alias("a"), "b")
-    star_links = scratch.keep(_verified(scratch.keep(star, "star"), docs, n, percent).distinct(), "star-links")
-    merged = components(star_links, scratch)
+    entries = prefixes.select("node", "size", "matches", "before", "weight", F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("place") + F.col("before"))
+
+    # In each posting list the document of greatest weight leads; every other one is verified against its likeliest leader.
+    # Once more, those still apart from the list's largest component against that component's leader.
+    links, placed, shares = None, entries.withColumns({"component": F.col("node")}), None
+    for _ in range(LEADER_ROUNDS):
+        leaders = placed if links is None else placed.join(shares, "token").where("component = major")
+        leading = leaders.groupBy("token").agg(F.max_by("node", "weight").alias("leader"), F.max_by("size", "weight").alias("leader_size"), F.count("*").alias("length"))
+        led = placed if links is None else placed.join(shares, "token").where("component != major")
+        led = led.join(leading.where("length > 1") if links is None else leading, "token").where(f"node != leader and 100 * least(size, leader_size) >= {percent} * greatest(size, leader_size)")
+        star = led.groupBy("node", "leader").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("leader", "shared").alias("b")).select(F.col("node").alias("a"), "b")
+        found = scratch.keep(_verified(scratch.keep(star, "star"), docs, n, percent).distinct(), "star-links")
+        links = found if links is None else merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.select("a", "b"))
+        merged = components(links, scratch)
+        placed = entries.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
+        placed = scratch.keep(placed.select("token", "node", "size", "matches", "before", "weight", "place", "component"), "placed")
+        shares = placed.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max_by("component", "members").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        shares = scratch.keep(shares, "shares")
 
     # Candidates between different components.
-    placed = entries.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
-    placed = scratch.keep(placed.select("token", "node", "size", "matches", "before", "place", "component"), "placed")
-    shares = placed.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max_by("component", "members").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     mixed = placed.join(shares, "token")
     minor = mixed.where("component != major").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "before", "place", "component")])
     # A pair with both sides outside the major component is taken once; overlap is the least that links the two sizes, and
@@ -310,10 +322,10 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
         f" and before <= size - {overlap} and _before <= _size - {overlap}"
     )
     candidates = (
-        pairs.groupBy("_node", "node")
+        pairs.groupBy(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"))  # which side is minor varies with the token
         .agg(F.count("*").alias("shared"), F.first(F.expr(lesser)).alias("needed"), F.max(F.expr(f"place <= size - {overlap} and _place <= _size - {overlap}")).alias("early"))
         .where("shared >= needed and early")
-        .select(F.col("_node").alias("a"), F.col("node").alias("b"))
+        .select("a", "b")
     )
     more = scratch.keep(_verified(scratch.keep(candidates, "candidates"), docs, n, percent).distinct(), "more-links")
 

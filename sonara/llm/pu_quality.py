@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", prior: fl
     if prior is None:
         prior = usable.agg(F.avg(column)).first()[0] or 0.5
     prior = min(max(prior, 0.01), 0.99)
-    positives = training_labels(labels.where(F.col(column) == 1), column, bound, seed=1)
+    positives = training_labels(labels.where(F.col(column) == 1), column, 2 * bound, seed=1)
     # The samples' ids are bounded, so Spark may broadcast them; texts are read once for each sample.
     chosen = docs.join(positives.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
     rest = hashed_sample(docs.where("doc_id is not null"), bound, docs.count(), seed=2)

@@ -24,7 +24,12 @@ def hashed_sample(rows: DataFrame, bound: int, total: int, seed: int, key: str =
 
 
 def training_labels(labels: DataFrame, column: str, bound: int, seed: int) -> DataFrame:
-    """(doc_id, y) of about ``bound`` labelled rows that may be learnt from, one row per id."""
+    """(doc_id, y, weight) of labelled rows that may be learnt from, one row per id.
+
+    Of each class about half of ``bound`` are taken, chosen by hash; ``weight`` is the number of rows that each stands for.
+    """
     usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     ids = usable.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
-    return hashed_sample(ids, bound, usable.count(), seed)
+    counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [hashed_sample(ids.where(F.col("y") == y), bound // 2, counts.get(y, 0), seed).withColumn("weight", F.lit(max(1.0, 2 * counts.get(y, 0) / bound))) for y in (0, 1)]
+    return parts[0].unionByName(parts[1])

@@ -16,7 +16,9 @@ from . import kernels as K
 #: Words known to a worker at most.
 MAX_WORDS = 1_500_000
 #: Bytes of text encoded at once: more words of a chunk are alike the larger it is.
-TOKEN_CHUNK_BYTES = 1 << 21
+TOKEN_CHUNK_BYTES = 1 << 20
+#: New words before they are sorted in among the known ones.
+RECENT_WORDS = 50_000
 
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,")] = True
@@ -55,11 +57,31 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[int, int] = {}
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        """Known words: sorted hashes with their rows, and a few recent ones that are merged in later."""
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.recent: dict[int, int] = {}
+        self.size = self.used = 0
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int32)
+
+    def _merge(self) -> None:
+        hashes = np.concatenate([self.hashes, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])
+        rows = np.concatenate([self.rows, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.rows, self.recent = hashes[order], rows[order], {}
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each word, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            out[known] = self.rows[at[known]]
+        if self.recent:
+            left = np.flatnonzero(out < 0)
+            out[left] = [self.recent.get(h, -1) for h in hashes[left].tolist()]
+        return out
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,17 +102,21 @@ class WordTokenizer:
         for k, x in zip(rest, self._ids([texts[k] for k in rest]) if rest else ()):
             found[k] = x
         counts = np.array([len(x) for x in found], np.int64)
-        n, total = len(self.row), int(counts.sum())
-        while len(self.start) < n + len(found):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while len(self.pool) < self.used + total:
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        n, total = self.size, int(counts.sum())
+        if len(self.start) < n + len(found):
+            more = np.zeros(n // 2 + len(found), np.int32)
+            self.start, self.count = np.concatenate([self.start[:n], more.astype(np.int64)]), np.concatenate([self.count[:n], more])
+        if len(self.pool) < self.used + total:
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + total, np.uint32)])
         self.count[n : n + len(found)] = counts
         self.start[n : n + len(found)] = self.used + np.cumsum(counts) - counts
         if total:
             self.pool[self.used : self.used + total] = np.concatenate(found)
         self.used += total
-        self.row.update(zip(hashes.tolist(), range(n, n + len(found))))
+        self.size += len(found)
+        self.recent.update(zip(hashes.tolist(), range(n, n + len(found))))
+        if len(self.recent) > RECENT_WORDS:
+            self._merge()
 
     def encode(self, chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk end to end, and the n + 1 offsets of its documents in them."""
@@ -105,18 +131,18 @@ class WordTokenizer:
         trim[trim] = _LETTER[data[last[trim] - 1]]
         end = w.end - trim
         codes, distinct = pd.factorize(K.span_hash(data, w.start, end))
-        if len(self.row) > MAX_WORDS:
+        if self.size > MAX_WORDS:
             self._clear()
-        rows = np.array([self.row.get(h, -1) for h in distinct.tolist()], np.int64)
+        rows = self._find(distinct)
         new = np.flatnonzero(rows < 0)
         if len(new):
             at = np.full(len(distinct), -1)
             at[codes[::-1]] = np.arange(len(codes))[::-1]
             body = data.tobytes()
             self._learn(distinct[new], [body[w.start[k] : end[k]] for k in at[new]])
-            rows[new] = [self.row[h] for h in distinct[new].tolist()]
+            rows[new] = np.arange(self.size - len(new), self.size)
         rows = rows[codes]
-        counts = self.count[rows]
+        counts = self.count[rows].astype(np.int64)
         ends = np.cumsum(counts + trim)
         ids = np.empty(int(ends[-1]), np.uint32)
         begin = ends - trim - counts

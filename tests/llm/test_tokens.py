@@ -43,7 +43,7 @@ def test_known_words_are_bounded(encode, monkeypatch):
     for text in ("one two three four five six seven", "eight nine ten one", "one two eleven"):
         (chunk,) = K.chunks(pa.array([text]))
         assert own.encode(chunk)[0].tolist() == encode(text)
-    assert len(own.row) <= 12
+    assert own.size <= 12
 
 
 def _crc(ids):
