@@ -229,11 +229,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, text: st
     """``docs`` with every word under a repeated edge removed: the kept words joined by one space where any went, else
     the text as it was.  Rows left without a word by this stay, with an empty text."""
     found = Repeats(docs, span, seed, text)
+    whole = ["_h1", "_h2", "_size"]
+    emptied = _join(found.scanned.where(F.col("n_words") >= span), found.copied.withColumn("_copied", F.lit(True)), whole).select(*_KEY, F.lit("").alias("kept_text"))
+    changed = found.cleaned().select(*_KEY, "kept_text").unionByName(emptied.distinct())
     t = F.col(text).cast("string")
-    keyed = docs.withColumns({"_doc": F.col("doc_id"), "_h1": F.xxhash64(t), "_h2": F.hash(t), "_size": F.coalesce(F.octet_length(t), F.lit(-1))})
-    long_copies = found.scanned.where(F.col("n_words") >= span).select("_h1", "_h2", "_size").distinct()
-    copied = _join(found.copied, long_copies, ["_h1", "_h2", "_size"]).withColumn("_copied", F.lit(True))
-    rows = _join(keyed, copied, ["_h1", "_h2", "_size"], "left")
-    rows = _join(rows, found.cleaned().select(*_KEY, "kept_text"), _KEY, "left")
-    new = F.when(F.col("_copied").isNotNull(), F.lit("")).otherwise(F.coalesce("kept_text", F.col(text)))
-    return rows.withColumn(text, new).select(*docs.columns)
+    rows = _join(docs.withColumns({"_doc": F.col("doc_id"), "_h1": F.xxhash64(t)}), changed, _KEY, "left")
+    return rows.withColumn(text, F.coalesce("kept_text", F.col(text))).select(*docs.columns)

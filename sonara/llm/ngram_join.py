@@ -294,7 +294,7 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
 
     # In each posting list the document of greatest weight leads; every other one is verified against its likeliest leader.
     # Once more, those still apart from the list's largest component against that component's leader.
-    links, placed, shares = None, entries.withColumns({"component": F.col("node")}), None
+    links, labels, placed, shares = None, None, entries.withColumns({"component": F.col("node")}), None
     for _ in range(LEADER_ROUNDS):
         leaders = placed if links is None else placed.join(shares, "token").where("component = major")
         leading = leaders.groupBy("token").agg(F.max_by("node", "weight").alias("leader"), F.max_by("size", "weight").alias("leader_size"), F.count("*").alias("length"))
@@ -302,9 +302,12 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
         led = led.join(leading.where("length > 1") if links is None else leading, "token").where(f"node != leader and 100 * least(size, leader_size) >= {percent} * greatest(size, leader_size)")
         star = led.groupBy("node", "leader").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("leader", "shared").alias("b")).select(F.col("node").alias("a"), "b")
         found = scratch.keep(_verified(scratch.keep(star, "star"), docs, n, percent).distinct(), "star-links")
-        links = found if links is None else merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.select("a", "b"))
-        merged = components(links, scratch)
-        placed = entries.join(merged.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
+        # A linked document takes its leader's label; a label joins linked documents only, and need not join all of them.
+        of_leader = found if labels is None else labels
+        joined = found.select("a", "b").join(of_leader.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col("b") == F.col("_a"), "left").select("a", F.coalesce("_b", "b").alias("b"))
+        labels = scratch.keep(joined if labels is None else joined.unionByName(labels.join(joined.select("a"), "a", "left_anti")), "labels")
+        links = found if links is None else links.unionByName(found)
+        placed = entries.join(labels.select(F.col("a").alias("_node"), F.col("b").alias("component")), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
         placed = scratch.keep(placed.select("token", "node", "size", "matches", "before", "weight", "place", "component"), "placed")
         shares = placed.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max_by("component", "members").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
         shares = scratch.keep(shares, "shares")
@@ -333,7 +336,7 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
     classed = sets.where("size > 0 and doc_id is not null").join(classes, key, "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     several = classed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select(F.col("doc_id").alias("_id"))
     tied = classed.join(several, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    final = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")).unionByName(tied), scratch)
+    final = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(tied), scratch)
     scratch.drop(placed, prefixes)
 
     named = sets.join(classes, key, "left").withColumn("node", F.coalesce("node", "doc_id"))
