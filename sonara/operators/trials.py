@@ -154,22 +154,26 @@ def neighbour_trials(utterances: DataFrame, width: int, seed: int = SEED, bucket
     """Linear-size trials: each utterance with the next ``width`` ones in digest order.
 
     Genuine pairs are neighbours among the speaker's own utterances, impostor pairs neighbours of other speakers among
-    all.  Both orders are cut into digest buckets of about ``bucket_rows``, so no window grows with a speaker.
-    ``COLUMNS``.
+    all.  Both orders are cut into stretches of ``bucket_rows`` places, so no window grows with a speaker; the first
+    ``width`` rows of a stretch also end the one before, so no pair is lost between them.  Rows without a speaker or a
+    path take no part.  ``COLUMNS``.
     """
-    paths = utterances.select("speaker_id", "path").distinct().withColumn("_d", stable_digest(seed, "neighbour", F.col("path")))
-    buckets = max(1, -(-paths.count() // bucket_rows))
-    paths = paths.withColumn("_bucket", F.pmod(F.conv(F.substring("_d", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-
-    def pairs(by: list[str], keep: str, target: int) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("_d", "path")
-        nexts = paths.withColumns({f"_n{k}": F.lead(F.struct("path", "speaker_id"), k).over(order) for k in range(1, width + 1)})
+    paths = utterances.select("speaker_id", "path").dropna().distinct().withColumn("_d", stable_digest(seed, "neighbour", F.col("path")))
+    span = max(bucket_rows, width)
+    own = F.floor(F.col("_place") / span)
+
+    def pairs(by: tuple[str, ...], keep: str, target: int) -> DataFrame:
+        placed = digest_rank(paths, "_d", "path", "speaker_id", name="_place", by=by)
+        leads = (F.col("_place") >= span) & (F.col("_place") % span < width)
+        cut = placed.withColumn("_stretch", F.explode(F.when(leads, F.array(own - 1, own)).otherwise(F.array(own))))
+        order = Window.partitionBy(*by, "_stretch").orderBy("_place")
+        nexts = cut.withColumns({f"_n{k}": F.lead(F.struct("path", "speaker_id"), k).over(order) for k in range(1, width + 1)}).where(F.col("_stretch") == own)
         each = nexts.select("path", "speaker_id", F.explode(F.array(*[f"_n{k}" for k in range(1, width + 1)])).alias("o")).where(keep)
         a, b = F.struct("path", "speaker_id"), F.col("o")
         low, high = F.least(a, b), F.greatest(a, b)
         return each.select(low["path"].alias("left_audio_path"), high["path"].alias("right_audio_path"), low["speaker_id"].alias("left_speaker_id"), high["speaker_id"].alias("right_speaker_id"), F.lit(target).alias("target"))
 
-    return pairs(["speaker_id", "_bucket"], "o is not null", 1).unionByName(pairs(["_bucket"], "o is not null and o.speaker_id != speaker_id", 0))
+    return pairs(("speaker_id",), "o is not null", 1).unionByName(pairs((), "o is not null and o.speaker_id != speaker_id", 0))
 
 
 def legacy_trials(utterances: DataFrame, cap: int = 100, seed: int = SEED) -> DataFrame:

@@ -100,6 +100,22 @@ def test_impostor_trials_are_balanced_and_valid(spark, utt):
     assert {"target_is_same_speaker", "balanced_targets"} <= {r["rule"] for r in trials.trial_violations(broken, utt).collect()}
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 7, 4096])
+def test_neighbour_trials_lose_no_pair(spark, bucket_rows):
+    rows = [(f"{s}", f"{s}/{k}.wav") for s in range(6) for k in range(3 + 8 * s)]
+    place = lambda r: (hashlib.sha256(f"2026\x1fneighbour\x1f{r[1]}".encode()).hexdigest(), r[1])
+    expected = Counter()
+    for own in [[r for r in rows if r[0] == f"{s}"] for s in range(6)] + [rows]:
+        order = sorted(own, key=place)
+        for i, x in enumerate(order):
+            for y in order[i + 1 : i + 4]:
+                if own is not rows or x[0] != y[0]:
+                    expected[(*sorted((x[1], y[1])), int(own is not rows))] += 1
+    made = trials.neighbour_trials(spark.createDataFrame(rows, "speaker_id string, path string"), 3, bucket_rows=bucket_rows).collect()
+    assert Counter((r["left_audio_path"], r["right_audio_path"], r["target"]) for r in made) == expected
+    assert all(r["left_audio_path"].startswith(r["left_speaker_id"] + "/") and r["right_audio_path"].startswith(r["right_speaker_id"] + "/") for r in made)
+
+
 def test_legacy_trials(spark, utt):
     made = trials.legacy_trials(utt, 4)
     rows = made.collect()
