@@ -40,15 +40,8 @@ def balanced_quotas(utterances: DataFrame, total: int, purpose: str, seed: int =
     return digest_rank(speakers, "_d", "speaker_id").select("speaker_id", (F.lit(total // n) + (F.col("rank") < total % n).cast("long")).alias("quota"))
 
 
-def genuine_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
-    """Per speaker the pairs of least digest, as many as its quota; columns ``COLUMNS`` and ``digest``.
-
-    All pairs of a speaker compete by definition.  Its utterances are dealt into blocks and pairs are formed and hashed
-    block against block, so a speaker with many utterances spreads over the cluster, and no task hands on more pairs of a
-    speaker than its quota.  A speaker that cannot fill its quota is an error.
-    """
-    quotas = balanced_quotas(utterances, total, GENUINE_QUOTA, seed)
-    most = quotas.agg(F.max("quota")).first()[0]
+def _least_pairs(utterances: DataFrame, most: int, seed: int) -> DataFrame:
+    """Of all pairs of each speaker the ``most`` of least digest; rows (speaker_id, a, b, digest, place), places from 1."""
     paths = utterances.select("speaker_id", "path").distinct()
     blocks = paths.groupBy("speaker_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = paths.join(blocks, "speaker_id").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
@@ -58,7 +51,19 @@ def genuine_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataF
     pairs = dealt.join(other, same_blocks & (F.col("path") < F.col("_path")) & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("_block"))))
     hashed = pairs.select("speaker_id", F.col("path").alias("a"), F.col("_path").alias("b"), stable_digest(seed, GENUINE, F.col("speaker_id"), F.col("path"), F.col("_path")).alias("digest"))
     place = F.row_number().over(Window.partitionBy("speaker_id").orderBy("digest", "a", "b"))
-    best = hashed.withColumn("place", place).where(F.col("place") <= most)
+    return hashed.withColumn("place", place).where(F.col("place") <= most)
+
+
+def genuine_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
+    """Per speaker the pairs of least digest, as many as its quota; columns ``COLUMNS`` and ``digest``.
+
+    All pairs of a speaker compete by definition.  Its utterances are dealt into blocks and pairs are formed and hashed
+    block against block, so a speaker with many utterances spreads over the cluster, and no task hands on more pairs of a
+    speaker than its quota.  A speaker that cannot fill its quota is an error.
+    """
+    quotas = balanced_quotas(utterances, total, GENUINE_QUOTA, seed)
+    most = quotas.agg(F.max("quota")).first()[0]
+    best = _least_pairs(utterances, most, seed)
     chosen = Scratch(utterances.sparkSession, "genuine-trials").keep(best.join(quotas, "speaker_id").where("place <= quota"), "chosen")
     supply = quotas.where("quota > 0").join(chosen.groupBy("speaker_id").agg(F.count("*").alias("n")), "speaker_id", "left")
     if supply.where("coalesce(n, 0) < quota").take(1):
@@ -133,18 +138,20 @@ def impostor_trials(utterances: DataFrame, total: int, seed: int = SEED) -> Data
     return trials.withColumn("_times", times).withColumn("left_audio_path", guard).drop("_times")
 
 
-def paired_rounds(utterances: DataFrame, rounds: int, seed: int = SEED) -> DataFrame:
+def paired_rounds(utterances: DataFrame, rounds: int, seed: int = SEED, drawn: bool = False) -> DataFrame:
     """Impostor trials at any scale: in each round the speakers, in the order of a fresh digest, pair up two by two.
 
     Every speaker takes part once a round (one sits out if their number is odd), so participation stays balanced; each
-    gives an utterance chosen by digest rank.  Repeated pairs are dropped.  ``COLUMNS`` and ``round``.
+    gives an utterance chosen by digest rank, in turn or, if ``drawn``, at a place that a digest of the round draws, so
+    that any two utterances can meet.  Repeated pairs are dropped.  ``COLUMNS`` and ``round``.
     """
     paths = utterances.select("speaker_id", "path").distinct()
     owned = digest_rank(paths.withColumn("_d", stable_digest(seed, IMPOSTOR, F.col("path"))), "_d", "path", name="place", by=("speaker_id",)).select("speaker_id", "path", "place")
     sizes = owned.groupBy("speaker_id").agg(F.count("*").alias("n"))
     turns = sizes.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_d", stable_digest(seed, IMPOSTOR_SPEAKER, F.col("round"), F.col("speaker_id")))
     ranked = digest_rank(turns, "_d", "speaker_id", by=("round",))
-    picked = ranked.withColumn("place", F.col("round") % F.col("n")).join(owned, ["speaker_id", "place"])
+    turn = F.conv(F.substring(stable_digest(seed, IMPOSTOR, F.col("round"), F.col("speaker_id")), 1, 15), 16, 10).cast("long") if drawn else F.col("round")
+    picked = ranked.withColumn("place", turn % F.col("n")).join(owned, ["speaker_id", "place"])
     sides = picked.groupBy("round", F.floor(F.col("rank") / 2).alias("pair")).agg(F.count("*").alias("n"), F.min(F.struct("path", "speaker_id")).alias("l"), F.max(F.struct("path", "speaker_id")).alias("r")).where("n = 2")
     trials = sides.select(F.col("l.path").alias("left_audio_path"), F.col("r.path").alias("right_audio_path"), F.col("l.speaker_id").alias("left_speaker_id"), F.col("r.speaker_id").alias("right_speaker_id"), F.lit(0).alias("target"), "round")
     return trials.groupBy(*COLUMNS).agg(F.min("round").alias("round"))
@@ -179,6 +186,7 @@ def neighbour_trials(utterances: DataFrame, width: int, seed: int = SEED, bucket
 def legacy_trials(utterances: DataFrame, cap: int = 100, seed: int = SEED) -> DataFrame:
     """Up to ``cap`` genuine pairs of each speaker and as many impostor pairs of balanced participation, in mixed order.
 
+    All pairs of a speaker compete for the ``cap`` places.  Impostor rounds are added until there are enough of them.
     The shuffles are digest orders (reproducible on any number of machines) instead of one generator's stream.
     ``trial_id`` counts from 0 in the order of a digest; speakers need two utterances or more.
     """
@@ -186,18 +194,24 @@ def legacy_trials(utterances: DataFrame, cap: int = 100, seed: int = SEED) -> Da
     lone = paths.groupBy("speaker_id").agg(F.count("*").alias("n")).where("n < 2").agg(F.count("*").alias("lone"))
     if lone.first()[0]:
         raise ValueError("every speaker needs two utterances")
-    ranked = digest_rank(paths.withColumn("_d", stable_digest(seed, GENUINE, F.col("path"))), "_d", "path", name="place", by=("speaker_id",)).select("speaker_id", "path", "place")
-    # The pairs (i, j) of places in the order of i + j, then i, are dealt until the cap is reached: no more than 2 cap are made.
-    reach = int((8 * cap) ** 0.5) + 2
-    first = ranked.where(F.col("place") < reach)
-    pairs = first.alias("x").join(first.alias("y"), (F.col("x.speaker_id") == F.col("y.speaker_id")) & (F.col("x.place") < F.col("y.place")))
-    number = F.row_number().over(Window.partitionBy("x.speaker_id").orderBy(F.col("y.place"), F.col("x.place")))
-    genuine = pairs.withColumn("_n", number).where(F.col("_n") <= cap).select(
-        F.least("x.path", "y.path").alias("left_audio_path"), F.greatest("x.path", "y.path").alias("right_audio_path"), F.col("x.speaker_id").alias("left_speaker_id"), F.col("x.speaker_id").alias("right_speaker_id"), F.lit(1).alias("target")
-    )
-    speakers, needed = utterances.select("speaker_id").distinct().count(), genuine.count()
+    scratch = Scratch(utterances.sparkSession, "legacy-trials")
+    best = _least_pairs(utterances, cap, seed)
+    genuine = scratch.keep(best.select(F.col("a").alias("left_audio_path"), F.col("b").alias("right_audio_path"), F.col("speaker_id").alias("left_speaker_id"), F.col("speaker_id").alias("right_speaker_id"), F.lit(1).alias("target")), "genuine")
+    needed = genuine.count()
+    sizes = paths.groupBy("speaker_id").agg(F.count("*").alias("n"))
+    speakers, cross = sizes.agg(F.count("*"), (F.sum("n").cast("double") ** 2 - F.sum(F.col("n").cast("double") ** 2)) / 2).first()
+    if needed and cross < needed:
+        raise ValueError("the speakers cannot supply enough impostor pairs")
     rounds = -(-needed // max(1, speakers // 2)) + 2
-    made = paired_rounds(utterances, rounds, seed).withColumn("_d", stable_digest(seed, IMPOSTOR, "order", F.col("left_audio_path"), F.col("right_audio_path")))
+    while True:
+        made = scratch.keep(paired_rounds(utterances, rounds, seed, drawn=True), "impostor")
+        if made.count() >= needed:
+            break
+        if rounds > 1000 * needed:
+            raise ValueError("the speakers did not supply enough impostor pairs")
+        scratch.drop(made)
+        rounds *= 2
+    made = made.withColumn("_d", stable_digest(seed, IMPOSTOR, "order", F.col("left_audio_path"), F.col("right_audio_path")))
     before = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)  # one row a round
     offsets = made.groupBy("round").agg(F.count("*").alias("_n")).select("round", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     impostor = digest_rank(made, "_d", by=("round",)).join(offsets, "round").where(F.col("_before") + F.col("rank") < needed).select(*COLUMNS)

@@ -177,7 +177,7 @@ def paired_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.legacy_trials(utterances(spark, sf_dir), cap=10)
+    return trials.legacy_trials(utterances(spark, sf_dir), cap=100)
 
 
 def neighbour_trials(spark: SparkSession, sf_dir: str) -> DataFrame:

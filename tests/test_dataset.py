@@ -126,6 +126,28 @@ def test_legacy_trials(spark, utt):
         trials.legacy_trials(spark.createDataFrame([("1", "1/a.wav")], "speaker_id string, path string"), 4)
 
 
+def test_legacy_trials_take_the_least_of_all_pairs(spark):
+    rows = [(s, f"{s}/{k}.wav") for s in "abc" for k in range(40)]
+    made = trials.legacy_trials(spark.createDataFrame(rows, "speaker_id string, path string"), 10).collect()
+    digest = lambda s, p, q: hashlib.sha256("\x1f".join(("2026", "genuine", s, p, q)).encode()).hexdigest()
+    expected = set()
+    for s in "abc":
+        own = sorted(p for o, p in rows if o == s)
+        expected |= set(sorted(((p, q) for i, p in enumerate(own) for q in own[i + 1 :]), key=lambda x: digest(s, *x))[:10])
+    assert {(r["left_audio_path"], r["right_audio_path"]) for r in made if r["target"] == 1} == expected
+    assert len({p for pair in expected for p in pair}) > 3 * 5
+
+
+def test_legacy_trials_add_impostor_rounds(spark):
+    rows = [(s, f"{s}/{k}.wav") for s in "ab" for k in range(7)]
+    utterances = spark.createDataFrame(rows, "speaker_id string, path string")
+    made = trials.legacy_trials(utterances, 100)
+    assert Counter(r["target"] for r in made.collect()) == {0: 42, 1: 42}
+    contracts.require(trials.trial_violations(made, utterances))
+    with pytest.raises(ValueError):
+        trials.legacy_trials(utterances.where("speaker_id = 'a'"), 100)
+
+
 def test_pk_batches(spark, utt):
     rows = batching.pk_batches(utt, 5, 2, 1).collect()
     by = {}
