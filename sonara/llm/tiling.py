@@ -12,6 +12,7 @@ number of items is handled by more passes; documents are never shuffled and no g
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,10 +105,17 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int,
                     while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and free_item[i + n] and free_text[j + n]:
                         n += 1
                     found.append((n, i, j))
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_item[i : i + n].all() and free_text[j : j + n].all():
-                free_item[i : i + n] = free_text[j : j + n] = False
-                tiles.append((i, j, n))
+        # Longest first.  A match that a tile has cut comes back with its free beginning; a free end has an entry of its own.
+        heap = [(-n, i, j) for n, i, j in found]
+        heapq.heapify(heap)
+        while heap:
+            n, i, j = heapq.heappop(heap)
+            free = free_item[i : i - n] & free_text[j : j - n]
+            if free.all():
+                free_item[i : i - n] = free_text[j : j - n] = False
+                tiles.append((i, j, -n))
+            elif (left := int(free.argmin())) >= search:
+                heapq.heappush(heap, (-left, i, j))
         if search == min_match:
             return tiles
         search = max(min_match, search // 2)

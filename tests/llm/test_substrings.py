@@ -75,6 +75,21 @@ def test_tiles_against_all_pairs():
         assert bool(tiles) == (_tiles_plainly(item.tolist(), text.tolist(), 3) > 0)
 
 
+def test_tiles_cover_as_much_as_all_pairs():
+    rng = random.Random(3)
+    for _ in range(200):
+        item = np.array([rng.randrange(6) for _ in range(rng.randrange(4, 30))], np.uint64) + np.uint64(1)
+        text = np.array([rng.randrange(6) for _ in range(rng.randrange(4, 40))], np.uint64) + np.uint64(1)
+        assert sum(n for _, _, n in tiling.tile(item, text, 3)) == _tiles_plainly(item.tolist(), text.tolist(), 3)
+
+
+def test_overlapping_quotes_add_up(spark):
+    item = [f"i{k}" for k in range(20)]
+    text = " ".join([*item[5:14], "x", "y", *item[0:8]])
+    got = tiling.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["coverage"], r["n_tiles"]) for r in got] == [(1, 10, 0.7, 2)]
+
+
 def test_reordered_and_recased_passages_are_caught(spark):
     rng = random.Random(4)
     item = prose(rng, 40)
