@@ -266,6 +266,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _candidates(pairs: DataFrame, lesser: str, overlap: str) -> DataFrame:
+    """Rows (a, b) of the pairs with enough common prefix tokens; of several texts of one id the least demanding decides."""
+    return (
+        pairs.groupBy(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"))  # which side is minor varies with the token
+        .agg(F.count("*").alias("shared"), F.min(F.expr(lesser)).alias("needed"), F.max(F.expr(f"place <= size - {overlap} and _place <= _size - {overlap}")).alias("early"))
+        .where("shared >= needed and early")
+        .select("a", "b")
+    )
+
+
 def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of all documents.
 
@@ -324,12 +334,7 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
         f" and place < size - {overlap} + {lesser} and _place < _size - {overlap} + {lesser}"
         f" and before <= size - {overlap} and _before <= _size - {overlap}"
     )
-    candidates = (
-        pairs.groupBy(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"))  # which side is minor varies with the token
-        .agg(F.count("*").alias("shared"), F.first(F.expr(lesser)).alias("needed"), F.max(F.expr(f"place <= size - {overlap} and _place <= _size - {overlap}")).alias("early"))
-        .where("shared >= needed and early")
-        .select("a", "b")
-    )
+    candidates = _candidates(pairs, lesser, overlap)
     more = scratch.keep(_verified(scratch.keep(candidates, "candidates"), docs, n, percent).distinct(), "more-links")
 
     # Rows of one id in several classes tie these together.

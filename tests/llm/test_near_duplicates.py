@@ -97,3 +97,11 @@ def test_empty(nothing):
 def test_tiny(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert brute.multiset(ngram_join.near_duplicate_components(frame).collect()) == brute.multiset(brute.components(rows))
+
+
+def test_the_least_demanding_text_of_an_id_decides(spark):
+    rows = [(1, 2, 10, 10, 0, 0, 3, 3), (1, 2, 10, 10, 0, 0, 1, 3)]
+    columns = "_node long, node long, _size int, size int, _place int, place int, _matches int, matches int"
+    for order in (rows, rows[::-1]):
+        pairs = spark.createDataFrame(order, columns).coalesce(1)
+        assert [tuple(r) for r in ngram_join._candidates(pairs, "least(matches, _matches)", "8").collect()] == [(1, 2)]
