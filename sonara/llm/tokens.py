@@ -8,6 +8,7 @@ words lives as long as the Python worker and is emptied at a fixed size.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -49,7 +50,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = re.compile("|".join(re.escape(t.lower()) for t in special).encode()) if special else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -119,11 +121,33 @@ class WordTokenizer:
             self._merge()
 
     def encode(self, chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a chunk end to end, and the n + 1 offsets of its documents in them."""
-        import pandas as pd
+        """All ids of a chunk end to end, and the n + 1 offsets of its documents in them.
 
+        Texts that hold the string of a special token, in whatever case, go to the tokenizer whole: it finds such strings
+        before it folds case or cuts words.
+        """
         data = K._LOWER[chunk.data]
-        w = K.words(K.Chunk(chunk.first, data, chunk.offsets))
+        hits = np.array([m.start() for m in self.special.finditer(data)] if self.special else [], np.int64)
+        whole = np.unique(np.searchsorted(chunk.offsets, hits, side="right") - 1)
+        if not len(whole):
+            return self._by_words(K.Chunk(chunk.first, data, chunk.offsets))
+        parts, at = [], 0
+        for d in [*whole.tolist(), len(chunk.offsets) - 1]:
+            lo, hi = chunk.offsets[at], chunk.offsets[d]
+            parts.append(self._by_words(K.Chunk(chunk.first, data[lo:hi], chunk.offsets[at : d + 1] - lo)))
+            if d < len(chunk.offsets) - 1:
+                (ids,) = self._ids([chunk.data[hi : chunk.offsets[d + 1]].tobytes().decode()])
+                parts.append((ids, np.array([0, len(ids)])))
+            at = d + 1
+        counts = np.concatenate([np.diff(offsets) for _, offsets in parts])
+        return np.concatenate([ids for ids, _ in parts]), np.r_[0, np.cumsum(counts)]
+
+    def _by_words(self, chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of folded texts without strings of special tokens."""
+        import pandas as pd
+
+        data = chunk.data
+        w = K.words(chunk)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(chunk.offsets), np.int64)
         last = w.end - 1

@@ -19,7 +19,6 @@ from . import brute
 @pytest.fixture(scope="module")
 def encode():
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
