@@ -9,6 +9,10 @@ then heavy ones by count, ties by hash.  Of the counts, a bitmap of shared cells
 broadcast; both have fixed bounds.  Beyond them the order is less sharp but still one order for all documents, which is
 all that correctness needs.
 
+*Parities.*  Beside its prefix a document carries the parities of its shared shingles in 256 classes.  Unique shingles and
+classes of different parity bound from below how much two sets differ, so that of a group of near copies only the pairs
+around the threshold and above are formed.
+
 *Adaptive prefixes.*  If x and y link, they have at least l shingles in common among the first ``|x| - ceil(t |x|) + l``
 of x and as many of y, for every l.  Each document takes the l for which the estimated cost (posting entries read plus
 candidates, at most entries / l, times the cost of verifying one) is least, and a pair is verified only if its
@@ -48,6 +52,8 @@ HEAVY = 32
 LIGHT_COUNT = 4
 VERIFY_COST = 50
 MAX_MATCHES = 8
+#: Columns with the parities of a set.
+PARITIES = ("b0", "b1", "b2", "b3")
 #: Times that documents are verified against leaders before other pairs are formed.
 LEADER_ROUNDS = 2
 
@@ -198,9 +204,12 @@ def choose_matches(levels: np.ndarray, unique: int, base: int, most: int) -> tup
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, counts: CellCounts) -> DataFrame:
-    """Rows (node, size, fp1, fp2, matches, before, weight, tokens) of documents whose prefix has shared shingles.
+    """Rows (node, size, fp1, fp2, matches, before, weight, b0 to b3, tokens) of documents whose prefix has shared shingles.
 
     ``weight`` is the mean level of all shingles: in a group of near copies it is greatest for the one they derive from.
+    ``b0`` to ``b3`` are the parities of the numbers of shared shingles in 256 classes of hashes: two sets differ in as
+    many shared shingles as their parities differ in classes, at least.  A document with so many unique shingles that
+    the rest cannot reach the threshold with anything has no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -219,22 +228,23 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: CellCounts) -> Data
                     need = -(-percent * size // 100)
                     base = size - need + 1
                     most = min(MAX_MATCHES, need)
-                    if size == 0 or alone >= base + most - 1:
+                    if size == 0 or alone >= base:
                         continue
                     own, level = hashes[lo:hi], levels[lo:hi]
                     keep = np.flatnonzero(level)
                     order = keep[np.argsort(level[keep], kind="stable")]
                     matches, length = choose_matches(level[order], alone, base, most)
                     if length:
-                        out.append((chunk.first + d, size, a[d], b[d], matches, alone, float(level.mean()), own[order[:length]].view(np.int64)))
+                        parity = np.packbits(np.bincount((own[keep] & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+                        out.append((chunk.first + d, size, a[d], b[d], matches, alone, float(level.mean()), parity, own[order[:length]].view(np.int64)))
                 if out:
-                    row, size, fa, fb, matches, alone, weight, tokens = zip(*out)
+                    row, size, fa, fb, matches, alone, weight, parity, tokens = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array(size, pa.int32()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(matches, pa.int32()), pa.array(alone, pa.int32()), pa.array(weight, pa.float64()), pa.array(tokens, pa.list_(pa.int64()))],
-                        names=["node", "size", "fp1", "fp2", "matches", "before", "weight", "tokens"],
+                        [batch.column(0).take(pa.array(row)), pa.array(size, pa.int32()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(matches, pa.int32()), pa.array(alone, pa.int32()), pa.array(weight, pa.float64()), *map(pa.array, np.stack(parity, 1)), pa.array(tokens, pa.list_(pa.int64()))],
+                        names=["node", "size", "fp1", "fp2", "matches", "before", "weight", *PARITIES, "tokens"],
                     )
 
-    return docs.mapInArrow(run, "node long, size int, fp1 long, fp2 long, matches int, before int, weight double, tokens array<long>")
+    return docs.mapInArrow(run, "node long, size int, fp1 long, fp2 long, matches int, before int, weight double, b0 long, b1 long, b2 long, b3 long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -300,7 +310,7 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
     first = _prefixes(docs.where("doc_id is not null"), n, percent, counts)
     reps = first.join(classes.withColumnRenamed("node", "_first"), key, "left").where("_first is null or _first = node").drop("_first")
     prefixes = scratch.keep(reps.dropDuplicates(["node", "fp1", "fp2"]), "prefixes")
-    entries = prefixes.select("node", "size", "matches", "before", "weight", F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("place") + F.col("before"))
+    entries = prefixes.select("node", "size", "matches", "before", "weight", *PARITIES, F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("place") + F.col("before"))
 
     # In each posting list the document of greatest weight leads; every other one is verified against its likeliest leader.
     # Once more, those still apart from the list's largest component against that component's leader.
@@ -318,21 +328,23 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
         labels = scratch.keep(joined if labels is None else joined.unionByName(labels.join(joined.select("a"), "a", "left_anti")), "labels")
         links = found if links is None else links.unionByName(found)
         placed = entries.join(labels.select(F.col("a").alias("_node"), F.col("b").alias("component")), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
-        placed = scratch.keep(placed.select("token", "node", "size", "matches", "before", "weight", "place", "component"), "placed")
+        placed = scratch.keep(placed.select("token", "node", "size", "matches", "before", "weight", *PARITIES, "place", "component"), "placed")
         shares = placed.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max_by("component", "members").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
         shares = scratch.keep(shares, "shares")
 
     # Candidates between different components.
     mixed = placed.join(shares, "token")
-    minor = mixed.where("component != major").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "before", "place", "component")])
+    minor = mixed.where("component != major").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "before", *PARITIES, "place", "component")])
     # A pair with both sides outside the major component is taken once; overlap is the least that links the two sizes, and
-    # a document whose unique shingles alone exceed what it may lack links with nothing of that size.
+    # a document whose unique shingles alone exceed what it may lack links with nothing of that size.  Unique shingles of
+    # both sides and classes whose parities differ count shingles that are in one set only.
     overlap = f"ceil({percent} * (size + _size) / {100 + percent})"
     lesser = "least(matches, _matches)"
     pairs = minor.join(mixed, "token").where(
         f"_component != component and (component = major or _node < node) and 100 * least(size, _size) >= {percent} * greatest(size, _size)"
         f" and place < size - {overlap} + {lesser} and _place < _size - {overlap} + {lesser}"
         f" and before <= size - {overlap} and _before <= _size - {overlap}"
+        f" and before + _before + {' + '.join(f'bit_count({c} ^ _{c})' for c in PARITIES)} <= size + _size - 2 * {overlap}"
     )
     candidates = _candidates(pairs, lesser, overlap)
     more = scratch.keep(_verified(scratch.keep(candidates, "candidates"), docs, n, percent).distinct(), "more-links")
