@@ -21,8 +21,13 @@ class Scratch:
     """Intermediate tables of one operator call, written as Parquet to the shared folder.
 
     Writing cuts the lineage: a lost executor costs only a re-read.  ``drop`` removes a table that no later step reads.
+    Rows go to Python workers in small Arrow batches while a table is written, since executors hold several copies of
+    each batch outside their heaps; the session's own settings come back afterwards.
     """
 
+    #: Rows and bytes of a batch.
+    BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
     def __init__(self, spark: SparkSession, operator: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex}"
@@ -33,8 +38,15 @@ class Scratch:
         return f"{self.root}/{self._count:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+        path, conf = self.path(name), self.spark.conf
+        before = {k: conf.get(k, None) for k in self.BATCHES}
+        try:
+            for k, v in self.BATCHES.items():
+                conf.set(k, v)
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
