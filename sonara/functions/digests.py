@@ -41,10 +41,14 @@ def canonical_json(*columns: str) -> Column:
 def table_identity(rows: DataFrame, *columns: str) -> DataFrame:
     """One row (n_rows, identity) that depends on the rows' content alone, not on their order.
 
-    Each row's canonical JSON is hashed; the sorted row digests of each of 4096 prefixes are hashed together, and the
-    digests of the prefixes, in order, give the identity.  No task sees more than one prefix; the last step sees 4096 rows.
+    Each row's canonical JSON is hashed.  The row digests form a tree: the sorted ones of each prefix of six digits are
+    hashed together, then the prefixes' digests of each three digits, then those.  Six digits give 16.7 million groups,
+    so a group stays small at any size; the two upper steps see 4096 digests each at most.
     """
     names = columns or tuple(rows.columns)
+    joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])
     digests = rows.select(F.sha2(canonical_json(*names), 256).alias("d"))
-    prefixes = digests.groupBy(F.substring("d", 1, 3).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("h"))
-    return prefixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias("identity"))
+    leaves = digests.groupBy(F.substring("d", 1, 6).alias("p")).agg(F.count("*").alias("n"), joined(F.sort_array(F.collect_list("d"))).alias("h"))
+    branches = leaves.groupBy(F.substring("p", 1, 3).alias("q")).agg(F.sum("n").alias("n"), joined(in_order).alias("h")).withColumnRenamed("q", "p")
+    return branches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), joined(in_order).alias("identity"))

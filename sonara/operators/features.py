@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import Scratch
+
+#: Entries of means that are broadcast.
+MAX_MEANS = 4_000_000
 #: Fixed values of the front end.
 SAMPLE_RATE, N_FFT, WINDOW, HOP, MELS, LOW_HZ, HIGH_HZ, TOP_DB = 16000, 400, 400, 160, 80, 0.0, 8000.0, 80.0
 
@@ -53,10 +57,14 @@ def fbank_udf(waves: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def mean_norm(rows: DataFrame, vector: str, *by: str) -> DataFrame:
-    """Vectors less the mean, per dimension, of their group."""
+    """Vectors less the mean, per dimension, of their group.  Few groups' means are broadcast, so that a common group is
+    not gathered; more of them are joined."""
     parts = rows.select("*", F.posexplode(vector).alias("_k", "_x"))
     group = parts.groupBy(*by, "_k").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
     means = group.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_m"))), lambda s: s["_m"]).alias("_means"))
+    means = Scratch(rows.sparkSession, "mean-norm").keep(means, "means")
+    if means.agg(F.coalesce(F.sum(F.size("_means")), F.lit(0))).first()[0] <= MAX_MEANS:
+        means = F.broadcast(means)
     return rows.join(means, list(by)).withColumn("normalized", F.zip_with(vector, "_means", lambda x, m: x.cast("double") - m)).drop("_means")
 
 

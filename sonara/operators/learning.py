@@ -15,10 +15,11 @@ SCALE, MARGIN, CLAMP = 30.0, 0.2, 1e-7
 MAX_WEIGHTS = 4_000_000
 
 
-def class_centroids(embeddings: DataFrame, dimensions: int, label: str = "label", vector: str = "embedding") -> DataFrame:
-    """Rows (class, weights): unit vectors along the classes' mean embeddings."""
-    means = embeddings.groupBy(F.col(label).alias("class")).agg(*[F.avg(F.col(vector)[k].cast("double")).alias(f"m{k}") for k in range(dimensions)])
-    return means.select("class", l2_normalize(F.array(*[F.col(f"m{k}") for k in range(dimensions)])).alias("weights"))
+def class_centroids(embeddings: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """Rows (class, weights): unit vectors along the classes' mean embeddings, whatever their length."""
+    longest = embeddings.agg(F.max(F.size(vector))).first()[0] or 1
+    means = embeddings.groupBy(F.col(label).alias("class")).agg(*[F.avg(F.get(F.col(vector), k).cast("double")).alias(f"m{k}") for k in range(longest)], F.max(F.size(vector)).alias("_length"))
+    return means.select("class", l2_normalize(F.slice(F.array(*[F.col(f"m{k}") for k in range(longest)]), 1, F.col("_length"))).alias("weights"))
 
 
 def cosines_to_classes(embeddings: DataFrame, centroids: DataFrame, key: str, label: str = "label", vector: str = "embedding") -> DataFrame:

@@ -9,17 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of [-1, 1] for running totals.
+from ..scratch import Scratch
+
+#: Buckets of [-1, 1], or of a summary's range, for running totals.
 _BUCKETS = 4096
 
 
-def operating_points(scores: DataFrame) -> DataFrame:
-    """Rows (threshold, far, frr, is_anchor) for every distinct score, and an anchor above the highest with far 0, frr 1.
+def score_counts(scores: DataFrame) -> DataFrame:
+    """Rows (threshold, p, n): genuine and impostor trials of every distinct score."""
+    return scores.groupBy(F.col("score").cast("double").alias("threshold")).agg(F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("n"))
 
-    ``scores`` has ``score`` and ``target`` (1 genuine, 0 impostor).
-    """
-    by_score = scores.groupBy(F.col("score").cast("double").alias("threshold")).agg(F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("n"))
-    by_score = by_score.withColumn("_bucket", F.floor((F.col("threshold") + 1) * (_BUCKETS / 2)))
+
+def _points(counts: DataFrame, *kept: str) -> DataFrame:
+    """``counts`` (threshold, p, n and ``kept`` columns) as rows (threshold, far, frr, ``kept``)."""
+    by_score = counts.withColumn("_bucket", F.floor((F.col("threshold") + 1) * (_BUCKETS / 2)))
     totals = by_score.groupBy("_bucket").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     whole = Window.partitionBy()
@@ -27,26 +30,38 @@ def operating_points(scores: DataFrame) -> DataFrame:
         "_bucket", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.sum("_p").over(whole).alias("_all_p"), F.sum("_n").over(whole).alias("_all_n")
     )
     inside = Window.partitionBy("_bucket").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    points = by_score.join(F.broadcast(offsets), "_bucket").select(
+    return by_score.join(F.broadcast(offsets), "_bucket").select(
         "threshold",
         ((F.col("_n0") + F.sum("n").over(inside)) / F.col("_all_n")).alias("far"),
         ((F.col("_all_p") - F.col("_p0") - F.sum("p").over(inside)) / F.col("_all_p")).alias("frr"),
-        F.lit(False).alias("is_anchor"),
+        *kept,
     )
-    anchor = scores.agg(F.max(F.col("score").cast("double")).alias("m")).where("m is not null").select(
+
+
+def _with_anchor(counts: DataFrame) -> DataFrame:
+    anchor = counts.agg(F.max("threshold").alias("m")).where("m is not null").select(
         F.expr("cast(java_method('java.lang.Math', 'nextUp', m) as double)").alias("threshold"), F.lit(0.0).alias("far"), F.lit(1.0).alias("frr"), F.lit(True).alias("is_anchor")
     )
-    return points.unionByName(anchor)
+    return _points(counts).withColumn("is_anchor", F.lit(False)).unionByName(anchor)
+
+
+def operating_points(scores: DataFrame) -> DataFrame:
+    """Rows (threshold, far, frr, is_anchor) for every distinct score, and an anchor above the highest with far 0, frr 1.
+
+    ``scores`` has ``score`` and ``target`` (1 genuine, 0 impostor).
+    """
+    return _with_anchor(Scratch(scores.sparkSession, "operating-points").keep(score_counts(scores), "counts"))
 
 
 def empirical_errors(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Rows (threshold, far, frr) for given thresholds, by the direct definition."""
-    joined = thresholds.select(F.col("threshold").cast("double")).agg(F.sort_array(F.collect_set("threshold")).alias("ts"))  # a short grid
-    at = scores.join(F.broadcast(joined)).select(F.explode("ts").alias("threshold"), "score", "target")
-    return at.groupBy("threshold").agg(
-        F.avg(F.when(F.col("target") == 0, (F.col("score") >= F.col("threshold")).cast("double"))).alias("far"),
-        F.avg(F.when(F.col("target") == 1, (F.col("score") < F.col("threshold")).cast("double"))).alias("frr"),
-    )
+    """Rows (threshold, far, frr) for given distinct thresholds: the rates of accepting scores from each on.
+
+    Thresholds take their places among the distinct scores and are read off the running totals.
+    """
+    asked = thresholds.select(F.col("threshold").cast("double").alias("threshold"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    both = score_counts(scores).withColumn("asked", F.lit(False)).unionByName(asked)
+    merged = both.groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    return _points(merged, "asked").where("asked").drop("asked")
 
 
 def equal_error_rate(scores: DataFrame) -> DataFrame:
@@ -60,7 +75,8 @@ def equal_error_rate(scores: DataFrame) -> DataFrame:
         F.when(F.isnan("score") | (F.abs("score") > 1.000001) | F.col("score").isNull() | ~F.col("target").isin(0, 1) | F.col("target").isNull(), F.raise_error(F.lit("scores lie in [-1, 1] and targets are 0 or 1"))).otherwise(F.col("score").cast("double")).alias("score"),
         "target",
     )
-    points = operating_points(checked).withColumn("gap", F.col("far") - F.col("frr"))
+    by_score = Scratch(scores.sparkSession, "equal-error-rate").keep(score_counts(checked), "counts")  # trials are scored once
+    points = _with_anchor(by_score).withColumn("gap", F.col("far") - F.col("frr"))
     # The gap rises as the threshold falls: the last point below zero and the first from zero on enclose the crossing.
     ends = points.agg(
         F.max(F.when(F.col("gap") == 0, F.struct("threshold", "far"))).alias("exact"),
@@ -68,7 +84,7 @@ def equal_error_rate(scores: DataFrame) -> DataFrame:
         F.max(F.when(F.col("gap") > 0, F.struct("threshold", "far", "frr", "gap"))).alias("below"),
         F.min(F.when(~F.col("is_anchor"), F.struct(F.abs("gap").alias("g"), ((F.col("far") + F.col("frr")) / 2).alias("e"), (-F.col("threshold")).alias("t"), F.col("far"), F.col("frr")))).alias("near"),
     )
-    counts = checked.agg(F.count_if(F.col("target") == 1).alias("n_genuine"), F.count_if(F.col("target") == 0).alias("n_impostor"))
+    counts = by_score.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_genuine"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_impostor"))
     weight = -F.col("above.gap") / (F.col("below.gap") - F.col("above.gap"))
     between = lambda c: F.col(f"above.{c}") + weight * (F.col(f"below.{c}") - F.col(f"above.{c}"))
     found = F.col("exact").isNotNull()
@@ -85,24 +101,55 @@ def equal_error_rate(scores: DataFrame) -> DataFrame:
 
 
 def numeric_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, minimum, mean, population standard deviation, exact interpolated quartiles and maximum per group."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    summary = rows.groupBy(*by).agg(
-        F.count(value).alias("count"), F.min(value).alias("minimum"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("standard_deviation"), q.alias("_q"), F.max(value).alias("maximum")
-    )
-    return summary.select(*by, "count", "minimum", "mean", "standard_deviation", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "maximum")
+    """count, minimum, mean, population standard deviation, exact interpolated quartiles and maximum per group.
+
+    Quartiles come from counts per distinct value and running totals in buckets of each group's range, so no task holds
+    the values of a group.  Null values do not count; null groups are groups.
+    """
+    own = Scratch(rows.sparkSession, "summary").keep(rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c")), "values")
+    v, c = F.col("_v"), F.col("_c")
+    mean = F.sum(v * c) / F.sum(c)
+    basic = own.groupBy(*by).agg(F.sum("_c").alias("count"), F.min("_v").alias("minimum"), mean.alias("mean"), F.max("_v").alias("maximum"))
+
+    def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """Join with null-safe keys; the right side's keys go."""
+        other = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+        rule = F.lit(True)
+        for k in on:
+            rule &= F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        return left.join(other if by else F.broadcast(other), rule).drop(*[f"_r_{k}" for k in on])
+
+    near = beside(own, basic, list(by)).withColumn("_bucket", F.coalesce(F.floor((v - F.col("minimum")) / F.nullif(F.col("maximum") - F.col("minimum"), F.lit(0.0)) * _BUCKETS), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    offsets = near.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_n")).select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = beside(near, offsets, [*by, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    place = lambda q: (F.col("count") - 1) * q
+    at = lambda p: F.min(F.when(F.col("_upto") > p, v))
+    ends = {f"_{k}": at(f(place(q))) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")) for k, f in ((f"lo_{name}", F.floor), (f"hi_{name}", F.ceil))}
+    squares = F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(c))
+    found = ranked.groupBy(*by).agg(*[F.max(x).alias(x) for x in ("count", "minimum", "mean", "maximum")], squares.alias("standard_deviation"), *[e.alias(k) for k, e in ends.items()])
+    quartile = lambda q, name: (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place(q) - F.floor(place(q)))).alias(name)
+    return found.select(*by, "count", "minimum", "mean", "standard_deviation", quartile(0.25, "q1"), quartile(0.5, "median"), quartile(0.75, "q3"), "maximum")
+
+
+def _differences(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows (y, d): of equal keys the second vector and the entries' differences to the first, both in double precision."""
+    double = lambda x: x.cast("double")
+    pairs = a.select(key, F.col(vector).alias("_x")).join(b.select(key, F.transform(vector, double).alias("y")), key)
+    return pairs.select("y", F.zip_with("_x", "y", lambda x, y: y - double(x)).alias("d"))
 
 
 def max_difference(a: DataFrame, b: DataFrame, key: str, vector: str, relative: float = 1e-5, absolute: float = 1e-6) -> DataFrame:
-    """One row (n, max_abs_diff, all_close) over the vectors of equal keys."""
-    pairs = a.select(key, F.posexplode(vector).alias("k", "x")).join(b.select(key, F.posexplode(vector).alias("k", "y")), [key, "k"])
-    d = F.abs(F.col("x").cast("double") - F.col("y").cast("double"))
-    return pairs.agg(F.count("*").alias("n"), F.max(d).alias("max_abs_diff"), F.bool_and(d <= absolute + relative * F.abs("y")).alias("all_close"))
+    """One row (n, max_abs_diff, all_close) over the vectors of equal keys; of unequally long ones the common entries."""
+    rows = _differences(a, b, key, vector).select(F.filter(F.zip_with("d", "y", lambda d, y: F.struct(F.abs(d).alias("d"), F.abs(y).alias("y"))), lambda e: e["d"].isNotNull()).alias("e"))
+    close = F.forall("e", lambda e: e["d"] <= absolute + relative * e["y"])
+    return rows.agg(F.coalesce(F.sum(F.size("e")), F.lit(0)).cast("long").alias("n"), F.max(F.array_max(F.transform("e", lambda e: e["d"]))).alias("max_abs_diff"), F.bool_and(close).alias("all_close"))
 
 
 def norm_and_delta(before: DataFrame, after: DataFrame, key: str, vector: str) -> DataFrame:
     """One row (norm, max_delta, sum_delta, n_bad) of the change between two vector tables with equal keys."""
-    pairs = before.select(key, F.posexplode(vector).alias("k", "x")).join(after.select(key, F.posexplode(vector).alias("k", "y")), [key, "k"])
-    d = F.col("y").cast("double") - F.col("x").cast("double")
-    bad = F.isnan(d) | (F.abs(d) == float("inf"))
-    return pairs.agg(F.sqrt(F.sum(d * d)).alias("norm"), F.max(F.abs(d)).alias("max_delta"), F.sum(F.abs(d)).alias("sum_delta"), F.count_if(bad).alias("n_bad"))
+    rows = _differences(before, after, key, vector).select(F.filter("d", lambda d: d.isNotNull()).alias("d"))
+    total = lambda f: F.aggregate("d", F.lit(0.0), lambda s, d: s + f(d))
+    bad = F.size(F.filter("d", lambda d: F.isnan(d) | (F.abs(d) == float("inf"))))
+    return rows.agg(F.sqrt(F.sum(total(lambda d: d * d))).alias("norm"), F.max(F.array_max(F.transform("d", F.abs))).alias("max_delta"), F.sum(total(F.abs)).alias("sum_delta"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("n_bad"))

@@ -25,11 +25,13 @@ def embedding_violations(trials: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def score_trials(trials: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """``trials`` with ``score``; embeddings are rows (path, embedding) of one length."""
+    """``trials`` with ``score``; embeddings are rows (path, embedding) of one length.  A trial whose path has no embedding
+    is an error; ``embedding_violations`` lists such paths."""
     names = trials.columns
     left = embeddings.select(F.col("path").alias("left_audio_path"), F.col("embedding").alias("_a"))
     right = embeddings.select(F.col("path").alias("right_audio_path"), F.col("embedding").alias("_b"))
-    joined = trials.join(left, "left_audio_path").join(right, "right_audio_path").select(*names, "_a", "_b")
+    known = lambda v, path: F.when(F.col(v).isNull(), F.raise_error(F.concat(F.lit("no embedding of "), F.coalesce(path, F.lit("a null path"))))).otherwise(F.col(v)).alias(v)
+    joined = trials.join(left, "left_audio_path", "left").join(right, "right_audio_path", "left").select(*names, known("_a", F.col("left_audio_path")), known("_b", F.col("right_audio_path")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trials.schema) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

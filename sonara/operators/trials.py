@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import heapq
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.digests import PART_SEPARATOR, canonical_pair, stable_digest
+from ..functions.digests import stable_digest
 from ..functions.ranking import digest_rank, ordered_rank
 from ..functions.text import numbered
 from ..scratch import Scratch
@@ -21,16 +16,10 @@ from .splits import SEED
 GENUINE_QUOTA, IMPOSTOR_QUOTA, IMPOSTOR_SPEAKER, GENUINE, IMPOSTOR = "genuine-quota", "negative-participation", "negative-speaker", "genuine", "impostor"
 #: Utterances of a speaker that are paired at once with another such block.
 BLOCK = 512
-#: Most trials that the one-by-one rule may be asked for; beyond, use ``paired_rounds``.
-MAX_SEQUENTIAL = 200_000
 
 COLUMNS = ("left_audio_path", "right_audio_path", "left_speaker_id", "right_speaker_id", "target")
 
 
-def _digest(seed: int, *parts: object) -> str:
-    return hashlib.sha256(PART_SEPARATOR.join(map(str, (seed, *parts))).encode()).hexdigest()
-
-
 def balanced_quotas(utterances: DataFrame, total: int, purpose: str, seed: int = SEED) -> DataFrame:
     """Rows (speaker_id, quota) that add up to ``total``; speakers first by digest get one more than the others."""
     speakers = utterances.select("speaker_id").distinct().withColumn("_d", stable_digest(seed, purpose, F.col("speaker_id")))
@@ -72,70 +61,73 @@ def genuine_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataF
 
 
 def impostor_speaker_pairs(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
-    """Rows (position, speaker_a, speaker_b): at each position the two speakers with most of their quota left.
+    """Rows (position, speaker_a, speaker_b, turn_a, turn_b): ``total`` pairs of speakers with balanced participation.
 
-    The rule goes one position after another, so one task follows it, on speakers' quotas alone; ``total`` is bounded.
+    Speakers take part in rounds.  Those with the greater quota go first, then all of them as often as the lesser quota
+    says, each round in the order of a digest of its own, so at every position the two taken have most of their quota
+    left.  Endpoints 2p and 2p + 1 of all rounds laid end to end meet at position p; where a round of odd size would pair
+    a speaker with itself across the border, the first two of the next round change places.  ``turn`` counts a speaker's
+    earlier positions.  Fewer than two speakers are an error.
     """
-    if total > MAX_SEQUENTIAL:
-        raise ValueError("too many trials to place one by one; use paired_rounds")
     quotas = balanced_quotas(utterances, 2 * total, IMPOSTOR_QUOTA, seed)
-
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        left: dict[int, set[str]] = defaultdict(set)
-        for s, q in zip(frame["speaker_id"], frame["quota"]):
-            left[int(q)].add(s)
-        out = []
-        for position in range(total):
-            key = lambda s: (_digest(seed, IMPOSTOR_SPEAKER, position, s), s)  # noqa: B023, E731
-            found: list[tuple[int, str]] = []
-            for level in sorted(left, reverse=True):
-                if level > 0:
-                    found += [(level, s) for s in heapq.nsmallest(2 - len(found), left[level], key=key)]
-                if len(found) == 2:
-                    break
-            if len(found) < 2:
-                raise ValueError("impostor participation cannot be balanced")
-            for level, s in found:
-                left[level].discard(s)
-                left[level - 1].add(s)
-                if not left[level]:
-                    del left[level]
-            out.append((position, found[0][1], found[1][1]))
-        if any(level and members for level, members in left.items()):
-            raise ValueError("impostor participation did not reconcile")
-        return pd.DataFrame(out, columns=["position", "speaker_a", "speaker_b"])
-
-    return quotas.groupBy(F.lit(0).alias("_one")).applyInPandas(place, "position long, speaker_a string, speaker_b string")
+    n, least, extra = quotas.agg(F.count("*"), F.min("quota"), F.sum("quota") - F.min("quota") * F.count("*")).first()
+    if n < 2:
+        raise ValueError("impostor trials need two speakers")
+    # Round 0 is that of the extra ones (none if all quotas are equal); rounds 1 to ``least`` hold every speaker.
+    rounds = quotas.withColumn("round", F.explode(F.sequence(F.when(F.col("quota") > least, 0).otherwise(1), F.lit(least).cast("int")))) if least else quotas.where("quota > 0").withColumn("round", F.lit(0))
+    ranked = digest_rank(rounds.withColumn("_d", stable_digest(seed, IMPOSTOR_SPEAKER, F.col("round"), F.col("speaker_id"))), "_d", "speaker_id", by=("round",))
+    endpoint = F.when(F.col("round") == 0, F.col("rank")).otherwise(extra + (F.col("round") - 1) * n + F.col("rank"))
+    turn = F.when(F.col("quota") > least, F.col("round")).otherwise(F.col("round") - 1).cast("long")
+    ends = Scratch(utterances.sparkSession, "impostor-speakers").keep(ranked.select(endpoint.cast("long").alias("endpoint"), "round", "rank", "speaker_id", turn.alias("turn")), "endpoints")
+
+    # Borders between rounds within a pair: one row for each round.
+    last = ends.where("endpoint % 2 = 0").select((F.col("endpoint") + 1).alias("endpoint"), F.col("speaker_id").alias("_last"))
+    border = ends.where("rank = 0 and endpoint % 2 = 1").join(last, "endpoint").where("speaker_id = _last").select(F.col("round").alias("_round"))
+    moved = F.when(F.col("_round").isNotNull() & (F.col("rank") < 2), 1 - 2 * F.col("rank")).otherwise(F.lit(0))
+    placed = ends.join(border, F.col("round") == F.col("_round"), "left").select((F.col("endpoint") + moved).alias("endpoint"), "speaker_id", "turn")
+    side = lambda k, name: F.max(F.when(F.col("endpoint") % 2 == k, F.col(name)))
+    return placed.groupBy(F.expr("endpoint div 2").alias("position")).agg(side(0, "speaker_id").alias("speaker_a"), side(1, "speaker_id").alias("speaker_b"), side(0, "turn").alias("turn_a"), side(1, "turn").alias("turn_b"))
 
 
 def impostor_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
-    """``COLUMNS`` and ``position``: for each speaker pair the least used utterances, ties by digest, then path.
+    """``COLUMNS`` and ``position``: the speaker pairs with the least used utterances of each, ties by digest, then path.
 
-    What a speaker gives at a position depends on its own uses so far, so speakers are worked through in parallel and the
-    two sides joined.  Only a pair that occurs twice would make them depend on each other; it is an error.
+    A speaker gives its utterances in cycles, each in the order of a digest of its own, so uses differ by one at most.  A
+    pair of utterances that an earlier position has moves on to the next utterance of its second speaker until it is
+    unseen; a pair of speakers without an unseen pair is an error.
     """
-    pairs = impostor_speaker_pairs(utterances, total, seed)
-    calls = pairs.select(F.col("speaker_a").alias("speaker_id"), "position").unionByName(pairs.select(F.col("speaker_b").alias("speaker_id"), "position"))
-
-    def give(key: tuple, called: pd.DataFrame, owned: pd.DataFrame) -> pd.DataFrame:
-        used = dict.fromkeys(owned["path"], 0)
-        out = []
-        if len(called) and not used:
-            raise ValueError(f"speaker {key[0]!r} has no utterance")
-        for position in sorted(called["position"]):
-            least = min(used.values())
-            path = min((p for p, n in used.items() if n == least), key=lambda p: (_digest(seed, IMPOSTOR, position, key[0], p), p))  # noqa: B023
-            used[path] += 1
-            out.append((position, key[0], path))
-        return pd.DataFrame(out, columns=["position", "speaker_id", "path"])
-
+    scratch = Scratch(utterances.sparkSession, "impostor-trials")
+    pairs = scratch.keep(impostor_speaker_pairs(utterances, total, seed), "pairs")
     paths = utterances.select("speaker_id", "path").distinct()
-    given = calls.groupBy("speaker_id").cogroup(paths.groupBy("speaker_id")).applyInPandas(give, "position long, speaker_id string, path string")
-    sides = given.groupBy("position").agg(F.min(F.struct("path", "speaker_id")).alias("l"), F.max(F.struct("path", "speaker_id")).alias("r"))
-    trials = sides.select(F.col("l.path").alias("left_audio_path"), F.col("r.path").alias("right_audio_path"), F.col("l.speaker_id").alias("left_speaker_id"), F.col("r.speaker_id").alias("right_speaker_id"), F.lit(0).alias("target"), "position")
-    times = F.count("*").over(Window.partitionBy("left_audio_path", "right_audio_path"))
-    guard = F.when(F.col("_times") > 1, F.raise_error(F.lit("an impostor pair occurs twice; take fewer trials"))).otherwise(F.col("left_audio_path"))
-    return trials.withColumn("_times", times).withColumn("left_audio_path", guard).drop("_times")
+    sizes = paths.groupBy("speaker_id").agg(F.count("*").alias("n"))
+    calls = pairs.select(F.col("speaker_a").alias("speaker_id"), F.col("turn_a").alias("turn")).unionByName(pairs.select(F.col("speaker_b").alias("speaker_id"), F.col("turn_b").alias("turn")))
+    cycles = calls.join(sizes, "speaker_id").select("speaker_id", F.expr("turn div n").alias("cycle")).distinct()
+    keyed = cycles.join(paths, "speaker_id").withColumn("_d", stable_digest(seed, IMPOSTOR, F.col("cycle"), F.col("path")))
+    queue = scratch.keep(digest_rank(keyed, "_d", "path", name="place", by=("speaker_id", "cycle")).select("speaker_id", "cycle", "place", "path"), "queue")
+
+    def given(rows: DataFrame, side: str) -> DataFrame:
+        own = queue.join(sizes, "speaker_id").select(F.col("speaker_id").alias(f"speaker_{side}"), "cycle", "place", F.col("path").alias(f"path_{side}"))
+        at = rows.join(sizes.select(F.col("speaker_id").alias(f"speaker_{side}"), F.col("n").alias(f"n_{side}")), f"speaker_{side}")
+        shift = F.col("shift") if side == "b" else F.lit(0)
+        at = at.withColumns({"cycle": F.expr(f"turn_{side} div n_{side}"), "place": (F.col(f"turn_{side}") % F.col(f"n_{side}") + shift) % F.col(f"n_{side}")})
+        return at.join(own, [f"speaker_{side}", "cycle", "place"]).drop("cycle", "place")
+
+    shifted = pairs.withColumn("shift", F.lit(0).cast("long"))
+    while True:
+        made = scratch.keep(given(given(shifted, "a"), "b"), "made")
+        low, high = F.least("path_a", "path_b"), F.greatest("path_a", "path_b")
+        seen = made.withColumn("_times", F.row_number().over(Window.partitionBy(low, high).orderBy("position")))
+        again = scratch.keep(seen.where("_times > 1").select("position", F.col("n_b").alias("_n")), "again")
+        if not again.take(1):
+            break
+        shifted = made.join(again, "position", "left").select(*pairs.columns, F.when(F.col("_n").isNotNull(), F.col("shift") + 1).otherwise(F.col("shift")).alias("shift"), "n_b")
+        shifted = scratch.keep(shifted, "shifted")
+        if shifted.where("shift >= n_b").take(1):
+            raise ValueError("two speakers have no unseen pair left; take fewer trials")
+        shifted = shifted.drop("n_b")
+    a, b = F.struct(F.col("path_a").alias("path"), F.col("speaker_a").alias("speaker")), F.struct(F.col("path_b").alias("path"), F.col("speaker_b").alias("speaker"))
+    sides = made.select(F.least(a, b).alias("l"), F.greatest(a, b).alias("r"), "position")
+    return sides.select(F.col("l.path").alias("left_audio_path"), F.col("r.path").alias("right_audio_path"), F.col("l.speaker").alias("left_speaker_id"), F.col("r.speaker").alias("right_speaker_id"), F.lit(0).alias("target"), "position")
 
 
 def paired_rounds(utterances: DataFrame, rounds: int, seed: int = SEED, drawn: bool = False) -> DataFrame:

@@ -15,14 +15,13 @@ def _digest(*parts: str) -> str:
 
 
 def _neighbours(source: str, name: str = "tr", only: str = "true") -> str:
-    nexts = lambda by: ", ".join(f"lead(path, {k}) OVER (PARTITION BY {by} ORDER BY d, path) AS p{k}, lead(speaker_id, {k}) OVER (PARTITION BY {by} ORDER BY d, path) AS s{k}" for k in range(1, WIDTH + 1))
+    nexts = lambda by: ", ".join(f"lead(path, {k}) OVER ({by} ORDER BY d, path) AS p{k}, lead(speaker_id, {k}) OVER ({by} ORDER BY d, path) AS s{k}" for k in range(1, WIDTH + 1))
     spread = lambda t: " UNION ALL ".join(f"SELECT path, speaker_id, p{k} AS op, s{k} AS os FROM {t}" for k in range(1, WIDTH + 1))
     cut = lambda t, target, where: f"SELECT least(path, op) AS l, greatest(path, op) AS r, CASE WHEN path < op THEN speaker_id ELSE os END AS ls, CASE WHEN path < op THEN os ELSE speaker_id END AS rs, {target} AS target FROM ({spread(t)}) WHERE op IS NOT NULL AND {where}"
     return f"""
 {name}_p AS (SELECT DISTINCT speaker_id, path, {_digest("'neighbour'", "path")} AS d FROM {source} WHERE {only}),
-{name}_q AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % greatest(1, (SELECT CAST(ceil(count(*) / 4096.0) AS BIGINT) FROM {name}_p)) AS b FROM {name}_p),
-{name}_g AS (SELECT path, speaker_id, {nexts("speaker_id, b")} FROM {name}_q),
-{name}_i AS (SELECT path, speaker_id, {nexts("b")} FROM {name}_q),
+{name}_g AS (SELECT path, speaker_id, {nexts("PARTITION BY speaker_id")} FROM {name}_p),
+{name}_i AS (SELECT path, speaker_id, {nexts("")} FROM {name}_p),
 {name} AS ({cut(f"{name}_g", 1, "true")} UNION ALL {cut(f"{name}_i", 0, "os <> speaker_id")})"""
 
 
@@ -67,17 +66,62 @@ num AS (SELECT count(*) AS s, {total} AS t FROM spk),
 quota AS (SELECT speaker_id, t // s + CASE WHEN row_number() OVER (ORDER BY d, speaker_id) - 1 < t % s THEN 1 ELSE 0 END AS quota FROM spk, num)"""
 TOTAL = "5 * count(*) + count(*) // 2"
 
+GENUINE = f"""{QUOTA("genuine-quota", TOTAL)}, p AS (SELECT DISTINCT * FROM utt),
+pr AS (SELECT a.speaker_id AS s, a.path AS l, b.path AS r, {_digest("'genuine'", "a.speaker_id", "a.path", "b.path")} AS d FROM p a JOIN p b ON a.speaker_id = b.speaker_id AND a.path < b.path),
+gen AS (SELECT s, l, r, d FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, l, r) AS n FROM pr) rk JOIN quota ON quota.speaker_id = s WHERE n <= quota)"""
+
+SPEAKER_PAIRS = f"""{QUOTA("negative-participation", f"2 * ({TOTAL})").replace("spk AS", "ispk AS").replace("FROM spk", "FROM ispk").replace("num AS", "inum AS").replace(", num)", ", inum)").replace("quota AS", "iquota AS")},
+im AS (SELECT min(quota) AS least, count(*) AS n, sum(quota) - min(quota) * count(*) AS extra FROM iquota),
+ir AS (SELECT speaker_id, quota, least, n, extra, unnest(range(CASE WHEN quota > least THEN 0 ELSE 1 END, least + 1)) AS round FROM iquota, im),
+ik AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY {_digest("'negative-speaker'", "CAST(round AS VARCHAR)", "speaker_id")}, speaker_id) - 1 AS rank FROM ir),
+ie AS (SELECT *, CAST(CASE WHEN round = 0 THEN rank ELSE extra + (round - 1) * n + rank END AS BIGINT) AS e, CASE WHEN quota > least THEN round ELSE round - 1 END AS turn FROM ik),
+ib AS (SELECT y.round FROM ie x JOIN ie y ON y.e = x.e + 1 WHERE x.e % 2 = 0 AND y.rank = 0 AND x.speaker_id = y.speaker_id),
+ip AS (SELECT CASE WHEN rank < 2 AND round IN (SELECT round FROM ib) THEN e + 1 - 2 * rank ELSE e END AS e, speaker_id, turn FROM ie),
+sp AS (SELECT e // 2 AS position, max(speaker_id) FILTER (WHERE e % 2 = 0) AS speaker_a, max(speaker_id) FILTER (WHERE e % 2 = 1) AS speaker_b, max(turn) FILTER (WHERE e % 2 = 0) AS turn_a, max(turn) FILTER (WHERE e % 2 = 1) AS turn_b FROM ip GROUP BY 1)"""
+
+#: Where no pair comes up twice, as on the driver's tables.
+IMPOSTORS = f"""iz AS (SELECT speaker_id, count(*) AS n FROM (SELECT DISTINCT * FROM utt) GROUP BY 1),
+ic AS (SELECT position, s, turn // n AS cycle, turn % n AS place FROM (SELECT position, speaker_a AS s, turn_a AS turn FROM sp UNION ALL SELECT position, speaker_b, turn_b FROM sp) JOIN iz ON iz.speaker_id = s),
+iq AS (SELECT c.s, c.cycle, u.path, row_number() OVER (PARTITION BY c.s, c.cycle ORDER BY {_digest("'impostor'", "CAST(cycle AS VARCHAR)", "path")}, path) - 1 AS place FROM (SELECT DISTINCT s, cycle FROM ic) c JOIN (SELECT DISTINCT * FROM utt) u ON u.speaker_id = c.s),
+imp AS (SELECT position, min({{'path': path, 's': ic.s}}) AS l, max({{'path': path, 's': ic.s}}) AS r FROM ic JOIN iq ON iq.s = ic.s AND iq.cycle = ic.cycle AND iq.place = ic.place GROUP BY 1)"""
+
+def _pk(source: str, by: str = "", name: str = "pk") -> str:
+    """P x K batches of ``source`` (``by``, speaker_id, path)."""
+    g, on = (f"{by}, ", f" AND z.{by} = {name}_rows.{by}") if by else ("", "")
+    return f"""{name}_rows AS (SELECT {g}speaker_id, path, row_number() OVER (PARTITION BY {g}speaker_id ORDER BY {_digest("'0'", "'row'", "path")}, path) - 1 AS place FROM {source}),
+{name}_spk AS (SELECT {g}speaker_id, n, row_number() OVER ({f"PARTITION BY {by}" if by else ""} ORDER BY {_digest("'0'", "'speaker'", "speaker_id")}, speaker_id) - 1 AS r FROM (SELECT {g}speaker_id, count(*) AS n FROM {source} GROUP BY ALL)),
+{name}_tot AS (SELECT {g}count(*) AS s, CAST(ceil(sum(n) / {P * K}.0) AS BIGINT) * {P} AS seats FROM {name}_spk {f"GROUP BY {by}" if by else ""}),
+{name}_seat AS (SELECT {f"{name}_spk." if by else ""}{g}speaker_id, n, s, r, unnest(range(0, CASE WHEN r < seats THEN (seats - 1 - r) // s + 1 ELSE 0 END)) AS e FROM {name}_spk {f"JOIN {name}_tot ON {name}_tot.{by} = {name}_spk.{by}" if by else f", {name}_tot"}),
+{name}_take AS (SELECT {g}speaker_id, n, e * s + r AS q, k, e * {K} + k AS t FROM {name}_seat, (SELECT unnest(range(0, {K})) AS k)),
+{name} AS (SELECT {f"z.{by}, " if by else ""}q // {P} AS batch_id, CAST(q % {P} * {K} + k AS INTEGER) AS slot, z.speaker_id, path, t // n AS cycle FROM {name}_take z JOIN {name}_rows ON {name}_rows.speaker_id = z.speaker_id AND {name}_rows.place = t % n{on})"""
+
+
 PK = f"""{UTT},
-rows AS (SELECT speaker_id, path, row_number() OVER (PARTITION BY speaker_id ORDER BY {_digest("'0'", "'row'", "path")}, path) - 1 AS place FROM utt),
-spk AS (SELECT speaker_id, n, row_number() OVER (ORDER BY {_digest("'0'", "'speaker'", "speaker_id")}, speaker_id) - 1 AS r FROM (SELECT speaker_id, count(*) AS n FROM utt GROUP BY 1)),
-tot AS (SELECT count(*) AS s, CAST(ceil(sum(n) / {P * K}.0) AS BIGINT) * {P} AS seats FROM spk),
-seat AS (SELECT speaker_id, n, s, r, unnest(range(0, CASE WHEN r < seats THEN (seats - 1 - r) // s + 1 ELSE 0 END)) AS e FROM spk, tot),
-take AS (SELECT speaker_id, n, e * s + r AS q, k, e * {K} + k AS t FROM seat, (SELECT unnest(range(0, {K})) AS k)),
-pk AS (SELECT q // {P} AS batch_id, CAST(q % {P} * {K} + k AS INTEGER) AS slot, take.speaker_id, path, t // n AS cycle FROM take JOIN rows ON rows.speaker_id = take.speaker_id AND rows.place = t % n),
+{_pk("utt")},
 rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY turn, speaker_id) - 1 AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, speaker_id ORDER BY slot) AS turn FROM pk))"""
 
 IDENTITY = lambda rows: f"""SELECT coalesce(CAST(sum(n) AS BIGINT), 0) AS n_rows, sha256(coalesce(string_agg(h, chr(10) ORDER BY p), '')) AS identity FROM
-  (SELECT substr(d, 1, 3) AS p, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM (SELECT sha256(j) AS d FROM ({rows})) GROUP BY 1)"""
+  (SELECT substr(p, 1, 3) AS p, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM
+    (SELECT substr(d, 1, 6) AS p, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM (SELECT sha256(j) AS d FROM ({rows})) GROUP BY 1) GROUP BY 1)"""
+
+
+def _json(**fields: str) -> str:
+    """Compact JSON of a row: names in order, values of text quoted (names that end with ``_n``: numbers)."""
+    parts = [f"\"{k.removesuffix('_n')}\":" + (f"' || {v} || '" if k.endswith("_n") else f"\"' || {v} || '\"") for k, v in sorted(fields.items())]
+    return "'{" + ",".join(parts) + "}'"
+
+
+def _rounds(purpose: str, rounds: str, drawn: bool) -> str:
+    """Impostor pairs ``made`` of rounds in which speakers pair up in the order of a digest."""
+    place = "CAST('0x' || substr(" + _digest("'impostor'", "CAST(round AS VARCHAR)", "speaker_id") + ", 1, 15) AS BIGINT)" if drawn else "round"
+    return f"""owned AS (SELECT speaker_id, path, row_number() OVER (PARTITION BY speaker_id ORDER BY {_digest("'impostor'", "path")}, path) - 1 AS place FROM (SELECT DISTINCT * FROM utt)),
+sizes AS (SELECT speaker_id, count(*) AS n FROM owned GROUP BY 1),
+turns AS (SELECT speaker_id, n, unnest(range(0, {rounds})) AS round FROM sizes),
+turned AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY {_digest(f"'{purpose}'", "CAST(round AS VARCHAR)", "speaker_id")}, speaker_id) - 1 AS rank FROM turns),
+picked AS (SELECT round, rank, turned.speaker_id, path FROM (SELECT *, {place} % n AS place FROM turned) turned JOIN owned ON owned.speaker_id = turned.speaker_id AND owned.place = turned.place),
+sides AS (SELECT round, min({{'path': path, 's': speaker_id}}) AS l, max({{'path': path, 's': speaker_id}}) AS r FROM picked GROUP BY round, rank // 2 HAVING count(*) = 2),
+made AS (SELECT l.path AS l, r.path AS r, l.s AS ls, r.s AS rs, min(round) AS round FROM sides GROUP BY 1, 2, 3, 4)"""
+
 
 CENTROIDS = f"""{EMB},
 dim AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(0, len(v))) AS k FROM emb),
@@ -102,6 +146,11 @@ SELECT threshold, round(avg(CASE WHEN target = 0 THEN CASE WHEN score >= thresho
   round(avg(CASE WHEN target = 1 THEN CASE WHEN score < threshold THEN 1.0 ELSE 0.0 END END), 9) AS frr FROM grid, sc GROUP BY 1""",
     "score_summary_by_target": f"""WITH {EMB},{_scores()} SELECT target, count(*) AS "count", round(min(score), 6) AS minimum, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS standard_deviation,
   round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS maximum FROM sc GROUP BY 1""",
+    "evaluation_report": f"""WITH {EMB},{_scores()}, {_points()}, {_eer()},
+g AS (SELECT target, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median FROM sc GROUP BY 1),
+i AS ({IDENTITY("SELECT " + _json(left_audio_path="l", right_audio_path="r", target_n="target") + " AS j FROM sc")})
+SELECT a.n AS n_genuine, b.n AS n_impostor, round(e.eer, 9) AS eer, round(e.eer_threshold, 9) AS eer_threshold, a.mean AS genuine_mean, a.median AS genuine_median, b.mean AS impostor_mean, b.median AS impostor_median, i.identity AS trials_identity
+FROM e, i, (SELECT * FROM g WHERE target = 1) a, (SELECT * FROM g WHERE target = 0) b""",
     "generalization_gap": f"""WITH {EMB},{_scores("vec_id % 2 = 1", "sc1", "t1")}, {_points("pt1", "sc1")}, {_eer("pt1", "e1")},{_scores("vec_id % 2 = 0", "sc0", "t0")}, {_points("pt0", "sc0")}, {_eer("pt0", "e0")}
 SELECT round(e1.eer - e0.eer, 9) AS gap FROM e1, e0""",
     "speaker_split": f"WITH {SPLIT} SELECT * FROM split",
@@ -123,6 +172,12 @@ UNION ALL SELECT 'unique_path_ignoring_case', lower(path), CAST(count(DISTINCT p
 UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""",
     "case_collisions": "SELECT lower(p_name) AS folded, count(*) AS n_rows, count(DISTINCT p_name) AS n_spellings FROM part GROUP BY 1 HAVING count(*) > 1",
     "canonical_identity": f"""WITH {UTT} {IDENTITY("SELECT '{\"path\":\"' || path || '\",\"speaker_id\":\"' || speaker_id || '\"}' AS j FROM utt")}""",
+    "package_identities": f"""WITH {INDEX}, parts AS (
+  SELECT 'speaker_split' AS "table", * FROM ({IDENTITY("SELECT " + _json(speaker_id="speaker_id", split="split", ranking_sha256="ranking_sha256") + " AS j FROM split")})
+  UNION ALL SELECT 'speaker_to_label', * FROM ({IDENTITY("SELECT " + _json(speaker_id="speaker_id", label_n="label") + " AS j FROM lab")})
+  UNION ALL SELECT 'manifest', * FROM ({IDENTITY("SELECT " + _json(relative_audio_path="relative_audio_path", speaker_id="speaker_id", speaker_label_n="speaker_label", final_split="final_split") + " AS j FROM man")})
+  UNION ALL SELECT 'feature_index', * FROM ({IDENTITY("SELECT " + _json(relative_audio_path="relative_audio_path", speaker_id="speaker_id", speaker_label_n="speaker_label", final_split="final_split", manifest_row_index_n="manifest_row_index", shard_path="shard_path", within_shard_index_n="within_shard_index") + " AS j FROM idx")}))
+SELECT * FROM parts""",
     "shard_index": f"WITH {INDEX} SELECT relative_audio_path, speaker_id, speaker_label, final_split, manifest_row_index, shard_path, within_shard_index FROM idx",
     "shard_payload_sizes": f"WITH {INDEX} SELECT final_split, shard_path, count(*) AS n_rows, count(DISTINCT speaker_id) AS n_speakers, min(within_shard_index) AS first, max(within_shard_index) AS last FROM idx GROUP BY 1, 2",
     "index_shard_alignment": f"WITH {INDEX} SELECT final_split, count(*) AS n_rows, count(*) FILTER (WHERE NOT ends_with(shard_path, '/shard_00000.pt')) AS n_agree FROM idx GROUP BY 1",
@@ -132,10 +187,21 @@ t AS (SELECT final_split, shard_path, count(*) AS m, max(shard_path) OVER (PARTI
 v AS (SELECT 'number_of_shards' AS rule FROM r WHERE s <> ceil(n / 512.0) UNION ALL SELECT 'rows_of_shard' FROM t JOIN r USING (final_split) WHERE m <> CASE WHEN shard_path = top THEN (n - 1) % 512 + 1 ELSE 512 END)
 SELECT rule, count(*) AS n FROM v GROUP BY 1""",
     "genuine_quota": f"WITH {UTT}, {QUOTA('genuine-quota', TOTAL)} SELECT * FROM quota",
-    "genuine_trials": f"""WITH {UTT}, {QUOTA("genuine-quota", TOTAL)}, p AS (SELECT DISTINCT * FROM utt),
-pr AS (SELECT a.speaker_id, a.path AS l, b.path AS r, {_digest("'genuine'", "a.speaker_id", "a.path", "b.path")} AS d FROM p a JOIN p b ON a.speaker_id = b.speaker_id AND a.path < b.path),
-rk AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY d, l, r) AS n FROM pr)
-SELECT l AS left_audio_path, r AS right_audio_path, rk.speaker_id AS left_speaker_id, rk.speaker_id AS right_speaker_id, 1 AS target FROM rk JOIN quota USING (speaker_id) WHERE n <= quota""",
+    "genuine_trials": f"WITH {UTT}, {GENUINE} SELECT l AS left_audio_path, r AS right_audio_path, s AS left_speaker_id, s AS right_speaker_id, 1 AS target FROM gen",
+    "impostor_speaker_pairs": f"WITH {UTT}, {SPEAKER_PAIRS} SELECT position, speaker_a, speaker_b FROM sp",
+    "impostor_trials": f"WITH {UTT}, {SPEAKER_PAIRS}, {IMPOSTORS} SELECT l.path AS left_audio_path, r.path AS right_audio_path, l.s AS left_speaker_id, r.s AS right_speaker_id, 0 AS target, position FROM imp",
+    "balanced_trials": f"""WITH {UTT}, {GENUINE}, {SPEAKER_PAIRS}, {IMPOSTORS},
+all_t AS (SELECT l AS left_audio_path, r AS right_audio_path, s AS left_speaker_id, s AS right_speaker_id, 1 AS target, s, d, 0 AS position FROM gen UNION ALL SELECT l.path, r.path, l.s, r.s, 0, '', '', position FROM imp)
+SELECT 'trial-' || lpad(CAST(row_number() OVER (ORDER BY target DESC, s, d, position) - 1 AS VARCHAR), 5, '0') AS trial_id, left_audio_path, right_audio_path, left_speaker_id, right_speaker_id, target FROM all_t""",
+    "paired_rounds": f"WITH {UTT}, {_rounds('negative-speaker', '6', False)} SELECT l AS left_audio_path, r AS right_audio_path, ls AS left_speaker_id, rs AS right_speaker_id, 0 AS target, round FROM made",
+    # Twice the first number of rounds: later rounds change nothing in earlier ones, and the first ones are taken.
+    "legacy_trials": f"""WITH {UTT}, p AS (SELECT DISTINCT * FROM utt),
+pr AS (SELECT a.speaker_id AS s, a.path AS l, b.path AS r, {_digest("'genuine'", "a.speaker_id", "a.path", "b.path")} AS d FROM p a JOIN p b ON a.speaker_id = b.speaker_id AND a.path < b.path),
+gen AS (SELECT s, l, r FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, l, r) AS n FROM pr) WHERE n <= 100), need AS (SELECT count(*) AS c FROM gen),
+{_rounds('negative-speaker', "(SELECT CAST(2 * (ceil(c / greatest(1, (SELECT count(*) // 2 FROM sizes))) + 2) AS BIGINT) FROM need)", True)},
+imp AS (SELECT *, row_number() OVER (ORDER BY round, {_digest("'impostor'", "'order'", "l", "r")}) AS n FROM made),
+all_t AS (SELECT 1 AS target, l, r, s AS ls, s AS rs FROM gen UNION ALL SELECT 0, l, r, ls, rs FROM imp WHERE n <= (SELECT c FROM need))
+SELECT row_number() OVER (ORDER BY {_digest("'mixed'", "l", "r")}, l, r) - 1 AS trial_id, target, l AS left_audio_path, r AS right_audio_path, ls AS left_speaker_id, rs AS right_speaker_id FROM all_t""",
     "neighbour_trials": f"WITH {UTT},{_neighbours('utt')} SELECT l AS left_audio_path, r AS right_audio_path, ls AS left_speaker_id, rs AS right_speaker_id, target FROM tr",
     "trial_participation": f"""WITH {UTT},{_neighbours("utt")}, ends AS (SELECT ls AS speaker_id, target FROM tr UNION ALL SELECT rs, target FROM tr WHERE target = 0)
 SELECT speaker_id, count(*) FILTER (WHERE target = 1) AS genuine_trials, count(*) FILTER (WHERE target = 0) AS impostor_endpoints FROM ends GROUP BY 1""",
@@ -147,6 +213,13 @@ v AS (SELECT 'target_is_same_speaker' AS rule FROM bent WHERE (t = 1) <> (ls = r
 SELECT rule, count(*) AS n FROM v GROUP BY 1""",
     "random_batches": f"WITH {UTT}, r AS (SELECT path, row_number() OVER (ORDER BY {_digest("'0'", 'path')}, path) - 1 AS n FROM utt) SELECT n // 32 AS batch_id, CAST(n % 32 AS INTEGER) AS slot, path FROM r",
     "pk_batches": f"WITH {PK} SELECT * FROM pk",
+    "hybrid_batches": f"""WITH {INDEX}, hx AS (SELECT shard_path, speaker_id, relative_audio_path AS path FROM idx WHERE final_split = 'train'),
+hs AS (SELECT shard_path, (row_number() OVER (ORDER BY {_digest("'0'", "'shard'", "shard_path")}, shard_path) - 1) // 8 AS w FROM (SELECT DISTINCT shard_path FROM hx)),
+ha AS (SELECT w, count(*) FILTER (WHERE n >= {K}) AS able, count(*) AS every FROM (SELECT w, speaker_id, count(*) AS n FROM hx JOIN hs USING (shard_path) GROUP BY 1, 2) GROUP BY 1),
+hf AS (SELECT w, CASE WHEN able >= {P} AND able = every THEN w END AS full_w FROM ha),
+ht AS (SELECT w, coalesce(min(full_w) OVER (ORDER BY w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(full_w) OVER (ORDER BY w), 0) AS t FROM hf),
+hm AS (SELECT CAST(t AS INTEGER) AS shard_window, speaker_id, path FROM hx JOIN hs USING (shard_path) JOIN ht USING (w)),
+{_pk("hm", "shard_window", "hp")} SELECT hp.*, shard_path FROM hp JOIN hx ON hx.path = hp.path""",
     "epoch_stats": f"""WITH {PK}, a AS (SELECT path, count(*) AS n FROM pk GROUP BY 1), b AS (SELECT speaker_id, count(DISTINCT batch_id) AS e, max(cycle) AS c FROM pk GROUP BY 1)
 SELECT (SELECT count(DISTINCT batch_id) FROM pk) AS batches, (SELECT count(*) FROM pk) AS logical_selections, (SELECT count(*) FROM a) AS unique_selected,
   CAST((SELECT sum(n - 1) FROM a) AS BIGINT) AS repeated_selections, CAST((SELECT sum(c) FROM b) AS BIGINT) AS queue_cycles, (SELECT min(e) FROM b) AS min_exposure, (SELECT max(e) FROM b) AS max_exposure""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import sha256, table_identity
+from ..scratch import Scratch
 from ..operators import contracts, metrics, scoring, shards, splits, trials
 from ..sources import tables, wav
 
@@ -42,9 +43,15 @@ def create_package(spark: SparkSession, root: str, out: str, expected: int | Non
     return state
 
 
-def evaluation_report(trial_rows: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """One row: the equal error rate, summaries of genuine and impostor scores, and the identity of the scored trials."""
+def evaluation_report(trial_rows: DataFrame, embeddings: DataFrame, digits: int | None = None) -> DataFrame:
+    """One row: the equal error rate, summaries of genuine and impostor scores, and the identity of the scored trials.
+
+    Scores are rounded to ``digits`` places if given.  A trial without an embedding is an error.
+    """
     scored = scoring.score_trials(trial_rows, embeddings)
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
+    scored = Scratch(trial_rows.sparkSession, "evaluation-report").keep(scored, "scored")
     rate = metrics.equal_error_rate(scored)
     summary = metrics.numeric_summary(scored, "score", "target")
     of = lambda t, name: summary.where(F.col("target") == t).select(F.struct(*[c for c in summary.columns if c != "target"]).alias(name))

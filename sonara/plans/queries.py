@@ -12,7 +12,6 @@ from .carriers import embeddings, table, utterances
 
 WIDTH, SEED, EPOCH = 4, splits.SEED, 0
 P, K = 10, 2
-DIMENSIONS = 64
 
 
 def _emb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,9 @@ def score_summary_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = embeddings(spark, sf_dir)
-    return package.evaluation_report(trials.neighbour_trials(vectors, WIDTH), vectors.select("path", "embedding"))
+    report = package.evaluation_report(trials.neighbour_trials(vectors, WIDTH), vectors.select("path", "embedding"), digits=6)
+    means = [F.round(F.col(f"{t}.{c}"), 6).alias(f"{t}_{c}") for t in ("genuine", "impostor") for c in ("mean", "median")]
+    return report.select("n_genuine", "n_impostor", *[F.round(c, 9).alias(c) for c in ("eer", "eer_threshold")], *means, "trials_identity")
 
 
 def generalization_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +160,7 @@ def genuine_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impostor_speaker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = utterances(spark, sf_dir)
-    return trials.impostor_speaker_pairs(rows, _total(rows))
+    return trials.impostor_speaker_pairs(rows, _total(rows)).select("position", "speaker_a", "speaker_b")
 
 
 def impostor_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +233,7 @@ def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = embeddings(spark, sf_dir)
-    return vectors, learning.class_centroids(vectors, DIMENSIONS)
+    return vectors, learning.class_centroids(vectors)
 
 
 def class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def write_csv(rows: DataFrame, path: str, *order: Column) -> None:
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """Canonical JSON lines."""
-    rows.select(canonical_json(*rows.columns).alias("value")).write.text(path, mode="errorifexists", lineSep="\n")
+    rows.select(canonical_json(*rows.columns).alias("value")).write.mode("errorifexists").text(path, lineSep="\n")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
