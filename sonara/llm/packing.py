@@ -1,8 +1,8 @@
 """Sum-of-squares packing of token pieces into fixed-length training sequences.
 
 Documents are encoded and cut into pieces where they are read.  The pieces (a few numbers each) are then dealt by hash
-into groups of bounded size, and each group is packed by one task: a piece goes to the open sequence for which the sum
-over residual gaps of the squared number of open sequences becomes smallest; a new one is opened where no gap fits.
+into groups of bounded size, and each group is packed by one task, longest pieces first: a piece goes where the sum over
+residual gaps of the squared number of open sequences becomes smallest, be that an open sequence or a new one.
 Sequences that stay clearly short are packed again as pieces, in ever fewer groups, so that the loss does not grow with
 the number of groups.
 """
@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,17 +54,24 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, tex
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece, pieces being placed in the order given."""
+    """Sequence and offset of each piece, pieces being placed in the order given.
+
+    Each goes where the sum over gaps of the squared number of open sequences with that gap ends up smallest; opening a
+    sequence is one of the choices, and full ones are not open.  Ties go to the least gap left, a new sequence last; of
+    sequences with one gap the latest is taken.
+    """
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
     used: list[int] = []
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, n in enumerate(lengths.tolist()):
-        # A gap g that becomes g - n changes the sum by 2 (count[g - n] - count[g]) + 2; gap 0 is a closed sequence.
+        # What the sum changes by: a gap g that becomes g - n, one that is filled, and a new one of capacity - n.
         gaps = count[n:]
-        change = np.where(gaps > 0, count[: capacity + 1 - n] - gaps, capacity * len(lengths))
-        best = int(change.argmin()) if n <= capacity else 0
-        if len(gaps) and gaps[best] > 0:
+        change = np.where(gaps > 0, 2 * (count[: capacity + 1 - n] - gaps) + 2, 2 * len(lengths) + 3)
+        change[0] -= 1
+        best = int(change.argmin())
+        new = 2 * int(count[capacity - n]) + 1 if n < capacity else 0
+        if gaps[best] > 0 and change[best] <= new:
             gap = best + n
             at = open_at[gap].pop()
             count[gap] -= 1
@@ -85,14 +91,13 @@ def _pack(items: DataFrame, scratch: Scratch, capacity: int, name: str, total: i
     total = items.count() if total is None else total
     groups = max(1, -(-total // GROUP_PIECES))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sequence, frame["bin_offset"] = sum_of_squares(frame["length"].to_numpy(), capacity)
-        frame["bin"] = sequence * groups + frame["_group"]
-        return frame[["item", "length", "bin", "bin_offset"]]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("item", "ascending")])
+        sequence, offset = sum_of_squares(table.column("length").to_numpy(), capacity)
+        return table.select(["item", "length"]).append_column("bin", pa.array(sequence * groups + table.column("_group").to_numpy())).append_column("bin_offset", pa.array(offset))
 
     dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("_group"))
-    packed = dealt.groupBy("_group").applyInPandas(run, "item long, length long, bin long, bin_offset long")
+    packed = dealt.groupBy("_group").applyInArrow(run, "item long, length long, bin long, bin_offset long")
     return scratch.keep(packed, name), groups
 
 

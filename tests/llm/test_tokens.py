@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,37 @@ def test_packing(docs, texts, encode, monkeypatch, capacity, group):
     assert used <= 1.1 * least + 2
 
 
-def test_sum_of_squares_prefers_the_common_gap():
-    sequence, offset = packing.sum_of_squares(np.array([6, 6, 7, 4, 4, 3]), 10)
-    assert sequence.tolist() == [0, 1, 2, 1, 0, 2] and offset.tolist() == [0, 0, 0, 6, 6, 7]
+def _placed_plainly(lengths, capacity):
+    """Try every open sequence and a new one, and count the squares each time."""
+    bins, out = [], []
+    squares = lambda: sum(n * n for n in Counter(capacity - sum(b) for b in bins if sum(b) < capacity).values())
+    for n in lengths:
+        choices = []
+        for k in range(len(bins) + 1):
+            if k == len(bins) or sum(bins[k]) + n <= capacity:
+                if k == len(bins):
+                    bins.append([])
+                bins[k].append(n)
+                choices.append((squares(), len(bins[k]) == 1, capacity - sum(bins[k]), k))
+                bins[k].pop()
+                if not bins[k]:
+                    bins.pop()
+        least = min(choices)[:3]
+        out.append((least, [c[3] for c in choices if c[:3] == least]))
+        yield out[-1], bins
+
+
+def test_each_piece_goes_where_the_squares_are_least():
+    rng = random.Random(8)
+    for _ in range(60):
+        capacity = rng.choice([10, 30, 100])
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 60))]
+        if rng.random() < 0.5:
+            lengths.sort(reverse=True)
+        sequence, offset = packing.sum_of_squares(np.array(lengths), capacity)
+        for n, at, place, ((_, allowed), bins) in zip(lengths, sequence.tolist(), offset.tolist(), _placed_plainly(lengths, capacity)):
+            assert at in allowed
+            if at == len(bins):
+                bins.append([])
+            assert place == sum(bins[at])
+            bins[at].append(n)
