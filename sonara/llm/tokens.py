@@ -14,8 +14,8 @@ import numpy as np
 
 from . import kernels as K
 
-#: Words known to a worker at most.
-MAX_WORDS = 1_500_000
+#: Words known to a worker at most, at about 30 bytes each.
+MAX_WORDS = 800_000
 #: Bytes of text encoded at once: more words of a chunk are alike the larger it is.
 TOKEN_CHUNK_BYTES = 1 << 20
 #: New words before they are sorted in among the known ones.
@@ -63,8 +63,8 @@ class WordTokenizer:
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.recent: dict[int, int] = {}
         self.size = self.used = 0
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
+        self.pool = np.zeros(1 << 18, np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
+        self.start = np.zeros(1 << 14, np.int32)
         self.count = np.zeros(1 << 14, np.int32)
 
     def _merge(self) -> None:
@@ -106,10 +106,10 @@ class WordTokenizer:
         counts = np.array([len(x) for x in found], np.int64)
         n, total = self.size, int(counts.sum())
         if len(self.start) < n + len(found):
-            more = np.zeros(n // 2 + len(found), np.int32)
-            self.start, self.count = np.concatenate([self.start[:n], more.astype(np.int64)]), np.concatenate([self.count[:n], more])
+            more = np.zeros(n // 4 + len(found), np.int32)
+            self.start, self.count = np.concatenate([self.start[:n], more]), np.concatenate([self.count[:n], more])
         if len(self.pool) < self.used + total:
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + total, np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 4 + total, self.pool.dtype)])
         self.count[n : n + len(found)] = counts
         self.start[n : n + len(found)] = self.used + np.cumsum(counts) - counts
         if total:
@@ -144,8 +144,6 @@ class WordTokenizer:
 
     def _by_words(self, chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` of folded texts without strings of special tokens."""
-        import pandas as pd
-
         data = chunk.data
         w = K.words(chunk)
         if not len(w.start):
@@ -154,14 +152,12 @@ class WordTokenizer:
         trim = _TRIM[data[last]] & (w.end - w.start > 1)
         trim[trim] = _LETTER[data[last[trim] - 1]]
         end = w.end - trim
-        codes, distinct = pd.factorize(K.span_hash(data, w.start, end))
+        distinct, at, codes = np.unique(K.span_hash(data, w.start, end), return_index=True, return_inverse=True)
         if self.size > MAX_WORDS:
             self._clear()
         rows = self._find(distinct)
         new = np.flatnonzero(rows < 0)
         if len(new):
-            at = np.full(len(distinct), -1)
-            at[codes[::-1]] = np.arange(len(codes))[::-1]
             body = data.tobytes()
             self._learn(distinct[new], [body[w.start[k] : end[k]] for k in at[new]])
             rows[new] = np.arange(self.size - len(new), self.size)
@@ -170,7 +166,7 @@ class WordTokenizer:
         ends = np.cumsum(counts + trim)
         ids = np.empty(int(ends[-1]), np.uint32)
         begin = ends - trim - counts
-        ids[K.ragged(begin, counts)] = self.pool[K.ragged(self.start[rows], counts)]
+        ids[K.ragged(begin, counts)] = self.pool[K.ragged(self.start[rows].astype(np.int64), counts)]
         mark = np.where(data[last[trim]] == ord("."), self.mark["."][0], self.mark[","][0])
         ids[ends[trim] - 1] = mark
         return ids, np.r_[0, ends][w.bounds]
