@@ -30,8 +30,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +99,7 @@ def _pack_cells(cells: np.ndarray) -> tuple[bytes, bool]:
     return cells.tobytes(), True
 
 
-def _unpack_cells(data: bytes, wide: bool) -> np.ndarray:
+def _unpack_cells(data: bytes | pa.Buffer, wide: bool) -> np.ndarray:
     if wide:
         return np.frombuffer(data, np.uint32)
     return np.cumsum(np.r_[np.frombuffer(data, np.uint32, 1), np.frombuffer(data, np.uint16, offset=4)], dtype=np.uint32)
@@ -161,8 +161,9 @@ class CellCounts:
 def _count_cells(cell_rows: DataFrame, range_bits: int, bits: int) -> CellCounts:
     per_range = max(1, MAX_HEAVY >> range_bits)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = np.sort(np.concatenate([_unpack_cells(c, w) for c, w in zip(frame["cells"], frame["wide"])]))
+    def run(table: pa.Table) -> pa.Table:
+        packed = zip(table.column("cells"), table.column("wide").to_pylist())
+        cells = np.sort(np.concatenate([_unpack_cells(c.as_buffer(), w) for c, w in packed]))
         cut = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
         count, cells = np.diff(np.r_[cut, len(cells)]), cells[cut]
         span = 1 << (bits - range_bits)
@@ -170,12 +171,12 @@ def _count_cells(cell_rows: DataFrame, range_bits: int, bits: int) -> CellCounts
         flags[(cells[count > 1] >> np.uint32(32 - bits)) & np.uint32(span - 1)] = True
         often = np.flatnonzero(count >= HEAVY)
         often = np.sort(often[np.argsort(-count[often], kind="stable")[:per_range]])
-        return pd.DataFrame({
-            "cell_range": frame["cell_range"].iloc[:1], "bitmap": [zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1)],
+        return pa.table({
+            "cell_range": table.column("cell_range").slice(0, 1), "bitmap": [zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1)],
             "heavy": [cells[often].tobytes()], "level": [np.log2(count[often]).astype(np.uint8).tobytes()],
         })
 
-    counted = cell_rows.groupBy("cell_range").applyInPandas(run, "cell_range int, bitmap binary, heavy binary, level binary")
+    counted = cell_rows.groupBy("cell_range").applyInArrow(run, "cell_range int, bitmap binary, heavy binary, level binary")
     bitmap, heavy, level = np.zeros(1 << bits - 3, np.uint8), [], []
     width = 1 << (bits - range_bits - 3)
     for r in counted.toLocalIterator():  # all of it together has the bounds above
@@ -203,7 +204,7 @@ def choose_matches(levels: np.ndarray, unique: int, base: int, most: int) -> tup
     return choice
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, counts: CellCounts) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, percent: int, shared: Broadcast) -> DataFrame:
     """Rows (node, size, fp1, fp2, matches, before, weight, b0 to b3, tokens) of documents whose prefix has shared shingles.
 
     ``weight`` is the mean level of all shingles: in a group of near copies it is greatest for the one they derive from.
@@ -211,10 +212,9 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: CellCounts) -> Data
     many shared shingles as their parities differ in classes, at least.  A document with so many unique shingles that
     the rest cannot reach the threshold with anything has no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known: CellCounts = shared.value
         for batch in batches:
             for chunk in K.chunks(batch.column(1)):
                 hashes, offsets = shingle_sets(chunk, n)
@@ -307,9 +307,11 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
 
     key = ["fp1", "fp2", "size"]
     classes = scratch.keep(sets.where("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("members")).where("members > 1").select(*key, "node"), "classes")
-    first = _prefixes(docs.where("doc_id is not null"), n, percent, counts)
+    shared = spark.sparkContext.broadcast(counts)
+    first = _prefixes(docs.where("doc_id is not null"), n, percent, shared)
     reps = first.join(classes.withColumnRenamed("node", "_first"), key, "left").where("_first is null or _first = node").drop("_first")
     prefixes = scratch.keep(reps.dropDuplicates(["node", "fp1", "fp2"]), "prefixes")
+    shared.destroy()
     entries = prefixes.select("node", "size", "matches", "before", "weight", *PARITIES, F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("place") + F.col("before"))
 
     # In each posting list the document of greatest weight leads; every other one is verified against its likeliest leader.
