@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .quality_rules import STATISTICS, text_statistics
-from .samples import hashed_sample, held_out, training_labels
+from .common import Scratch
+from .quality_rules import text_statistics
+from .samples import hashed_sample, held_out, sampled_texts, training_labels
 
 #: Most positives and most unlabelled documents that a model is fitted on, each.
 SAMPLE_BOUND = 10_000
@@ -143,17 +144,19 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", prior: float | None = None, bound: int = SAMPLE_BOUND, text: str = "text") -> Model:
     """Fit on at most about ``bound`` trusted positives and as many documents taken as unlabelled.
 
-    The prior, unless given, is the share of positives among the labelled training rows.
+    The prior, unless given, is the share of positives among the labelled training rows.  Rows without an id are not
+    learnt from; of an id that several rows have, each text counts; without positives, or without documents, the model
+    scores the prior; extra columns of either table are ignored.
     """
+    scratch = Scratch(docs.sparkSession, "pu-quality")
     usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     if prior is None:
         prior = usable.agg(F.avg(column)).first()[0] or 0.5
     prior = min(max(prior, 0.01), 0.99)
     positives = training_labels(labels.where(F.col(column) == 1), column, 2 * bound, seed=1)
-    # The samples' ids are bounded, so Spark may broadcast them; texts are read once for each sample.
-    chosen = docs.join(positives.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-    rest = hashed_sample(docs.where("doc_id is not null"), bound, docs.count(), seed=2)
-    gather = lambda t: [r["x"] for r in _with_features(t, text).select("x").toLocalIterator()]
+    chosen = sampled_texts(docs, positives.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("doc_id")), bound, scratch, text)
+    rest = hashed_sample(docs.where("doc_id is not null"), bound, docs.count(), seed=2).select("doc_id", F.col(text).alias("_text"))
+    gather = lambda t: [r["x"] for r in _with_features(t, "_text").select("x").toLocalIterator()]
     p, u = np.array(gather(chosen), np.float64), np.array(gather(rest), np.float64)
     if not len(p):
         p = np.zeros((0, u.shape[1] if len(u) else 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: One row in this many is the unit of a sampling rate.
 _UNITS = 1_000_000
 #: Labels of documents with this remainder are never learnt from.
@@ -23,6 +25,20 @@ def hashed_sample(rows: DataFrame, bound: int, total: int, seed: int, key: str =
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(_UNITS)) < bound * _UNITS // total)
 
 
+def sampled_texts(docs: DataFrame, chosen: DataFrame, bound: int, scratch: Scratch, text: str = "text") -> DataFrame:
+    """The columns of ``chosen`` (_id, ...), which has about ``bound`` rows at most, with ``_text`` of its documents.
+
+    The ids are counted and broadcast, so that no text is shuffled, and the texts found are kept in the scratch folder.
+    """
+    chosen = scratch.keep(chosen, "chosen")
+    n = chosen.count()
+    if n > 2 * bound + 1000:  # a hash takes a share of rows, give or take a few in a hundred
+        raise ValueError(f"{n} rows were chosen where {bound} are the bound")
+    own = docs.select(F.col("doc_id").alias("_doc"), F.col(text).cast("string").alias("_text"))
+    found = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return scratch.keep(found.select(*[c for c in chosen.columns if c != "_id"], "_text"), "sample")
+
+
 def training_labels(labels: DataFrame, column: str, bound: int, seed: int) -> DataFrame:
     """(doc_id, y, weight) of labelled rows that may be learnt from, one row per id.
 
