@@ -8,6 +8,7 @@ sentences that carry a document's score are the offending ones.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .samples import held_out, training_labels
+from .common import Scratch
+from .samples import held_out, sampled_texts, training_labels
 from .tiling import fold
 
 #: Most labelled documents that a model is fitted on, half of them of each class.
@@ -79,73 +81,129 @@ class Model:
         return 1 - np.exp(clean), worst, most
 
 
-def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    """Gradient descent on the documents' weighted log loss.  ``docs``: the places of each document's features and the
-    number of the sentence that each is in."""
-    n_docs, weight = len(y), weight / weight.sum()
-    in_docs, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for (places, _), label in zip(docs, y):
-        own = np.unique(places)
-        in_docs[own] += 1
-        toxic[own] += label
-    odds = np.log((toxic + 1) / (y.sum() + 1) * (n_docs - y.sum() + 1) / (in_docs - toxic + 1))
-    used = (in_docs >= min(MIN_DOCUMENTS, max(1, n_docs // 50))) & (odds >= MIN_LOG_ODDS)
-    known = np.flatnonzero(used)
-    dense = np.zeros(1 << BITS, np.int64)
-    dense[known] = np.arange(len(known))
-
-    x, sentence_of, doc_of, n_sentences = [], [], [], 0
-    for d, (places, sentence) in enumerate(docs):
-        keep = used[places]
-        count = int(sentence.max()) + 1 if len(sentence) else 0
-        x.append(dense[places[keep]])
-        sentence_of.append(sentence[keep] + n_sentences)
-        doc_of.append(np.full(count, d))
-        n_sentences += count
-    x, sentence_of, doc_of = map(np.concatenate, (x, sentence_of, doc_of))
-    w, bias = odds[known].clip(0, 6) / (1 + len(PREFIXES)), np.array([-6.0])
+class Bag(NamedTuple):
+    """A training document: its number of sentences, and the features that occur in them with the sentence of each.
+
+    ``sentence`` numbers only the sentences that have a feature, from 0.
+    """
+
+    sentences: int
+    feature: np.ndarray
+    sentence: np.ndarray
+
+
+class _Joined:
+    """Bags laid end to end."""
+
+    def __init__(self, bags: list[Bag]) -> None:
+        counts = np.array([int(b.sentence.max()) + 1 if len(b.sentence) else 0 for b in bags])
+        self.plain = np.array([b.sentences for b in bags]) - counts
+        self.feature = np.concatenate([b.feature for b in bags]).astype(np.int64)
+        self.sentence = np.concatenate([b.sentence + n for b, n in zip(bags, np.cumsum(counts) - counts)]).astype(np.int64)
+        self.doc, self.n = np.repeat(np.arange(len(bags)), counts), int(counts.sum())
+
+
+def noisy_or_step(w: np.ndarray, bias: float, bags: _Joined, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Weighted log loss of the documents' noisy-or, and its gradient by the features' weights and by the bias.
+
+    Sentences without a feature all have the probability of the bias, so their number is enough.
+    """
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(bags.sentence, w[bags.feature], bags.n) + bias, -30, 30)))
+    p0 = 1 / (1 + np.exp(-np.clip(bias, -30, 30)))
+    log_clean = np.bincount(bags.doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + bags.plain * np.log1p(-min(p0, 1 - 1e-9))
+    clean = np.exp(log_clean)
+    toxic = np.maximum(1 - clean, 1e-9)
+    by_doc = weight * np.where(y == 1, -clean / toxic, 1.0)
+    g = p * by_doc[bags.doc]
+    loss = float((weight * np.where(y == 1, -np.log(toxic), -log_clean)).sum())
+    return loss, np.bincount(bags.feature, g[bags.sentence], len(w)), float(g.sum() + p0 * (bags.plain * by_doc).sum())
+
+
+def fit_noisy_or(bags: list[Bag], y: np.ndarray, weight: np.ndarray, odds: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias that gradient descent finds.
+
+    ``odds``: log odds ratio of each feature, from which its weight starts.
+    """
+    joined, weight = _Joined(bags), weight / weight.sum()
+    w, bias = odds.clip(0, 6) / (1 + len(PREFIXES)), np.array([-6.0])
     moments = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(1), np.zeros(1)]
     for t in range(1, steps + 1):
-        z = np.clip(np.bincount(sentence_of, w[x], n_sentences) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs))
-        toxic_p = np.maximum(1 - clean, 1e-9)
-        g = p * (weight * np.where(y == 1, -clean / toxic_p, 1.0))[doc_of]
-        for k, (value, d) in enumerate(((w, np.bincount(x, g[sentence_of], len(w)) + decay * w), (bias, np.array([g.sum()])))):
+        _, by_weight, by_bias = noisy_or_step(w, bias[0], joined, y, weight)
+        for k, (value, d) in enumerate(((w, by_weight + decay * w), (bias, np.array([by_bias])))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * d
             moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * d * d
             value -= rate * (1 - t / (steps + 1)) * (moments[2 * k] / (1 - 0.9**t)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[known] = w
-    return Model(weights, bias[0])
+    return w, float(bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = SAMPLE_BOUND, text: str = "text") -> Model:
-    """Fit on the texts of at most about ``bound`` labelled documents."""
-    chosen = training_labels(labels, column, bound, seed=3).select(F.col("doc_id").alias("_id"), "y", "weight")
-    rows = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(chosen, F.col("doc_id") == F.col("_id")).select("y", "_text", "weight")
+def _places(sample: DataFrame) -> DataFrame:
+    """Rows (place, y) of the distinct features of each sampled document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = np.array(batch.column(0).to_pylist(), np.int32)
+            y = batch.column(0).to_numpy()
             for chunk in K.chunks(batch.column(1)):
-                w, first, _, place = sentences(chunk)
+                w, _, _, place = sentences(chunk)
+                for d in range(len(chunk.offsets) - 1):
+                    own = np.unique(place[:, w.bounds[d] : w.bounds[d + 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), y[chunk.first + d], np.int32))], names=["place", "y"])
+
+    return sample.select("y", "_text").mapInArrow(run, "place int, y int")
+
+
+def _bags(sample: DataFrame, known: np.ndarray) -> DataFrame:
+    """Rows (y, weight, sentences, feature, sentence) of the sampled documents; ``known``: sorted places of the features."""
+    shared = sample.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
+        for batch in batches:
+            for chunk in K.chunks(batch.column(2)):
+                w, first, doc, place = sentences(chunk)
+                at = np.minimum(np.searchsorted(places, place), max(0, len(places) - 1))
+                hit = places[at] == place if len(places) else np.zeros(place.shape, bool)
                 number = np.zeros(len(w.start), np.int64)
                 number[first] = 1
-                number = np.cumsum(number)
+                number, n_sentences = np.cumsum(number), np.bincount(doc, minlength=len(chunk.offsets) - 1)
                 for d in range(len(chunk.offsets) - 1):
                     own = slice(w.bounds[d], w.bounds[d + 1])
-                    inside = np.tile(number[own] - number[own][:1], len(place))
-                    yield pa.RecordBatch.from_arrays([pa.array([y[chunk.first + d]]), batch.column(2).slice(chunk.first + d, 1), pa.array([place[:, own].astype("<i4").tobytes()]), pa.array([inside.astype("<i4").tobytes()])], names=["y", "weight", "places", "sentence"])
+                    mine = hit[:, own]
+                    sentence = np.unique(np.tile(number[own], (len(mine), 1))[mine], return_inverse=True)[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [c.slice(chunk.first + d, 1) for c in batch.columns[:2]] + [pa.array([int(n_sentences[d])], pa.int64()), pa.array([at[:, own][mine].astype("<i4").tobytes()]), pa.array([sentence.astype("<i4").tobytes()])],
+                        names=["y", "weight", "sentences", "feature", "sentence"],
+                    )
+
+    return sample.select("y", "weight", "_text").mapInArrow(run, "y int, weight double, sentences long, feature binary, sentence binary")
 
+
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = SAMPLE_BOUND, text: str = "text") -> Model:
+    """Fit on the texts of at most about ``bound`` labelled documents.
+
+    Features are counted and chosen by Spark (at most as many as there are hashed weights); only the occurrences of
+    chosen ones in the sample come to the driver.  Rows without an id or a label are not learnt from, an id with several
+    labels is toxic if one says so, and each of its texts counts; with labels of one class, or none, all documents get
+    that class (none: clean).  Extra columns of either table are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "mil-toxicity")
+    chosen = training_labels(labels, column, bound, seed=3).select(F.col("doc_id").alias("_id"), "y", "weight")
+    sample = sampled_texts(docs, chosen, bound, scratch, text)
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n or toxic in (0, n):
+        return Model(np.zeros(1 << BITS), 30.0 if toxic else -30.0)
+    counted = _places(sample).groupBy("place").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
+    ratio = F.log((F.col("t") + 1) / (toxic + 1) * (n - toxic + 1) / (F.col("n") - F.col("t") + 1))
+    used = counted.where(F.col("n") >= min(MIN_DOCUMENTS, max(1, n // 50))).select("place", ratio.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS)
+    found = sorted((r["place"], r["odds"]) for r in used.toLocalIterator())
+    known, odds = np.array([p for p, _ in found], np.int64), np.array([o for _, o in found], np.float64)
     y, weight, bags = [], [], []
-    for r in rows.mapInArrow(run, "y int, weight double, places binary, sentence binary").toLocalIterator():
-        bags.append((np.frombuffer(r["places"], "<i4"), np.frombuffer(r["sentence"], "<i4")))
+    for r in _bags(sample, known).toLocalIterator():
+        bags.append(Bag(r["sentences"], np.frombuffer(r["feature"], "<i4"), np.frombuffer(r["sentence"], "<i4")))
         y.append(r["y"])
         weight.append(r["weight"])
-    if not y or sum(y) in (0, len(y)):
-        return Model(np.zeros(1 << BITS), -30.0 if not y or not sum(y) else 30.0)
-    return fit_noisy_or(bags, np.array(y), np.array(weight))
+    weights = np.zeros(1 << BITS)
+    weights[known], bias = fit_noisy_or(bags, np.array(y), np.array(weight), odds)
+    return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -168,7 +226,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """Rows (doc_id, sentence, score) with the text of every sentence that scores ``threshold`` or more."""
+    """Rows (doc_id, sentence, score) with the text of every sentence that scores ``threshold`` or more.
+
+    Null, empty and wordless texts have no sentences; repeated rows give theirs again; an empty table gives an empty
+    result; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +246,11 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3, t
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The documents that score below the threshold, all columns unchanged."""
+    """The documents that score below the threshold, all columns unchanged, whatever their names.
+
+    Null, empty and wordless texts score 0 and stay; repeated rows go or stay together; an empty table gives an empty
+    result.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

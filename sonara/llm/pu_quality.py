@@ -97,16 +97,33 @@ class Model(NamedTuple):
     weights: list
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.weights
-        z = np.maximum(np.clip((x - self.mean) / self.scale, -8, 8) @ a + b, 0) @ c + d
+        _, z = _scores(self.weights, np.clip((x - self.mean) / self.scale, -8, 8))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 32, epochs: int = 60, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise ``prior R_p+ + max(0, R_u- - prior R_p-)`` with the logistic loss.
+def _scores(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden units and outputs before the sigmoid."""
+    hid = np.maximum(x @ w[0] + w[1], 0)
+    return hid, hid @ w[2] + w[3]
 
-    Where the bracket falls below zero on a batch, the step is taken against it, as the non-negative estimator does.
-    """
+
+def nnpu_step(w: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """Non-negative unbiased risk ``prior R_p+ + max(0, R_u- - prior R_p-)`` with the logistic loss on a batch, and the
+    direction to step against: the risk's gradient, or, where the bracket is below zero, the bracket's turned round."""
+    x, n = np.concatenate([positive, unlabelled]), len(positive)
+    hid, z = _scores(w, x)
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    as_negative, as_positive = np.logaddexp(0, z), np.logaddexp(0, -z)
+    bracket = as_negative[n:].mean() - prior * as_negative[:n].mean()
+    g_neg = np.concatenate([-prior * s[:n] / n, s[n:] / len(unlabelled)])
+    g_pos = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(len(unlabelled))])
+    g = -g_neg if bracket < 0 else g_pos + g_neg
+    gh = np.outer(g, w[2]) * (hid > 0)
+    return prior * as_positive[:n].mean() + max(0.0, bracket), [x.T @ gh, gh.sum(0), hid.T @ g, np.array([g.sum()])]
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 32, epochs: int = 60, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minimise the non-negative unbiased risk over batches, with weight decay and adaptive moments."""
     rng = np.random.default_rng(seed)
     if not len(unlabelled):
         unlabelled = positive
@@ -120,21 +137,11 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
         order_u, order_p = rng.permutation(len(u)), rng.permutation(len(p))
         for k in range(max(1, len(u) // batch)):
             xu, xp = u[order_u[k * batch : (k + 1) * batch]], p[np.take(order_p, range(k * batch, (k + 1) * batch), mode="wrap")]
-            x = np.concatenate([xp, xu])
-            hid = np.maximum(x @ w[0] + w[1], 0)
-            z = hid @ w[2] + w[3]
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            loss_neg = np.logaddexp(0, z)
-            n = len(xp)
-            bracket = loss_neg[n:].mean() - prior * loss_neg[:n].mean()
-            g_neg = np.concatenate([-prior * s[:n] / n, s[n:] / len(xu)])
-            g_pos = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(len(xu))])
-            g = -g_neg if bracket < 0 else g_pos + g_neg
-            gh = np.outer(g, w[2]) * (hid > 0)
-            grads = [x.T @ gh + decay * w[0], gh.sum(0), hid.T @ g + decay * w[2], np.array([g.sum()])]
+            _, grads = nnpu_step(w, xp, xu, prior)
             t += 1
             lr = rate * (1 - epoch / epochs)
             for i, d in enumerate(grads):
+                d = d + decay * w[i] if i in (0, 2) else d
                 first[i] = 0.9 * first[i] + 0.1 * d
                 second[i] = 0.999 * second[i] + 0.001 * d * d
                 w[i] = w[i] - lr * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,82 @@ def test_no_rows_and_no_labels(spark, planted, nothing, module):
     assert module.score(nothing, module.train(nothing, empty)).collect() == []
     some = docs.limit(3)
     assert len(module.score(some, module.train(some, empty)).collect()) == 3
+
+
+def test_risk_and_gradient_against_plain_loops():
+    rng = np.random.default_rng(3)
+    soft = lambda z: float(np.log1p(np.exp(-abs(z))) + max(z, 0.0))
+
+    def plain(w, positive, unlabelled, prior):
+        z = lambda x: sum(max(0.0, float(x @ w[0][:, k] + w[1][k])) * w[2][k] for k in range(len(w[1]))) + w[3][0]
+        mean = lambda rows, sign: sum(soft(sign * z(x)) for x in rows) / len(rows)
+        bracket = mean(unlabelled, 1) - prior * mean(positive, 1)
+        return prior * mean(positive, -1), bracket
+
+    for prior in (0.3, 0.95):
+        for _ in range(4):
+            w = [rng.normal(0, 1, (3, 4)), rng.normal(0, 1, 4), rng.normal(0, 1, 4), rng.normal(0, 1, 1)]
+            p, u = rng.normal(0.5, 1, (7, 3)), rng.normal(0, 1, (9, 3))
+            risk, grads = pu_quality.nnpu_step(w, p, u, prior)
+            own, bracket = plain(w, p, u, prior)
+            assert risk == pytest.approx(own + max(0.0, bracket))
+            target = (lambda: -plain(w, p, u, prior)[1]) if bracket < 0 else (lambda: sum(plain(w, p, u, prior)))
+            for i, g in enumerate(grads):
+                for at in np.ndindex(w[i].shape):
+                    w[i][at] += 1e-6
+                    up = target()
+                    w[i][at] -= 2e-6
+                    down = target()
+                    w[i][at] += 1e-6
+                    assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+
+
+def test_noisy_or_against_plain_loops():
+    rng = np.random.default_rng(4)
+    for _ in range(10):
+        w, bias = rng.normal(0, 1, 5), float(rng.normal(-1, 1))
+        sentences = [[rng.integers(0, 5, rng.integers(0, 4)).tolist() for _ in range(rng.integers(0, 5))] for _ in range(6)]
+        bags = []
+        for doc in sentences:
+            full = [x for x in doc if x]
+            bags.append(mil_toxicity.Bag(len(doc), np.array([f for x in full for f in x], np.int32), np.array([k for k, x in enumerate(full) for _ in x], np.int32)))
+        y, weight = rng.integers(0, 2, 6), rng.random(6)
+
+        def plain(w, bias):
+            total = 0.0
+            for doc, label, k in zip(sentences, y, weight):
+                clean = 1.0
+                for x in doc:
+                    clean *= 1 - 1 / (1 + np.exp(-(sum(w[f] for f in x) + bias)))
+                total -= k * np.log(max(1 - clean, 1e-9) if label else clean)
+            return total
+
+        loss, by_weight, by_bias = mil_toxicity.noisy_or_step(w, bias, mil_toxicity._Joined(bags), y, weight)
+        assert loss == pytest.approx(plain(w, bias))
+        if any(label and not doc for doc, label in zip(sentences, y)):
+            continue  # the loss is cut off there and has no slope
+        for k in range(5):
+            step = 1e-6 * np.eye(5)[k]
+            assert by_weight[k] == pytest.approx((plain(w + step, bias) - plain(w - step, bias)) / 2e-6, abs=1e-4)
+        assert by_bias == pytest.approx((plain(w, bias + 1e-6) - plain(w, bias - 1e-6)) / 2e-6, abs=1e-4)
+
+
+def test_scored_documents_are_the_noisy_or_of_their_sentences(planted):
+    docs, labels = planted
+    model = mil_toxicity.train(docs, labels)
+    by_sentence = {}
+    for r in mil_toxicity.offending_sentences(docs, model, threshold=0.0).collect():
+        by_sentence.setdefault(r["doc_id"], []).append(r["score"])
+    for r in mil_toxicity.score(docs, model).collect():
+        if r["doc_id"] not in (None, 7):
+            assert r["score"] == pytest.approx(1 - np.prod([1 - p for p in by_sentence.get(r["doc_id"], [])]), abs=1e-6)
+
+
+def test_ties_and_a_very_long_text(spark, planted):
+    docs, labels = planted
+    rng = random.Random(3)
+    long = " ".join(prose(rng, 120_000))
+    rows = spark.createDataFrame([(1, long), (2, long), (3, long + " " + BAD[0] + "."), (4, None), (5, "")], "doc_id long, text string")
+    for module in (pu_quality, mil_toxicity):
+        got = {r["doc_id"]: r for r in module.score(rows, module.train(docs, labels)).collect()}
+        assert len(got) == 5 and got[1]["score"] == got[2]["score"] and got[4]["score"] == got[5]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
