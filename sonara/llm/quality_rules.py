@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import Scratch
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
+#: Groups whose cutoffs, some hundred bytes each, are broadcast.
+MAX_GROUPS = 100_000
+
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -154,9 +158,11 @@ def apply_rules(docs: DataFrame, min_group: int = 200, widen: float = 3.0, text:
     ``base_failed`` and every measure within the cutoffs of the row's language and source (merged sketches where a group
     has under ``min_group`` documents).  Null languages and sources form groups of their own; null and empty texts fail
     the base rule; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
+    Cutoffs of up to ``MAX_GROUPS`` groups are broadcast; those of more groups are joined by shuffling the statistics.
     """
-    stats = with_statistics(docs, text)
-    fine = sketch(stats)
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    stats = scratch.keep(with_statistics(docs, text), "statistics")  # texts are read once
+    fine = scratch.keep(sketch(stats), "sketch")
     coarse, whole = merge(fine, ("lang",)), merge(fine, ())
     limits = [cutoffs(s, by, widen) for s, by in ((fine, ("lang", "source")), (coarse, ("lang",)), (whole, ()))]
     names = [c for c in limits[2].columns if c != "total"]
@@ -170,6 +176,9 @@ def apply_rules(docs: DataFrame, min_group: int = 200, widen: float = 3.0, text:
             *[F.when(F.col("_0_total") >= min_group, F.col(f"_0_{c}")).when(F.col("_1_total") >= min_group, F.col(f"_1_{c}")).otherwise(F.col(f"_2_{c}")).alias(c) for c in names],
         )
     )
+    chosen = scratch.keep(chosen, "cutoffs")
+    if chosen.count() <= MAX_GROUPS:  # so that documents of a common source stay where they are
+        chosen = F.broadcast(chosen)
     judged = stats.join(chosen, F.col("lang").eqNullSafe(F.col("_0_lang")) & F.col("source").eqNullSafe(F.col("_0_source")), "left")
     base_failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return judged.select("doc_id", *STATISTICS, base_failed.alias("base_failed"), (~base_failed & _within()).alias("kept"))
