@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch
+from .common import Scratch, packed_rows
 
 SPAN = 35
 SEED = 10
@@ -227,11 +227,17 @@ def removal_digest(docs: DataFrame, span: int = SPAN, seed: int = SEED, text: st
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED, text: str = "text") -> DataFrame:
     """``docs`` with every word under a repeated edge removed: the kept words joined by one space where any went, else
-    the text as it was.  Rows left without a word by this stay, with an empty text."""
+    the text as it was.
+
+    Rows left without a word by this stay, with an empty text; null, empty and short texts stay as they are; a text that
+    several rows have, with one id or more, is emptied in each if it has ``span`` words; an empty table gives an empty
+    result.  All columns come back in order, whatever their names; only ``text`` changes.
+    """
     found = Repeats(docs, span, seed, text)
     whole = ["_h1", "_h2", "_size"]
     emptied = _join(found.scanned.where(F.col("n_words") >= span), found.copied.withColumn("_copied", F.lit(True)), whole).select(*_KEY, F.lit("").alias("kept_text"))
     changed = found.cleaned().select(*_KEY, "kept_text").unionByName(emptied.distinct())
     t = F.col(text).cast("string")
-    rows = _join(docs.withColumns({"_doc": F.col("doc_id"), "_h1": F.xxhash64(t)}), changed, _KEY, "left")
-    return rows.withColumn(text, F.coalesce("kept_text", F.col(text))).select(*docs.columns)
+    rows = _join(packed_rows(docs, _doc=F.col("doc_id"), _h1=F.xxhash64(t)), changed, _KEY, "left")
+    own = [F.coalesce("kept_text", F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns]
+    return rows.select(*own)

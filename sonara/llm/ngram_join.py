@@ -32,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch
+from .common import Scratch, packed_rows
 from .components import components
 
 #: Shingles gathered by a task before their cells are written.
@@ -364,8 +364,18 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
-    """One document of each component, the one with the least id, all columns unchanged; rows without an id stay."""
-    joined = near_duplicate_components(docs, n, percent, text)
+    """One document of each component, the one with the least id, all columns unchanged, whatever their names.
+
+    Rows without an id stay.  Where several rows have the least id, each of their texts stays once; of rows that share
+    both, the one whose columns come first as JSON.  Null, empty and wordless texts link with nothing and stay; an empty
+    table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    joined = scratch.keep(near_duplicate_components(docs, n, percent, text).where("doc_id is not null"), "joined")
     gone = joined.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    repeated = scratch.keep(joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).where("n > 1 and c = doc_id").select(F.col("doc_id").alias("_gone")), "repeated")
+    rows = packed_rows(docs, _id=F.col("doc_id").cast("long"), _text=F.col(text).cast("string"))
+    single = rows.join(gone.unionByName(repeated), F.col("_id") == F.col("_gone"), "left_anti")
+    several = rows.join(repeated, F.col("_id") == F.col("_gone"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", F.xxhash64("_text"), F.hash("_text"), F.length("_text")).orderBy(F.to_json("_row")))
+    return single.select("_row.*").unionByName(several.withColumn("_first", first).where("_first = 1").select("_row.*"))

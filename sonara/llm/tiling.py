@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import packed_rows
 
 #: Words of test items broadcast at once.
 SLICE_WORDS = 2_000_000
@@ -194,6 +195,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a contaminated pair, all columns unchanged."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents without a contaminated pair, all columns unchanged, whatever their names.
+
+    Null and empty texts stay, as do all documents if there are no items; rows of one id go together; an empty table
+    gives an empty result.
+    """
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    return packed_rows(docs, _id=F.col("doc_id")).join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")

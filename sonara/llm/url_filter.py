@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed_rows
+
 #: Most rules, and bytes in them, that are broadcast.
 MAX_RULES = 1_000_000
 MAX_RULE_BYTES = 64 << 20
@@ -105,6 +107,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
             )
 
     host, path = url_parts(url)
-    judged = pages.withColumns({"host": host, "path": path})
-    judged = judged.withColumn("_judged", judge("host", "path"))
-    return judged.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    judged = packed_rows(pages, host=host, path=path).withColumn("_judged", judge("host", "path"))
+    return judged.select(*[F.col(f"_row.`{c}`") for c in kept], "host", "path", "_judged.rule", "_judged.verdict")

@@ -6,7 +6,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, size int, node string"
+#: Names that the operators use for columns of their own.
+CLASHING = ("_row", "_id", "_doc", "_h1", "_bad", "_gone", "_first", "_judged", "kept_text", "spans", "component_id", "token", "score", "weight", "y", "item", "bin")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, size int, node string, " + ", ".join(f"{c} string" for c in CLASHING)
 VOCABULARY = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re", "éa", "ßo") for b in ("n", "ra", "st", "x", ".", "o,", "ing", "D")]
 
 
@@ -37,7 +39,7 @@ def texts() -> list[tuple[int | None, str | None]]:
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     rng = random.Random(1)
-    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["s0", "s1", None]), None if t is None else len(t), "clash", 1, "x") for i, t in texts]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["s0", "s1", None]), None if t is None else len(t), "clash", 1, "x", *CLASHING) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
 
 

@@ -14,6 +14,7 @@ from sonara.llm.common import Scratch
 from sonara.llm.components import components
 
 from . import brute
+from .conftest import CLASHING
 
 
 def test_words_and_hashes():
@@ -84,8 +85,10 @@ def test_one_document_of_each_group_stays(docs, texts):
     kept = ngram_join.keep_one_per_component(docs)
     assert kept.columns == docs.columns
     least = {c for i, _, c in brute.components(texts) if i is not None}
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(least) and ids.count(None) == sum(i is None for i, _ in texts)
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = sorted({(i, t or "") for i, t in texts if i in least}) + sorted((-1, t or "") for i, t in texts if i is None)
+    assert sorted((i, t or "") for i, t in rows if i is not None) + sorted((-1, t or "") for i, t in rows if i is None) == want
+    assert all(r[c] == c for r in kept.collect() for c in CLASHING)
 
 
 def test_empty(nothing):

@@ -46,6 +46,8 @@ def test_urls_against_all_rules(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, RULES).collect()}
     assert got == {k: plain_rule(u) for k, u in enumerate(urls)}
     assert url_filter.filter_urls(pages.limit(0), RULES).collect() == []
+    clashing = pages.selectExpr("*", "'x' as _judged", "1 as _row", "'h' as host")
+    assert {(r["page_id"], r["host"], r["_judged"], r["_row"]) for r in url_filter.filter_urls(clashing, RULES).collect()} == {(k, plain_rule(u)[0], "x", 1) for k, u in enumerate(urls)}
     with pytest.raises(ValueError):
         url_filter.parse_rule("deny", "x/")
 
