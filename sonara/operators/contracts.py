@@ -31,6 +31,15 @@ def violations(rows: DataFrame, rule: str, key: Column, broken: Column, detail:
     return rows.where(F.coalesce(broken, F.lit(True))).select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (F.lit("") if detail is None else detail).cast("string").alias("detail"))
 
 
+def row_violations(rows: DataFrame, key: Column, *rules: tuple) -> DataFrame:
+    """The same for several rules (name, broken[, detail]) over one table, in one pass over its rows."""
+    found = [
+        F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (detail[0] if detail else F.lit("")).cast("string").alias("detail")))
+        for rule, broken, *detail in rules
+    ]
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("v")).select("v.*")
+
+
 def all_of(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -68,10 +77,13 @@ def audio_violations(headers: DataFrame) -> DataFrame:
 def utterance_violations(utterances: DataFrame) -> DataFrame:
     path, speaker = F.col("path"), F.col("speaker_id")
     return all_of(
-        violations(utterances, "portable_path", path, ~safe_path(path)),
-        violations(utterances, "parent_is_speaker", path, parent_name(path) != speaker),
-        violations(utterances, "wav_suffix", path, ~F.lower(file_name(path)).endswith(".wav")),
-        violations(utterances, "empty_speaker", path, F.length(speaker) == 0),
+        row_violations(
+            utterances, path,
+            ("portable_path", ~safe_path(path)),
+            ("parent_is_speaker", parent_name(path) != speaker),
+            ("wav_suffix", ~F.lower(file_name(path)).endswith(".wav")),
+            ("empty_speaker", F.length(speaker) == 0),
+        ),
         duplicates(utterances, "unique_path", path),
         duplicates(utterances.groupBy(F.lower(path).alias("folded"), path.alias("p")).count(), "unique_path_ignoring_case", F.col("folded")),
     )
@@ -84,9 +96,12 @@ def manifest_violations(manifest: DataFrame, split: DataFrame, labels: DataFrame
     span = labels.agg(F.count("*").alias("n"), F.countDistinct("label").alias("d"), F.coalesce(F.min("label"), F.lit(0)).alias("lo"), F.coalesce(F.max("label"), F.lit(-1)).alias("hi"))
     train = F.col("split") == SPLITS[0]
     return all_of(
-        violations(joined, "known_split", path, ~F.col("final_split").isin(*SPLITS)),
-        violations(joined, "row_split_is_speaker_split", path, F.col("final_split") != F.col("split")),
-        violations(joined, "label_of_train_speaker", path, F.when(train, label != F.col("label")).otherwise(label != NO_LABEL)),
+        row_violations(
+            joined, path,
+            ("known_split", ~F.col("final_split").isin(*SPLITS)),
+            ("row_split_is_speaker_split", F.col("final_split") != F.col("split")),
+            ("label_of_train_speaker", F.when(train, label != F.col("label")).otherwise(label != NO_LABEL)),
+        ),
         duplicates(split, "one_split_per_speaker", speaker),
         duplicates(manifest, "unique_path", path),
         violations(span, "contiguous_labels", F.lit("labels"), (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("d") != F.col("n"))),
@@ -94,6 +109,30 @@ def manifest_violations(manifest: DataFrame, split: DataFrame, labels: DataFrame
     )
 
 
+def provenance_violations(provenance: DataFrame) -> DataFrame:
+    """Provenance rows (relative_path, speaker_id): safe paths below their speaker, unique also when case is ignored."""
+    path = F.col("relative_path")
+    return all_of(
+        row_violations(provenance, path, ("safe_path", ~safe_path(path)), ("parent_is_speaker", parent_name(path) != F.col("speaker_id"))),
+        duplicates(provenance, "unique_path", path),
+        duplicates(provenance.groupBy(F.lower(path).alias("folded"), path.alias("p")).count(), "unique_path_ignoring_case", F.col("folded")),
+    )
+
+
+def lineage_violations(manifest: DataFrame, provenance: DataFrame, summary: dict[str, int], checks: dict[str, bool]) -> DataFrame:
+    """A manifest (path, speaker_id) against the provenance it comes from: the same paths, the rows and speakers that a
+    summary declares, and every external check (by name) passed."""
+    spark = manifest.sparkSession
+    counts = manifest.agg(F.count("*").alias("rows"), F.countDistinct("speaker_id").alias("speakers"))
+    declared = [violations(counts, f"declared_{k}", F.lit(k), F.col(k) != v, F.col(k)) for k, v in summary.items()]
+    flags = spark.createDataFrame(list(checks.items()) or [("none", True)], "name string, passed boolean")
+    return all_of(
+        violations(set_difference(provenance.select("relative_path"), manifest.select("path")), "same_paths", F.col("key"), F.lit(True), F.col("side")),
+        *declared,
+        violations(flags, "external_check", F.col("name"), ~F.col("passed")),
+    )
+
+
 def feature_violations(features: DataFrame, shape: tuple[int, int] = FEATURE_SHAPE) -> DataFrame:
     """Rows whose ``fbank`` (array of frames) has not the shape or an entry that is not finite."""
     frames = F.col("fbank")
@@ -106,9 +145,12 @@ def train_only_violations(index: DataFrame, n_labels: int) -> DataFrame:
     """Rows that training must not see: other splits, shard paths outside ``train/``, labels out of range."""
     key = F.col("relative_audio_path")
     return all_of(
-        violations(index, "train_split", key, F.col("final_split") != SPLITS[0]),
-        violations(index, "train_shard_path", key, ~F.col("shard_path").rlike(SHARD_NAME)),
-        violations(index, "train_label", key, (F.col("speaker_label") < 0) | (F.col("speaker_label") >= n_labels)),
+        row_violations(
+            index, key,
+            ("train_split", F.col("final_split") != SPLITS[0]),
+            ("train_shard_path", ~F.col("shard_path").rlike(SHARD_NAME)),
+            ("train_label", (F.col("speaker_label") < 0) | (F.col("speaker_label") >= n_labels)),
+        ),
     )
 
 
@@ -132,8 +174,11 @@ def bound_file_violations(files: DataFrame, bindings: DataFrame) -> DataFrame:
     return all_of(
         violations(joined, "bound_hash", F.col("path"), F.col("sha256") != F.col("_found")),
         violations(hashed.join(bindings, "path", "left_anti"), "bound_names", F.col("path"), F.lit(True)),
-        violations(bindings, "no_final_test", F.col("path"), F.exists(parts, lambda p: F.contains(p, F.lit("final")) | (p == "test"))),
-        violations(bindings, "safe_path", F.col("path"), ~safe_path(F.col("path"), None)),
+        row_violations(
+            bindings, F.col("path"),
+            ("no_final_test", F.exists(parts, lambda p: F.contains(p, F.lit("final")) | (p == "test"))),
+            ("safe_path", ~safe_path(F.col("path"), None)),
+        ),
     )
 
 
@@ -151,6 +196,9 @@ def cursor_violations(cursors: DataFrame, batches: int) -> DataFrame:
     """Checkpoint cursors (epoch, position, steps): steps = epoch * batches + position, position within the epoch."""
     key = F.concat_ws("/", "epoch", "position")
     return all_of(
-        violations(cursors, "cursor_steps", key, F.col("steps") != F.col("epoch") * batches + F.col("position")),
-        violations(cursors, "cursor_range", key, (F.col("epoch") < 0) | (F.col("position") < 0) | (F.col("position") > batches)),
+        row_violations(
+            cursors, key,
+            ("cursor_steps", F.col("steps") != F.col("epoch") * batches + F.col("position")),
+            ("cursor_range", (F.col("epoch") < 0) | (F.col("position") < 0) | (F.col("position") > batches)),
+        ),
     )

@@ -9,7 +9,7 @@ from ..functions.digests import stable_digest
 from ..functions.ranking import digest_rank, ordered_rank
 from ..functions.text import numbered
 from ..scratch import Scratch
-from .contracts import all_of, duplicates, violations
+from .contracts import all_of, duplicates, row_violations, violations
 from .splits import SEED
 
 #: Purposes in the digests.
@@ -238,8 +238,11 @@ def trial_violations(trials: DataFrame, utterances: DataFrame) -> DataFrame:
         violations(trials, "self_pair", key, F.col("left_audio_path") == F.col("right_audio_path")),
         violations(joined, "known_path", key, F.col("_l").isNull() | F.col("_r").isNull()),
         violations(joined.where("_l is not null and _r is not null"), "declared_owner", key, (F.col("_l") != F.col("left_speaker_id")) | (F.col("_r") != F.col("right_speaker_id"))),
-        violations(trials, "target_value", key, ~F.col("target").isin(0, 1)),
-        violations(trials, "target_is_same_speaker", key, (F.col("target") == 1) != (F.col("left_speaker_id") == F.col("right_speaker_id"))),
+        row_violations(
+            trials, key,
+            ("target_value", ~F.col("target").isin(0, 1)),
+            ("target_is_same_speaker", (F.col("target") == 1) != (F.col("left_speaker_id") == F.col("right_speaker_id"))),
+        ),
         violations(owners.select(F.col("owner").alias("speaker_id")).distinct().join(seen, "speaker_id", "left_anti"), "represented_speaker", F.col("speaker_id"), F.lit(True)),
         violations(counts, "balanced_targets", F.lit("counts"), F.col("g") != F.col("i")),
     )
