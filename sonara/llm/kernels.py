@@ -36,20 +36,25 @@ def _inverse(x: int) -> int:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64: kept for a chunk of usual size, made anew for a longer one."""
 
     def __init__(self, base: int) -> None:
         self._bases = [np.uint64(base), np.uint64(_inverse(base))]
-        self._tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._tables[0]) <= n:
-            size = max(n + 1, CHUNK_BYTES + 1)
-            for k, base in enumerate(self._bases):
-                table = np.full(size, base, np.uint64)
-                table[0] = 1
-                self._tables[k] = np.multiply.accumulate(table)
-        return self._tables[0], self._tables[1]
+        self._kept: list[np.ndarray] | None = None
+
+    def _tables(self, size: int) -> list[np.ndarray]:
+        tables = [np.full(size, base, np.uint64) for base in self._bases]
+        for table in tables:
+            table[0] = 1
+            np.multiply.accumulate(table, out=table)
+        return tables
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if n > CHUNK_BYTES:
+            return self._tables(n + 1)
+        if self._kept is None:
+            self._kept = self._tables(CHUNK_BYTES + 1)
+        return self._kept
 
 
 _BYTE_POWERS = _Powers(_BYTE_BASE)

@@ -17,7 +17,7 @@ from . import kernels as K
 #: Words known to a worker at most, at about 30 bytes each.
 MAX_WORDS = 800_000
 #: Bytes of text encoded at once: more words of a chunk are alike the larger it is.
-TOKEN_CHUNK_BYTES = 1 << 20
+TOKEN_CHUNK_BYTES = 1 << 19
 #: New words before they are sorted in among the known ones.
 RECENT_WORDS = 50_000
 
