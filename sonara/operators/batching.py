@@ -6,7 +6,9 @@ recomputed alone and resuming is a filter on ``batch_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import stable_digest
@@ -102,6 +104,11 @@ def collate(batches: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return packed.select("batch_id", F.col("r.path").alias("paths"), *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
+def load(collated: DataFrame) -> Iterator[Row]:
+    """The rows of ``collate`` in batch order, one range of them at a time at the driver."""
+    return collated.orderBy("batch_id").toLocalIterator(prefetchPartitions=True)
+
+
 def resume(batches: DataFrame, position: int, batches_per_epoch: int) -> DataFrame:
     """What is left of an epoch from a position on; one beyond the end is an error."""
     if not 0 <= position < batches_per_epoch:

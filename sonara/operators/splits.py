@@ -57,3 +57,8 @@ def split_overlap(manifest: DataFrame) -> DataFrame:
     """One row (shared_speakers, shared_paths): how many lie in more than one split."""
     several = lambda c: manifest.groupBy(c).agg(F.countDistinct("final_split").alias("n")).where("n > 1").agg(F.count("*").alias(f"shared_{c}"))
     return several("speaker_id").join(several("relative_audio_path")).select(F.col("shared_speaker_id").alias("shared_speakers"), F.col("shared_relative_audio_path").alias("shared_paths"))
+
+
+def duration_totals(rows: DataFrame, by: str = "final_split", duration: str = "duration_sec") -> DataFrame:
+    """Rows (``by``, n_rows, total): seconds with one decimal, as text."""
+    return rows.groupBy(by).agg(F.count("*").alias("n_rows"), F.format_string("%.1f", F.coalesce(F.sum(F.col(duration).cast("double")), F.lit(0.0))).alias("total"))

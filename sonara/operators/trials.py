@@ -246,3 +246,9 @@ def trial_violations(trials: DataFrame, utterances: DataFrame) -> DataFrame:
         violations(owners.select(F.col("owner").alias("speaker_id")).distinct().join(seen, "speaker_id", "left_anti"), "represented_speaker", F.col("speaker_id"), F.lit(True)),
         violations(counts, "balanced_targets", F.lit("counts"), F.col("g") != F.col("i")),
     )
+
+
+def contiguous_violations(trials: DataFrame) -> DataFrame:
+    """Integer trial ids that do not run from 0 without gaps."""
+    span = trials.agg(F.count("*").alias("n"), F.countDistinct("trial_id").alias("d"), F.coalesce(F.min("trial_id"), F.lit(0)).alias("lo"), F.coalesce(F.max("trial_id"), F.lit(-1)).alias("hi"))
+    return violations(span, "contiguous_ids", F.lit("trials"), (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("d") != F.col("n")), F.col("n"))

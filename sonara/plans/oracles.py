@@ -134,7 +134,67 @@ aam AS (SELECT vec_id, label, class, 30.0 * CASE WHEN label <> class THEN c WHEN
 _BROKEN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in BROKEN)
 _R = lambda *cs: ", ".join(f"round({c}, 9) AS {c}" for c in cs)
 
+_E = lambda text, c="relative_audio_path": f"ends_with({c}, '{text}')"
+#: The index with what ``index_rules`` bends; i: offset, b: bins, g: group, l: label.
+BENT = f"""bx AS (SELECT *, within_shard_index + CASE WHEN {_E("77.wav")} THEN 1 ELSE 0 END AS i, CASE WHEN {_E("5.wav")} THEN 81 ELSE 80 END AS b, CASE WHEN {_E("3.wav")} THEN 'other' ELSE 'train' END AS g,
+  CASE WHEN {_E("8.wav")} THEN 1000000 ELSE speaker_label END AS l FROM idx),
+nl AS (SELECT count(*) AS c FROM lab),
+b3 AS (SELECT *, CAST(manifest_row_index // 512 AS BIGINT) * 512 + i AS rr FROM bx),
+lr AS (SELECT count(*) AS n FROM bx, nl WHERE CASE WHEN final_split = 'train' THEN l < 0 OR l >= c ELSE l <> -1 END),
+cov AS (SELECT count(DISTINCT CASE WHEN l >= 0 AND l < c THEN l END) <> any_value(c) AS gap FROM bx, nl WHERE final_split = 'train')"""
+_STATES = f"""pl AS (SELECT shard_path AS shard, relative_audio_path AS a, speaker_id AS b, speaker_label AS c, final_split AS d, within_shard_index AS e FROM idx),
+stx AS (SELECT * FROM pl WHERE NOT ends_with(a, '777.wav') AND shard <> 'validation/shard_00000.pt' UNION ALL SELECT 'final_test/shard_99999.pt', a, b, c, d, e FROM pl WHERE shard = 'final_test/shard_00000.pt'),
+pg AS (SELECT shard, count(*) AS n, list((a, b, c, d, e) ORDER BY a) AS r FROM pl GROUP BY 1), sg AS (SELECT shard, count(*) AS n, list((a, b, c, d, e) ORDER BY a) AS r FROM stx GROUP BY 1),
+states AS (SELECT coalesce(pg.shard, sg.shard) AS shard, coalesce(pg.n, 0) AS planned, coalesce(sg.n, 0) AS stored, CASE WHEN sg.n IS NULL THEN 'missing' WHEN pg.n IS NULL THEN 'unexpected' WHEN pg.r = sg.r THEN 'valid' ELSE 'different' END AS state FROM pg FULL JOIN sg ON pg.shard = sg.shard)"""
+_CACHE = f"""cfg AS (SELECT sha256('{{"feature_bins":80,"feature_frames":301,"shard_size":512}}') AS h),
+ci AS (SELECT final_split, count(*) AS n_rows, count(DISTINCT shard_path) AS n_shards, count(DISTINCT speaker_id) AS n_speakers FROM idx GROUP BY 1),
+ch AS ({" UNION ALL ".join(f"SELECT '{x}' AS final_split, identity FROM ({IDENTITY('SELECT ' + _json(relative_audio_path='relative_audio_path', speaker_id='speaker_id', speaker_label_n='speaker_label', final_split='final_split', manifest_row_index_n='manifest_row_index', shard_path='shard_path', within_shard_index_n='within_shard_index') + f" AS j FROM idx WHERE final_split = '{x}'")})" for x in ("train", "validation", "final_test"))}),
+cid AS (SELECT 'fbank-cache' AS kind, final_split, n_rows, n_shards, n_speakers, identity AS index_identity, h AS config_sha256 FROM ci JOIN ch USING (final_split), cfg),
+cache AS (SELECT *, sha256({_json(kind="kind", final_split="final_split", n_rows_n="n_rows", n_shards_n="n_shards", n_speakers_n="n_speakers", index_identity="index_identity", config_sha256="config_sha256")}) AS identity_sha256 FROM cid)"""
+_counted = lambda *rules: "SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule FROM {q}" for r, q in rules) + ") GROUP BY 1"
+
 ORACLE_SQL = {
+    "index_rules": f"""WITH {INDEX}, {BENT} SELECT * FROM (
+  SELECT 1 AS version, 'offset_range' AS rule, count(*) AS n FROM bx WHERE i >= 512 UNION ALL SELECT 1, 'label_range', n FROM lr UNION ALL SELECT 1, 'file_name_group', count(*) FROM bx WHERE g = 'other' UNION ALL SELECT 1, 'feature_metadata', count(*) FROM bx WHERE b <> 80
+  UNION ALL SELECT 2, 'offset_range', count(*) FROM bx WHERE i >= 512 UNION ALL SELECT 2, 'label_range', n FROM lr UNION ALL SELECT 2, 'file_name_group', count(*) FROM bx WHERE g = 'other' UNION ALL SELECT 2, 'feature_metadata', count(*) FROM bx WHERE b <> 80
+  UNION ALL SELECT 2, 'offset_of_row', count(*) FROM bx WHERE i <> manifest_row_index % 512 UNION ALL SELECT 2, 'label_coverage', count(*) FROM cov WHERE gap
+  UNION ALL SELECT 3, 'offset_range', count(*) FROM bx WHERE i >= 512 UNION ALL SELECT 3, 'label_range', n FROM lr UNION ALL SELECT 3, 'label_coverage', count(*) FROM cov WHERE gap
+  UNION ALL SELECT 3, 'shard_of_row', count(*) FROM b3 WHERE rr // 512 <> manifest_row_index // 512 UNION ALL SELECT 3, 'offset_of_row', count(*) FROM b3 WHERE i <> rr % 512
+  UNION ALL SELECT 3, 'gapless_rows', count(*) FROM (SELECT final_split FROM b3 GROUP BY 1 HAVING min(rr) <> 0 OR max(rr) <> count(*) - 1 OR count(DISTINCT rr) <> count(*))) WHERE n > 0""",
+    "normalised_index": f"""WITH {INDEX} SELECT relative_audio_path, speaker_label, CASE WHEN final_split = 'train' THEN 'train' ELSE '' END AS filename_group, '' AS duplicate_group, '' AS manifest_version, -1 AS manifest_row_index FROM idx WHERE final_split <> 'final_test'""",
+    "shard_contract": """WITH v AS (SELECT vec_id, 'train/shard_' || lpad(CAST(vec_id // 512 AS VARCHAR), 5, '0') || '.pt' AS key FROM embeddings)
+SELECT DISTINCT 'finite_features' AS rule, key FROM v WHERE vec_id % 900 = 7 UNION ALL SELECT DISTINCT 'feature_shape', key FROM v WHERE vec_id % 900 = 7 UNION ALL SELECT DISTINCT 'identifiers', key FROM v WHERE vec_id % 700 = 3""",
+    "shard_states": f"WITH {INDEX}, {_STATES} SELECT * FROM states",
+    "plan_state": f"""WITH {INDEX}, {_STATES}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE state = 'valid') AS valid, count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state = 'different') AS conflicts FROM states WHERE state <> 'unexpected')
+SELECT *, CASE WHEN conflicts > 0 THEN NULL WHEN total > 0 AND missing = 0 THEN 'complete' WHEN valid > 0 THEN 'resume' ELSE 'new' END AS plan FROM c""",
+    "concat_shards": f"WITH {INDEX} SELECT relative_audio_path, row_number() OVER (ORDER BY shard_path, within_shard_index) - 1 AS position FROM idx",
+    "cache_identity": f"WITH {INDEX}, {_CACHE} SELECT * FROM cache",
+    "identity_contract": f"""WITH {INDEX}, {_CACHE} {_counted(("field_n_shards", "cache WHERE n_shards <> 1"), ("self_hash", "cache WHERE final_split = 'train'"))}""",
+    "trial_identity": f"""WITH {UTT},{_neighbours("utt")}, ends AS (SELECT s, count(*) AS n FROM (SELECT ls AS s FROM tr UNION ALL SELECT rs FROM tr) GROUP BY 1),
+ti AS ({IDENTITY("SELECT " + _json(left_audio_path="l", right_audio_path="r", left_speaker_id="ls", right_speaker_id="rs", target_n="target") + " AS j FROM tr")}), mi AS ({IDENTITY("SELECT " + _json(path="path", speaker_id="speaker_id") + " AS j FROM utt")}),
+one AS (SELECT 'verification-trials' AS kind, (SELECT count(*) FROM tr WHERE target = 1) AS genuine, (SELECT count(*) FROM tr WHERE target = 0) AS impostor, (SELECT count(*) FROM ends) AS n_speakers, (SELECT min(n) FROM ends) AS least_endpoints, (SELECT max(n) FROM ends) AS most_endpoints, ti.identity AS trials_identity, mi.identity AS manifest_identity FROM ti, mi)
+SELECT *, sha256({_json(kind="kind", genuine_n="genuine", impostor_n="impostor", n_speakers_n="n_speakers", least_endpoints_n="least_endpoints", most_endpoints_n="most_endpoints", trials_identity="trials_identity", manifest_identity="manifest_identity")}) AS identity_sha256 FROM one""",
+    "score_alignment": f"""WITH {EMB},{_scores()}, k AS (SELECT * FROM sc WHERE NOT ends_with(l, '77.wav')) {_counted(
+        ("missing_score", "sc WHERE ends_with(l, '77.wav') OR ends_with(l, '31.wav')"), ("known_trial", "k WHERE ends_with(l, '31.wav')"), ("target_of_trial", "k WHERE ends_with(l, '5.wav')"), ("unique_score", "k WHERE ends_with(l, '9.wav')"))}""",
+    "input_guards": f"""WITH e AS (SELECT vec_id, label FROM embeddings) {_counted(("embedding_dimension", "e WHERE vec_id % 50 = 0"), ("label_range", "e WHERE label < 0 OR label >= 9"), ("relative_length", "e WHERE vec_id % 101 = 0"))}""",
+    "checkpoint_contract": f"""WITH u AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1) {_counted(
+        ("cursor_steps", "u WHERE u % 10 = 0"), ("scheduler_steps", "u WHERE u % 10 = 0"), ("cursor_range", "u WHERE n % 40 > 32"), ("sampler_state", "u WHERE u % 8 <> u % 7"), ("final_test_untouched", "u WHERE u % 90 = 0"), ("stopping_rule", "u WHERE u % 60 = 0"))}""",
+    "duration_totals": f"WITH {SPLIT} SELECT final_split, count(*) AS n_rows, printf('%.1f', round(sum(30 + CAST(speaker_id AS BIGINT) % 10) / 10.0, 1)) AS total FROM man GROUP BY 1",
+    "lineage_contract": f"""WITH {UTT}, m AS (SELECT * FROM utt WHERE NOT ends_with(path, '77.wav')), p AS (SELECT * FROM utt WHERE NOT ends_with(path, '5.wav')),
+d AS (SELECT path FROM p WHERE path NOT IN (SELECT path FROM m) UNION ALL SELECT path FROM m WHERE path NOT IN (SELECT path FROM p))
+{_counted(("same_paths", "d"), ("declared_rows", "(SELECT count(*) AS c FROM m) WHERE c <> 1"), ("declared_speakers", "(SELECT count(DISTINCT speaker_id) AS c FROM m) WHERE c <> 1"), ("external_check", "(SELECT 1)"))}""",
+    "provenance_contract": f"""WITH {UTT} {_counted(("unique_path_ignoring_case", "utt WHERE ends_with(path, '7.wav')"), ("unique_path", "utt WHERE ends_with(path, '77.wav')"))}""",
+    "train_guard": f"""WITH {INDEX} {_counted(("train_split", "idx WHERE final_split <> 'train'"), ("train_shard_path", "idx WHERE NOT regexp_full_match(shard_path, 'train/shard_[0-9]{5,}.pt')"), ("train_label", "idx WHERE speaker_label < 0 OR speaker_label >= 100"))}""",
+    "sampler_contract": f"""WITH {INDEX}, t AS (SELECT speaker_id, speaker_label + CASE WHEN {_E("77.wav")} THEN 1 ELSE 0 END AS l FROM idx WHERE final_split = 'train'),
+g AS (SELECT count(*) AS n, min(l) AS lo, max(l) AS hi FROM (SELECT DISTINCT l FROM t))
+SELECT 'one_label_per_speaker' AS rule, speaker_id AS key, '' AS detail FROM t GROUP BY speaker_id HAVING count(DISTINCT l) > 1
+UNION ALL SELECT 'one_speaker_per_label', CAST(l AS VARCHAR), '' FROM t GROUP BY l HAVING count(DISTINCT speaker_id) > 1 UNION ALL SELECT 'contiguous_labels', 'labels', '' FROM g WHERE lo <> 0 OR hi <> n - 1""",
+    "bound_files": f"""WITH d AS (SELECT doc_id FROM documents WHERE text IS NOT NULL) {_counted(("bound_hash", "d WHERE doc_id % 10 = 1 AND doc_id % 25 <> 0"), ("bound_names", "d WHERE doc_id % 25 = 0"), ("no_final_test", "d WHERE doc_id % 40 = 3 AND doc_id % 25 <> 0"))}""",
+    "absolute_roots": "SELECT 'no_absolute_root' AS rule, count(*) AS n FROM pages WHERE coalesce(contains(html, 'example.org'), true) HAVING count(*) > 0",
+    "config_contract": "SELECT 'config' AS rule, count(*) FILTER (WHERE p_size IS DISTINCT FROM 10) + count(*) FILTER (WHERE p_brand IS DISTINCT FROM 'Brand#4') AS n FROM part",
+    "inference": "SELECT vec_id, CAST(d AS INTEGER) AS dim, round(CAST(CAST(CAST(embedding[d + 1] AS DOUBLE) * 2 - embedding[d + 5] AS FLOAT) AS DOUBLE), 5) AS value FROM embeddings, (SELECT unnest(range(0, 4)) AS d)",
+    "artifact_reuse": f"""WITH e AS (SELECT vec_id FROM embeddings) {_counted(("binding", "e WHERE vec_id % 70 = 0 AND vec_id % 100 <> 0"), ("missing_embedding", "e WHERE vec_id % 100 = 0 AND vec_id % 90 <> 1"), ("unexpected_embedding", "e WHERE vec_id % 90 = 1 AND vec_id % 100 <> 0"))}""",
+    "full_batches": f"WITH {UTT}, r AS (SELECT path, row_number() OVER (ORDER BY {_digest("'0'", 'path')}, path) - 1 AS n FROM utt) SELECT n // 32 AS batch_id, CAST(n % 32 AS INTEGER) AS slot, path FROM r WHERE n // 32 BETWEEN 2 AND (SELECT count(*) // 32 - 1 FROM utt)",
     "trial_scores": f"WITH {EMB},{_scores()} SELECT l AS left_audio_path, r AS right_audio_path, target, score FROM sc",
     "eer_trials": f"""WITH {EMB},{_scores()}, {_points()}, {_eer()}
 SELECT (SELECT count(*) FROM sc WHERE target = 1) AS n_genuine, (SELECT count(*) FROM sc WHERE target = 0) AS n_impostor, {_R("eer", "eer_threshold")},
@@ -251,3 +311,6 @@ SELECT user_id, frame, count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP
 SELECT count(*) AS n, round(max(d), 6) AS max_abs_diff, bool_and(d <= 1e-6 + 1e-5 * abs(x)) AS all_close FROM e""",
     "norm_and_delta": f"""WITH {CENTROIDS} SELECT round(sqrt(sum(x * x / 4)), 4) AS norm, round(max(abs(x / 2)), 4) AS max_delta, round(sum(abs(x / 2)), 4) AS sum_delta, CAST(0 AS BIGINT) AS n_bad FROM dim""",
 }
+
+ORACLE_SQL["legacy_ids"] = f"""WITH lt AS ({ORACLE_SQL["legacy_trials"]}), s AS (SELECT count(*) AS n, min(trial_id) AS lo, max(trial_id) AS hi FROM lt WHERE trial_id % 1000 <> 999)
+SELECT 'contiguous_ids' AS rule, 'trials' AS key, CAST(n AS VARCHAR) AS detail FROM s WHERE lo <> 0 OR hi <> n - 1"""

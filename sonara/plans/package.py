@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import sha256, table_identity
+from ..operators import caches, contracts, metrics, scoring, shards, splits, trials
 from ..scratch import Scratch
-from ..operators import contracts, metrics, scoring, shards, splits, trials
 from ..sources import tables, wav
 
 
@@ -60,7 +63,43 @@ def evaluation_report(trial_rows: DataFrame, embeddings: DataFrame, digits: int
     return report.withColumn("report_sha256", sha256(F.to_json(F.struct("eer", "genuine", "impostor", "trials_identity"))))
 
 
+def saved_embeddings(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray], path: str, binding: str, dimension: int, key: str = "path", vector: str = "features") -> DataFrame:
+    """Embeddings of ``rows`` by ``function``: those saved at ``path`` if they are whole and of the same ``binding`` (say, a
+    digest of the model and the index), else computed in batches and saved.  Saved ones that do not fit are an error."""
+    spark = rows.sparkSession
+    if not tables.exists(spark, path):
+        tables.replace(caches.infer(rows, function, key, vector).withColumn("binding", F.lit(binding)), path)
+    saved = spark.read.parquet(path)
+    contracts.require(caches.artifact_violations(saved, rows.select(key), binding, dimension, key))
+    return saved.select(key, "embedding")
+
+
+def save_checkpoint(checkpoint: DataFrame, path: str, batches: int, config_sha256: str, seed: int) -> None:
+    """Replace the checkpoint at ``path`` by a valid one."""
+    contracts.require(caches.checkpoint_violations(checkpoint, batches, config_sha256, seed))
+    tables.replace(checkpoint, path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, batches: int, config_sha256: str, seed: int) -> DataFrame:
+    """The checkpoint at ``path``, if it belongs to this experiment."""
+    found = spark.read.parquet(path)
+    contracts.require(caches.checkpoint_violations(found, batches, config_sha256, seed))
+    return found
+
+
 def resumable_cursor(cursors: DataFrame, batches: int) -> DataFrame:
     """The latest valid checkpoint cursor (epoch, position, steps)."""
     contracts.require(contracts.cursor_violations(cursors, batches))
     return cursors.orderBy(F.desc("steps")).limit(1)
+
+
+def final_evaluation(trial_rows: DataFrame, embeddings: DataFrame, out: str, check: bool = False) -> DataFrame | None:
+    """The report on the final test, which may be made once: a marker beside ``out`` is claimed before anything is
+    scored.  With ``check`` inputs are checked and nothing is scored or claimed."""
+    spark = trial_rows.sparkSession
+    contracts.require(scoring.embedding_violations(trial_rows, embeddings))
+    if check:
+        return None
+    tables.claim(spark, f"{out.rstrip('/')}.claimed", table_identity(trial_rows).first()["identity"])
+    tables.write_exact(evaluation_report(trial_rows, embeddings), out)
+    return spark.read.parquet(out)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import table_identity
-from ..operators import batching, contracts, features, learning, metrics, scoring, shards, splits, trials
+from ..functions.text import numbered
+from ..operators import batching, caches, contracts, features, learning, metrics, scoring, shards, splits, trials
 from . import package
 from .carriers import embeddings, table, utterances
 
@@ -142,6 +143,190 @@ def cache_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.all_of(shards.cache_violations(index), shards.alignment_violations(index)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def _ends(text: str) -> Column:
+    return F.col("relative_audio_path").endswith(text)
+
+
+def _by_rule(found: DataFrame, **more: Column) -> DataFrame:
+    return found.groupBy("rule").agg(F.count("*").alias("n")).select(*[c.alias(k) for k, c in more.items()], "rule", "n")
+
+
+def index_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by version and rule, of the index in its three schemas: offsets of paths ending in 77 have moved on by
+    one, bins are 81 where they end in 5, groups unknown where they end in 3, labels out of range where they end in 8."""
+    built = package.package_tables(utterances(spark, sf_dir))
+    bent = built["feature_index"].withColumns({
+        "within_shard_index": F.col("within_shard_index") + _ends("77.wav").cast("int"), "feature_bins": F.when(_ends("5.wav"), 81).otherwise(80), "feature_frames": F.lit(301), "feature_dtype": F.lit("float32"),
+        "filename_group": F.when(_ends("3.wav"), "other").otherwise("train"), "manifest_version": F.lit("v2"), "speaker_label": F.when(_ends("8.wav"), 1_000_000).otherwise(F.col("speaker_label")),
+    })
+    names = {
+        1: {"shard_path": "feature_shard_path", "within_shard_index": "feature_index", "feature_bins": "feature_dim"},
+        2: {"relative_audio_path": "audio_path", "speaker_label": "label"},
+        3: {},
+    }
+    n = built["speaker_to_label"].count()
+    return contracts.all_of(*[_by_rule(caches.index_violations(bent.withColumnsRenamed(r), v, n), version=F.lit(v)) for v, r in names.items()])
+
+
+def normalised_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train rows in the first schema and validation rows in the third as one table."""
+    index = _index(spark, sf_dir).drop("manifest_row_index")
+    old = index.where("final_split = 'train'").withColumn("filename_group", F.lit("train"))
+    return shards.normalised_index(old, index.where("final_split = 'validation'")).select("relative_audio_path", "speaker_label", "filename_group", "duplicate_group", "manifest_version", "manifest_row_index")
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 512 vectors, some of which have a number that is not finite or lack their speaker."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.lit("train").alias("final_split"), numbered("train/shard_", F.expr("vec_id div 512"), tail=".pt").alias("shard_path"), (F.col("vec_id") % 512).cast("int").alias("within_shard_index"),
+        F.col("vec_id").cast("string").alias("relative_audio_path"), F.when(F.col("vec_id") % 700 == 3, "").otherwise(F.col("label").cast("string")).alias("speaker_id"), F.col("label").alias("speaker_label"),
+        F.when(F.col("vec_id") % 900 == 7, F.array(F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding")).alias("fbank"),
+    )
+    return shards.shard_payloads(rows.drop("fbank"), rows.select("relative_audio_path", "fbank"))
+
+
+def shard_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caches.payload_violations(_payloads(spark, sf_dir), shape=None).select("rule", "key")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against a store that lost a row in 1000, all of validation shard 0, and gained a shard."""
+    index = _index(spark, sf_dir).drop("manifest_row_index")
+    stored = index.where(~_ends("777.wav") & (F.col("shard_path") != "validation/shard_00000.pt"))
+    extra = index.where(F.col("shard_path") == "final_test/shard_00000.pt").withColumn("shard_path", F.lit("final_test/shard_99999.pt"))
+    return caches.shard_states(index, stored.unionByName(extra))
+
+
+def shard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir)
+
+
+def plan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caches.plan_state(_states(spark, sf_dir).where("state != 'unexpected'"))
+
+
+def concat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caches.concat_shards(_index(spark, sf_dir)).select("relative_audio_path", "position")
+
+
+def cache_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = spark.range(1).select(F.lit(512).alias("shard_size"), F.lit(301).alias("feature_frames"), F.lit(80).alias("feature_bins"))
+    return caches.cache_identity(_index(spark, sf_dir), config)
+
+
+def identity_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of identities of which those of train rows claim one row more."""
+    bent = cache_identity(spark, sf_dir).withColumn("n_rows", F.col("n_rows") + (F.col("final_split") == "train").cast("long"))
+    return _by_rule(caches.identity_violations(bent, {"kind": "fbank-cache", "n_shards": 1}, "final_split"))
+
+
+def trial_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = utterances(spark, sf_dir)
+    return caches.trial_identity(trials.neighbour_trials(rows, WIDTH), rows)
+
+
+def score_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of saved scores: some lost, some twice, some of another target, some of no trial."""
+    scored = _emb_scores(spark, sf_dir).withColumn("trial_id", F.concat_ws(" ", "target", "left_audio_path", "right_audio_path"))
+    left = F.col("left_audio_path")
+    kept = scored.where(~left.endswith("77.wav")).withColumns({"target": F.when(left.endswith("5.wav"), 1 - F.col("target")).otherwise(F.col("target")), "trial_id": F.when(left.endswith("31.wav"), F.concat(F.lit("no "), "trial_id")).otherwise(F.col("trial_id"))})
+    return _by_rule(caches.score_violations(kept.unionByName(kept.where(left.endswith("9.wav"))), scored))
+
+
+def input_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of embeddings with relative lengths; every 50th one has lost its vector's end."""
+    rows = embeddings(spark, sf_dir).select("path", F.col("label").alias("speaker_label"), (F.col("vec_id") % 101 / 100).alias("relative_length"), F.when(F.col("vec_id") % 50 == 0, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")).alias("embedding"))
+    return _by_rule(caches.input_violations(rows, 64, 9))
+
+
+def checkpoint_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of a checkpoint for each user: its place in an epoch of 32 batches follows from its events."""
+    user, n = F.col("user_id"), F.col("n")
+    each = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = each.select(
+        (user % 7).alias("next_epoch"), (n % 40).alias("position"), (user % 7 * 32 + n % 40 + (user % 10 == 0).cast("int")).alias("optimizer_steps"), (user % 7 * 32 + n % 40).alias("scheduler_steps"), F.lit(SEED).alias("sampler_seed"), (user % 8).alias("sampler_epoch"),
+        F.lit("abc").alias("configuration_sha256"), (user % 90 == 0).cast("int").alias("final_test_accesses"), F.lit(2).alias("patience"), F.when(user % 60 == 0, 1e-3).otherwise(1e-4).alias("min_improvement"),
+    )
+    return _by_rule(caches.checkpoint_violations(rows, 32, "abc", SEED))
+
+
+def duration_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three seconds for each utterance, and one tenth more for every speaker's label."""
+    rows = portable_manifest(spark, sf_dir).withColumn("duration_sec", F.concat(F.lit("3."), (F.col("speaker_id").cast("long") % 10).cast("string")))
+    return splits.duration_totals(rows)
+
+
+def lineage_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of a manifest without paths ending in 77 whose provenance lacks those ending in 5."""
+    rows = utterances(spark, sf_dir)
+    manifest, provenance = rows.where(~F.col("path").endswith("77.wav")), rows.where(~F.col("path").endswith("5.wav")).select(F.col("path").alias("relative_path"), "speaker_id")
+    return _by_rule(contracts.lineage_violations(manifest, provenance, {"rows": 1, "speakers": 1}, {"finished": True, "validated": False}))
+
+
+def provenance_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of provenance in which paths ending in 7 are there twice, once in capitals."""
+    rows = utterances(spark, sf_dir).select(F.col("path").alias("relative_path"), "speaker_id")
+    again = rows.where(F.col("relative_path").endswith("7.wav"))
+    return _by_rule(contracts.provenance_violations(rows.unionByName(again.withColumn("relative_path", F.upper("relative_path"))).unionByName(again.where(F.col("relative_path").endswith("77.wav")))))
+
+
+def train_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of the whole index taken for a training one with 100 labels."""
+    return _by_rule(contracts.train_only_violations(_index(spark, sf_dir), 100))
+
+
+def sampler_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of train rows of which those of paths ending in 77 have the next label."""
+    rows = _index(spark, sf_dir).where("final_split = 'train'")
+    return contracts.sampler_violations(rows.withColumn("speaker_label", F.col("speaker_label") + _ends("77.wav").cast("int")))
+
+
+def bound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of documents as files, of which every 10th has other content than was bound, some names are
+    not bound, and one source counts as a test set."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    path = F.concat_ws("/", F.when(F.col("doc_id") % 40 == 3, "test").otherwise("docs"), F.col("doc_id").cast("string"))
+    files = docs.select(path.alias("path"), F.col("text").cast("binary").alias("content"))
+    bindings = docs.where("doc_id % 25 != 0").select(path.alias("path"), F.sha2(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")).cast("binary"), 256).alias("sha256"))
+    return _by_rule(contracts.bound_file_violations(files, bindings))
+
+
+def absolute_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.absolute_root_violations(table(spark, sf_dir, "pages"), "html", "example.org").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def config_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as configurations that must have size 10 and one brand; the settings that differ are counted together."""
+    parts = table(spark, sf_dir, "part").select("p_size", "p_brand")
+    return _by_rule(contracts.config_violations(parts, {"p_size": 10, "p_brand": "Brand#4"})).select("rule", "n")
+
+
+def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed linear map of every embedding, in slices of 32."""
+    made = caches.infer(embeddings(spark, sf_dir), lambda x: x[:, :4].astype(float) * 2 - x[:, 4:8], "vec_id", "embedding")
+    return made.select("vec_id", F.posexplode("embedding").alias("dim", "v")).select("vec_id", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
+def artifact_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations, by rule, of saved embeddings: every 100th is missing, every 70th of another binding."""
+    vectors = embeddings(spark, sf_dir)
+    saved = vectors.where("vec_id % 100 != 0").select("path", "embedding", F.when(F.col("vec_id") % 70 == 0, "old").otherwise("now").alias("binding"))
+    return _by_rule(caches.artifact_violations(saved, vectors.where("vec_id % 90 != 1"), "now", 64))
+
+
+def full_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete batches alone, from the third on."""
+    rows = utterances(spark, sf_dir)
+    made = batching.random_batches(rows, "path", 32, SEED, EPOCH, drop_last=True)
+    return batching.resume(made, 2, max(3, rows.count() // 32))
+
+
+def legacy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of legacy trials after every 1000th one is lost."""
+    made = trials.legacy_trials(utterances(spark, sf_dir), cap=100)
+    return trials.contiguous_violations(made.where("trial_id % 1000 != 999"))
+
+
 def _total(rows: DataFrame) -> int:
     """Five trials a speaker, and one more for half of them."""
     n = rows.select("speaker_id").distinct().count()
@@ -302,6 +487,8 @@ QUERIES = {
         eer_trials, operating_points, empirical_errors_grid, score_summary_by_target, trial_scores, evaluation_report, generalization_gap,
         speaker_split, train_labels, portable_manifest, split_counts, split_overlap, contract_violations, manifest_invariants, provenance_diff, case_collisions, canonical_identity, package_identities,
         shard_index, shard_payload_sizes, index_shard_alignment, cache_completeness,
+        index_rules, normalised_index, shard_contract, shard_states, plan_state, concat_shards, cache_identity, identity_contract, trial_identity, score_alignment, input_guards, checkpoint_contract, duration_totals,
+        lineage_contract, provenance_contract, train_guard, sampler_contract, bound_files, absolute_roots, config_contract, inference, artifact_reuse, full_batches, legacy_ids,
         genuine_quota, genuine_trials, impostor_speaker_pairs, impostor_trials, balanced_trials, paired_rounds, legacy_trials, neighbour_trials, trial_participation, trial_validity,
         random_batches, pk_batches, hybrid_batches, epoch_stats, round_robin, microbatches, collated_batches,
         class_centroids, softmax_logits, aam_logits, cross_entropy, cosine_lr, early_stopping, mean_norm, framing, max_difference, norm_and_delta,

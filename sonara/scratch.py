@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a local master gets a
+    fresh local folder; on a cluster, whose executors would each write to their own disk, it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sonara-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -55,7 +55,7 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.select(canonical_json(*rows.columns).alias("value")).write.mode("errorifexists").text(path, lineSep="\n")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -89,7 +89,7 @@ def publish(tables: dict[str, DataFrame], root: str) -> str:
     """
     spark = next(iter(tables.values())).sparkSession
     root = root.rstrip("/")
-    there = {name: _exists(spark, f"{root}/{name}") for name in tables}
+    there = {name: exists(spark, f"{root}/{name}") for name in tables}
     if all(there.values()):
         for name, rows in tables.items():
             if table_identity(spark.read.parquet(f"{root}/{name}")).first() != table_identity(rows).first():
@@ -108,7 +108,7 @@ def publish(tables: dict[str, DataFrame], root: str) -> str:
 def write_exact(rows: DataFrame, path: str) -> str:
     """``created``, or ``unchanged`` if the same rows are there already; other rows there are an error."""
     spark = rows.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         if table_identity(spark.read.parquet(path)).first() != table_identity(rows).first():
             raise ValueError(f"{path} holds other rows")
         return "unchanged"
@@ -124,7 +124,7 @@ def replace(rows: DataFrame, path: str, tries: int = 30, wait: float = 0.2) -> N
     moved = False
     for k in range(tries):
         try:
-            if not moved and _exists(spark, path):
+            if not moved and exists(spark, path):
                 _rename(spark, path, old)
             moved = True
             _rename(spark, staged, path)
@@ -133,7 +133,7 @@ def replace(rows: DataFrame, path: str, tries: int = 30, wait: float = 0.2) -> N
             if k + 1 == tries:
                 raise
             time.sleep(wait)
-    if _exists(spark, old):
+    if exists(spark, old):
         _delete(spark, old)
 
 
@@ -176,7 +176,7 @@ def write_shards(planned: DataFrame, root: str, shard: str = "shard_path") -> di
     spark = planned.sparkSession
 
     def states() -> DataFrame:
-        stored = spark.read.schema(planned.schema).parquet(root) if _exists(spark, root) else planned.limit(0)
+        stored = spark.read.schema(planned.schema).parquet(root) if exists(spark, root) else planned.limit(0)
         return shard_states(planned, stored, shard)
 
     found = Scratch(spark, "write-shards").keep(states(), "states")
