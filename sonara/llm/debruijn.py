@@ -1,18 +1,23 @@
 """Substring deduplication by De Bruijn compaction.
 
-Every ``span`` consecutive words are an edge of the De Bruijn graph over a corpus.  An edge is *repeated* if its word
-sequence starts at two places or more, and every word under a repeated edge is to go.  Counting all edges would move the
-whole corpus many times over, so documents are first cut into nonbranching runs of edges: consecutive edges that have
-the same minimizer (the least hash among the short k-mers inside an edge, leftmost on ties).  A minimizer depends on
-the edge's words alone, so equal edges always lie in runs of the same minimizer, and one run has at most
-``span - seed + 1`` edges, no two of them equal.  Then, by joins:
+Every ``span`` consecutive words are an edge of the De Bruijn graph over a corpus, from the node of its first
+``span - 1`` words to that of its last ones.  An edge is *repeated* if its word sequence starts at two places or more,
+and every word under a repeated edge is to go.  Counting all edges would move the whole corpus many times over, so
+documents are first cut into runs of edges: consecutive edges that have the same minimizer (the least hash among the
+short k-mers inside an edge, leftmost on ties).  A minimizer depends on the edge's words alone, so equal edges always
+lie in runs of the same minimizer, and one run has at most ``span - seed + 1`` edges, no two of them equal.  Then, by
+joins:
 
 1. runs whose minimizer occurs once in the corpus cannot hold a repeated edge and drop out;
-2. equal runs compact into one with a multiplicity; from two on, all their edges are repeated;
-3. where a minimizer has different runs the graph branches: one of each is opened into its edges and these are counted.
-
-Marked edges return to their source coordinates (document, first word), where they merge into spans.  Documents with the
-same text are compacted before all that: each of their edges is repeated.
+2. equal runs become one unit of the graph with a multiplicity; from two on, all their edges are repeated;
+3. where a minimizer has different runs, one of each is opened into its edges, which are units of one edge, and counted;
+4. repeated units are joined at their nodes: a node that one unit enters and one leaves is not branching, and paths over
+   such nodes are contracted by pointer doubling, each unit finding the head of its path and its place behind it;
+5. a path's units go back to their source coordinates (document, first word) and come out as one span each time it occurs.
+
+Whether runs or edges are equal is decided on three 64-bit hashes of the words at their coordinates: the minimizer's, the
+whole sequence's, and one over other word hashes that confirms it.  Documents with the same text are compacted before
+all that: each of their edges is repeated.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ SEED = 10
 _KEY = ["_doc", "_h1"]
 
 
-def runs_of(w: K.Words, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, minimizer, hash, first word in the document, edges) of every run of a chunk."""
+def runs_of(w: K.Words, second: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(document, minimizer, hash, confirming hash, first word in the document, edges) of every run of a chunk."""
     first, doc = K.window_starts(w.bounds, span)
     if not len(first):
         empty = np.zeros(0, np.int64)
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty, *[empty.view(np.uint64)] * 3, empty, empty
     n = len(w.start)
     at = np.arange(n - seed + 1)
     value, place = K.run_hash(w.hash, at, at + seed), at
@@ -52,7 +57,8 @@ def runs_of(w: K.Words, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, n
     cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
     edges = np.diff(np.r_[cut, len(first)])
     begin = first[cut]
-    return doc[cut], value[cut], K.run_hash(w.hash, begin, begin + edges + span - 1), begin - w.bounds[doc[cut]], edges
+    end = begin + edges + span - 1
+    return doc[cut], value[cut], K.run_hash(w.hash, begin, end), K.run_hash(second, begin, end), begin - w.bounds[doc[cut]], edges
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -72,7 +78,7 @@ def _scan(identified: DataFrame, span: int, seed: int) -> DataFrame:
         for batch in batches:
             for chunk in K.chunks(batch.column(4)):
                 w = K.words(chunk)
-                doc, least, whole, begin, edges = runs_of(w, span, seed)
+                doc, least, whole, check, begin, edges = runs_of(w, K.second_hash(chunk, w), span, seed)
                 n = len(chunk.offsets) - 1
                 bounds = np.searchsorted(doc, np.arange(n + 1))
                 body = chunk.data.tobytes()
@@ -80,19 +86,24 @@ def _scan(identified: DataFrame, span: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(chunk.first, n) for c in batch.columns[:4]), pa.array(np.diff(w.bounds)), pa.array(digest),
-                        _lists(least.view(np.int64), bounds, pa.int64()), _lists(whole.view(np.int64), bounds, pa.int64()), _lists(begin.astype(np.int32), bounds, pa.int32()), _lists(edges.astype(np.int32), bounds, pa.int32()),
+                        _lists(least.view(np.int64), bounds, pa.int64()), _lists(whole.view(np.int64), bounds, pa.int64()), _lists(check.view(np.int64), bounds, pa.int64()), _lists(begin.astype(np.int32), bounds, pa.int32()), _lists(edges.astype(np.int32), bounds, pa.int32()),
                     ],
-                    names=["_doc", "_h1", "_h2", "_size", "n_words", "digest", "least", "whole", "begin", "edges"],
+                    names=["_doc", "_h1", "_h2", "_size", "n_words", "digest", "least", "whole", "check", "begin", "edges"],
                 )
 
     kind = dict(identified.dtypes)["_doc"]
-    return identified.mapInArrow(run, f"_doc {kind}, _h1 long, _h2 int, _size int, n_words long, digest string, least array<long>, whole array<long>, begin array<int>, edges array<int>")
+    return identified.mapInArrow(run, f"_doc {kind}, _h1 long, _h2 int, _size int, n_words long, digest string, least array<long>, whole array<long>, check array<long>, begin array<int>, edges array<int>")
+
 
+def _units(picked: DataFrame, identified: DataFrame, span: int) -> DataFrame:
+    """Units of the graph from one run of each kind (least, whole, check, _doc, _h1, begin, edges, times, branches).
 
-def _open_runs(picked: DataFrame, identified: DataFrame, span: int) -> DataFrame:
-    """The edges of picked runs: (least, edge, _doc, _h1, at, times)."""
-    wanted = picked.groupBy(*_KEY).agg(F.collect_list(F.struct("least", "begin", "edges", "times")).alias("runs"))
-    texts = _join(identified.select(*_KEY, "_text"), wanted).select(*_KEY, "_text", "runs.least", "runs.begin", "runs.edges", "runs.times")
+    Repeated kinds are units as they are, and branching ones are opened into their edges.  Rows (is_run, least, unit,
+    check, source, target, n, times, _doc, _h1, at): ``source`` and ``target`` are the hashes of the nodes.
+    """
+    names = ["least", "whole", "check", "begin", "edges", "times", "branches"]
+    wanted = picked.groupBy(*_KEY).agg(F.collect_list(F.struct(*names)).alias("runs"))
+    texts = _join(identified.select(*_KEY, "_text"), wanted).select(*_KEY, "_text", *[f"runs.{c}" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,21 +112,54 @@ def _open_runs(picked: DataFrame, identified: DataFrame, span: int) -> DataFrame
             starts = np.r_[0, np.cumsum(counts)]
             for chunk in K.chunks(batch.column(2)):
                 w = K.words(chunk)
-                n = len(chunk.offsets) - 1
-                own = slice(starts[chunk.first], starts[chunk.first + n])
-                least, begin, edges, times = (x[own] for x in flat)
-                doc = np.repeat(np.arange(n), counts[chunk.first : chunk.first + n])
-                of = np.repeat(np.arange(len(doc)), edges)
-                at = K.ragged(begin.astype(np.int64), edges.astype(np.int64))
+                second = K.second_hash(chunk, w)
+                n_docs = len(chunk.offsets) - 1
+                own = slice(starts[chunk.first], starts[chunk.first + n_docs])
+                least, whole, check, begin, edges, times, branches = (x[own] for x in flat)
+                doc = np.repeat(np.arange(n_docs), counts[chunk.first : chunk.first + n_docs])
+                begin, edges = begin.astype(np.int64), edges.astype(np.int64)
+                kept, opened = np.flatnonzero(times > 1), np.flatnonzero(branches)
+                of = np.r_[kept, np.repeat(opened, edges[opened])]
+                at, n = np.r_[begin[kept], K.ragged(begin[opened], edges[opened])], np.ones(len(of), np.int64)
+                n[: len(kept)] = edges[kept]
+                is_run = np.arange(len(of)) < len(kept)
                 first = at + w.bounds[:-1][doc[of]]
+                end = first + n + span - 1
+                unit, confirm = K.run_hash(w.hash, first, end), K.run_hash(second, first, end)
+                if not (np.array_equal(unit[is_run].view(np.int64), whole[kept]) and np.array_equal(confirm[is_run].view(np.int64), check[kept])):
+                    raise RuntimeError("a run is not what was read at its coordinates before")
+                nodes = [K.run_hash(w.hash, x, x + span - 1).view(np.int64) for x in (first, first + n)]
                 row = pa.array(doc[of] + chunk.first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least[of], pa.int64()), pa.array(K.run_hash(w.hash, first, first + span).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(times[of], pa.int64())],
-                    names=["least", "edge", "_doc", "_h1", "at", "times"],
+                    [pa.array(is_run), pa.array(least[of], pa.int64()), pa.array(unit.view(np.int64)), pa.array(confirm.view(np.int64)), *map(pa.array, nodes), pa.array(n.astype(np.int32)), pa.array(times[of], pa.int64()), batch.column(0).take(row), batch.column(1).take(row), pa.array(at.astype(np.int32))],
+                    names=["is_run", "least", "unit", "check", "source", "target", "n", "times", "_doc", "_h1", "at"],
                 )
 
     kind = dict(identified.dtypes)["_doc"]
-    return texts.mapInArrow(run, f"least long, edge long, _doc {kind}, _h1 long, at int, times long")
+    return texts.mapInArrow(run, f"is_run boolean, least long, unit long, check long, source long, target long, n int, times long, _doc {kind}, _h1 long, at int")
+
+
+def contract_paths(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (id, head, behind) of the units (id, source, target, n) that lie behind others on a nonbranching path:
+    ``head`` is the path's first unit, ``behind`` the number of edges before this one.
+
+    A unit follows another at a node that no other unit enters or leaves.  Each round doubles how far back units see, so
+    the number of rounds is the logarithm of the longest path.  Units on a closed path have no head and no row.
+    """
+    ends = units.select(F.col("source").alias("node"), F.lit(1).alias("leave"), F.lit(0).alias("enter")).unionByName(units.select(F.col("target").alias("node"), F.lit(0).alias("leave"), F.lit(1).alias("enter")))
+    plain = ends.groupBy("node").agg(F.sum("leave").alias("leave"), F.sum("enter").alias("enter")).where("leave = 1 and enter = 1").select("node")
+    before = units.select(F.col("target").alias("node"), F.col("id").alias("head"), F.col("n").cast("long").alias("behind"))
+    after = units.select(F.col("source").alias("node"), "id")
+    current = scratch.keep(plain.join(before, "node").join(after, "node").where("id != head").select("id", "head", "behind", F.lit(True).alias("moved")), "paths")
+    for _ in range(max(1, current.count()).bit_length() + 1):
+        further = current.select(F.col("id").alias("_id"), F.col("head").alias("_head"), F.col("behind").alias("_behind"))
+        seen = current.join(further, F.col("head") == F.col("_id"), "left")
+        moved = scratch.keep(seen.select("id", F.coalesce("_head", "head").alias("head"), (F.col("behind") + F.coalesce("_behind", F.lit(0))).alias("behind"), F.col("_id").isNotNull().alias("moved")), "paths")
+        scratch.drop(current)
+        current = moved
+        if not current.where("moved").take(1):
+            break
+    return current.where("not moved").select("id", "head", "behind")  # what still moves goes round in circles
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str] = _KEY, how: str = "inner") -> DataFrame:
@@ -132,7 +176,7 @@ class Repeats:
     """Where the repeated edges of ``docs`` lie.
 
     ``scanned``: _doc, _h1, _h2, _size, n_words, digest per row.  ``copied``: _h1, _h2, _size of texts that several rows
-    have.  ``spans``: _doc, _h1, and ``spans`` (first edge, edges) for the other rows that have repeated edges; such a
+    have.  ``paths``: id, head and edges behind it of the repeated units on compacted paths.  ``spans``: _doc, _h1, and ``spans`` (first edge, edges) for the other rows that have repeated edges; such a
     row is the only one with its text.
     """
 
@@ -148,28 +192,38 @@ class Repeats:
         copied = scratch.keep(scanned.groupBy(*whole).agg(F.count("*").alias("times"), F.min("_doc").alias("_source")).where("times > 1"), "copied")
         self.copied = copied.select(*whole)
 
-        arrays = scanned.where(F.size("least") > 0).select("_doc", *whole, F.arrays_zip("least", "whole", "begin", "edges").alias("runs"))
+        run = ["least", "whole", "check"]
+        arrays = scanned.where(F.size("least") > 0).select("_doc", *whole, F.arrays_zip(*run, "begin", "edges").alias("runs"))
         sources = _join(arrays, copied, whole, "left").where("times is null or _doc <=> _source")
         runs = sources.select(*_KEY, F.coalesce("times", F.lit(1)).alias("times"), F.explode("runs").alias("r")).select(*_KEY, "times", "r.*")
 
         buckets = runs.groupBy("least").agg(F.sum("times").alias("total"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("total > 1")
         buckets = scratch.keep(buckets, "buckets")  # a plain table, so that Spark can split a minimizer that is very common
         again = scratch.keep(runs.join(buckets.select("least", (F.col("low") != F.col("high")).alias("branches")), "least"), "again")
-        kinds = again.groupBy("least", "whole").agg(
-            F.sum("times").alias("total"), F.first("branches").alias("branches"), *[F.first(c).alias(c) for c in (*_KEY, "begin", "edges")]
-        )
-        kinds = scratch.keep(kinds, "kinds")
-
-        equal = kinds.where("total > 1").select(F.col("least").alias("_least"), F.col("whole").alias("_whole"))
-        marked = again.where("times = 1").join(equal, (F.col("least") == F.col("_least")) & (F.col("whole") == F.col("_whole")), "left_semi").select(*_KEY, F.col("begin").alias("first"), "edges")
-
-        branching = kinds.where("branches").select("least", *_KEY, "begin", "edges", F.col("total").alias("times"))
-        edges = scratch.keep(_open_runs(branching, self.identified, span), "edges")
-        often = scratch.keep(edges.groupBy("least", "edge").agg(F.sum("times").alias("total")).where("total > 1").select(F.col("least").alias("_least"), F.col("edge").alias("_edge")), "often")
-        opened = edges.where("times = 1").join(often, (F.col("least") == F.col("_least")) & (F.col("edge") == F.col("_edge")), "left_semi").select(*_KEY, F.col("at").alias("first"), F.lit(1).alias("edges"))
-        spans = marked.unionByName(opened).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "edges")).alias("spans"))
-        self.spans = scratch.keep(spans, "spans")
-        scratch.drop(again, kinds, edges)
+        kinds = again.groupBy(*run).agg(F.sum("times").alias("times"), F.first("branches").alias("branches"), *[F.first(c).alias(c) for c in (*_KEY, "begin", "edges")])
+        units = scratch.keep(_units(scratch.keep(kinds.where("branches or times > 1"), "kinds"), self.identified, span), "units")
+
+        # Repeated units: runs of several places, and edges that several runs hold.
+        key = ["least", "unit", "check"]
+        same = [F.col(c) == F.col(f"_{c}") for c in key]
+        edges = units.where("not is_run")
+        often = edges.groupBy(*key).agg(F.sum("times").alias("total")).where("total > 1").select(*[F.col(c).alias(f"_{c}") for c in key])
+        opened = scratch.keep(edges.where("times = 1").join(scratch.keep(often, "often"), same, "left_semi"), "opened")
+        equal = units.where("is_run")
+        identity = F.xxhash64(*key, "is_run").alias("id")
+        marked = again.where("times = 1").withColumnRenamed("whole", "unit").join(equal.select(*[F.col(c).alias(f"_{c}") for c in key]), same, "left_semi")
+        places = marked.select(*_KEY, F.col("begin").alias("at"), F.col("edges").alias("n"), F.xxhash64(*key, F.lit(True)).alias("id")).unionByName(opened.select(*_KEY, "at", "n", identity))
+
+        graph = equal.select(identity, "source", "target", "n").unionByName(opened.select(identity, "source", "target", "n").dropDuplicates(["id"]))
+        self.paths = contract_paths(scratch.keep(graph, "graph"), scratch)
+        on_path = places.join(self.paths.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+        begun = on_path.groupBy(*_KEY, F.coalesce("head", "id").alias("head"), (F.col("at") - F.coalesce("behind", F.lit(0))).alias("begin"))
+        extent = F.max(F.col("at") + F.col("n")) - F.min("at")
+        found = begun.agg(F.min("at").alias("first"), extent.alias("extent"), F.sum("n").alias("n"), F.collect_list(F.struct(F.col("at").alias("first"), F.col("n").alias("edges"))).alias("parts"))
+        unbroken = F.array(F.struct("first", F.col("extent").cast("int").alias("edges")))
+        spans = found.select(*_KEY, F.explode(F.when(F.col("extent") == F.col("n"), unbroken).otherwise(F.col("parts"))).alias("s"))
+        self.spans = scratch.keep(spans.groupBy(*_KEY).agg(F.collect_list("s").alias("spans")), "spans")
+        scratch.drop(again, units, opened)
 
     def cleaned(self) -> DataFrame:
         """_doc, _h1, n_removed, digest and kept text of the rows in ``spans``: the kept words joined by one space."""

@@ -27,6 +27,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
+#: Another value for each byte, for hashes that confirm the first ones.
+_OTHER = np.random.default_rng(20240301).permutation(256).astype(np.uint8)
+
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 
@@ -133,6 +136,11 @@ def words(chunk: Chunk, lower: bool = False) -> Words:
     return Words(start, end, bounds, span_hash(data, start, end))
 
 
+def second_hash(chunk: Chunk, w: Words) -> np.ndarray:
+    """A hash of each word that is independent of ``w.hash``."""
+    return span_hash(_OTHER[chunk.data], w.start, w.end)
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each byte span."""
     return span_hashes(data, start, [end])[0]

@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 from sonara.llm import debruijn, tiling
+from sonara.llm.common import Scratch
 
 from . import brute
 from .conftest import CLASHING, prose
@@ -20,6 +21,31 @@ def test_other_spans(docs, texts):
     assert brute.multiset(debruijn.removal_digest(docs, span=8, seed=3).collect()) == brute.multiset(brute.removal(texts, 8))
 
 
+def test_paths_are_contracted(spark):
+    """A chain of 9, a fork that ends it, a closed path, and units by themselves."""
+    chain = [(k, k, k + 1, k % 3 + 1) for k in range(9)]
+    fork = [(20, 9, 30, 1), (21, 9, 31, 1), (22, 31, 32, 4)]
+    ring = [(40, 50, 51, 1), (41, 51, 52, 1), (42, 52, 50, 1)]
+    units = spark.createDataFrame(chain + fork + ring + [(60, 70, 71, 1), (61, 72, 72, 1)], "id long, source long, target long, n int")
+    got = {r["id"]: (r["head"], r["behind"]) for r in debruijn.contract_paths(units, Scratch(spark, "test")).collect()}
+    want = {k: (0, sum(j % 3 + 1 for j in range(k))) for k in range(1, 9)} | {22: (21, 1)}
+    assert got == want
+    assert debruijn.contract_paths(units.limit(0), Scratch(spark, "test")).collect() == []
+
+
+def test_a_long_passage_is_one_span(spark):
+    """Copies of a passage, some cut short, in otherwise different texts; and a text that repeats itself."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(300)]
+    texts = [(k, " ".join([f"a{k}_{j}" for j in range(40)] + passage + [f"b{k}_{j}" for j in range(40)])) for k in range(4)]
+    texts += [(10, " ".join(passage[50:120] + [f"c{j}" for j in range(40)])), (11, " ".join(["x", "y", "z"] * 60)), (12, " ".join(prose(rng, 50) * 3))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert brute.multiset(debruijn.removal_digest(docs).collect()) == brute.multiset(brute.removal(texts))
+    found = debruijn.Repeats(docs)
+    spans = {r["_doc"]: r["spans"] for r in found.spans.collect()}
+    assert found.paths.count() > 0 and all(len(spans[k]) <= 5 for k in range(4))
+
+
 def test_texts_are_cleaned_in_place(docs, texts):
     cleaned = debruijn.remove_repeats(docs)
     assert cleaned.columns == docs.columns
