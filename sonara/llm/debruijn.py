@@ -151,13 +151,14 @@ def contract_paths(units: DataFrame, scratch: Scratch) -> DataFrame:
     before = units.select(F.col("target").alias("node"), F.col("id").alias("head"), F.col("n").cast("long").alias("behind"))
     after = units.select(F.col("source").alias("node"), "id")
     current = scratch.keep(plain.join(before, "node").join(after, "node").where("id != head").select("id", "head", "behind", F.lit(True).alias("moved")), "paths")
-    for _ in range(max(1, current.count()).bit_length() + 1):
+    left = None
+    while True:
         further = current.select(F.col("id").alias("_id"), F.col("head").alias("_head"), F.col("behind").alias("_behind"))
         seen = current.join(further, F.col("head") == F.col("_id"), "left")
         moved = scratch.keep(seen.select("id", F.coalesce("_head", "head").alias("head"), (F.col("behind") + F.coalesce("_behind", F.lit(0))).alias("behind"), F.col("_id").isNotNull().alias("moved")), "paths")
         scratch.drop(current)
-        current = moved
-        if not current.where("moved").take(1):
+        current, before_this, left = moved, left, moved.where("moved").count()
+        if left in (0, before_this):  # on open paths fewer units move each time
             break
     return current.where("not moved").select("id", "head", "behind")  # what still moves goes round in circles
 
