@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import packed_rows
+from .common import Scratch, packed_rows
 
 #: Words of test items broadcast at once.
 SLICE_WORDS = 2_000_000
@@ -160,13 +162,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type, benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
     schema = f"doc_id {kind}, item_id {item_kind}, coverage double, n_tiles int"
-    spark, found = docs.sparkSession, docs.sparkSession.createDataFrame([], schema)
-
-    def search(items: ItemSlice) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+    spark, scratch, found = docs.sparkSession, Scratch(docs.sparkSession, "tiling"), []
 
+    def search(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
+            known: ItemSlice = shared.value
             for batch in batches:
                 rows = [(chunk.first + d, *x) for chunk in K.chunks(batch.column(1)) for d, *x in _coverages(chunk, known, threshold)]
                 if rows:
@@ -179,19 +179,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
 
         return docs.select("doc_id", F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
-    ids, texts, size, parts = [], [], 0, 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len((r[1] or "").split())
-        if size >= SLICE_WORDS:
-            items, ids, texts, size, parts = ItemSlice(ids, texts, min_match), [], [], 0, parts + 1
-            if items.items:
-                found = found.unionByName(search(items))
-    items = ItemSlice(ids, texts, min_match)
-    if items.items:
-        found = found.unionByName(search(items)) if parts else search(items)
-    return found
+    def slices() -> Iterator[ItemSlice]:
+        ids, texts, size = [], [], 0
+        for r in benchmark.select("item_id", "text").toLocalIterator():
+            if size >= SLICE_WORDS:
+                yield ItemSlice(ids, texts, min_match)
+                ids, texts, size = [], [], 0
+            ids.append(r[0])
+            texts.append(r[1])
+            size += len((r[1] or "").split())
+        yield ItemSlice(ids, texts, min_match)
+
+    # One slice is out at a time: all but the last are searched, and their broadcasts destroyed, before the next one is made.
+    last = None
+    for items in slices():
+        if not items.items:
+            continue
+        if last is not None:
+            found = found + [scratch.keep(search(last), "found")]
+            last.destroy()
+        last = spark.sparkContext.broadcast(items)
+    found += [search(last)] if last is not None else []
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
