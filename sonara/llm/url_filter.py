@@ -52,6 +52,7 @@ class RuleTrie:
             ends = node.setdefault("begun", {})
             if begun not in ends or rule.verdict == "block":
                 ends[begun] = rule
+            node["lengths"] = sorted({*node.get("lengths", ()), len(begun)}, reverse=True)
 
     def find(self, host: str, path: str) -> Rule | None:
         """The rule that decides, or None."""
@@ -68,9 +69,10 @@ class RuleTrie:
     def _find_path(node: dict, path: str) -> Rule | None:
         best = None
         for segment in path.split("/"):
-            begun = [x for x in node.get("begun", ()) if segment.startswith(x)]
-            if begun:
-                best = node["begun"][max(begun, key=len)]
+            begun = node.get("begun", {})
+            longest = next((segment[:n] for n in node.get("lengths", ()) if segment[:n] in begun), None)
+            if longest is not None:
+                best = begun[longest]
             node = node.get(("segment", segment))
             if node is None:
                 break
