@@ -42,7 +42,7 @@ def pk_batches(rows: DataFrame, speakers_per_batch: int, rows_per_speaker: int,
     p, k = speakers_per_batch, rows_per_speaker
     placed, ranked = _queues(rows.select(*by, "speaker_id", "path"), seed, epoch, by)
     totals = ranked.groupBy(*by).agg(F.count("*").alias("_speakers"), F.ceil(F.sum("n") / (p * k)).alias("_batches"), F.min("n").alias("_least"))
-    joined = ranked.join(F.broadcast(totals), list(by)) if by else ranked.join(F.broadcast(totals))
+    joined = ranked.join(totals, list(by)) if by else ranked.join(F.broadcast(totals))
     guard = F.when(F.col("_speakers") < p, F.raise_error(F.lit("P exceeds the speakers"))).when(F.col("_least") < k, F.raise_error(F.lit("K exceeds a speaker's rows"))).otherwise(F.col("_batches") * p)
     # Exposure e of speaker rank r is seat e * speakers + r; seats end with the last batch.
     exposures = joined.withColumn("_seats", guard).where("speaker_rank < _seats").withColumn("_e", F.explode(F.expr("sequence(0L, (_seats - 1 - speaker_rank) div _speakers)")))
@@ -69,7 +69,7 @@ def windowed_batches(index: DataFrame, speakers_per_batch: int, rows_per_speaker
     before = Window.orderBy("shard_window").rowsBetween(Window.unboundedPreceding, 0)
     full = F.when((F.col("able") >= p) & (F.col("able") == F.col("all")), F.col("shard_window"))
     target = able.select("shard_window", F.coalesce(F.min(full).over(alone), F.max(full).over(before), F.lit(0)).alias("_target"))
-    merged = placed.join(F.broadcast(target), "shard_window").select(F.col("_target").alias("shard_window"), "shard_path", "speaker_id", "path")
+    merged = placed.join(target, "shard_window").select(F.col("_target").alias("shard_window"), "shard_path", "speaker_id", "path")
     batches = pk_batches(merged, p, k, seed, epoch, by=("shard_window",))
     return batches.join(index.select("path", "shard_path"), "path")
 
