@@ -366,7 +366,8 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
     """One document of each component, the one with the least id, all columns unchanged, whatever their names.
 
-    Rows without an id stay.  Where several rows have the least id, each of their texts stays once; of rows that share
+    Rows without an id stay.  Rows of one id are one document: where one of them links with a lesser id, all go, and where
+    several rows have the least id, each of their texts stays once; of rows that share
     both, the one whose columns come first as JSON.  Null, empty and wordless texts link with nothing and stay; an empty
     table gives an empty result.
     """

@@ -52,3 +52,29 @@ def test_pipeline_stages(spark):
     assert {i: len(brute.words(t)) for i, t in after.items()} == {i: n - gone for i, n, gone, _ in brute.removal(list(before.items()))}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, "a text without an id"), (3, ""), (3, None), (4, " \t\n"), (5, "word " * 3000), (6, "word " * 3000), (6, "another text of this id"), (2**62, "x")]])
+def test_pipeline_stages_on_awkward_documents(spark, rows):
+    schema = table(spark, SF, "documents").schema
+    docs, scratch = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema), Scratch(spark, "test-awkward")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = scratch.keep(stage(spark, docs, SF), name)
+        assert docs.columns == schema.names and docs.count() <= before
+    left = {(r["doc_id"], bool((r["text"] or "").strip())) for r in docs.collect()}
+    # 6 has a copy of 5's text, so both of its rows go; 5's copies were all there were of a repeated text, and it alone is left.
+    assert left == ({(None, False), (None, True), (3, False), (4, False), (5, False), (2**62, True)} if rows else set())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(packed) == docs.count()
+
+
+def test_stages_against_their_operators(spark):
+    """What toxicity and decontamination take away is what the operators' own queries report."""
+    docs = table(spark, SF, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda frame: sorted(r["doc_id"] for r in frame.select("doc_id").collect())
+    toxic = {r["doc_id"] for r in queries.QUERIES["op8_mil_toxicity"](spark, SF).where("predicted = 1").collect()}
+    assert toxic and ids(stages["toxicity"](spark, docs, SF)) == [i for i in ids(docs) if i not in toxic]
+    leaked = {r["doc_id"] for r in queries.QUERIES["op2_tiling"](spark, SF).collect()}
+    assert leaked and ids(stages["benchmark_decontamination"](spark, docs, SF)) == [i for i in ids(docs) if i not in leaked]
