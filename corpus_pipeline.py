@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last one
 returns the packed pieces.  ``run`` writes each stage's rows to the shared folder and hands the next one what was written.
+
+In every stage null, empty and wordless texts and rows without an id stay; rows of one id are judged each by its own text
+in ``toxicity`` and by what their id is linked with or contaminated by in the others; an empty table gives an empty one;
+further columns come back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
+    """Of each group of linked documents the one with the least id stays (each of its texts, if several rows have it)."""
     return ngram_join.keep_one_per_component(docs, n=5, percent=75)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in 35-word sequences that start elsewhere too go; every document stays."""
+    """Words in 35-word sequences that start elsewhere too go; every document stays, if need be with an empty text."""
     return debruijn.remove_repeats(docs, span=35).withColumn("n_chars", F.length("text").cast("long"))
 
 
