@@ -6,7 +6,7 @@ score first, then running totals in score buckets, so no task sees all scores.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -100,37 +100,52 @@ def equal_error_rate(scores: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, minimum, mean, population standard deviation, exact interpolated quartiles and maximum per group.
+def _beside(left: DataFrame, right: DataFrame, on: tuple[str, ...], one_row: bool) -> DataFrame:
+    """Join with null-safe keys; the right side's keys go."""
+    other, rule = right.withColumnsRenamed({k: f"_r_{k}" for k in on}), F.lit(True)
+    for k in on:
+        rule &= F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(F.broadcast(other) if one_row else other, rule).drop(*[f"_r_{k}" for k in on])
+
+
+def _ranked(rows: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """Rows (``by``, _v, _c, _upto, count, minimum, mean, maximum): distinct values with how often they occur and how many
+    of their group come up to them.
 
-    Quartiles come from counts per distinct value and running totals in buckets of each group's range, so no task holds
-    the values of a group.  Null values do not count; null groups are groups.
+    Running totals are taken in buckets of each group's range, so no task holds the values of a group.
     """
     own = Scratch(rows.sparkSession, "summary").keep(rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c")), "values")
     v, c = F.col("_v"), F.col("_c")
-    mean = F.sum(v * c) / F.sum(c)
-    basic = own.groupBy(*by).agg(F.sum("_c").alias("count"), F.min("_v").alias("minimum"), mean.alias("mean"), F.max("_v").alias("maximum"))
-
-    def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        """Join with null-safe keys; the right side's keys go."""
-        other = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
-        rule = F.lit(True)
-        for k in on:
-            rule &= F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        return left.join(other if by else F.broadcast(other), rule).drop(*[f"_r_{k}" for k in on])
-
-    near = beside(own, basic, list(by)).withColumn("_bucket", F.coalesce(F.floor((v - F.col("minimum")) / F.nullif(F.col("maximum") - F.col("minimum"), F.lit(0.0)) * _BUCKETS), F.lit(0)))
+    basic = own.groupBy(*by).agg(F.sum("_c").alias("count"), F.min("_v").alias("minimum"), (F.sum(v * c) / F.sum(c)).alias("mean"), F.max("_v").alias("maximum"))
+    near = _beside(own, basic, by, not by).withColumn("_bucket", F.coalesce(F.floor((v - F.col("minimum")) / F.nullif(F.col("maximum") - F.col("minimum"), F.lit(0.0)) * _BUCKETS), F.lit(0)))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     offsets = near.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_n")).select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = beside(near, offsets, [*by, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
-    place = lambda q: (F.col("count") - 1) * q
-    at = lambda p: F.min(F.when(F.col("_upto") > p, v))
-    ends = {f"_{k}": at(f(place(q))) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")) for k, f in ((f"lo_{name}", F.floor), (f"hi_{name}", F.ceil))}
-    squares = F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(c))
-    found = ranked.groupBy(*by).agg(*[F.max(x).alias(x) for x in ("count", "minimum", "mean", "maximum")], squares.alias("standard_deviation"), *[e.alias(k) for k, e in ends.items()])
-    quartile = lambda q, name: (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place(q) - F.floor(place(q)))).alias(name)
-    return found.select(*by, "count", "minimum", "mean", "standard_deviation", quartile(0.25, "q1"), quartile(0.5, "median"), quartile(0.75, "q3"), "maximum")
+    return _beside(near, offsets, (*by, "_bucket"), not by).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+
+
+def _quantile(q: float) -> Column:
+    """Aggregate over ``_ranked`` rows: the interpolated quantile."""
+    place = (F.max("count") - 1) * q
+    at = lambda f: F.min(F.when(F.col("_upto") > f((F.col("count") - 1) * q), F.col("_v")))
+    return at(F.floor) + (at(F.ceil) - at(F.floor)) * (place - F.floor(place))
+
+
+def quantiles(rows: DataFrame, value: str, fractions: list[float], *by: str) -> DataFrame:
+    """Rows (``by``, fraction, value): exact quantiles, interpolated between neighbours; null values do not count."""
+    found = _ranked(rows, value, by).groupBy(*by).agg(F.array(*[F.struct(F.lit(q).alias("fraction"), _quantile(q).alias("value")) for q in fractions]).alias("q"))
+    return found.select(*by, F.explode("q").alias("q")).select(*by, "q.*")
+
+
+def numeric_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """count, minimum, mean, population standard deviation, exact interpolated quartiles and maximum per group.
+
+    Null values do not count; null groups are groups.
+    """
+    v, c = F.col("_v"), F.col("_c")
+    spread = F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(c)).alias("standard_deviation")
+    of = lambda x: F.max(x).alias(x)
+    return _ranked(rows, value, by).groupBy(*by).agg(of("count"), of("minimum"), of("mean"), spread, *[_quantile(q).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], of("maximum"))
 
 
 def _differences(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:

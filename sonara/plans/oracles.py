@@ -168,6 +168,12 @@ SELECT DISTINCT 'finite_features' AS rule, key FROM v WHERE vec_id % 900 = 7 UNI
     "plan_state": f"""WITH {INDEX}, {_STATES}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE state = 'valid') AS valid, count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state = 'different') AS conflicts FROM states WHERE state <> 'unexpected')
 SELECT *, CASE WHEN conflicts > 0 THEN NULL WHEN total > 0 AND missing = 0 THEN 'complete' WHEN valid > 0 THEN 'resume' ELSE 'new' END AS plan FROM c""",
     "concat_shards": f"WITH {INDEX} SELECT relative_audio_path, row_number() OVER (ORDER BY shard_path, within_shard_index) - 1 AS position FROM idx",
+    "saved_scores": f"WITH {EMB},{_scores()} SELECT l || ' ' || r AS trial_id, target, score FROM sc",
+    "saved_json": f"WITH {SPLIT} SELECT {_json(relative_audio_path='relative_audio_path', speaker_id='speaker_id', speaker_label_n='speaker_label', final_split='final_split')} AS line FROM man",
+    "published_package": f"""WITH {INDEX} SELECT 'speaker_split' AS "table", count(*) AS n_rows, 'created' AS first, 'verified_existing' AS second FROM split UNION ALL SELECT 'speaker_to_label', count(*), 'created', 'verified_existing' FROM lab
+UNION ALL SELECT 'manifest', count(*), 'created', 'verified_existing' FROM man UNION ALL SELECT 'feature_index', count(*), 'created', 'verified_existing' FROM idx""",
+    "stored_shards": f"""WITH {INDEX}, p AS (SELECT *, row_number() OVER (ORDER BY shard_path, within_shard_index) - 1 AS position FROM idx)
+SELECT relative_audio_path, shard_path, within_shard_index, position FROM p WHERE regexp_matches(shard_path, '_0000[01][.]')""",
     "cache_identity": f"WITH {INDEX}, {_CACHE} SELECT * FROM cache",
     "identity_contract": f"""WITH {INDEX}, {_CACHE} {_counted(("field_n_shards", "cache WHERE n_shards <> 1"), ("self_hash", "cache WHERE final_split = 'train'"))}""",
     "trial_identity": f"""WITH {UTT},{_neighbours("utt")}, ends AS (SELECT s, count(*) AS n FROM (SELECT ls AS s FROM tr UNION ALL SELECT rs FROM tr) GROUP BY 1),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.digests import table_identity
 from ..functions.text import numbered
 from ..operators import batching, caches, contracts, features, learning, metrics, scoring, shards, splits, trials
+from ..scratch import Scratch
+from ..sources import tables
 from . import package
 from .carriers import embeddings, table, utterances
 
@@ -38,7 +40,8 @@ def operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empirical_errors_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each percentile of the scores."""
     scores = _emb_scores(spark, sf_dir)
-    grid = scores.agg(F.percentile("score", F.array(*[F.lit(k / 100) for k in range(0, 101, 5)])).alias("q")).select(F.explode("q").alias("threshold")).select(F.round("threshold", 9).alias("threshold")).distinct()
+    scores = Scratch(spark, "error-grid").keep(scores, "scores")
+    grid = metrics.quantiles(scores, "score", [k / 100 for k in range(0, 101, 5)]).select(F.round("value", 9).alias("threshold")).distinct()
     return metrics.empirical_errors(scores, grid).select("threshold", F.round("far", 9).alias("far"), F.round("frr", 9).alias("frr"))
 
 
@@ -327,6 +330,39 @@ def legacy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.contiguous_violations(made.where("trial_id % 1000 != 999"))
 
 
+def saved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as CSV and read back by their strict schema."""
+    scored = trial_scores(spark, sf_dir).select(F.concat_ws(" ", "left_audio_path", "right_audio_path").alias("trial_id"), "target", "score")
+    path = Scratch(spark, "saved-scores").path("scores")
+    tables.write_csv(scored, path, F.col("trial_id"), F.col("target"))
+    return tables.read_csv(spark, path, tables.SCORES)
+
+
+def saved_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as canonical JSON lines, read back as text."""
+    path = Scratch(spark, "saved-json").path("lines")
+    tables.write_json_lines(portable_manifest(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def published_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the package's tables after publishing it twice: created, then found equal."""
+    built, root = package.package_tables(utterances(spark, sf_dir)), Scratch(spark, "published").path("package")
+    states = [tables.publish(built, root) for _ in range(2)]
+    counts = [spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", *[F.lit(x).alias(c) for x, c in zip(states, ("first", "second"))]) for name in built]
+    return contracts.all_of(*counts)
+
+
+def stored_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two shards of each split, of a store that was written in two runs, at their places in the whole store."""
+    index, root = _index(spark, sf_dir).drop("manifest_row_index"), Scratch(spark, "stored-shards").path("shards")
+    tables.write_shards(index.where("final_split != 'train'"), root)
+    tables.write_shards(index, root)
+    names = [r[0] for r in index.where(F.col("shard_path").rlike("_0000[01][.]")).select("shard_path").distinct().collect()]
+    near = tables.read_shards(spark, root, names).select("relative_audio_path")
+    return tables.scan_shards(spark, root).join(near, "relative_audio_path").select("relative_audio_path", F.col("shard_path").cast("string").alias("shard_path"), "within_shard_index", "position")
+
+
 def _total(rows: DataFrame) -> int:
     """Five trials a speaker, and one more for half of them."""
     n = rows.select("speaker_id").distinct().count()
@@ -488,6 +524,7 @@ QUERIES = {
         speaker_split, train_labels, portable_manifest, split_counts, split_overlap, contract_violations, manifest_invariants, provenance_diff, case_collisions, canonical_identity, package_identities,
         shard_index, shard_payload_sizes, index_shard_alignment, cache_completeness,
         index_rules, normalised_index, shard_contract, shard_states, plan_state, concat_shards, cache_identity, identity_contract, trial_identity, score_alignment, input_guards, checkpoint_contract, duration_totals,
+        saved_scores, saved_json, published_package, stored_shards,
         lineage_contract, provenance_contract, train_guard, sampler_contract, bound_files, absolute_roots, config_contract, inference, artifact_reuse, full_batches, legacy_ids,
         genuine_quota, genuine_trials, impostor_speaker_pairs, impostor_trials, balanced_trials, paired_rounds, legacy_trials, neighbour_trials, trial_participation, trial_validity,
         random_batches, pk_batches, hybrid_batches, epoch_stats, round_robin, microbatches, collated_batches,
