@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +152,19 @@ def contract_paths(units: DataFrame, scratch: Scratch) -> DataFrame:
     before = units.select(F.col("target").alias("node"), F.col("id").alias("head"), F.col("n").cast("long").alias("behind"))
     after = units.select(F.col("source").alias("node"), "id")
     current = scratch.keep(plain.join(before, "node").join(after, "node").where("id != head").select("id", "head", "behind", F.lit(True).alias("moved")), "paths")
-    left = None
+    settled, left = [], None
     while True:
-        further = current.select(F.col("id").alias("_id"), F.col("head").alias("_head"), F.col("behind").alias("_behind"))
-        seen = current.join(further, F.col("head") == F.col("_id"), "left")
-        moved = scratch.keep(seen.select("id", F.coalesce("_head", "head").alias("head"), (F.col("behind") + F.coalesce("_behind", F.lit(0))).alias("behind"), F.col("_id").isNotNull().alias("moved")), "paths")
-        scratch.drop(current)
-        current, before_this, left = moved, left, moved.where("moved").count()
+        # Units whose head did not move are done; the others look up where their head's own one is.
+        rows = reduce(DataFrame.unionByName, [*settled, current])
+        further = rows.select(F.col("id").alias("_id"), F.col("head").alias("_head"), F.col("behind").alias("_behind"))
+        seen = current.where("moved").join(further, F.col("head") == F.col("_id"), "left")
+        settled.append(current.where("not moved"))
+        current = scratch.keep(seen.select("id", F.coalesce("_head", "head").alias("head"), (F.col("behind") + F.coalesce("_behind", F.lit(0))).alias("behind"), F.col("_id").isNotNull().alias("moved")), "paths")
+        before_this, left = left, current.where("moved").count()
         if left in (0, before_this):  # on open paths fewer units move each time
             break
-    return current.where("not moved").select("id", "head", "behind")  # what still moves goes round in circles
+    # What still moves goes round in circles.
+    return scratch.keep(reduce(DataFrame.unionByName, [*settled, current.where("not moved")]).select("id", "head", "behind"), "contracted")
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str] = _KEY, how: str = "inner") -> DataFrame:
