@@ -9,7 +9,7 @@ prefix sums) and then passed through an avalanche step.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -74,8 +74,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Called when a batch is done: modules that keep tables in the worker let go of those that are no longer used.
+WHEN_BATCH_DONE: list[Callable[[], None]] = []
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers stay alive between tasks, beside the executor's heap."""
+    for call in WHEN_BATCH_DONE:
+        call()
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)

@@ -2,13 +2,14 @@
 
 A text is cut at ASCII white space, where that vocabulary's pre-tokenizer cuts too, so a text's ids are its words' ids
 laid end to end.  Each distinct word of a batch goes to the tokenizer once and is then looked up; the table of known
-words lives as long as the Python worker and is emptied at a fixed size.
+words lives in the Python worker, is emptied at a fixed size and goes when other stages follow.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import time
 
 import numpy as np
 
@@ -21,6 +22,9 @@ TOKEN_CHUNK_BYTES = 1 << 19
 #: New words before they are sorted in among the known ones.
 RECENT_WORDS = 50_000
 
+#: A tokenizer that no batch has used for so long is dropped.
+IDLE_SECONDS = 15.0
+
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,")] = True
 _LETTER = np.zeros(256, bool)
@@ -43,8 +47,17 @@ class WordTokenizer:
         """The one of this Python worker."""
         if path not in cls._known:
             cls._known[path] = cls(path)
+            K.WHEN_BATCH_DONE[:] = [cls._drop_idle]
+        cls._known[path].used_at = time.monotonic()
         return cls._known[path]
 
+    @classmethod
+    def _drop_idle(cls) -> None:
+        """Let go of tokenizers that no batch has used for a while: the worker has gone on to other stages."""
+        now = time.monotonic()
+        for path in [p for p, t in cls._known.items() if now - t.used_at > IDLE_SECONDS]:
+            del cls._known[path]
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -126,6 +139,7 @@ class WordTokenizer:
         Texts that hold the string of a special token, in whatever case, go to the tokenizer whole: it finds such strings
         before it folds case or cuts words.
         """
+        self.used_at = time.monotonic()
         data = K._LOWER[chunk.data]
         hits = np.array([m.start() for m in self.special.finditer(data)] if self.special else [], np.int64)
         whole = np.unique(np.searchsorted(chunk.offsets, hits, side="right") - 1)

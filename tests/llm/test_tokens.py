@@ -46,6 +46,18 @@ def test_known_words_are_bounded(encode, monkeypatch):
     assert own.size <= 12
 
 
+def test_idle_tokenizers_go(encode, monkeypatch):
+    path = tokens.vocabulary_path()
+    own = tokens.WordTokenizer.of(path)
+    list(K.chunks(pa.array(["x"])))
+    assert tokens.WordTokenizer.of(path) is own
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", -1.0)
+    list(K.chunks(pa.array(["x"])))
+    assert path not in tokens.WordTokenizer._known
+    (chunk,) = K.chunks(pa.array(["still usable, twice"]))
+    assert own.encode(chunk)[0].tolist() == encode("still usable, twice")
+
+
 def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
