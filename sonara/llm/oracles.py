@@ -95,3 +95,80 @@ SELECT st.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM st LEFT JOIN fine ON fine.lang IS NOT DISTINCT FROM st.lang AND fine.source IS NOT DISTINCT FROM st.source
   LEFT JOIN coarse ON coarse.lang IS NOT DISTINCT FROM st.lang LEFT JOIN whole ON true
 """
+
+FILTER_AUDIT = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+),
+f AS (
+  SELECT part,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask,
+    CASE WHEN quality = 1 THEN 1 ELSE 0 END AS good, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS toxic
+  FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id
+),
+cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || x.f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) x(f) WHERE NOT contains(o, x.f)
+),
+step AS (
+  SELECT o, s, 1 << (ascii(substr(o, s, 1)) - 65) AS own, list_sum([1 << (ascii(substr(o, k, 1)) - 65) FOR k IN range(1, s)]) AS before
+  FROM orders, range(1, 6) r(s) WHERE length(o) = 5
+),
+run AS (
+  SELECT part, o, s, own, sum(CASE WHEN mask & (own + coalesce(before, 0)) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cell, step GROUP BY 1, 2, 3, 4
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM run
+"""
+
+
+def merkle_sql(levels: int = 6, top_levels: int = 3) -> str:
+    """For at most 8 ** ``levels`` leaves a language and 8 ** ``top_levels`` languages."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    tampered = f"CASE WHEN crc % 3 = 0 THEN {_LOWER.format(text='text')} ELSE text END"
+    parts = [f"""
+WITH c AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten([[ascii(b), -1, -1, -1, -1, -1, -1, -1, -1] FOR b IN string_split(CAST(doc_id AS VARCHAR), '')])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) AS crc FROM documents
+),
+t AS (SELECT *, {tampered} AS altered FROM c),
+x AS (SELECT doc_id, lang, {leaf('text')} AS d, {leaf('altered')} AS a FROM t),
+n0 AS (SELECT doc_id, lang, d, a, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM x)"""]
+
+    def climb(n: str, tree: str, depth: int) -> None:
+        for k in range(depth):
+            run = f"PARTITION BY {tree}, i // 8 ORDER BY i ROWS BETWEEN"
+            parts.append(f"""
+{n}s{k} AS (SELECT {tree}, i, c, d, CASE WHEN c > 1 THEN coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS b, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e FROM {n}{k}),
+{n}{k + 1} AS (SELECT {tree}, i // 8 AS i, CASE WHEN max(c) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, (max(c) + 7) // 8 AS c FROM {n}s{k} GROUP BY {tree}, i // 8)""")
+
+    climb("n", "lang", levels)
+    parts.append(f"""
+m0 AS (SELECT 0 AS tree, lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS c FROM n{levels})""")
+    climb("m", "tree", top_levels)
+    joins, proof, fold = [], [], "n0.a"
+    for n, depth, place, tree in (("n", levels, "n0.i", "{s}.lang IS NOT DISTINCT FROM n0.lang"), ("m", top_levels, "m0.i", "true")):
+        if n == "m":
+            joins.append("JOIN m0 ON m0.lang IS NOT DISTINCT FROM n0.lang")
+        for k in range(depth):
+            s = f"{n}s{k}"
+            joins.append(f"JOIN {s} ON {tree.format(s=s)} AND {s}.i = {place} // {8**k}")
+            proof.append(f"coalesce({s}.b || {s}.e, '')")
+            fold = f"CASE WHEN {s}.b IS NULL THEN {fold} ELSE sha256({s}.b || {fold} || {s}.e) END" if k == 0 and n == "n" else f"(SELECT CASE WHEN {s}.b IS NULL THEN h ELSE sha256({s}.b || h || {s}.e) END FROM (SELECT {fold} AS h))"
+    return ",".join(parts) + f""",
+r AS (
+  SELECT n0.doc_id, n0.d AS leaf, m0.d AS subroot, (SELECT d FROM m{top_levels}) AS root, sha256({' || '.join(proof)}) AS proof_sha256, {fold} AS folded_root
+  FROM n0 {' '.join(joins)}
+)
+SELECT *, folded_root = root AS verified FROM r
+"""
