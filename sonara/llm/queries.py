@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, filter_audit, merkle, mil_toxicity, ngram_join, oracles, packing, pu_quality, quality_rules, sharding, sstable, tiling, url_filter
+from . import debruijn, filter_audit, merkle, mil_toxicity, ngram_join, oracles, packing, pu_quality, quality_rules, sharding, simhash, sstable, tiling, url_filter
 from .common import table
 from .tokens import vocabulary_path
 
@@ -57,11 +57,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verification(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op6_debruijn, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing, op11_filter_audit, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_tiling, op3_url_filter, op4_sharding, op5_quality_rules, op6_debruijn, op7_pu_quality, op8_mil_toxicity, op9_sstable, op10_packing, op11_filter_audit, op12_simhash, op13_merkle)}
 
 ORACLE_SQL = {
     "op1_ngram_join": oracles.NGRAM_JOIN,
