@@ -36,3 +36,21 @@ def ordered_rank(rows: DataFrame, keys: list[Column], name: str = "rank", operat
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+#: Order values that are summed by one task.
+STRETCH = 4096
+
+
+def running_total(rows: DataFrame, value: Column, order: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of their ``by`` group that come before them in ``order``.
+
+    ``order`` holds whole numbers from 0, unique within a group.  Stretches of these are summed apart and then added up, so
+    a task sees a stretch's rows, or a group's stretches, but never a whole group.
+    """
+    keyed = rows.withColumns({"_v": value.cast("long"), "_stretch": F.expr(f"`{order}` div {STRETCH}")})
+    sums = keyed.groupBy(*by, "_stretch").agg(F.sum("_v").alias("_sum"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_stretch", F.coalesce(F.sum("_sum").over(before(*by).orderBy("_stretch")), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("_v").over(before(*by, "_stretch").orderBy(order)), F.lit(0))
+    return keyed.withColumn("_within", within).join(offsets, [*by, "_stretch"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_v", "_stretch", "_within", "_before")

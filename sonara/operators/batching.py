@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import stable_digest
-from ..functions.ranking import digest_rank
+from ..functions.ranking import digest_rank, running_total
+from ..scratch import Scratch
 
 
 def random_batches(rows: DataFrame, key: str, size: int, seed: int, epoch: int = 0, drop_last: bool = False) -> DataFrame:
@@ -53,37 +54,105 @@ def pk_batches(rows: DataFrame, speakers_per_batch: int, rows_per_speaker: int,
     return taken.join(placed, [*by, "speaker_id", "place"]).select(*by, "batch_id", "slot", "speaker_id", "path", "cycle")
 
 
+def _units(index: DataFrame, rows_per_speaker: int, window: int, seed: int, epoch: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (speaker_id, unit, place, path, shard_path, base) of units of K rows, and base windows (base).
+
+    A speaker's rows, in the order of base windows and then of digests, are cut into units of K; rows left over at the end
+    form a last one together with those before them.
+    """
+    k = rows_per_speaker
+    shards = index.select("shard_path").distinct().withColumn("_d", stable_digest(seed, str(epoch), "shard", F.col("shard_path")))
+    bases = scratch.keep(digest_rank(shards, "_d", "shard_path").select("shard_path", F.expr(f"rank div {window}").alias("base")), "bases")
+    placed = index.select("shard_path", "speaker_id", "path").join(bases, "shard_path").withColumn("_d", stable_digest(seed, str(epoch), "row", F.col("path")))
+    within = F.row_number().over(Window.partitionBy("speaker_id", "base").orderBy("_d", "path")) - 1  # a base window's rows at most
+    counts = running_total(placed.groupBy("speaker_id", "base").agg(F.count("*").alias("_n")), F.col("_n"), "base", "earlier", ("speaker_id",))
+    totals = counts.groupBy("speaker_id").agg(F.sum("_n").alias("n"))
+    if short := totals.where(F.col("n") < k).take(1):
+        raise ValueError(f"K exceeds a speaker's rows: {short[0]['speaker_id']}")
+    queue = placed.withColumn("_in", within).join(counts.drop("_n"), ["speaker_id", "base"]).join(totals, "speaker_id").withColumn("q", F.col("earlier") + F.col("_in"))
+    last = F.expr(f"(n - 1) div {k}")
+    twice = (F.col("n") % k != 0) & (F.col("q") >= F.col("n") - k) & (F.expr(f"q div {k}") < last)
+    own = queue.withColumn("unit", F.explode(F.when(twice, F.array(F.expr(f"q div {k}"), last)).otherwise(F.array(F.expr(f"q div {k}")))))
+    return own.select("speaker_id", "unit", (F.col("q") - F.least(F.col("unit") * k, F.col("n") - k)).cast("int").alias("place"), "path", "shard_path", "base"), bases.select("base").distinct()
+
+
+def shard_windows(units: DataFrame, bases: DataFrame, speakers_per_batch: int, scratch: Scratch) -> DataFrame:
+    """Rows (base, shard_window): all base windows, halved as long as both halves have units of P speakers or lie behind the
+    last window.
+
+    Halves lie at powers of two, and all blocks at all of them are judged at once, so it takes a few joins whatever the
+    number of windows.  ``shard_window`` is the first base window of a block.  Fewer than P speakers are an error.
+    """
+    last = bases.agg(F.max("base")).first()[0] or 0
+    levels = last.bit_length()
+    blocks = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda x: F.call_function("shiftright", F.col("base"), x))).alias("level", "block")
+    able = units.select("base", "speaker_id").distinct().select("speaker_id", blocks).distinct().groupBy("level", "block").agg((F.count("*") >= speakers_per_batch).alias("able"))
+    behind = units.sparkSession.createDataFrame([(k, (last >> k) + 1, True) for k in range(levels + 1)], "level int, block long, able boolean")
+    able = scratch.keep(able.unionByName(behind), "able")
+    if not able.where((F.col("level") == levels) & (F.col("block") == 0) & F.col("able")).take(1):
+        raise ValueError("P exceeds the speakers")
+    halved = able.where("able").groupBy((F.col("level") + 1).alias("level"), F.shiftright("block", 1).alias("block")).agg(F.count("*").alias("n")).where("n = 2").drop("n")
+    whole = bases.select("base", blocks).join(halved, ["level", "block"], "left_anti").groupBy("base").agg(F.max_by("block", "level").alias("block"), F.max("level").alias("level"))
+    return whole.select("base", F.call_function("shiftleft", F.col("block"), F.col("level")).alias("shard_window"))
+
+
 def windowed_batches(index: DataFrame, speakers_per_batch: int, rows_per_speaker: int, window: int, seed: int, epoch: int = 0) -> DataFrame:
-    """P x K batches that read few shards: shards, in digest order, form windows, and batches are made within a window.
+    """P x K batches that read few shards; rows (shard_window, batch_id, slot, speaker_id, path, cycle, shard_path).
+
+    Every ``window`` shards, in digest order, are a base window.  A speaker's rows go through these in units of K: rows of
+    a speaker that has too few in a window wait for the next one, so at most K - 1 rows of a batch's speaker come from
+    earlier shards.  Windows are halved as long as both halves have P speakers (``shard_windows``).
 
-    A window without P speakers of K rows each joins the next one (the last one those before it).  ``index`` has
-    shard_path, speaker_id and path; rows (shard_window, batch_id, slot, speaker_id, path, cycle, shard_path).
+    A window gives as many batches as its units fill.  Its speakers stand on a circle, in one order of digests for all
+    windows; the seats of its batches go round it, beginning where the seats of all windows before would have ended.  So
+    exposures in a window differ by one at most, and where all speakers have units in all windows, so do those of the
+    epoch.  An exposure takes the speaker's next unit in the window and begins again when they are used up (``cycle``).
+    More speakers a batch than there are, or more rows than a speaker has, are errors.
     """
     p, k = speakers_per_batch, rows_per_speaker
-    shards = index.select("shard_path").distinct().withColumn("_d", stable_digest(seed, str(epoch), "shard", F.col("shard_path")))
-    windows = digest_rank(shards, "_d", "shard_path").select("shard_path", F.expr(f"rank div {window}").cast("int").alias("shard_window"))
-    placed = index.join(windows, "shard_path")
-    able = placed.groupBy("shard_window", "speaker_id").agg(F.count("*").alias("n")).groupBy("shard_window").agg(F.count_if(F.col("n") >= k).alias("able"), F.count("*").alias("all"))
-    # One row a window: each that cannot fill a batch alone is counted to the next that can.
-    alone = Window.orderBy("shard_window").rowsBetween(0, Window.unboundedFollowing)
-    before = Window.orderBy("shard_window").rowsBetween(Window.unboundedPreceding, 0)
-    full = F.when((F.col("able") >= p) & (F.col("able") == F.col("all")), F.col("shard_window"))
-    target = able.select("shard_window", F.coalesce(F.min(full).over(alone), F.max(full).over(before), F.lit(0)).alias("_target"))
-    merged = placed.join(target, "shard_window").select(F.col("_target").alias("shard_window"), "shard_path", "speaker_id", "path")
-    batches = pk_batches(merged, p, k, seed, epoch, by=("shard_window",))
-    return batches.join(index.select("path", "shard_path"), "path")
+    scratch = Scratch(index.sparkSession, "windowed-batches")
+    members, bases = _units(index, k, window, seed, epoch, scratch)
+    members = scratch.keep(members, "members")
+    units = members.groupBy("speaker_id", "unit").agg(F.max("base").alias("base"))  # a unit is whole in the window of its last row
+    units = scratch.keep(units.join(shard_windows(units, bases, p, scratch), "base").select("shard_window", "speaker_id", "unit"), "units")
+
+    speakers = units.groupBy("shard_window", "speaker_id").agg(F.count("*").alias("units"))
+    windows = speakers.groupBy("shard_window").agg(F.count("*").alias("able"), F.ceil(F.sum("units") / p).alias("batches"))
+    windows = running_total(windows, F.col("batches"), "shard_window", "first_batch")
+    ranked = digest_rank(units.select("speaker_id").distinct().withColumn("_d", stable_digest(seed, str(epoch), "speaker", F.col("speaker_id"))), "_d", "speaker_id", name="circle").drop("_d")
+    everyone = ranked.count()
+    seated = speakers.join(windows, "shard_window").join(ranked, "speaker_id")
+    turn = F.pmod(F.col("circle") - F.col("first_batch") * p, F.lit(everyone))
+    place = (F.row_number().over(Window.partitionBy("shard_window").orderBy(turn)) - 1).cast("long")  # a window's speakers
+    exposures = seated.withColumn("_place", place).withColumn("e", F.explode(F.expr(f"sequence(0L, (batches * {p} - 1 - _place) div able)")))
+    seats = exposures.withColumn("_seat", F.col("e") * F.col("able") + F.col("_place")).select(
+        "shard_window", "speaker_id", (F.col("first_batch") + F.expr(f"_seat div {p}")).alias("batch_id"), (F.col("_seat") % p).alias("_of"), (F.col("e") % F.col("units")).alias("_nth"), F.expr("e div units").alias("cycle")
+    )
+    nth = (F.row_number().over(Window.partitionBy("shard_window", "speaker_id").orderBy("unit")) - 1).cast("long")
+    taken = seats.join(units.withColumn("_nth", nth), ["shard_window", "speaker_id", "_nth"]).join(members.drop("base"), ["speaker_id", "unit"])
+    return taken.select("shard_window", "batch_id", (F.col("_of") * k + F.col("place")).cast("int").alias("slot"), "speaker_id", "path", "cycle", "shard_path")
 
 
 def epoch_stats(batches: DataFrame) -> DataFrame:
     """One row: batches, logical_selections, unique_selected, repeated_selections, queue_cycles, least and most exposure."""
     per_row = batches.groupBy("path").agg(F.count("*").alias("n"))
-    per_speaker = batches.groupBy("speaker_id").agg(F.countDistinct("batch_id").alias("exposure"), F.max("cycle").alias("cycles"))
+    speakers = speaker_exposure(batches)
     a = batches.agg(F.countDistinct("batch_id").alias("batches"), F.count("*").alias("logical_selections"))
     b = per_row.agg(F.count("*").alias("unique_selected"), F.sum(F.col("n") - 1).alias("repeated_selections"))
-    c = per_speaker.agg(F.sum("cycles").alias("queue_cycles"), F.min("exposure").alias("min_exposure"), F.max("exposure").alias("max_exposure"))
+    c = speakers.agg(F.sum("queue_cycles").alias("queue_cycles"), F.min("exposure").alias("min_exposure"), F.max("exposure").alias("max_exposure"))
     return a.join(F.broadcast(b)).join(F.broadcast(c))
 
 
+def speaker_exposure(batches: DataFrame) -> DataFrame:
+    """Rows (speaker_id, exposure, queue_cycles): batches that a speaker is in, and times that its queue began again."""
+    return batches.groupBy("speaker_id").agg(F.countDistinct("batch_id").alias("exposure"), F.max("cycle").alias("queue_cycles"))
+
+
+def shards_per_batch(batches: DataFrame) -> DataFrame:
+    """Rows (batch_id, n_shards): the different shards that a batch reads."""
+    return batches.groupBy("batch_id").agg(F.countDistinct("shard_path").alias("n_shards"))
+
+
 def round_robin(batches: DataFrame) -> DataFrame:
     """Batches with ``position``: every speaker's first row, then every speaker's second one, and so on."""
     turn = F.row_number().over(Window.partitionBy("batch_id", "speaker_id").orderBy("slot"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import stable_digest
-from ..functions.ranking import digest_rank, ordered_rank
+from ..functions.permutation import div, gcd, keyed_permutation, pair_of
+from ..functions.ranking import digest_rank, ordered_rank, running_total
 from ..functions.text import numbered
 from ..scratch import Scratch
 from .contracts import all_of, duplicates, row_violations, violations
@@ -61,13 +62,13 @@ def genuine_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataF
 
 
 def impostor_speaker_pairs(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
-    """Rows (position, speaker_a, speaker_b, turn_a, turn_b): ``total`` pairs of speakers with balanced participation.
+    """Rows (position, speaker_a, speaker_b): ``total`` pairs of speakers with balanced participation.
 
     Speakers take part in rounds.  Those with the greater quota go first, then all of them as often as the lesser quota
     says, each round in the order of a digest of its own, so at every position the two taken have most of their quota
     left.  Endpoints 2p and 2p + 1 of all rounds laid end to end meet at position p; where a round of odd size would pair
-    a speaker with itself across the border, the first two of the next round change places.  ``turn`` counts a speaker's
-    earlier positions.  Fewer than two speakers are an error.
+    a speaker with itself across the border, the first two of the next round change places.  Fewer than two speakers are
+    an error.
     """
     quotas = balanced_quotas(utterances, 2 * total, IMPOSTOR_QUOTA, seed)
     n, least, extra = quotas.agg(F.count("*"), F.min("quota"), F.sum("quota") - F.min("quota") * F.count("*")).first()
@@ -77,56 +78,47 @@ def impostor_speaker_pairs(utterances: DataFrame, total: int, seed: int = SEED)
     rounds = quotas.withColumn("round", F.explode(F.sequence(F.when(F.col("quota") > least, 0).otherwise(1), F.lit(least).cast("int")))) if least else quotas.where("quota > 0").withColumn("round", F.lit(0))
     ranked = digest_rank(rounds.withColumn("_d", stable_digest(seed, IMPOSTOR_SPEAKER, F.col("round"), F.col("speaker_id"))), "_d", "speaker_id", by=("round",))
     endpoint = F.when(F.col("round") == 0, F.col("rank")).otherwise(extra + (F.col("round") - 1) * n + F.col("rank"))
-    turn = F.when(F.col("quota") > least, F.col("round")).otherwise(F.col("round") - 1).cast("long")
-    ends = Scratch(utterances.sparkSession, "impostor-speakers").keep(ranked.select(endpoint.cast("long").alias("endpoint"), "round", "rank", "speaker_id", turn.alias("turn")), "endpoints")
+    ends = Scratch(utterances.sparkSession, "impostor-speakers").keep(ranked.select(endpoint.cast("long").alias("endpoint"), "round", "rank", "speaker_id"), "endpoints")
 
     # Borders between rounds within a pair: one row for each round.
     last = ends.where("endpoint % 2 = 0").select((F.col("endpoint") + 1).alias("endpoint"), F.col("speaker_id").alias("_last"))
     border = ends.where("rank = 0 and endpoint % 2 = 1").join(last, "endpoint").where("speaker_id = _last").select(F.col("round").alias("_round"))
     moved = F.when(F.col("_round").isNotNull() & (F.col("rank") < 2), 1 - 2 * F.col("rank")).otherwise(F.lit(0))
-    placed = ends.join(border, F.col("round") == F.col("_round"), "left").select((F.col("endpoint") + moved).alias("endpoint"), "speaker_id", "turn")
-    side = lambda k, name: F.max(F.when(F.col("endpoint") % 2 == k, F.col(name)))
-    return placed.groupBy(F.expr("endpoint div 2").alias("position")).agg(side(0, "speaker_id").alias("speaker_a"), side(1, "speaker_id").alias("speaker_b"), side(0, "turn").alias("turn_a"), side(1, "turn").alias("turn_b"))
+    placed = ends.join(border, F.col("round") == F.col("_round"), "left").select((F.col("endpoint") + moved).alias("endpoint"), "speaker_id")
+    side = lambda k: F.max(F.when(F.col("endpoint") % 2 == k, F.col("speaker_id")))
+    return placed.groupBy(F.expr("endpoint div 2").alias("position")).agg(side(0).alias("speaker_a"), side(1).alias("speaker_b"))
 
 
 def impostor_trials(utterances: DataFrame, total: int, seed: int = SEED) -> DataFrame:
-    """``COLUMNS`` and ``position``: the speaker pairs with the least used utterances of each, ties by digest, then path.
+    """``COLUMNS`` and ``position``: for each pair of speakers an unseen pair of utterances, their uses balanced.
 
-    A speaker gives its utterances in cycles, each in the order of a digest of its own, so uses differ by one at most.  A
-    pair of utterances that an earlier position has moves on to the next utterance of its second speaker until it is
-    unseen; a pair of speakers without an unseen pair is an error.
+    The meetings of two speakers with n_a and n_b utterances walk along the shifted diagonals of their n_a x n_b grid:
+    meeting m takes row m modulo n_a and column m + m div lcm(n_a, n_b) modulo n_b, which are distinct cells for all
+    n_a n_b meetings.  Rows and columns are places in an order of digests, and begin where the speaker's meetings with its
+    partners before (in an order of digests) have ended, so any two utterances of a speaker are used equally often, give or
+    take one.  More meetings than a grid has cells are an error.
     """
     scratch = Scratch(utterances.sparkSession, "impostor-trials")
-    pairs = scratch.keep(impostor_speaker_pairs(utterances, total, seed), "pairs")
+    pairs = scratch.keep(impostor_speaker_pairs(utterances, total, seed).select("position", F.least("speaker_a", "speaker_b").alias("low"), F.greatest("speaker_a", "speaker_b").alias("high")), "pairs")
     paths = utterances.select("speaker_id", "path").distinct()
+    queue = digest_rank(paths.withColumn("_d", stable_digest(seed, IMPOSTOR, F.col("path"))), "_d", "path", name="place", by=("speaker_id",)).select("speaker_id", "place", "path")
     sizes = paths.groupBy("speaker_id").agg(F.count("*").alias("n"))
-    calls = pairs.select(F.col("speaker_a").alias("speaker_id"), F.col("turn_a").alias("turn")).unionByName(pairs.select(F.col("speaker_b").alias("speaker_id"), F.col("turn_b").alias("turn")))
-    cycles = calls.join(sizes, "speaker_id").select("speaker_id", F.expr("turn div n").alias("cycle")).distinct()
-    keyed = cycles.join(paths, "speaker_id").withColumn("_d", stable_digest(seed, IMPOSTOR, F.col("cycle"), F.col("path")))
-    queue = scratch.keep(digest_rank(keyed, "_d", "path", name="place", by=("speaker_id", "cycle")).select("speaker_id", "cycle", "place", "path"), "queue")
-
-    def given(rows: DataFrame, side: str) -> DataFrame:
-        own = queue.join(sizes, "speaker_id").select(F.col("speaker_id").alias(f"speaker_{side}"), "cycle", "place", F.col("path").alias(f"path_{side}"))
-        at = rows.join(sizes.select(F.col("speaker_id").alias(f"speaker_{side}"), F.col("n").alias(f"n_{side}")), f"speaker_{side}")
-        shift = F.col("shift") if side == "b" else F.lit(0)
-        at = at.withColumns({"cycle": F.expr(f"turn_{side} div n_{side}"), "place": (F.col(f"turn_{side}") % F.col(f"n_{side}") + shift) % F.col(f"n_{side}")})
-        return at.join(own, [f"speaker_{side}", "cycle", "place"]).drop("cycle", "place")
-
-    shifted = pairs.withColumn("shift", F.lit(0).cast("long"))
-    while True:
-        made = scratch.keep(given(given(shifted, "a"), "b"), "made")
-        low, high = F.least("path_a", "path_b"), F.greatest("path_a", "path_b")
-        seen = made.withColumn("_times", F.row_number().over(Window.partitionBy(low, high).orderBy("position")))
-        again = scratch.keep(seen.where("_times > 1").select("position", F.col("n_b").alias("_n")), "again")
-        if not again.take(1):
-            break
-        shifted = made.join(again, "position", "left").select(*pairs.columns, F.when(F.col("_n").isNotNull(), F.col("shift") + 1).otherwise(F.col("shift")).alias("shift"), "n_b")
-        shifted = scratch.keep(shifted, "shifted")
-        if shifted.where("shift >= n_b").take(1):
-            raise ValueError("two speakers have no unseen pair left; take fewer trials")
-        shifted = shifted.drop("n_b")
-    a, b = F.struct(F.col("path_a").alias("path"), F.col("speaker_a").alias("speaker")), F.struct(F.col("path_b").alias("path"), F.col("speaker_b").alias("speaker"))
-    sides = made.select(F.least(a, b).alias("l"), F.greatest(a, b).alias("r"), "position")
+
+    meetings = scratch.keep(pairs.groupBy("low", "high").agg(F.count("*").alias("meetings")), "meetings")
+    each = lambda own, other: meetings.select(F.col(own).alias("speaker_id"), F.col(other).alias("partner"), "meetings")
+    partners = each("low", "high").unionByName(each("high", "low")).withColumn("_d", stable_digest(seed, IMPOSTOR, "partner", F.col("speaker_id"), F.col("partner")))
+    begins = running_total(digest_rank(partners, "_d", "partner", name="turn", by=("speaker_id",)), F.col("meetings"), "turn", "begin", ("speaker_id",))
+    sided = lambda own, other, x: begins.join(sizes, "speaker_id").select(F.col("speaker_id").alias(own), F.col("partner").alias(other), F.col("begin").alias(f"begin_{x}"), F.col("n").alias(f"n_{x}"))
+    grids = meetings.join(sided("low", "high", "a"), ["low", "high"]).join(sided("high", "low", "b"), ["low", "high"])
+    grids = scratch.keep(grids.withColumn("lcm", div(F.col("n_a") * F.col("n_b"), gcd(F.col("n_a"), F.col("n_b")))), "grids")
+    if grids.where("meetings > n_a * n_b").take(1):
+        raise ValueError("two speakers have no unseen pair left; take fewer trials")
+
+    met = running_total(pairs, F.lit(1), "position", "m", ("low", "high")).join(grids, ["low", "high"])
+    cells = met.select("position", "low", "high", F.expr("(begin_a + m) % n_a").alias("place_a"), F.expr("pmod(begin_b + m + m div lcm - meetings div lcm, n_b)").alias("place_b"))
+    given = lambda own, x: queue.select(F.col("speaker_id").alias(own), F.col("place").alias(f"place_{x}"), F.struct("path", F.col("speaker_id").alias("speaker")).alias(x))
+    chosen = cells.join(given("low", "a"), ["low", "place_a"]).join(given("high", "b"), ["high", "place_b"])
+    sides = chosen.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"), "position")
     return sides.select(F.col("l.path").alias("left_audio_path"), F.col("r.path").alias("right_audio_path"), F.col("l.speaker").alias("left_speaker_id"), F.col("r.speaker").alias("right_speaker_id"), F.lit(0).alias("target"), "position")
 
 
@@ -175,22 +167,39 @@ def neighbour_trials(utterances: DataFrame, width: int, seed: int = SEED, bucket
     return pairs(("speaker_id",), "o is not null", 1).unionByName(pairs((), "o is not null and o.speaker_id != speaker_id", 0))
 
 
+def drawn_pairs(utterances: DataFrame, cap: int, seed: int = SEED) -> DataFrame:
+    """``cap`` different pairs of utterances of each speaker (all of them if it has no more), drawn from all its pairs.
+
+    The pairs of n utterances are numbered; a keyed permutation of the numbers gives the first ``cap`` of a shuffled order
+    one by one, and a number gives its two places in an order of digests.  No other pair is ever formed, so the work is in
+    proportion to utterances and pairs drawn.  ``COLUMNS``.
+    """
+    paths = utterances.select("speaker_id", "path").distinct()
+    owned = digest_rank(paths.withColumn("_d", stable_digest(seed, GENUINE, F.col("path"))), "_d", "path", name="place", by=("speaker_id",)).select("speaker_id", "place", "path")
+    sizes = paths.groupBy("speaker_id").agg(F.count("*").alias("n")).withColumn("pairs", F.shiftright(F.col("n") * (F.col("n") - 1), 1)).where("pairs > 0")
+    drawn = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(cap).cast("long"), F.col("pairs")) - 1)))
+    number = drawn.select("speaker_id", keyed_permutation(F.col("k"), F.col("pairs"), seed, GENUINE, F.col("speaker_id")).alias("number"))
+    i, j = pair_of(F.col("number"))
+    places = number.select("speaker_id", i.alias("i"), j.alias("j"))
+    at = lambda name, path: owned.select("speaker_id", F.col("place").alias(name), F.col("path").alias(path))
+    both = places.join(at("i", "_a"), ["speaker_id", "i"]).join(at("j", "_b"), ["speaker_id", "j"])
+    return both.select(F.least("_a", "_b").alias("left_audio_path"), F.greatest("_a", "_b").alias("right_audio_path"), F.col("speaker_id").alias("left_speaker_id"), F.col("speaker_id").alias("right_speaker_id"), F.lit(1).alias("target"))
+
+
 def legacy_trials(utterances: DataFrame, cap: int = 100, seed: int = SEED) -> DataFrame:
     """Up to ``cap`` genuine pairs of each speaker and as many impostor pairs of balanced participation, in mixed order.
 
-    All pairs of a speaker compete for the ``cap`` places.  Impostor rounds are added until there are enough of them.
-    The shuffles are digest orders (reproducible on any number of machines) instead of one generator's stream.
-    ``trial_id`` counts from 0 in the order of a digest; speakers need two utterances or more.
+    Genuine pairs are drawn from all pairs of a speaker (``drawn_pairs``).  Impostor rounds are added until there are
+    enough of them.  The shuffles are keyed permutations and digest orders (reproducible on any number of machines) instead
+    of one generator's stream.  ``trial_id`` counts from 0 in the order of a digest; speakers need two utterances or more.
     """
     paths = utterances.select("speaker_id", "path").distinct()
-    lone = paths.groupBy("speaker_id").agg(F.count("*").alias("n")).where("n < 2").agg(F.count("*").alias("lone"))
-    if lone.first()[0]:
+    sizes = paths.groupBy("speaker_id").agg(F.count("*").alias("n"))
+    if sizes.where("n < 2").take(1):
         raise ValueError("every speaker needs two utterances")
     scratch = Scratch(utterances.sparkSession, "legacy-trials")
-    best = _least_pairs(utterances, cap, seed)
-    genuine = scratch.keep(best.select(F.col("a").alias("left_audio_path"), F.col("b").alias("right_audio_path"), F.col("speaker_id").alias("left_speaker_id"), F.col("speaker_id").alias("right_speaker_id"), F.lit(1).alias("target")), "genuine")
+    genuine = scratch.keep(drawn_pairs(utterances, cap, seed), "genuine")
     needed = genuine.count()
-    sizes = paths.groupBy("speaker_id").agg(F.count("*").alias("n"))
     speakers, cross = sizes.agg(F.count("*"), (F.sum("n").cast("double") ** 2 - F.sum(F.col("n").cast("double") ** 2)) / 2).first()
     if needed and cross < needed:
         raise ValueError("the speakers cannot supply enough impostor pairs")

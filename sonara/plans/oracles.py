@@ -79,11 +79,24 @@ ib AS (SELECT y.round FROM ie x JOIN ie y ON y.e = x.e + 1 WHERE x.e % 2 = 0 AND
 ip AS (SELECT CASE WHEN rank < 2 AND round IN (SELECT round FROM ib) THEN e + 1 - 2 * rank ELSE e END AS e, speaker_id, turn FROM ie),
 sp AS (SELECT e // 2 AS position, max(speaker_id) FILTER (WHERE e % 2 = 0) AS speaker_a, max(speaker_id) FILTER (WHERE e % 2 = 1) AS speaker_b, max(turn) FILTER (WHERE e % 2 = 0) AS turn_a, max(turn) FILTER (WHERE e % 2 = 1) AS turn_b FROM ip GROUP BY 1)"""
 
-#: Where no pair comes up twice, as on the driver's tables.
-IMPOSTORS = f"""iz AS (SELECT speaker_id, count(*) AS n FROM (SELECT DISTINCT * FROM utt) GROUP BY 1),
-ic AS (SELECT position, s, turn // n AS cycle, turn % n AS place FROM (SELECT position, speaker_a AS s, turn_a AS turn FROM sp UNION ALL SELECT position, speaker_b, turn_b FROM sp) JOIN iz ON iz.speaker_id = s),
-iq AS (SELECT c.s, c.cycle, u.path, row_number() OVER (PARTITION BY c.s, c.cycle ORDER BY {_digest("'impostor'", "CAST(cycle AS VARCHAR)", "path")}, path) - 1 AS place FROM (SELECT DISTINCT s, cycle FROM ic) c JOIN (SELECT DISTINCT * FROM utt) u ON u.speaker_id = c.s),
-imp AS (SELECT position, min({{'path': path, 's': ic.s}}) AS l, max({{'path': path, 's': ic.s}}) AS r FROM ic JOIN iq ON iq.s = ic.s AND iq.cycle = ic.cycle AND iq.place = ic.place GROUP BY 1)"""
+IMPOSTORS = f"""jz AS (SELECT speaker_id, path, row_number() OVER (PARTITION BY speaker_id ORDER BY {_digest("'impostor'", "path")}, path) - 1 AS place, count(*) OVER (PARTITION BY speaker_id) AS n FROM (SELECT DISTINCT * FROM utt)),
+jn AS (SELECT DISTINCT speaker_id, n FROM jz),
+jm AS (SELECT position, lo, hi, row_number() OVER (PARTITION BY lo, hi ORDER BY position) - 1 AS m, count(*) OVER (PARTITION BY lo, hi) AS t FROM (SELECT position, least(speaker_a, speaker_b) AS lo, greatest(speaker_a, speaker_b) AS hi FROM sp)),
+jp AS (SELECT DISTINCT lo AS s, hi AS o, t FROM jm UNION ALL SELECT DISTINCT hi, lo, t FROM jm),
+jb AS (SELECT s, o, coalesce(sum(t) OVER (PARTITION BY s ORDER BY {_digest("'impostor'", "'partner'", "s", "o")}, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM jp),
+jc AS (SELECT position, lo, hi, (x.b + m) % p.n AS i, (y.b + m + m // lcm(p.n, q.n) - t // lcm(p.n, q.n) + q.n * (t + 1)) % q.n AS j
+  FROM jm JOIN jb x ON x.s = lo AND x.o = hi JOIN jb y ON y.s = hi AND y.o = lo JOIN jn p ON p.speaker_id = lo JOIN jn q ON q.speaker_id = hi),
+imp AS (SELECT position, least({{'path': u.path, 's': lo}}, {{'path': v.path, 's': hi}}) AS l, greatest({{'path': u.path, 's': lo}}, {{'path': v.path, 's': hi}}) AS r
+  FROM jc JOIN jz u ON u.speaker_id = lo AND u.place = i JOIN jz v ON v.speaker_id = hi AND v.place = j)"""
+
+
+def _permuted(x: str, size: str, *key: str) -> str:
+    """Place of x in the keyed permutation of 0 to ``size`` - 1; ``ls`` and ``rs`` are the sides of the grid."""
+    drawn = lambda v: "CAST('0x' || substr(" + _digest(*key, "CAST(op AS VARCHAR)", f"CAST({v} AS VARCHAR)") + ", 1, 15) AS BIGINT)"
+    left, right = "(st // rs)", "(st % rs)"
+    return f"""-1 - list_reduce(list_prepend(CAST({x} AS BIGINT), flatten([CAST([0, 1, 2, 3, 4] AS BIGINT[]) FOR w IN range(16)])), lambda st, op: CASE WHEN st < 0 THEN st WHEN op = 4 THEN CASE WHEN st < {size} THEN -1 - st ELSE st END
+  WHEN op % 2 = 0 THEN ({left} + {drawn(right)}) % ls * rs + {right} ELSE {left} * rs + ({right} + {drawn(left)}) % rs END)"""
+
 
 def _pk(source: str, by: str = "", name: str = "pk") -> str:
     """P x K batches of ``source`` (``by``, speaker_id, path)."""
@@ -100,6 +113,28 @@ PK = f"""{UTT},
 {_pk("utt")},
 rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY turn, speaker_id) - 1 AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, speaker_id ORDER BY slot) AS turn FROM pk))"""
 
+#: Windows from the top down: a block is halved if both halves have units of P speakers or lie behind the last window.
+HYBRID = f"""WITH RECURSIVE {INDEX}, hx AS (SELECT shard_path, speaker_id, relative_audio_path AS path FROM idx WHERE final_split = 'train'),
+hs AS (SELECT shard_path, (row_number() OVER (ORDER BY {_digest("'0'", "'shard'", "shard_path")}, shard_path) - 1) // 2 AS base FROM (SELECT DISTINCT shard_path FROM hx)),
+hq AS (SELECT speaker_id, path, shard_path, base, row_number() OVER (PARTITION BY speaker_id ORDER BY base, {_digest("'0'", "'row'", "path")}, path) - 1 AS q, count(*) OVER (PARTITION BY speaker_id) AS n FROM hx JOIN hs USING (shard_path)),
+hm AS (SELECT speaker_id, path, shard_path, base, unit, q - least(unit * {K}, n - {K}) AS place FROM (
+  SELECT *, q // {K} AS unit FROM hq UNION ALL SELECT *, (n - 1) // {K} FROM hq WHERE n % {K} <> 0 AND q >= n - {K} AND q // {K} < (n - 1) // {K})),
+hu AS (SELECT speaker_id, unit, max(base) AS base FROM hm GROUP BY 1, 2),
+hl AS (SELECT unnest(range(0, 1 + CASE WHEN m = 0 THEN 0 ELSE length(bin(m)) END)) AS level FROM (SELECT max(base) AS m FROM hs)),
+ha AS (SELECT level, base >> level AS block FROM hu, hl GROUP BY 1, 2 HAVING count(DISTINCT speaker_id) >= {P} UNION ALL SELECT level, (m >> level) + 1 FROM hl, (SELECT max(base) AS m FROM hs)),
+hh AS (SELECT level + 1 AS level, block // 2 AS block FROM ha GROUP BY 1, 2 HAVING count(*) = 2),
+hb AS (SELECT max(level) AS level, CAST(0 AS BIGINT) AS block FROM hl UNION ALL SELECT hb.level - 1, 2 * hb.block + half FROM hb JOIN hh ON hh.level = hb.level AND hh.block = hb.block, (VALUES (0), (1)) v(half)),
+hw AS (SELECT DISTINCT hs.base, hb.block << hb.level AS shard_window FROM hs JOIN hb ON hs.base >> hb.level = hb.block WHERE NOT EXISTS (SELECT 1 FROM hh WHERE hh.level = hb.level AND hh.block = hb.block)),
+hv AS (SELECT shard_window, speaker_id, unit, row_number() OVER (PARTITION BY shard_window, speaker_id ORDER BY unit) - 1 AS nth FROM hu JOIN hw USING (base)),
+hz AS (SELECT shard_window, speaker_id, count(*) AS units FROM hv GROUP BY 1, 2),
+ht AS (SELECT shard_window, able, batches, coalesce(CAST(sum(batches) OVER (ORDER BY shard_window ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS first_batch FROM (SELECT shard_window, count(*) AS able, CAST(ceil(sum(units) / {P}.0) AS BIGINT) AS batches FROM hz GROUP BY 1)),
+hr AS (SELECT speaker_id, row_number() OVER (ORDER BY {_digest("'0'", "'speaker'", "speaker_id")}, speaker_id) - 1 AS circle, count(*) OVER () AS everyone FROM (SELECT DISTINCT speaker_id FROM hv)),
+hp AS (SELECT *, row_number() OVER (PARTITION BY shard_window ORDER BY (circle - first_batch * {P} % everyone + everyone) % everyone) - 1 AS place FROM hz JOIN ht USING (shard_window) JOIN hr USING (speaker_id)),
+he AS (SELECT *, e * able + place AS seat FROM (SELECT *, unnest(range(0, (batches * {P} - 1 - place) // able + 1)) AS e FROM hp)),
+hybrid AS (SELECT he.shard_window, first_batch + seat // {P} AS batch_id, CAST(seat % {P} * {K} + hm.place AS INTEGER) AS slot, he.speaker_id, path, e // units AS cycle, shard_path
+  FROM he JOIN hv ON hv.shard_window = he.shard_window AND hv.speaker_id = he.speaker_id AND hv.nth = e % units JOIN hm ON hm.speaker_id = hv.speaker_id AND hm.unit = hv.unit)
+"""
+
 IDENTITY = lambda rows: f"""SELECT coalesce(CAST(sum(n) AS BIGINT), 0) AS n_rows, sha256(coalesce(string_agg(h, chr(10) ORDER BY p), '')) AS identity FROM
   (SELECT substr(p, 1, 3) AS p, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM
     (SELECT substr(d, 1, 6) AS p, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM (SELECT sha256(j) AS d FROM ({rows})) GROUP BY 1) GROUP BY 1)"""
@@ -262,8 +297,13 @@ SELECT 'trial-' || lpad(CAST(row_number() OVER (ORDER BY target DESC, s, d, posi
     "paired_rounds": f"WITH {UTT}, {_rounds('negative-speaker', '6', False)} SELECT l AS left_audio_path, r AS right_audio_path, ls AS left_speaker_id, rs AS right_speaker_id, 0 AS target, round FROM made",
     # Twice the first number of rounds: later rounds change nothing in earlier ones, and the first ones are taken.
     "legacy_trials": f"""WITH {UTT}, p AS (SELECT DISTINCT * FROM utt),
-pr AS (SELECT a.speaker_id AS s, a.path AS l, b.path AS r, {_digest("'genuine'", "a.speaker_id", "a.path", "b.path")} AS d FROM p a JOIN p b ON a.speaker_id = b.speaker_id AND a.path < b.path),
-gen AS (SELECT s, l, r FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, l, r) AS n FROM pr) WHERE n <= 100), need AS (SELECT count(*) AS c FROM gen),
+po AS (SELECT speaker_id AS s, path, row_number() OVER (PARTITION BY speaker_id ORDER BY {_digest("'genuine'", "path")}, path) - 1 AS place, count(*) OVER (PARTITION BY speaker_id) AS n FROM p),
+pz AS (SELECT DISTINCT s, n * (n - 1) // 2 AS z FROM po),
+pg AS (SELECT *, (z + ls - 1) // ls AS rs FROM (SELECT *, CAST(ceil(sqrt(z)) AS BIGINT) AS ls FROM pz)),
+pk AS (SELECT *, unnest(range(0, least(100, z))) AS k FROM pg),
+pn AS (SELECT s, {_permuted("k", "z", "'genuine'", "s")} AS x FROM pk),
+pj AS (SELECT s, x, CAST(floor((1 + sqrt(1 + 8 * x)) / 2) AS BIGINT) AS j FROM pn),
+gen AS (SELECT pj.s, least(u.path, v.path) AS l, greatest(u.path, v.path) AS r FROM pj JOIN po u ON u.s = pj.s AND u.place = x - j * (j - 1) // 2 JOIN po v ON v.s = pj.s AND v.place = j), need AS (SELECT count(*) AS c FROM gen),
 {_rounds('negative-speaker', "(SELECT CAST(2 * (ceil(c / greatest(1, (SELECT count(*) // 2 FROM sizes))) + 2) AS BIGINT) FROM need)", True)},
 imp AS (SELECT *, row_number() OVER (ORDER BY round, {_digest("'impostor'", "'order'", "l", "r")}) AS n FROM made),
 all_t AS (SELECT 1 AS target, l, r, s AS ls, s AS rs FROM gen UNION ALL SELECT 0, l, r, ls, rs FROM imp WHERE n <= (SELECT c FROM need))
@@ -279,13 +319,9 @@ v AS (SELECT 'target_is_same_speaker' AS rule FROM bent WHERE (t = 1) <> (ls = r
 SELECT rule, count(*) AS n FROM v GROUP BY 1""",
     "random_batches": f"WITH {UTT}, r AS (SELECT path, row_number() OVER (ORDER BY {_digest("'0'", 'path')}, path) - 1 AS n FROM utt) SELECT n // 32 AS batch_id, CAST(n % 32 AS INTEGER) AS slot, path FROM r",
     "pk_batches": f"WITH {PK} SELECT * FROM pk",
-    "hybrid_batches": f"""WITH {INDEX}, hx AS (SELECT shard_path, speaker_id, relative_audio_path AS path FROM idx WHERE final_split = 'train'),
-hs AS (SELECT shard_path, (row_number() OVER (ORDER BY {_digest("'0'", "'shard'", "shard_path")}, shard_path) - 1) // 8 AS w FROM (SELECT DISTINCT shard_path FROM hx)),
-ha AS (SELECT w, count(*) FILTER (WHERE n >= {K}) AS able, count(*) AS every FROM (SELECT w, speaker_id, count(*) AS n FROM hx JOIN hs USING (shard_path) GROUP BY 1, 2) GROUP BY 1),
-hf AS (SELECT w, CASE WHEN able >= {P} AND able = every THEN w END AS full_w FROM ha),
-ht AS (SELECT w, coalesce(min(full_w) OVER (ORDER BY w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(full_w) OVER (ORDER BY w), 0) AS t FROM hf),
-hm AS (SELECT CAST(t AS INTEGER) AS shard_window, speaker_id, path FROM hx JOIN hs USING (shard_path) JOIN ht USING (w)),
-{_pk("hm", "shard_window", "hp")} SELECT hp.*, shard_path FROM hp JOIN hx ON hx.path = hp.path""",
+    "hybrid_batches": HYBRID + "SELECT * FROM hybrid",
+    "batch_exposure": HYBRID + "SELECT speaker_id, count(DISTINCT batch_id) AS exposure, max(cycle) AS queue_cycles FROM hybrid GROUP BY 1",
+    "batch_shards": HYBRID + "SELECT batch_id, count(DISTINCT shard_path) AS n_shards FROM hybrid GROUP BY 1",
     "epoch_stats": f"""WITH {PK}, a AS (SELECT path, count(*) AS n FROM pk GROUP BY 1), b AS (SELECT speaker_id, count(DISTINCT batch_id) AS e, max(cycle) AS c FROM pk GROUP BY 1)
 SELECT (SELECT count(DISTINCT batch_id) FROM pk) AS batches, (SELECT count(*) FROM pk) AS logical_selections, (SELECT count(*) FROM a) AS unique_selected,
   CAST((SELECT sum(n - 1) FROM a) AS BIGINT) AS repeated_selections, CAST((SELECT sum(c) FROM b) AS BIGINT) AS queue_cycles, (SELECT min(e) FROM b) AS min_exposure, (SELECT max(e) FROM b) AS max_exposure""",

@@ -431,8 +431,17 @@ def pk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two shards."""
     index = _index(spark, sf_dir).where("final_split = 'train'").select("shard_path", "speaker_id", F.col("relative_audio_path").alias("path"))
-    return batching.windowed_batches(index, P, K, 8, SEED, EPOCH)
+    return batching.windowed_batches(index, P, K, 2, SEED, EPOCH)
+
+
+def batch_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.speaker_exposure(hybrid_batches(spark, sf_dir))
+
+
+def batch_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.shards_per_batch(hybrid_batches(spark, sf_dir))
 
 
 def epoch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,7 +536,7 @@ QUERIES = {
         saved_scores, saved_json, published_package, stored_shards,
         lineage_contract, provenance_contract, train_guard, sampler_contract, bound_files, absolute_roots, config_contract, inference, artifact_reuse, full_batches, legacy_ids,
         genuine_quota, genuine_trials, impostor_speaker_pairs, impostor_trials, balanced_trials, paired_rounds, legacy_trials, neighbour_trials, trial_participation, trial_validity,
-        random_batches, pk_batches, hybrid_batches, epoch_stats, round_robin, microbatches, collated_batches,
+        random_batches, pk_batches, hybrid_batches, batch_exposure, batch_shards, epoch_stats, round_robin, microbatches, collated_batches,
         class_centroids, softmax_logits, aam_logits, cross_entropy, cosine_lr, early_stopping, mean_norm, framing, max_difference, norm_and_delta,
     )
 }

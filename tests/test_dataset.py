@@ -126,18 +126,6 @@ def test_legacy_trials(spark, utt):
         trials.legacy_trials(spark.createDataFrame([("1", "1/a.wav")], "speaker_id string, path string"), 4)
 
 
-def test_legacy_trials_take_the_least_of_all_pairs(spark):
-    rows = [(s, f"{s}/{k}.wav") for s in "abc" for k in range(40)]
-    made = trials.legacy_trials(spark.createDataFrame(rows, "speaker_id string, path string"), 10).collect()
-    digest = lambda s, p, q: hashlib.sha256("\x1f".join(("2026", "genuine", s, p, q)).encode()).hexdigest()
-    expected = set()
-    for s in "abc":
-        own = sorted(p for o, p in rows if o == s)
-        expected |= set(sorted(((p, q) for i, p in enumerate(own) for q in own[i + 1 :]), key=lambda x: digest(s, *x))[:10])
-    assert {(r["left_audio_path"], r["right_audio_path"]) for r in made if r["target"] == 1} == expected
-    assert len({p for pair in expected for p in pair}) > 3 * 5
-
-
 def test_legacy_trials_add_impostor_rounds(spark):
     rows = [(s, f"{s}/{k}.wav") for s in "ab" for k in range(7)]
     utterances = spark.createDataFrame(rows, "speaker_id string, path string")
@@ -167,16 +155,6 @@ def test_pk_batches(spark, utt):
         batching.pk_batches(utt, 2, 6, 1).collect()
 
 
-def test_windowed_batches_keep_to_their_shards(spark, utt):
-    split = splits.assign_splits(utt, (12, 0, 0))
-    index = shards.feature_index(splits.portable_manifest(utt, split, splits.train_labels(split)), size=16)
-    contracts.require(contracts.all_of(shards.alignment_violations(index, 16), shards.cache_violations(index, 16)))
-    rows = batching.windowed_batches(index.withColumnRenamed("relative_audio_path", "path"), 3, 2, 2, 5).collect()
-    for key in {(r["shard_window"], r["batch_id"]) for r in rows}:
-        own = [r for r in rows if (r["shard_window"], r["batch_id"]) == key]
-        assert set(Counter(r["speaker_id"] for r in own).values()) == {2} and len({r["speaker_id"] for r in own}) == 3
-
-
 def test_round_robin_and_microbatches(spark, utt):
     batches = batching.pk_batches(utt, 4, 2, 1)
     rows = batching.microbatches(batches, 4).collect()
