@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ordered_rank
 from ..functions.vectors import cosine, l2_normalize
+from ..scratch import Scratch
 
 #: Fixed values of the head.
 SCALE, MARGIN, CLAMP = 30.0, 0.2, 1e-7
-#: Classes and dimensions whose weights are put beside every row.
+#: Weights, classes times dimensions, that are broadcast at once.
 MAX_WEIGHTS = 4_000_000
 
 
@@ -22,13 +26,22 @@ def class_centroids(embeddings: DataFrame, label: str = "label", vector: str = "
     return means.select("class", l2_normalize(F.slice(F.array(*[F.col(f"m{k}") for k in range(longest)]), 1, F.col("_length"))).alias("weights"))
 
 
-def cosines_to_classes(embeddings: DataFrame, centroids: DataFrame, key: str, label: str = "label", vector: str = "embedding") -> DataFrame:
-    """Rows (key, label, class, cos) for every row and class; the weights' size is checked before they are broadcast."""
-    size = centroids.agg(F.coalesce(F.sum(F.size("weights")), F.lit(0))).first()[0]
-    if size > MAX_WEIGHTS:
-        raise ValueError("the class weights are too large to broadcast")
-    heads = centroids.agg(F.sort_array(F.collect_list(F.struct("class", "weights"))).alias("heads"))
-    each = embeddings.select(key, label, vector).join(F.broadcast(heads)).select(key, label, vector, F.explode("heads").alias("h"))
+def class_blocks(centroids: DataFrame, limit: int = MAX_WEIGHTS) -> list[DataFrame]:
+    """The classes in blocks of at most ``limit`` weights, each one row (heads: array of (class, weights)) to broadcast."""
+    n, longest = centroids.agg(F.count("*"), F.coalesce(F.max(F.size("weights")), F.lit(1))).first()
+    if longest > limit:
+        raise ValueError("the weights of one class are too large to broadcast")
+    size = max(1, limit // max(1, longest))
+    ranked = ordered_rank(centroids.select("class", "weights"), [F.col("class")], "_n", "class-blocks") if n > size else centroids.withColumn("_n", F.lit(0))
+    heads = F.sort_array(F.collect_list(F.struct("class", "weights"))).alias("heads")
+    return [ranked.where(F.expr(f"_n div {size} = {k}")).agg(heads) for k in range(-(-n // size))]
+
+
+def cosines_to_classes(embeddings: DataFrame, centroids: DataFrame, key: str, label: str = "label", vector: str = "embedding", limit: int = MAX_WEIGHTS) -> DataFrame:
+    """Rows (key, label, class, cos) for every row and class, by blocks of classes of at most ``limit`` weights."""
+    rows = embeddings.select(key, label, vector)
+    parts = [rows.join(F.broadcast(heads)).select(key, label, vector, F.explode("heads").alias("h")) for heads in class_blocks(centroids, limit)]
+    each = reduce(DataFrame.unionByName, parts) if parts else rows.withColumn("h", F.lit(None).cast(f"struct<class:{dict(centroids.dtypes)['class']},weights:array<double>>")).limit(0)
     return each.select(key, label, F.col("h.class").alias("class"), cosine(F.col(vector), F.col("h.weights")).alias("cos"))
 
 
@@ -44,11 +57,28 @@ def margin_logit(cos: Column, is_target: Column, scale: float = SCALE, margin: f
     return F.lit(scale) * F.when(is_target, target).otherwise(c)
 
 
-def cross_entropy(logits: DataFrame, key: str, label: str = "label", logit: str = "logit") -> DataFrame:
-    """Rows (key, loss): minus the log softmax of each row's target class."""
-    peak = logits.groupBy(key).agg(F.max(logit).alias("_m"), F.max(F.when(F.col(label) == F.col("class"), F.col(logit))).alias("_t"))
-    total = logits.join(peak, key).groupBy(key).agg(F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_s"), F.first("_m").alias("_m"), F.first("_t").alias("_t"))
-    return total.select(key, (F.log("_s") + F.col("_m") - F.col("_t")).alias("loss"))
+#: Blocks whose joins stand in one plan.
+BLOCKS_IN_PLAN = 8
+
+
+def cross_entropy(embeddings: DataFrame, centroids: DataFrame, key: str, logit: Callable[[Column, Column], Column], label: str = "label", vector: str = "embedding", limit: int = MAX_WEIGHTS) -> DataFrame:
+    """Rows (key, loss): minus the log softmax of each row's target class, ``logit`` of (cosine, whether it is the target).
+
+    No table of rows and classes is made and no row is shuffled: each block of classes (``class_blocks``) is broadcast in
+    turn, and what a row carries on is the greatest logit so far, the sum of exponentials below it and the target's logit.
+    A row whose label is no class has a null loss.
+    """
+    scratch = Scratch(embeddings.sparkSession, "cross-entropy")
+    rows = embeddings.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_v"), F.lit(-math.inf).alias("_m"), F.lit(0.0).alias("_s"), F.lit(None).cast("double").alias("_t"))
+    for k, heads in enumerate(class_blocks(centroids, limit)):
+        each = F.transform("heads", lambda h: F.struct((h["class"] == F.col("_label")).alias("own"), logit(cosine(F.col("_v"), h["weights"]), h["class"] == F.col("_label")).alias("l")))
+        seen = rows.join(F.broadcast(heads)).withColumn("_h", each).withColumn("_p", F.greatest("_m", F.array_max(F.col("_h.l"))))
+        total = F.aggregate("_h", F.col("_s") * F.exp(F.col("_m") - F.col("_p")), lambda s, h: s + F.exp(h["l"] - F.col("_p")))
+        target = F.coalesce(F.get(F.filter("_h", lambda h: h["own"]), F.lit(0))["l"], F.col("_t"))
+        rows = seen.select("_key", "_label", "_v", F.col("_p").alias("_m"), total.alias("_s"), target.alias("_t"))
+        if (k + 1) % BLOCKS_IN_PLAN == 0:
+            rows = scratch.keep(rows, "blocks")
+    return rows.select(F.col("_key").alias(key), (F.log("_s") + F.col("_m") - F.col("_t")).alias("loss"))
 
 
 def cosine_learning_rate(steps: DataFrame, horizon: int, base: float = 1e-3, floor: float = 0.1) -> DataFrame:

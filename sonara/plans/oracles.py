@@ -207,6 +207,21 @@ SELECT *, CASE WHEN conflicts > 0 THEN NULL WHEN total > 0 AND missing = 0 THEN
     "saved_json": f"WITH {SPLIT} SELECT {_json(relative_audio_path='relative_audio_path', speaker_id='speaker_id', speaker_label_n='speaker_label', final_split='final_split')} AS line FROM man",
     "published_package": f"""WITH {INDEX} SELECT 'speaker_split' AS "table", count(*) AS n_rows, 'created' AS first, 'verified_existing' AS second FROM split UNION ALL SELECT 'speaker_to_label', count(*), 'created', 'verified_existing' FROM lab
 UNION ALL SELECT 'manifest', count(*), 'created', 'verified_existing' FROM man UNION ALL SELECT 'feature_index', count(*), 'created', 'verified_existing' FROM idx""",
+    "saved_csv": f"""WITH {SPLIT}, l0 AS (SELECT row_number() OVER (ORDER BY relative_audio_path) - 1 AS p, relative_audio_path || ',' || speaker_id || ',' || speaker_label || ',' || final_split AS line FROM man),
+l1 AS (SELECT p // 1024 AS p, sha256(string_agg(sha256(line), chr(10) ORDER BY p)) AS h FROM l0 GROUP BY p // 1024),
+l2 AS (SELECT p // 1024 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM l1 GROUP BY p // 1024), l3 AS (SELECT p // 1024 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM l2 GROUP BY p // 1024),
+l4 AS (SELECT p // 1024 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM l3 GROUP BY p // 1024)
+SELECT (SELECT count(*) FROM l0) AS n_lines, (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM l0) AS n_bytes, (SELECT sha256(string_agg(h, chr(10) ORDER BY p)) FROM l4) AS identity, CAST(0 AS BIGINT) AS n_differences, CAST(1 AS BIGINT) AS n_reversed""",
+    "snapshots": """WITH d AS (SELECT event_id AS n, sha256('{"modified":' || user_id || ',"path":"' || user_id || '/' || event_id || '","size":' || event_id || '}') AS d FROM events),
+x AS (SELECT n, [CAST(CAST('0x' || substr(d, 1 + 16 * k, 16) AS UBIGINT) AS HUGEINT) FOR k IN range(0, 4)] AS l FROM d),
+s AS (SELECT state, count(*) AS c, sum(l[1]) % 18446744073709551616 AS a, sum(l[2]) % 18446744073709551616 AS b, sum(l[3]) % 18446744073709551616 AS e, sum(l[4]) % 18446744073709551616 AS f
+  FROM x, (VALUES ('whole'), ('merged'), ('removed')) v(state) WHERE state <> 'removed' OR n % 7 <> 0 GROUP BY 1)
+SELECT state, c AS n_rows, sha256(concat_ws('|', c, a, b, e, f)) AS identity FROM s""",
+    "stored_index": f"""WITH {INDEX}, sh AS (SELECT shard_path AS shard, final_split = 'train' AS later, count(*) AS n_rows FROM idx GROUP BY 1, 2),
+sp AS (SELECT *, (row_number() OVER (PARTITION BY later ORDER BY shard) - 1) // 40 AS pack FROM sh)
+SELECT shard, CAST(pack AS INTEGER) AS pack, CAST(coalesce(sum(n_rows) OVER (PARTITION BY later, pack ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row, n_rows FROM sp""",
+    "stored_totals": f"""WITH {INDEX}, sh AS (SELECT final_split = 'train' AS later, count(DISTINCT shard_path) AS n, count(*) AS c FROM idx GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_shards, CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum((n + 39) // 40) AS BIGINT) AS n_files FROM sh""",
     "stored_shards": f"""WITH {INDEX}, p AS (SELECT *, row_number() OVER (ORDER BY shard_path, within_shard_index) - 1 AS position FROM idx)
 SELECT relative_audio_path, shard_path, within_shard_index, position FROM p WHERE regexp_matches(shard_path, '_0000[01][.]')""",
     "cache_identity": f"WITH {INDEX}, {_CACHE} SELECT * FROM cache",
@@ -345,6 +360,8 @@ f AS (
   FROM f JOIN o ON o.event_type = f.event_type AND o.i = f.i + 1 WHERE stopped < 0
 )
 SELECT event_type, best, best_epoch, stopped AS stopped_epoch, n AS epochs_run FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i DESC) AS z FROM f) WHERE z = 1""",
+    "mean_var_norm": f"""WITH {CENTROIDS}, spread AS (SELECT label, k, sqrt(var_pop(x) + 1e-10) AS s FROM dim GROUP BY 1, 2)
+SELECT vec_id, CAST(dim.k AS INTEGER) AS dim, round((x - m) / s, 5) AS value FROM dim JOIN mean ON mean.label = dim.label AND mean.k = dim.k JOIN spread ON spread.label = dim.label AND spread.k = dim.k""",
     "mean_norm": f"WITH {CENTROIDS} SELECT vec_id, CAST(dim.k AS INTEGER) AS dim, round(x - m, 6) AS value FROM dim JOIN mean ON mean.label = dim.label AND mean.k = dim.k",
     "framing": """WITH p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events),
 f AS (SELECT user_id, value, unnest(range(greatest(0, CAST(ceil((p - 4) / 2.0) AS BIGINT)), p // 2 + 1)) AS frame FROM p)

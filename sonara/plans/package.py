@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import sha256, table_identity
 from ..operators import caches, contracts, metrics, scoring, shards, splits, trials
 from ..scratch import Scratch
-from ..sources import tables, wav
+from ..sources import tables, versions, wav
 
 
 def package_tables(utterances: DataFrame, sizes: tuple[int, int, int] | None = None, seed: int = splits.SEED) -> dict[str, DataFrame]:
@@ -40,7 +40,7 @@ def create_package(spark: SparkSession, root: str, out: str, expected: int | Non
     again = {r["table"]: r["identity"] for r in identities(package_tables(utterances, sizes)).collect()}
     if first != again:
         raise RuntimeError("two builds of the package differ")
-    state = tables.publish(built, out)
+    state = versions.publish(built, out)
     if wav.snapshot(wav.discover(spark, root, expected)).first() != before:
         raise RuntimeError("the dataset changed while the package was built")
     return state
@@ -68,21 +68,22 @@ def saved_embeddings(rows: DataFrame, function: Callable[[np.ndarray], np.ndarra
     digest of the model and the index), else computed in batches and saved.  Saved ones that do not fit are an error."""
     spark = rows.sparkSession
     if not tables.exists(spark, path):
-        tables.replace(caches.infer(rows, function, key, vector).withColumn("binding", F.lit(binding)), path)
+        tables.write_exact(caches.infer(rows, function, key, vector).withColumn("binding", F.lit(binding)), path)
     saved = spark.read.parquet(path)
     contracts.require(caches.artifact_violations(saved, rows.select(key), binding, dimension, key))
     return saved.select(key, "embedding")
 
 
 def save_checkpoint(checkpoint: DataFrame, path: str, batches: int, config_sha256: str, seed: int) -> None:
-    """Replace the checkpoint at ``path`` by a valid one."""
+    """Replace the checkpoint at ``path`` by a valid one, in one step; the one before can be rolled back to."""
     contracts.require(caches.checkpoint_violations(checkpoint, batches, config_sha256, seed))
-    tables.replace(checkpoint, path)
+    versions.publish({"checkpoint": checkpoint}, path, replace=True)
+    versions.prune(checkpoint.sparkSession, path)
 
 
 def load_checkpoint(spark: SparkSession, path: str, batches: int, config_sha256: str, seed: int) -> DataFrame:
     """The checkpoint at ``path``, if it belongs to this experiment."""
-    found = spark.read.parquet(path)
+    found = versions.open_tables(spark, path, check=True)["checkpoint"]
     contracts.require(caches.checkpoint_violations(found, batches, config_sha256, seed))
     return found
 

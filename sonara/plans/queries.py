@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import table_identity
+from ..functions.digests import merged_state, state_identity, table_identity
 from ..functions.text import numbered
 from ..operators import batching, caches, contracts, features, learning, metrics, scoring, shards, splits, trials
 from ..scratch import Scratch
-from ..sources import tables
+from ..sources import canonical, packs, tables, versions, wav
 from . import package
 from .carriers import embeddings, table, utterances
 
@@ -338,6 +338,26 @@ def saved_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path, tables.SCORES)
 
 
+def saved_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, bytes and order-dependent digest of the manifest's CSV files, and in how many ways they differ from its
+    rendering and from that of a manifest in the other order."""
+    rows, path = portable_manifest(spark, sf_dir), Scratch(spark, "saved-csv").path("manifest")
+    rows = Scratch(spark, "saved-csv").keep(rows, "rows")
+    order = F.col("relative_audio_path")
+    tables.write_csv(rows, path, order)
+    differ = lambda name, o: canonical.csv_violations(rows, path, o).agg(F.count("*").alias(name))
+    found = canonical.stored_identity(canonical.stored_lines(spark, path))
+    return found.join(F.broadcast(differ("n_differences", order))).join(F.broadcast(differ("n_reversed", order.desc())))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files: the state of all, that of two halves merged, and that after every 7th one is removed."""
+    files = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_id").alias("path"), F.col("event_id").alias("size"), F.col("user_id").alias("modified"), F.col("event_id").alias("n"))
+    half = lambda k: wav.snapshot(files.where(F.col("n") % 2 == k))
+    parts = {"whole": wav.snapshot(files), "merged": merged_state(half(0), half(1)), "removed": wav.updated_snapshot(wav.snapshot(files), removed=files.where("n % 7 = 0"))}
+    return contracts.all_of(*[state_identity(s).select(F.lit(name).alias("state"), "n_rows", "identity") for name, s in parts.items()])
+
+
 def saved_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest as canonical JSON lines, read back as text."""
     path = Scratch(spark, "saved-json").path("lines")
@@ -348,19 +368,35 @@ def saved_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the package's tables after publishing it twice: created, then found equal."""
     built, root = package.package_tables(utterances(spark, sf_dir)), Scratch(spark, "published").path("package")
-    states = [tables.publish(built, root) for _ in range(2)]
-    counts = [spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", *[F.lit(x).alias(c) for x, c in zip(states, ("first", "second"))]) for name in built]
+    states = [versions.publish(built, root) for _ in range(2)]
+    counts = [rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", *[F.lit(x).alias(c) for x, c in zip(states, ("first", "second"))]) for name, rows in versions.open_tables(spark, root, check=True).items()]
     return contracts.all_of(*counts)
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The index without its row numbers, and a store of it that was written in two runs, 40 shards a file."""
+    index, root = _index(spark, sf_dir).drop("manifest_row_index"), Scratch(spark, "packed-shards").path("shards")
+    packs.write(index.where("final_split != 'train'"), root, shards_per_pack=40)
+    packs.write(index, root, shards_per_pack=40)
+    return index, root
+
+
 def stored_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two shards of each split, of a store that was written in two runs, at their places in the whole store."""
-    index, root = _index(spark, sf_dir).drop("manifest_row_index"), Scratch(spark, "stored-shards").path("shards")
-    tables.write_shards(index.where("final_split != 'train'"), root)
-    tables.write_shards(index, root)
+    """Rows of two shards of each split of a packed store, at their places in the whole store."""
+    index, root = _packed(spark, sf_dir)
     names = [r[0] for r in index.where(F.col("shard_path").rlike("_0000[01][.]")).select("shard_path").distinct().collect()]
-    near = tables.read_shards(spark, root, names).select("relative_audio_path")
-    return tables.scan_shards(spark, root).join(near, "relative_audio_path").select("relative_audio_path", F.col("shard_path").cast("string").alias("shard_path"), "within_shard_index", "position")
+    near = packs.read(spark, root, names).select("relative_audio_path")
+    return caches.concat_shards(packs.read(spark, root)).join(near, "relative_audio_path").select("relative_audio_path", "shard_path", "within_shard_index", "position")
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and first row in its file of each shard of a packed store."""
+    return packs.index(spark, _packed(spark, sf_dir)[1]).select("shard", "pack", "first_row", "n_rows")
+
+
+def stored_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards, rows and files of a packed store."""
+    return packs.totals(spark, _packed(spark, sf_dir)[1]).select("n_shards", "n_rows", "n_files")
 
 
 def _total(rows: DataFrame) -> int:
@@ -485,7 +521,8 @@ def aam_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.cross_entropy(_logits(spark, sf_dir, True), "vec_id").select("vec_id", F.round("loss", 5).alias("loss"))
+    """By blocks of four classes."""
+    return learning.cross_entropy(*_centroids(spark, sf_dir), "vec_id", learning.margin_logit, limit=4 * 64).select("vec_id", F.round("loss", 5).alias("loss"))
 
 
 def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,6 +544,11 @@ def mean_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode("normalized").alias("dim", "v")).select("vec_id", "dim", F.round("v", 6).alias("value"))
 
 
+def mean_var_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.mean_var_norm(embeddings(spark, sf_dir).select("vec_id", "label", "embedding"), "embedding", "label")
+    return rows.select("vec_id", F.posexplode("normalized").alias("dim", "v")).select("vec_id", "dim", F.round("v", 5).alias("value"))
+
+
 def framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = features.frame_means(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 5, 2)
     return framed.select("user_id", "frame", "n", F.round("mean", 6).alias("mean"))
@@ -533,10 +575,10 @@ QUERIES = {
         speaker_split, train_labels, portable_manifest, split_counts, split_overlap, contract_violations, manifest_invariants, provenance_diff, case_collisions, canonical_identity, package_identities,
         shard_index, shard_payload_sizes, index_shard_alignment, cache_completeness,
         index_rules, normalised_index, shard_contract, shard_states, plan_state, concat_shards, cache_identity, identity_contract, trial_identity, score_alignment, input_guards, checkpoint_contract, duration_totals,
-        saved_scores, saved_json, published_package, stored_shards,
+        saved_scores, saved_csv, saved_json, snapshots, published_package, stored_shards, stored_index, stored_totals,
         lineage_contract, provenance_contract, train_guard, sampler_contract, bound_files, absolute_roots, config_contract, inference, artifact_reuse, full_batches, legacy_ids,
         genuine_quota, genuine_trials, impostor_speaker_pairs, impostor_trials, balanced_trials, paired_rounds, legacy_trials, neighbour_trials, trial_participation, trial_validity,
         random_batches, pk_batches, hybrid_batches, batch_exposure, batch_shards, epoch_stats, round_robin, microbatches, collated_batches,
-        class_centroids, softmax_logits, aam_logits, cross_entropy, cosine_lr, early_stopping, mean_norm, framing, max_difference, norm_and_delta,
+        class_centroids, softmax_logits, aam_logits, cross_entropy, cosine_lr, early_stopping, mean_norm, mean_var_norm, framing, max_difference, norm_and_delta,
     )
 }

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import canonical_json, table_identity
-from ..operators.caches import concat_shards, shard_states
-from ..scratch import Scratch
+from . import versions
 
 #: Schemas of the package's files.
 MANIFEST = "audio_path string, speaker_id string, sample_rate int, num_channels int, num_samples int, duration_sec string"
@@ -56,140 +54,33 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return versions.Store(spark, path).exists()
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Entries of a folder; none if it is not there."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in store.listStatus(p)] if store.exists(p) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    store = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(b.getParent())
-    if not store.rename(a, b):
-        raise OSError(f"cannot move {source} to {target}")
-
-
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables below ``root`` or none: ``created``, or ``verified_existing`` if equal ones are there already.
+def write_exact(rows: DataFrame, path: str) -> str:
+    """``created``, or ``unchanged`` if the same rows are there already; other rows there are an error.
 
-    Tables are written beside the root first and moved in at the end; some but not all of them being there, or a
-    different one, is an error.
+    Rows are written beside ``path`` and moved there by one rename, so it holds all of them or is not there.
     """
-    spark = next(iter(tables.values())).sparkSession
-    root = root.rstrip("/")
-    there = {name: exists(spark, f"{root}/{name}") for name in tables}
-    if all(there.values()):
-        for name, rows in tables.items():
-            if table_identity(spark.read.parquet(f"{root}/{name}")).first() != table_identity(rows).first():
-                raise ValueError(f"{root}/{name} differs from what would be published")
-        return "verified_existing"
-    if any(there.values()):
-        raise ValueError(f"{root} holds a part of the tables: {sorted(n for n, x in there.items() if x)}")
-    staged = f"{root}.staging-{spark.sparkContext.applicationId}"
-    for name, rows in tables.items():
-        rows.write.parquet(f"{staged}/{name}", mode="overwrite")
-    for name in tables:
-        _rename(spark, f"{staged}/{name}", f"{root}/{name}")
-    return "created"
-
-
-def write_exact(rows: DataFrame, path: str) -> str:
-    """``created``, or ``unchanged`` if the same rows are there already; other rows there are an error."""
-    spark = rows.sparkSession
-    if exists(spark, path):
-        if table_identity(spark.read.parquet(path)).first() != table_identity(rows).first():
+    folder, _, name = path.rstrip("/").rpartition("/")
+    store = versions.Store(rows.sparkSession, folder)
+    if store.exists(name):
+        if table_identity(rows.sparkSession.read.parquet(path)).first() != table_identity(rows).first():
             raise ValueError(f"{path} holds other rows")
         return "unchanged"
-    replace(rows, path)
+    staged = f"{name}.new-{uuid.uuid4().hex}"
+    store.write_table(staged, rows)
+    store.rename(staged, name)
     return "created"
 
 
-def replace(rows: DataFrame, path: str, tries: int = 30, wait: float = 0.2) -> None:
-    """Write beside ``path`` and move in, whatever was there; a move that is refused is tried again for a while."""
-    spark, path = rows.sparkSession, path.rstrip("/")
-    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
-    moved = False
-    for k in range(tries):
-        try:
-            if not moved and exists(spark, path):
-                _rename(spark, path, old)
-            moved = True
-            _rename(spark, staged, path)
-            break
-        except OSError:
-            if k + 1 == tries:
-                raise
-            time.sleep(wait)
-    if exists(spark, old):
-        _delete(spark, old)
-
-
 def claim(spark: SparkSession, path: str, content: str) -> None:
     """Create a marker file that must not be there yet: what it stands for may be done once."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(p):
+    folder, _, name = path.rpartition("/")
+    store = versions.Store(spark, folder)
+    if store.exists(name):
         raise ValueError(f"{path} is taken: this was done before")
-    out = store.create(p, False)
-    out.write(bytearray(content.encode()))
-    out.close()
-
-
-def read_shards(spark: SparkSession, root: str, names: list[str], shard: str = "shard_path") -> DataFrame:
-    """Rows of the named shards below ``root``; a name that is not a safe relative path, or has no shard, is an error."""
-    bad = [n for n in names if not n or n.startswith("/") or "\\" in n or ".." in n.split("/")]
-    if bad:
-        raise ValueError(f"shard names leave the root: {bad[:5]}")
-    wanted = spark.createDataFrame([(n,) for n in sorted(set(names))], "_name string")
-    rows = spark.read.parquet(root)
-    missing = wanted.join(rows.select(F.col(shard).cast("string").alias("_there")).distinct(), F.col("_name") == F.col("_there"), "left_anti").take(5)
-    if missing:
-        raise ValueError(f"{root} lacks shards: {[r[0] for r in missing]}")
-    return rows.where(F.col(shard).cast("string").isin(*names))
-
-
-def scan_shards(spark: SparkSession, root: str) -> DataFrame:
-    """All rows below ``root`` with ``position``: shards in the order of their names, rows by their offsets."""
-    return concat_shards(spark.read.parquet(root))
-
-
-def write_shards(planned: DataFrame, root: str, shard: str = "shard_path") -> dict[str, int]:
-    """Resumable shard writing: ``{"total", "reused", "written"}`` shards below ``root``, partitioned by shard.
-
-    What is there is compared with the plan, rows and all: shards that are valid are reused, missing ones and those that
-    differ (say, from a run that broke off) are written again, and what was written is read back and compared.  A stored
-    shard that is not planned is an error.
-    """
-    spark = planned.sparkSession
-
-    def states() -> DataFrame:
-        stored = spark.read.schema(planned.schema).parquet(root) if exists(spark, root) else planned.limit(0)
-        return shard_states(planned, stored, shard)
-
-    found = Scratch(spark, "write-shards").keep(states(), "states")
-    if unexpected := found.where("state = 'unexpected'").take(5):
-        raise ValueError(f"{root} holds shards that are not planned: {[r['shard'] for r in unexpected]}")
-    todo = found.where("state != 'valid'").select(F.col("shard").alias("_todo"))
-    total, written = found.count(), todo.count()
-    if written:
-        rows = planned.join(todo, F.col(shard) == F.col("_todo"), "left_semi")
-        rows.repartition(shard).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(root)
-        if bad := states().where("state != 'valid'").take(5):
-            raise ValueError(f"shards did not read back as written: {[r['shard'] for r in bad]}")
-    return {"total": total, "reused": total - written, "written": written}
+    store.create(name, content)
 
 
 def prepare_plan(plan: dict[str, DataFrame], root: str) -> str:
@@ -197,10 +88,10 @@ def prepare_plan(plan: dict[str, DataFrame], root: str) -> str:
     and the indexes).  The plan of a new root is published; one that is there must be equal.  A root is complete when the
     table ``identity`` is there too; anything else below it but ``shards`` is an error."""
     spark = next(iter(plan.values())).sparkSession
-    there = set(_names(spark, root))
-    if other := there - {*plan, "shards", "identity"}:
+    there = set(versions.Store(spark, root).names())
+    if other := there - {"plan", "shards", "identity"}:
         raise ValueError(f"{root} holds unexpected entries: {sorted(other)}")
-    if not there & set(plan) and there:
+    if "plan" not in there and there:
         raise ValueError(f"{root} holds a cache without its plan")
-    publish(plan, root)
+    versions.publish(plan, f"{root.rstrip('/')}/plan")
     return "complete" if "identity" in there else "resume" if there else "new"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.digests import table_identity
+from ..functions.digests import merged_state, multiset_state
 from ..functions.text import parent_name
 
 
@@ -66,8 +66,14 @@ def samples(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    """One row (n_rows, identity) of the tree's paths, sizes and times of change."""
-    return table_identity(files.select("path", "size", "modified"))
+    """One row (n_rows, lane0 to lane3): the state of the tree's paths, sizes and times of change.  Equal states mean equal
+    trees; what was added or removed since can be worked in without the rest (``updated_snapshot``)."""
+    return multiset_state(files, "path", "size", "modified")
+
+
+def updated_snapshot(before: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The snapshot after files (path, size, modified) were added and others, as they were, removed."""
+    return merged_state(before, *([snapshot(added)] if added else []), removed=(snapshot(removed),) if removed else ())
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -83,39 +83,6 @@ def test_round_trips(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/lines").collect())[1] == '{"score":0.25,"target":1,"trial_id":"b"}'
 
 
-def test_partial_and_different_packages_are_refused(spark, tmp_path):
-    a, b = spark.range(3).toDF("x"), spark.range(4).toDF("x")
-    assert tables.publish({"a": a}, f"{tmp_path}/p") == "created"
-    with pytest.raises(ValueError, match="part"):
-        tables.publish({"a": a, "b": b}, f"{tmp_path}/p")
-    with pytest.raises(ValueError, match="differs"):
-        tables.publish({"a": b}, f"{tmp_path}/p")
-
-
-def test_shards_resume(spark, tmp_path):
-    root = f"{tmp_path}/s"
-    rows = spark.createDataFrame([("s0", 1), ("s0", 2), ("s1", 3)], "shard_path string, x int")
-    assert tables.write_shards(rows.where("shard_path = 's0'"), root) == {"total": 1, "reused": 0, "written": 1}
-    assert tables.write_shards(rows, root) == {"total": 2, "reused": 1, "written": 1}
-    assert tables.write_shards(rows, root) == {"total": 2, "reused": 2, "written": 0}
-    # A shard that lost a row is written again; one that nobody planned is refused.
-    spark.createDataFrame([("s0", 1)], "shard_path string, x int").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_path").parquet(root)
-    assert tables.write_shards(rows, root) == {"total": 2, "reused": 1, "written": 1}
-    assert spark.read.parquet(root).count() == 3
-    assert sorted(r["x"] for r in tables.read_shards(spark, root, ["s0"]).collect()) == [1, 2]
-    for names in (["../s0"], ["/s0"], ["s9"], [""]):
-        with pytest.raises(ValueError):
-            tables.read_shards(spark, root, names)
-    with pytest.raises(ValueError, match="not planned"):
-        tables.write_shards(rows.where("shard_path = 's0'"), root)
-
-
-def test_shards_are_scanned_in_order(spark, tmp_path):
-    rows = spark.createDataFrame([("a/1", 1, "y"), ("a/0", 1, "v"), ("a/0", 0, "u"), ("a/1", 0, "x")], "shard_path string, within_shard_index int, v string")
-    tables.write_shards(rows, f"{tmp_path}/s")
-    assert [r["v"] for r in tables.scan_shards(spark, f"{tmp_path}/s").orderBy("position").collect()] == list("uvxy")
-
-
 def test_plans_and_exact_writes(spark, tmp_path):
     a, b = spark.range(3).toDF("x"), spark.range(4).toDF("x")
     root = f"{tmp_path}/cache"
@@ -127,9 +94,7 @@ def test_plans_and_exact_writes(spark, tmp_path):
     with pytest.raises(ValueError, match="other rows"):
         tables.write_exact(b, f"{root}/identity")
     assert tables.prepare_plan({"config": a, "index": b}, root) == "complete"
-    tables.replace(b, f"{root}/identity")
-    assert spark.read.parquet(f"{root}/identity").count() == 4
-    tables.replace(a, f"{root}/stray")
+    tables.write_exact(a, f"{root}/stray")
     with pytest.raises(ValueError, match="unexpected"):
         tables.prepare_plan({"config": a, "index": b}, root)
     tables.claim(spark, f"{tmp_path}/once", "x")
