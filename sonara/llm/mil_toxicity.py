@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import Scratch
+from .common import Scratch, packed_rows
 from .samples import held_out, sampled_texts, training_labels
 from .tiling import fold
 
@@ -144,9 +145,9 @@ def _places(sample: DataFrame) -> DataFrame:
             y = batch.column(0).to_numpy()
             for chunk in K.chunks(batch.column(1)):
                 w, _, _, place = sentences(chunk)
-                for d in range(len(chunk.offsets) - 1):
-                    own = np.unique(place[:, w.bounds[d] : w.bounds[d + 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), y[chunk.first + d], np.int32))], names=["place", "y"])
+                doc = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+                own = np.unique(place + (doc << BITS))  # a feature counts once for a document
+                yield pa.RecordBatch.from_arrays([pa.array((own & ((1 << BITS) - 1)).astype(np.int32)), pa.array(y[chunk.first + (own >> BITS)].astype(np.int32))], names=["place", "y"])
 
     return sample.select("y", "_text").mapInArrow(run, "place int, y int")
 
@@ -164,15 +165,17 @@ def _bags(sample: DataFrame, known: np.ndarray) -> DataFrame:
                 hit = places[at] == place if len(places) else np.zeros(place.shape, bool)
                 number = np.zeros(len(w.start), np.int64)
                 number[first] = 1
-                number, n_sentences = np.cumsum(number), np.bincount(doc, minlength=len(chunk.offsets) - 1)
-                for d in range(len(chunk.offsets) - 1):
+                number, n_docs = np.cumsum(number), len(chunk.offsets) - 1
+                n_sentences, feature, sentence = np.bincount(doc, minlength=n_docs), [], []
+                for d in range(n_docs):
                     own = slice(w.bounds[d], w.bounds[d + 1])
                     mine = hit[:, own]
-                    sentence = np.unique(np.tile(number[own], (len(mine), 1))[mine], return_inverse=True)[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [c.slice(chunk.first + d, 1) for c in batch.columns[:2]] + [pa.array([int(n_sentences[d])], pa.int64()), pa.array([at[:, own][mine].astype("<i4").tobytes()]), pa.array([sentence.astype("<i4").tobytes()])],
-                        names=["y", "weight", "sentences", "feature", "sentence"],
-                    )
+                    feature.append(at[:, own][mine].astype("<i4").tobytes())
+                    sentence.append(np.unique(np.tile(number[own], (len(mine), 1))[mine], return_inverse=True)[1].astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(chunk.first, n_docs) for c in batch.columns[:2]), pa.array(n_sentences.astype(np.int64)), pa.array(feature, pa.binary()), pa.array(sentence, pa.binary())],
+                    names=["y", "weight", "sentences", "feature", "sentence"],
+                )
 
     return sample.select("y", "weight", "_text").mapInArrow(run, "y int, weight double, sentences long, feature binary, sentence binary")
 
@@ -182,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int
 
     Features are counted and chosen by Spark (at most as many as there are hashed weights); only the occurrences of
     chosen ones in the sample come to the driver.  Rows without an id or a label are not learnt from, an id with several
-    labels is toxic if one says so, and each of its texts counts; with labels of one class, or none, all documents get
+    labels is toxic if one says so, and of several texts of an id one is learnt from; with labels of one class, or none, all documents get
     that class (none: clean).  Extra columns of either table are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mil-toxicity")
@@ -251,13 +254,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str
     Null, empty and wordless texts score 0 and stay; repeated rows go or stay together; an empty table gives an empty
     result.
     """
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.scores(c)[0] for c in K.chunks(batch.column(batch.num_columns - 1).cast(pa.string()))]
+            parts = [shared.value.scores(c)[0] for c in K.chunks(batch.column(1).cast(pa.string()))]
             keep = np.concatenate(parts) < threshold if parts else np.zeros(0, bool)
-            rows = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=names)
+            yield batch.select([0]).filter(pa.array(keep))
 
-    return docs.select("*", F.col(text).cast("string").alias("_text")).mapInArrow(run, docs.schema)
+    rows = packed_rows(docs, _text=F.col(text).cast("string"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["_row"]])).select("_row.*")

@@ -54,25 +54,24 @@ def _div(expression: str) -> str:
     return expression.replace(" div ", " // ")
 
 
-def quality_rules_sql(min_group: int = 200, widen: int = 3) -> str:
+def quality_rules_sql(weights: tuple[int, int] = (100, 25), widen: int = 3) -> str:
     values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, CAST({_div(x.expression)} AS BIGINT) AS v FROM st WHERE n_words > 0" for m, x in MEASURES.items())
     slack = " ".join(f"WHEN '{m}' THEN {x.slack}" for m, x in MEASURES.items())
-    levels = []
-    for name, by in (("fine", "lang, source"), ("coarse", "lang"), ("whole", "")):
-        group = f"PARTITION BY {by}, measure" if by else "PARTITION BY measure"
-        head = f"{by}, " if by else ""
-        lows = ", ".join(f"max(CASE WHEN measure = '{m}' THEN low END) AS low_{m}" for m, x in MEASURES.items() if x.lower)
-        highs = ", ".join(f"max(CASE WHEN measure = '{m}' THEN high END) AS high_{m}" for m in MEASURES)
-        levels.append(f"""
-{name}_b AS (SELECT {head}measure, bucket, sum(n) AS n FROM sk GROUP BY ALL),
-{name}_r AS (SELECT *, sum(n) OVER ({group} ORDER BY bucket) AS upto, sum(n) OVER ({group}) AS total FROM {name}_b),
-{name}_q AS (SELECT {head}measure, max(total) AS total, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3 FROM {name}_r GROUP BY ALL),
-{name}_l AS (SELECT {head}measure, total, q1 - (q3 - q1) * {widen} - CASE measure {slack} END AS low, q3 + (q3 - q1) * {widen} + CASE measure {slack} END AS high FROM {name}_q),
-{name} AS (SELECT {head}max(total) AS total, {lows}, {highs} FROM {name}_l {f"GROUP BY {by}" if by else ""})""")
-    pick = lambda c: f"CASE WHEN fine.total >= {min_group} THEN fine.{c} WHEN coarse.total >= {min_group} THEN coarse.{c} ELSE whole.{c} END"
-    fits = " AND ".join(
-        [f"{_div(x.expression)} <= {pick(f'high_{m}')}" for m, x in MEASURES.items()] + [f"{_div(x.expression)} >= {pick(f'low_{m}')}" for m, x in MEASURES.items() if x.lower]
-    )
+    lows = ", ".join(f"max(CASE WHEN measure = '{m}' THEN low END) AS low_{m}" for m, x in MEASURES.items() if x.lower)
+    highs = ", ".join(f"max(CASE WHEN measure = '{m}' THEN high END) AS high_{m}" for m in MEASURES)
+    blended = f"""
+tl AS (SELECT lang, measure, CAST(sum(n) AS HUGEINT) AS t FROM sk GROUP BY ALL), ta AS (SELECT measure, CAST(sum(n) AS HUGEINT) AS t FROM sk GROUP BY ALL), gr AS (SELECT DISTINCT lang, source, measure FROM sk),
+part AS (
+  SELECT k.lang, source, k.measure, bucket, k.n * tl.t * ta.t AS n FROM sk k JOIN tl ON tl.lang IS NOT DISTINCT FROM k.lang AND tl.measure = k.measure JOIN ta ON ta.measure = k.measure
+  UNION ALL SELECT gr.lang, gr.source, gr.measure, bucket, {weights[0]} * k.n * ta.t FROM gr JOIN sk k ON k.lang IS NOT DISTINCT FROM gr.lang AND k.measure = gr.measure JOIN ta ON ta.measure = gr.measure
+  UNION ALL SELECT gr.lang, gr.source, gr.measure, bucket, {weights[1]} * k.n * tl.t FROM gr JOIN sk k ON k.measure = gr.measure JOIN tl ON tl.lang IS NOT DISTINCT FROM gr.lang AND tl.measure = gr.measure
+),
+mix AS (SELECT lang, source, measure, bucket, sum(n) AS n FROM part GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM mix),
+quart AS (SELECT lang, source, measure, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3 FROM run GROUP BY ALL),
+lim AS (SELECT lang, source, measure, q1 - (q3 - q1) * {widen} - CASE measure {slack} END AS low, q3 + (q3 - q1) * {widen} + CASE measure {slack} END AS high FROM quart),
+own AS (SELECT lang, source, {lows}, {highs} FROM lim GROUP BY lang, source)"""
+    fits = " AND ".join([f"{_div(x.expression)} <= high_{m}" for m, x in MEASURES.items()] + [f"{_div(x.expression)} >= low_{m}" for m, x in MEASURES.items() if x.lower])
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
@@ -88,12 +87,11 @@ st AS (
   FROM d JOIN line ON line.doc_id = d.doc_id LEFT JOIN again ON again.doc_id = d.doc_id
 ),
 vals AS ({values}),
-sk AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n FROM vals GROUP BY ALL),{",".join(levels)}
+sk AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n FROM vals GROUP BY ALL),{blended}
 SELECT st.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(CASE WHEN n_words > 0 THEN {fits} END, false) AS kept
-FROM st LEFT JOIN fine ON fine.lang IS NOT DISTINCT FROM st.lang AND fine.source IS NOT DISTINCT FROM st.source
-  LEFT JOIN coarse ON coarse.lang IS NOT DISTINCT FROM st.lang LEFT JOIN whole ON true
+FROM st LEFT JOIN own ON own.lang IS NOT DISTINCT FROM st.lang AND own.source IS NOT DISTINCT FROM st.source
 """
 
 FILTER_AUDIT = f"""

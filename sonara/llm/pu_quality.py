@@ -2,12 +2,13 @@
 
 A text becomes a few dozen numbers that describe its form (lengths, character classes, repetition, line shapes).  A
 small network is trained by the non-negative unbiased risk on trusted positives and unlabelled web text with an
-estimated class prior: no negative label enters the risk.  Training takes bounded samples, scoring goes over all rows.
+estimated class prior: no negative label enters the risk or the prior.  Training takes bounded samples of the rows that
+have labels, with the labels of those taken as unlabelled put aside; scoring goes over all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,8 +21,10 @@ from .common import Scratch
 from .quality_rules import text_statistics
 from .samples import hashed_sample, held_out, sampled_texts, training_labels
 
-#: Most positives and most unlabelled documents that a model is fitted on, each.
+#: Most positives, and most rows taken as unlabelled, that a model is fitted on.
 SAMPLE_BOUND = 10_000
+#: Steps of the discriminator behind the prior: stopped early, it ranks rows by what sets positives apart in general.
+PRIOR_STEPS = 30
 
 _CLASSES = {
     "upper": bytes(range(65, 91)),
@@ -122,24 +125,32 @@ def nnpu_step(w: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray,
     return prior * as_positive[:n].mean() + max(0.0, bracket), [x.T @ gh, gh.sum(0), hid.T @ g, np.array([g.sum()])]
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 32, epochs: int = 60, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk over batches, with weight decay and adaptive moments."""
+def discriminator_step(w: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean logistic loss of telling positives from unlabelled rows, both counted alike, and its gradient."""
+    x, n = np.concatenate([positive, unlabelled]), len(positive)
+    hid, z = _scores(w, x)
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    g = np.concatenate([(s[:n] - 1) / n, s[n:] / len(unlabelled)]) / 2
+    gh = np.outer(g, w[2]) * (hid > 0)
+    return (np.logaddexp(0, -z[:n]).mean() + np.logaddexp(0, z[n:]).mean()) / 2, [x.T @ gh, gh.sum(0), hid.T @ g, np.array([g.sum()])]
+
+
+def _descend(step: Callable, positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 32, steps: int = 600, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minimise what ``step`` measures over batches, with weight decay and adaptive moments, in about ``steps`` steps."""
     rng = np.random.default_rng(seed)
-    if not len(unlabelled):
-        unlabelled = positive
     width = unlabelled.shape[1]
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     norm = lambda x: np.clip((x - mean) / scale, -8, 8)
     p, u = norm(positive), norm(unlabelled)
     w = [rng.normal(0, (2 / width) ** 0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, hidden), np.zeros(1)]
     first, second, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
-    for epoch in range(epochs):
+    while t < steps:
         order_u, order_p = rng.permutation(len(u)), rng.permutation(len(p))
         for k in range(max(1, len(u) // batch)):
             xu, xp = u[order_u[k * batch : (k + 1) * batch]], p[np.take(order_p, range(k * batch, (k + 1) * batch), mode="wrap")]
-            _, grads = nnpu_step(w, xp, xu, prior)
+            _, grads = step(w, xp, xu)
             t += 1
-            lr = rate * (1 - epoch / epochs)
+            lr = rate * max(0.0, 1 - t / steps)
             for i, d in enumerate(grads):
                 d = d + decay * w[i] if i in (0, 2) else d
                 first[i] = 0.9 * first[i] + 0.1 * d
@@ -148,28 +159,50 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return Model(mean, scale, w)
 
 
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, **more) -> Model:
+    """Minimise the non-negative unbiased risk."""
+    return _descend(lambda w, p, u: nnpu_step(w, p, u, prior), positive, unlabelled if len(unlabelled) else positive, **more)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, seed: int = 11) -> float:
+    """Share of positives among unlabelled rows, without a negative label.
+
+    Any set of rows holds at least the prior times its share of positives: prior <= U(A) / P(A).  The sets are those that a
+    discriminator between positives and unlabelled rows scores highest, cut where they hold 50 to 95 % of the positives;
+    rows are scored by the fold that did not see them.  The least ratio is the estimate, from 0.01 to 0.99.
+    """
+    rng = np.random.default_rng(seed)
+    of_p, of_u = rng.permutation(len(positive)) % folds, rng.permutation(len(unlabelled)) % folds
+    least = []
+    for k in range(folds):
+        seen_p, seen_u, own_p, own_u = positive[of_p != k], unlabelled[of_u != k], positive[of_p == k], unlabelled[of_u == k]
+        if not min(map(len, (seen_p, seen_u, own_p, own_u))):
+            return 0.5
+        model = _descend(discriminator_step, seen_p, seen_u, steps=PRIOR_STEPS)
+        p, u = model.score(own_p), model.score(own_u)
+        cuts = np.quantile(p, 1 - np.arange(0.5, 0.96, 0.05))
+        least.append([(u >= t).mean() / (p >= t).mean() for t in cuts])
+    return float(np.clip(np.mean(least, 0).min(), 0.01, 0.99))
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", prior: float | None = None, bound: int = SAMPLE_BOUND, text: str = "text") -> Model:
-    """Fit on at most about ``bound`` trusted positives and as many documents taken as unlabelled.
+    """Fit on the texts of at most about ``bound`` trusted positives and of as many labelled rows whose labels are not
+    looked at.
 
-    The prior, unless given, is the share of positives among the labelled training rows.  Rows without an id are not
-    learnt from; of an id that several rows have, each text counts; without positives, or without documents, the model
-    scores the prior; extra columns of either table are ignored.
+    The prior, unless given, is estimated from these two (``estimate_prior``).  Rows without an id are not learnt from; of
+    several texts of an id one is; without positives or texts the model scores the prior, or 0.5 if none is given; extra
+    columns of either table are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pu-quality")
     usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    if prior is None:
-        prior = usable.agg(F.avg(column)).first()[0] or 0.5
-    prior = min(max(prior, 0.01), 0.99)
     positives = training_labels(labels.where(F.col(column) == 1), column, 2 * bound, seed=1)
-    chosen = sampled_texts(docs, positives.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("doc_id")), bound, scratch, text)
-    rest = hashed_sample(docs.where("doc_id is not null"), bound, docs.count(), seed=2).select("doc_id", F.col(text).alias("_text"))
-    gather = lambda t: [r["x"] for r in _with_features(t, "_text").select("x").toLocalIterator()]
-    p, u = np.array(gather(chosen), np.float64), np.array(gather(rest), np.float64)
-    if not len(p):
-        p = np.zeros((0, u.shape[1] if len(u) else 1))
+    ids = usable.select("doc_id").distinct()
+    gather = lambda chosen: np.array([r["x"] for r in _with_features(sampled_texts(docs, chosen.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("doc_id")), bound, scratch, text), "_text").select("x").toLocalIterator()], np.float64)
+    p, u = gather(positives), gather(hashed_sample(ids, bound, ids.count(), seed=2))
     if not len(p) or not len(u):
-        return Model(np.zeros(p.shape[1]), np.ones(p.shape[1]), [np.zeros((p.shape[1], 1)), np.zeros(1), np.zeros(1), np.array([np.log(prior / (1 - prior))])])
-    return fit_nnpu(p, u, prior)
+        prior = 0.5 if prior is None else min(max(prior, 0.01), 0.99)
+        return Model(np.zeros(1), np.ones(1), [np.zeros((1, 1)), np.zeros(1), np.zeros(1), np.array([np.log(prior / (1 - prior))])])
+    return fit_nnpu(p, u, estimate_prior(p, u) if prior is None else min(max(prior, 0.01), 0.99))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:

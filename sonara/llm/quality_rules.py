@@ -3,14 +3,16 @@
 Text statistics are taken from whole texts.  Each statistic is then scaled to an integer and sketched: a sketch is a
 log-linear histogram (six significant bits, so relative error is under 1/32), held as rows (group, measure, bucket,
 count).  Sketches merge by adding counts, whatever the order, which gives the sketch of a language, or of everything,
-from those of its sources.  A measure's cutoffs are its quartiles widened by a multiple of their distance plus a slack;
-groups with few documents use the merged sketch of their language, or of all documents.  Documents are filtered by
-joining them with their group's cutoffs.
+from those of its sources.  To every group's sketch those of its language and of all documents are added, each scaled down
+to a fixed number of documents: whatever its size, a group has cutoffs of its own, which lean on what is common the more
+the fewer documents it has.  A measure's cutoffs are its quartiles widened by a multiple of their distance plus a slack.
+Documents are filtered by joining them with their group's cutoffs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -133,50 +135,59 @@ def merge(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
+def blend(fine: DataFrame, weights: tuple[int, int]) -> DataFrame:
+    """The sketches (lang, source, measure, bucket, n) of ``fine`` with those of their languages and of all documents merged
+    in, scaled to the two ``weights`` in documents.
+
+    Counts are multiplied out instead of divided, so they stay whole numbers; quartiles do not change by that.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    total = lambda t, by, name: t.groupBy(*by, "measure").agg(F.sum("n").alias(name))
+    coarse, whole = merge(fine, ("lang",)), merge(fine, ())
+    langs, all_of = total(coarse, ("lang",), "in_lang"), total(whole, (), "in_all").withColumnRenamed("measure", "_m")
+    groups = fine.select("lang", "source", "measure").distinct()
+    named = lambda t, cols: t.select(*[F.col(c).alias(f"_{c}") for c in cols])
+    same = lambda *cols: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+    of_lang = groups.join(named(coarse, ("lang", "measure", "bucket", "n")), same("lang", "measure")).select("lang", "source", "measure", F.col("_bucket").alias("bucket"), F.lit(0).cast("long").alias("own"), F.col("_n").alias("parent"), F.lit(0).cast("long").alias("every"))
+    of_all = groups.join(named(whole, ("measure", "bucket", "n")), same("measure")).select("lang", "source", "measure", F.col("_bucket").alias("bucket"), F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("parent"), F.col("_n").alias("every"))
+    own = fine.select("lang", "source", "measure", "bucket", F.col("n").alias("own"), F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("every"))
+    sums = own.unionByName(of_lang).unionByName(of_all).groupBy("lang", "source", "measure", "bucket").agg(*[F.sum(c).alias(c) for c in ("own", "parent", "every")])
+    scaled = sums.join(named(langs, ("lang", "measure", "in_lang")), same("lang", "measure")).join(F.broadcast(all_of), F.col("measure") == F.col("_m"))
+    n = wide("own") * wide("_in_lang") * wide("in_all") + F.lit(weights[0]) * wide("parent") * wide("in_all") + F.lit(weights[1]) * wide("every") * wide("_in_lang")
+    return scaled.select("lang", "source", "measure", "bucket", n.cast("decimal(38,0)").alias("n"))
+
+
 def cutoffs(sketches: DataFrame, by: tuple[str, ...], widen: float) -> DataFrame:
-    """One row per group: its size, and ``low_`` and ``high_`` of each measure."""
+    """One row per group: ``low_`` and ``high_`` of each measure."""
     group = Window.partitionBy(*by, "measure")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketches.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
     quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    quartiles = ranked.groupBy(*by, "measure").agg(F.first("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    quartiles = ranked.groupBy(*by, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * widen
     slack = F.create_map(*[y for m, x in MEASURES.items() for y in (F.lit(m), F.lit(x.slack))])[F.col("measure")]
-    limits = quartiles.select(*by, "measure", "total", (F.col("q1") - spread - slack).alias("low"), (F.col("q3") + spread + slack).alias("high"))
+    limits = quartiles.select(*by, "measure", (F.col("q1") - spread - slack).alias("low"), (F.col("q3") + spread + slack).alias("high"))
     of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     return limits.groupBy(*by).agg(
-        F.max("total").alias("total"),
         *[of(m, "low").alias(f"low_{m}") for m, x in MEASURES.items() if x.lower],
         *[of(m, "high").alias(f"high_{m}") for m in MEASURES],
     )
 
 
-def apply_rules(docs: DataFrame, min_group: int = 200, widen: float = 3.0, text: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, weights: tuple[int, int] = (100, 25), widen: float = 3.0, text: str = "text") -> DataFrame:
     """``doc_id``, the statistics, ``base_failed`` and ``kept`` of every row.
 
     ``base_failed``: under 50 words, or over half of the words in repeated three-word windows.  ``kept``: not
-    ``base_failed`` and every measure within the cutoffs of the row's language and source (merged sketches where a group
-    has under ``min_group`` documents).  Null languages and sources form groups of their own; null and empty texts fail
-    the base rule; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
-    Cutoffs of up to ``MAX_GROUPS`` groups are broadcast; those of more groups are joined by shuffling the statistics.
+    ``base_failed`` and every measure within the cutoffs of the row's language and source, to whose sketch those of the
+    language and of all documents are added as so many documents as the two ``weights`` say.  Null languages and sources form groups of their
+    own; null and empty texts fail the base rule; repeated rows are judged alike; an empty table gives an empty result;
+    other columns are ignored.  Cutoffs of up to ``MAX_GROUPS`` groups are broadcast; those of more groups are joined by
+    shuffling the statistics.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     stats = scratch.keep(with_statistics(docs, text), "statistics")  # texts are read once
-    fine = scratch.keep(sketch(stats), "sketch")
-    coarse, whole = merge(fine, ("lang",)), merge(fine, ())
-    limits = [cutoffs(s, by, widen) for s, by in ((fine, ("lang", "source")), (coarse, ("lang",)), (whole, ()))]
-    names = [c for c in limits[2].columns if c != "total"]
-    renamed = [t.select(*[F.col(c).alias(f"_{k}_{c}") for c in t.columns]) for k, t in enumerate(limits)]
-    chosen = (
-        renamed[0]
-        .join(renamed[1], F.col("_0_lang").eqNullSafe(F.col("_1_lang")), "left")
-        .join(F.broadcast(renamed[2]), F.lit(True), "left")
-        .select(
-            F.col("_0_lang"), F.col("_0_source"),
-            *[F.when(F.col("_0_total") >= min_group, F.col(f"_0_{c}")).when(F.col("_1_total") >= min_group, F.col(f"_1_{c}")).otherwise(F.col(f"_2_{c}")).alias(c) for c in names],
-        )
-    )
-    chosen = scratch.keep(chosen, "cutoffs")
+    limits = cutoffs(blend(scratch.keep(sketch(stats), "sketch"), weights), ("lang", "source"), widen)
+    chosen = scratch.keep(limits.withColumnsRenamed({"lang": "_0_lang", "source": "_0_source"}), "cutoffs")
     if chosen.count() <= MAX_GROUPS:  # so that documents of a common source stay where they are
         chosen = F.broadcast(chosen)
     judged = stats.join(chosen, F.col("lang").eqNullSafe(F.col("_0_lang")) & F.col("source").eqNullSafe(F.col("_0_source")), "left")

@@ -26,9 +26,11 @@ def hashed_sample(rows: DataFrame, bound: int, total: int, seed: int, key: str =
 
 
 def sampled_texts(docs: DataFrame, chosen: DataFrame, bound: int, scratch: Scratch, text: str = "text") -> DataFrame:
-    """The columns of ``chosen`` (_id, ...), which has about ``bound`` rows at most, with ``_text`` of its documents.
+    """The columns of ``chosen`` (_id, ...; one row for each id), which has about ``bound`` rows at most, with ``_text`` of
+    its documents, where there is one.
 
-    The ids are counted and broadcast, so that no text is shuffled, and the texts found are kept in the scratch folder.
+    Of the texts that rows of one id have, that of least hash is taken, so there are no more rows than ids however often an
+    id occurs.  The ids are counted and broadcast, so only texts of the sample are shuffled, one for each id and task.
     """
     chosen = scratch.keep(chosen, "chosen")
     n = chosen.count()
@@ -36,7 +38,8 @@ def sampled_texts(docs: DataFrame, chosen: DataFrame, bound: int, scratch: Scrat
         raise ValueError(f"{n} rows were chosen where {bound} are the bound")
     own = docs.select(F.col("doc_id").alias("_doc"), F.col(text).cast("string").alias("_text"))
     found = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    return scratch.keep(found.select(*[c for c in chosen.columns if c != "_id"], "_text"), "sample")
+    one = found.groupBy(*chosen.columns).agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("_one"))
+    return scratch.keep(one.select(*[c for c in chosen.columns if c != "_id"], F.col("_one.t").alias("_text")), "sample")
 
 
 def training_labels(labels: DataFrame, column: str, bound: int, seed: int) -> DataFrame:

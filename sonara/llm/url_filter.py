@@ -92,7 +92,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
 
     A rule fits its own host and all subdomains if the path starts with the rule's path; without a fitting rule the
     verdict is ``default``.  Null, empty and malformed URLs have empty host and path and get ``default``.  Repeated rows
-    are judged alike; an empty table gives an empty result; columns of these names already present are replaced.
+    are judged alike; an empty table gives an empty result; columns of these names already present, in whatever case, are
+    replaced.
     """
     if len(rules) > MAX_RULES or sum(len(t.encode()) for _, t in rules) > MAX_RULE_BYTES:
         raise ValueError("too many rules to broadcast; split the list and apply it in parts")
@@ -109,6 +110,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
             )
 
     host, path = url_parts(url)
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     judged = packed_rows(pages, host=host, path=path).withColumn("_judged", judge("host", "path"))
     return judged.select(*[F.col(f"_row.`{c}`") for c in kept], "host", "path", "_judged.rule", "_judged.verdict")

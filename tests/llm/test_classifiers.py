@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonara.llm import mil_toxicity, pu_quality
+from sonara.llm import mil_toxicity, pu_quality, samples
+from sonara.llm.common import Scratch
 
 from .conftest import prose
 
@@ -71,6 +72,8 @@ def test_toxicity_from_document_labels(planted):
     assert found and sum(any(b in r["sentence"] for b in BAD) for r in found) > 0.95 * len(found)
     kept = mil_toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns
+    odd = docs.selectExpr("*", "text as _text", "1 as `a.b`", "'h' as HOST", "2 as _row")
+    assert mil_toxicity.drop_toxic(odd, model).columns == odd.columns and mil_toxicity.drop_toxic(odd, model).count() == kept.count()
     assert kept.count() == sum(r["score"] < 0.3 for r in rows)
 
 
@@ -167,3 +170,38 @@ def test_ties_and_a_very_long_text(spark, planted):
     for module in (pu_quality, mil_toxicity):
         got = {r["doc_id"]: r for r in module.score(rows, module.train(docs, labels)).collect()}
         assert len(got) == 5 and got[1]["score"] == got[2]["score"] and got[4]["score"] == got[5]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id that most rows have gives one text, the same one whatever the order of the rows."""
+    docs = spark.range(60_000).selectExpr("if(id < 59000, 7, id) as doc_id", "concat('text ', id % 5000) as text")
+    chosen = spark.createDataFrame([(k, k % 2) for k in [7, *range(59_000, 59_100), 1]], "_id long, y int")
+    a, b = (sorted(map(tuple, samples.sampled_texts(d, chosen, 1000, Scratch(spark, "test-samples")).collect())) for d in (docs, docs.orderBy("text").repartition(3)))
+    assert a == b and len(a) == 101
+    with pytest.raises(ValueError, match="bound"):
+        samples.sampled_texts(docs, docs.selectExpr("doc_id as _id", "1 as y"), 1000, Scratch(spark, "test-samples"))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(int(share * 100))
+    draw = lambda n, at: rng.normal(at, 1, (n, 6))
+    n = 6000
+    positive, unlabelled = draw(3000, 1.5), np.concatenate([draw(int(n * share), 1.5), draw(n - int(n * share), -1.5)])
+    assert abs(pu_quality.estimate_prior(positive, unlabelled) - share) < 0.03
+    assert pu_quality.estimate_prior(positive[:1], unlabelled[:1]) == 0.5
+
+
+def test_discriminator_gradient_against_differences():
+    rng = np.random.default_rng(8)
+    w = [rng.normal(0, 1, (3, 4)), rng.normal(0, 1, 4), rng.normal(0, 1, 4), rng.normal(0, 1, 1)]
+    p, u = rng.normal(0.5, 1, (7, 3)), rng.normal(0, 1, (9, 3))
+    _, grads = pu_quality.discriminator_step(w, p, u)
+    for i, g in enumerate(grads):
+        for at in np.ndindex(w[i].shape):
+            loss = []
+            for step in (1e-6, -1e-6):
+                w[i][at] += step
+                loss.append(pu_quality.discriminator_step(w, p, u)[0])
+                w[i][at] -= step
+            assert g[at] == pytest.approx((loss[0] - loss[1]) / 2e-6, abs=1e-5)

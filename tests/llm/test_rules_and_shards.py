@@ -48,6 +48,8 @@ def test_urls_against_all_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), RULES).collect() == []
     clashing = pages.selectExpr("*", "'x' as _judged", "1 as _row", "'h' as host")
     assert {(r["page_id"], r["host"], r["_judged"], r["_row"]) for r in url_filter.filter_urls(clashing, RULES).collect()} == {(k, plain_rule(u)[0], "x", 1) for k, u in enumerate(urls)}
+    cased = pages.selectExpr("page_id", "url", "'x' as HOST", "'y' as Verdict", "1 as `a.b`")
+    assert url_filter.filter_urls(cased, RULES).columns == ["page_id", "url", "a.b", "host", "path", "rule", "verdict"]
     with pytest.raises(ValueError):
         url_filter.parse_rule("deny", "x/")
 
@@ -134,3 +136,32 @@ def test_sketches_merge(spark, docs):
     whole = quality_rules.merge(quality_rules.sketch(stats), ())
     direct = quality_rules.sketch(stats.withColumn("lang", stats.lang.substr(1, 0)).withColumn("source", stats.source.substr(1, 0)))
     assert brute.multiset(whole.collect()) == brute.multiset(quality_rules.merge(direct, ()).collect())
+
+
+def test_every_group_has_cutoffs_of_its_own(spark):
+    """Quartiles of a group's values with those of its language and of all, scaled to so many documents."""
+    rng = random.Random(12)
+    sizes = {("en", "a"): 300, ("en", "b"): 3, ("de", "a"): 40, (None, None): 1, ("de", None): 500}
+    values = {g: [rng.randrange(*((0, 64) if g[1] == "a" else (100, 127))) for _ in range(n)] for g, n in sizes.items()}  # one bucket for each value
+    rows = [(*g, "symbols", v, values[g].count(v)) for g in values for v in set(values[g])]
+    fine = spark.createDataFrame(rows, "lang string, source string, measure string, bucket long, n long")
+    got = {(r["lang"], r["source"]): r["high_symbols"] for r in quality_rules.cutoffs(quality_rules.blend(fine, (20, 6)), ("lang", "source"), 3.0).collect()}
+    for g in values:
+        weight = Counter()
+        for scale, own in ((None, values[g]), (20, [v for h in values if h[0] == g[0] for v in values[h]]), (6, [v for h in values for v in values[h]])):
+            for v in own:
+                weight[v] += 1.0 if scale is None else scale / len(own)
+        upto, total, quartiles = 0.0, sum(weight.values()), {}
+        for v in sorted(weight):
+            upto += weight[v]
+            for q in (1, 3):
+                if upto >= total * q / 4 - 1e-9:
+                    quartiles.setdefault(q, v)
+        assert got[g] == quartiles[3] + 3 * (quartiles[3] - quartiles[1]) + 1000
+    assert len({got["en", "a"], got["en", "b"]}) == 2, "sources of one language differ"
+
+
+def test_growth_at_load_factor_one_moves_few_keys(spark):
+    frame = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
+    a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard_documents(frame, shards=n).collect()} for n in (40, 41))
+    assert sum(a[k] != b[k] for k in a) < 0.1 * len(a)
