@@ -6,10 +6,12 @@ recomputed alone and resuming is a filter on ``batch_id``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.digests import stable_digest
 from ..functions.ranking import digest_rank, running_total
@@ -167,15 +169,38 @@ def microbatches(batches: DataFrame, size: int) -> DataFrame:
 
 
 def collate(batches: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per batch with aligned arrays of the given columns in slot order."""
-    joined = batches.select("batch_id", "slot", "path").join(rows.select("path", *columns), "path")
-    packed = joined.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("slot", "path", *columns))).alias("r"))
-    return packed.select("batch_id", F.col("r.path").alias("paths"), *[F.col(f"r.{c}").alias(c) for c in columns])
+    """One row per batch with aligned arrays of the given columns in slot order.
 
+    A slot whose path has no row, a missing value, and arrays of different lengths in one batch are errors.
+    """
+    own = rows.select("path", F.lit(True).alias("_there"), *columns)
+    joined = batches.select("batch_id", "slot", "path").join(own, "path", "left")
+    whole = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col("path")))).otherwise(F.col("slot"))
+    packed = joined.withColumn("slot", whole).groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("slot", "path", *columns))).alias("r"))
+
+    def aligned(c: str) -> Column:
+        values = F.col(f"r.{c}")
+        bad = F.exists(values, lambda x: x.isNull())
+        if dict(rows.dtypes)[c].startswith("array"):
+            bad |= F.size(F.array_distinct(F.transform(values, F.size))) > 1
+        return F.when(bad, F.raise_error(F.lit(f"the rows of a batch have mixed values of {c}"))).otherwise(values).alias(c)
+
+    return packed.select("batch_id", F.col("r.path").alias("paths"), *map(aligned, columns))
+
+
+def feed(collated: DataFrame, consume: Callable[[Iterator[dict]], Iterator[dict]], schema: str, parts: int | None = None) -> DataFrame:
+    """What ``consume`` makes of batches in their order, as rows of ``schema``.
+
+    Batches are dealt to ``parts`` ranges of consecutive ones, each of which one call takes in ascending order, a batch at
+    a time, where the range lies: what is collated never passes through the driver.
+    """
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in consume(x for t in tables for k in range(t.num_rows) for x in t.slice(k, 1).to_pylist()):
+            yield pa.RecordBatch.from_pylist([row], kinds)
 
-def load(collated: DataFrame) -> Iterator[Row]:
-    """The rows of ``collate`` in batch order, one range of them at a time at the driver."""
-    return collated.orderBy("batch_id").toLocalIterator(prefetchPartitions=True)
+    kinds = to_arrow_schema(collated.sparkSession.createDataFrame([], schema).schema)
+    ranges = collated.repartitionByRange(parts, "batch_id") if parts else collated.repartitionByRange("batch_id")
+    return ranges.sortWithinPartitions("batch_id").mapInArrow(run, schema)
 
 
 def resume(batches: DataFrame, position: int, batches_per_epoch: int) -> DataFrame:

@@ -167,12 +167,13 @@ def sampler_violations(index: DataFrame) -> DataFrame:
 
 
 def bound_file_violations(files: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Files (path, content) against their bound (path, sha256): both sets alike, hashes equal, no path of a test set."""
+    """Files (path, content) against their bound (path, sha256): both sets alike, hashes equal, no path of a test set.  A file
+    without content, and one that is bound to no hash, differ."""
     hashed = files.select("path", F.sha2("content", 256).alias("_found"))
     joined = bindings.join(hashed, "path", "left")
     parts = F.split(F.lower("path"), "/")
     return all_of(
-        violations(joined, "bound_hash", F.col("path"), F.col("sha256") != F.col("_found")),
+        violations(joined, "bound_hash", F.col("path"), F.coalesce(F.col("sha256") != F.col("_found"), F.lit(True))),
         violations(hashed.join(bindings, "path", "left_anti"), "bound_names", F.col("path"), F.lit(True)),
         row_violations(
             bindings, F.col("path"),

@@ -1,7 +1,7 @@
 """Command line: ``python -m sonara.plans <job> ...`` with the session's own configuration.
 
 Jobs: ``package ROOT OUT`` builds and publishes a dataset package; ``trials MANIFEST OUT --total N`` writes balanced
-trials and their identity; ``report TRIALS EMBEDDINGS OUT`` scores trials; ``final TRIALS EMBEDDINGS OUT`` with either
+trials and their identity; ``cache MANIFEST FEATURES CONFIG OUT`` builds a feature cache; ``report TRIALS EMBEDDINGS OUT`` scores trials; ``final TRIALS EMBEDDINGS OUT`` with either
 ``--check`` or ``--run`` does the same once for the final test.  Tables are Parquet.
 """
 
@@ -27,6 +27,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("manifest")
     p.add_argument("out")
     p.add_argument("--total", type=int, required=True)
+    p = jobs.add_parser("cache")
+    for x in ("manifest", "features", "config", "out"):
+        p.add_argument(x)
     for name in ("report", "final"):
         p = jobs.add_parser(name)
         for x in ("trials", "embeddings", "out"):
@@ -46,6 +49,8 @@ def main(words: list[str] | None = None) -> None:
         rows = spark.read.parquet(a.manifest).selectExpr("relative_audio_path as path", "speaker_id")
         made = trials.with_trial_ids(trials.genuine_trials(rows, a.total), trials.impostor_trials(rows, a.total), "trial-")
         print(tables.write_exact(made, f"{a.out}/trials"), tables.write_exact(caches.trial_identity(made, rows), f"{a.out}/identity"))
+    elif a.job == "cache":
+        print(package.build_cache(*(spark.read.parquet(x) for x in (a.manifest, a.features, a.config)), a.out))
     else:
         made, embeddings = spark.read.parquet(a.trials), spark.read.parquet(a.embeddings)
         if a.job == "final":

@@ -196,7 +196,7 @@ ORACLE_SQL = {
   UNION ALL SELECT 3, 'offset_range', count(*) FROM bx WHERE i >= 512 UNION ALL SELECT 3, 'label_range', n FROM lr UNION ALL SELECT 3, 'label_coverage', count(*) FROM cov WHERE gap
   UNION ALL SELECT 3, 'shard_of_row', count(*) FROM b3 WHERE rr // 512 <> manifest_row_index // 512 UNION ALL SELECT 3, 'offset_of_row', count(*) FROM b3 WHERE i <> rr % 512
   UNION ALL SELECT 3, 'gapless_rows', count(*) FROM (SELECT final_split FROM b3 GROUP BY 1 HAVING min(rr) <> 0 OR max(rr) <> count(*) - 1 OR count(DISTINCT rr) <> count(*))) WHERE n > 0""",
-    "normalised_index": f"""WITH {INDEX} SELECT relative_audio_path, speaker_label, CASE WHEN final_split = 'train' THEN 'train' ELSE '' END AS filename_group, '' AS duplicate_group, '' AS manifest_version, -1 AS manifest_row_index FROM idx WHERE final_split <> 'final_test'""",
+    "normalised_index": f"""WITH {INDEX} SELECT relative_audio_path, speaker_label, CASE final_split WHEN 'train' THEN 'train' WHEN 'final_test' THEN 'test' ELSE '' END AS filename_group, '' AS duplicate_group, CASE WHEN final_split = 'final_test' THEN 'v2' ELSE '' END AS manifest_version, -1 AS manifest_row_index FROM idx""",
     "shard_contract": """WITH v AS (SELECT vec_id, 'train/shard_' || lpad(CAST(vec_id // 512 AS VARCHAR), 5, '0') || '.pt' AS key FROM embeddings)
 SELECT DISTINCT 'finite_features' AS rule, key FROM v WHERE vec_id % 900 = 7 UNION ALL SELECT DISTINCT 'feature_shape', key FROM v WHERE vec_id % 900 = 7 UNION ALL SELECT DISTINCT 'identifiers', key FROM v WHERE vec_id % 700 = 3""",
     "shard_states": f"WITH {INDEX}, {_STATES} SELECT * FROM states",
@@ -245,10 +245,10 @@ d AS (SELECT path FROM p WHERE path NOT IN (SELECT path FROM m) UNION ALL SELECT
 g AS (SELECT count(*) AS n, min(l) AS lo, max(l) AS hi FROM (SELECT DISTINCT l FROM t))
 SELECT 'one_label_per_speaker' AS rule, speaker_id AS key, '' AS detail FROM t GROUP BY speaker_id HAVING count(DISTINCT l) > 1
 UNION ALL SELECT 'one_speaker_per_label', CAST(l AS VARCHAR), '' FROM t GROUP BY l HAVING count(DISTINCT speaker_id) > 1 UNION ALL SELECT 'contiguous_labels', 'labels', '' FROM g WHERE lo <> 0 OR hi <> n - 1""",
-    "bound_files": f"""WITH d AS (SELECT doc_id FROM documents WHERE text IS NOT NULL) {_counted(("bound_hash", "d WHERE doc_id % 10 = 1 AND doc_id % 25 <> 0"), ("bound_names", "d WHERE doc_id % 25 = 0"), ("no_final_test", "d WHERE doc_id % 40 = 3 AND doc_id % 25 <> 0"))}""",
+    "bound_files": f"""WITH d AS (SELECT doc_id, text FROM documents) {_counted(("bound_hash", "d WHERE (doc_id % 10 = 1 OR text IS NULL) AND doc_id % 25 <> 0"), ("bound_names", "d WHERE doc_id % 25 = 0"), ("no_final_test", "d WHERE doc_id % 40 = 3 AND doc_id % 25 <> 0"))}""",
     "absolute_roots": "SELECT 'no_absolute_root' AS rule, count(*) AS n FROM pages WHERE coalesce(contains(html, 'example.org'), true) HAVING count(*) > 0",
     "config_contract": "SELECT 'config' AS rule, count(*) FILTER (WHERE p_size IS DISTINCT FROM 10) + count(*) FILTER (WHERE p_brand IS DISTINCT FROM 'Brand#4') AS n FROM part",
-    "inference": "SELECT vec_id, CAST(d AS INTEGER) AS dim, round(CAST(CAST(CAST(embedding[d + 1] AS DOUBLE) * 2 - embedding[d + 5] AS FLOAT) AS DOUBLE), 5) AS value FROM embeddings, (SELECT unnest(range(0, 4)) AS d)",
+    "inference": "SELECT vec_id, CAST(d AS INTEGER) AS dim, round(CAST(CAST(CAST(embedding[d + 1] AS DOUBLE) * 2 - embedding[d + 33] AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM embeddings, (SELECT unnest(range(0, 32)) AS d)",
     "artifact_reuse": f"""WITH e AS (SELECT vec_id FROM embeddings) {_counted(("binding", "e WHERE vec_id % 70 = 0 AND vec_id % 100 <> 0"), ("missing_embedding", "e WHERE vec_id % 100 = 0 AND vec_id % 90 <> 1"), ("unexpected_embedding", "e WHERE vec_id % 90 = 1 AND vec_id % 100 <> 0"))}""",
     "full_batches": f"WITH {UTT}, r AS (SELECT path, row_number() OVER (ORDER BY {_digest("'0'", 'path')}, path) - 1 AS n FROM utt) SELECT n // 32 AS batch_id, CAST(n % 32 AS INTEGER) AS slot, path FROM r WHERE n // 32 BETWEEN 2 AND (SELECT count(*) // 32 - 1 FROM utt)",
     "trial_scores": f"WITH {EMB},{_scores()} SELECT l AS left_audio_path, r AS right_audio_path, target, score FROM sc",
@@ -373,3 +373,25 @@ SELECT count(*) AS n, round(max(d), 6) AS max_abs_diff, bool_and(d <= 1e-6 + 1e-
 
 ORACLE_SQL["legacy_ids"] = f"""WITH lt AS ({ORACLE_SQL["legacy_trials"]}), s AS (SELECT count(*) AS n, min(trial_id) AS lo, max(trial_id) AS hi FROM lt WHERE trial_id % 1000 <> 999)
 SELECT 'contiguous_ids' AS rule, 'trials' AS key, CAST(n AS VARCHAR) AS detail FROM s WHERE lo <> 0 OR hi <> n - 1"""
+
+#: The WAV tree: one file a user, its events' values round and round.
+_TREE = """wv AS (SELECT user_id AS u, greatest(-32768, least(32767, CAST(floor(value) AS BIGINT))) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS m FROM events),
+wu AS (SELECT u, CAST(u AS VARCHAR) AS s, CAST(u AS VARCHAR) || '/0.wav' AS path, sum(x * (48000 // m + CASE WHEN k < 48000 % m THEN 1 ELSE 0 END)) AS total FROM wv GROUP BY u)"""
+ORACLE_SQL |= {
+    "wav_headers": f"WITH {_TREE} SELECT path, s AS speaker_id, 16000 AS sample_rate, 1 AS num_channels, 48000 AS num_samples, 2 AS sample_width FROM wu",
+    "audio_contract": f"WITH {_TREE} SELECT 'audio_contract' AS rule, path AS key, 'sample_rate=8000' AS detail FROM wu WHERE u % 10 = 3",
+    "wav_samples": f"WITH {_TREE} SELECT path, 48000 AS n, CAST(total AS BIGINT) AS total FROM wu",
+    "wav_features": f"WITH {_TREE} SELECT path, 301 AS frames, 80 AS bins, true AS whole FROM wu",
+    "wav_changes": f"WITH {_TREE} SELECT path, 'modified' AS change FROM wu WHERE u % 10 = 4 UNION ALL SELECT s || '/1.wav', 'added' FROM wu WHERE u % 10 = 5",
+    "created_package": f"WITH {_TREE}, {UTT.replace('FROM events', 'FROM (SELECT DISTINCT user_id, 0 AS event_id FROM events)')}, {SPLIT.removeprefix(UTT + ',')} SELECT 'created' AS first, 'verified_existing' AS second, final_split, count(*) AS n_rows FROM man GROUP BY 3",
+    "built_cache": ORACLE_SQL["cache_identity"],
+    "read_manifest": ORACLE_SQL["portable_manifest"],
+    "exact_write": f"WITH {UTT} SELECT state, (SELECT count(*) FROM utt) AS n_rows FROM (VALUES ('1 created'), ('2 unchanged'), ('3 refused')) v(state)",
+    "config_files": "SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY 1",
+    "first_batch": "SELECT rule, key FROM (VALUES ('feature_shape', '1'), ('finite_features', '1'), ('feature_shape', '2')) v(rule, key) WHERE EXISTS (SELECT 1 FROM embeddings)",
+    "canonical_pairs": f"WITH {UTT},{_neighbours('utt')} SELECT l AS low, r AS high, count(*) AS n FROM tr GROUP BY 1, 2",
+    "shortest_floats": "SELECT event_id, power, CAST(value * CASE power WHEN 0 THEN 1.0::DOUBLE WHEN 14 THEN 1e14 ELSE 1e-7 END AS VARCHAR) AS text FROM events, (VALUES (0), (14), (-7)) v(power)",
+    "checkpoint_store": "SELECT u AS next_epoch, CAST(n % 32 AS BIGINT) AS position, CAST(u * 32 + n % 32 AS BIGINT) AS optimizer_steps, 1 AS versions_before FROM (SELECT 2 AS u, count(*) AS n FROM events)",
+    "final_once": f"WITH {EMB},{_scores()} SELECT count(*) FILTER (WHERE target = 1) AS n_genuine, count(*) FILTER (WHERE target = 0) AS n_impostor, 'refused' AS again FROM sc",
+    "fed_batches": f"WITH {PK} SELECT batch_id, count(*) AS n_rows, min(path) AS first, true AS ascending FROM pk GROUP BY 1",
+}

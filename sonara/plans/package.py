@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import sha256, table_identity
 from ..operators import caches, contracts, metrics, scoring, shards, splits, trials
 from ..scratch import Scratch
-from ..sources import tables, versions, wav
+from ..sources import packs, tables, versions, wav
 
 
 def package_tables(utterances: DataFrame, sizes: tuple[int, int, int] | None = None, seed: int = splits.SEED) -> dict[str, DataFrame]:
@@ -32,9 +32,10 @@ def create_package(spark: SparkSession, root: str, out: str, expected: int | Non
     files = wav.discover(spark, root, expected)
     before = wav.snapshot(files).first()
     contracts.require(contracts.audio_violations(wav.headers(files)))
-    utterances = files.select("path", "speaker_id")
+    scratch = Scratch(spark, "create-package")
+    utterances = scratch.keep(files.select("path", "speaker_id"), "utterances")
     contracts.require(contracts.utterance_violations(utterances))
-    built = package_tables(utterances, sizes)
+    built = {name: scratch.keep(rows, name) for name, rows in package_tables(utterances, sizes).items()}
     contracts.require(contracts.manifest_violations(built["manifest"], built["speaker_split"], built["speaker_to_label"]))
     first = {r["table"]: r["identity"] for r in identities(built).collect()}
     again = {r["table"]: r["identity"] for r in identities(package_tables(utterances, sizes)).collect()}
@@ -46,6 +47,26 @@ def create_package(spark: SparkSession, root: str, out: str, expected: int | Non
     return state
 
 
+def build_cache(manifest: DataFrame, features: DataFrame, config: DataFrame, out: str, shape: tuple[int, int] = contracts.FEATURE_SHAPE, size: int = shards.SHARD_SIZE) -> dict:
+    """Build, or go on building, a feature cache below ``out``: its plan, its packed shards and its identity.
+
+    ``manifest`` is a portable one, ``features`` has relative_audio_path and fbank, ``config`` one row.  Rows without
+    features and features that break their contract are errors; so is a root that was begun with another plan.  Gives the
+    state that was found (new, resume or complete) and the numbers of shards reused and written.
+    """
+    spark = manifest.sparkSession
+    scratch = Scratch(spark, "build-cache")
+    index = scratch.keep(shards.feature_index(manifest, size), "index")
+    contracts.require(contracts.all_of(shards.alignment_violations(index, size), shards.cache_violations(index, size)))
+    state = tables.prepare_plan({"index": index, "config": config}, out)
+    rows = index.join(features.select("relative_audio_path", "fbank"), "relative_audio_path", "left")
+    contracts.require(contracts.all_of(contracts.violations(rows, "missing_features", F.col("relative_audio_path"), F.col("fbank").isNull()), contracts.feature_violations(rows.where("fbank is not null"), shape)))
+    found = packs.write(rows, f"{out}/shards")
+    contracts.require(packs.file_violations(spark, f"{out}/shards"))
+    tables.write_exact(caches.cache_identity(index, config), f"{out}/identity")
+    return {"state": state, **found}
+
+
 def evaluation_report(trial_rows: DataFrame, embeddings: DataFrame, digits: int | None = None) -> DataFrame:
     """One row: the equal error rate, summaries of genuine and impostor scores, and the identity of the scored trials.
 

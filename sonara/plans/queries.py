@@ -12,6 +12,7 @@ from ..scratch import Scratch
 from ..sources import canonical, packs, tables, versions, wav
 from . import package
 from .carriers import embeddings, table, utterances
+from .file_queries import FILE_QUERIES
 
 WIDTH, SEED, EPOCH = 4, splits.SEED, 0
 P, K = 10, 2
@@ -172,24 +173,30 @@ def index_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train rows in the first schema and validation rows in the third as one table."""
+    """Train rows in the first schema, final test rows in the second and validation rows in the third as one table."""
     index = _index(spark, sf_dir).drop("manifest_row_index")
     old = index.where("final_split = 'train'").withColumn("filename_group", F.lit("train"))
-    return shards.normalised_index(old, index.where("final_split = 'validation'")).select("relative_audio_path", "speaker_label", "filename_group", "duplicate_group", "manifest_version", "manifest_row_index")
+    second = index.where("final_split = 'final_test'").withColumns({"filename_group": F.lit("test"), "manifest_version": F.lit("v2")})
+    return shards.normalised_index(old, second, index.where("final_split = 'validation'")).select("relative_audio_path", "speaker_label", "filename_group", "duplicate_group", "manifest_version", "manifest_row_index")
+
+
+def square(vector: Column) -> Column:
+    """64 numbers as 8 rows of 8."""
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(vector, 8 * k + 1, F.lit(8)))
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of 512 vectors, some of which have a number that is not finite or lack their speaker."""
+    """Shards of 512 vectors as 8 x 8 features, some of which have a number that is not finite or lack their speaker."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.lit("train").alias("final_split"), numbered("train/shard_", F.expr("vec_id div 512"), tail=".pt").alias("shard_path"), (F.col("vec_id") % 512).cast("int").alias("within_shard_index"),
         F.col("vec_id").cast("string").alias("relative_audio_path"), F.when(F.col("vec_id") % 700 == 3, "").otherwise(F.col("label").cast("string")).alias("speaker_id"), F.col("label").alias("speaker_label"),
-        F.when(F.col("vec_id") % 900 == 7, F.array(F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding")).alias("fbank"),
+        F.when(F.col("vec_id") % 900 == 7, F.array(F.array(F.lit(float("nan")).cast("float")))).otherwise(square(F.col("embedding"))).alias("fbank"),
     )
     return shards.shard_payloads(rows.drop("fbank"), rows.select("relative_audio_path", "fbank"))
 
 
 def shard_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return caches.payload_violations(_payloads(spark, sf_dir), shape=None).select("rule", "key")
+    return caches.payload_violations(_payloads(spark, sf_dir), shape=(8, 8)).select("rule", "key")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +293,8 @@ def sampler_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations, by rule, of documents as files, of which every 10th has other content than was bound, some names are
-    not bound, and one source counts as a test set."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    not bound, and one source counts as a test set; a null text is a file without content."""
+    docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.when(F.col("doc_id") % 40 == 3, "test").otherwise("docs"), F.col("doc_id").cast("string"))
     files = docs.select(path.alias("path"), F.col("text").cast("binary").alias("content"))
     bindings = docs.where("doc_id % 25 != 0").select(path.alias("path"), F.sha2(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")).cast("binary"), 256).alias("sha256"))
@@ -306,7 +313,7 @@ def config_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed linear map of every embedding, in slices of 32."""
-    made = caches.infer(embeddings(spark, sf_dir), lambda x: x[:, :4].astype(float) * 2 - x[:, 4:8], "vec_id", "embedding")
+    made = caches.infer(embeddings(spark, sf_dir), lambda x: x[:, :32].astype(float) * 2 - x[:, 32:], "vec_id", "embedding")
     return made.select("vec_id", F.posexplode("embedding").alias("dim", "v")).select("vec_id", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
@@ -582,3 +589,4 @@ QUERIES = {
         class_centroids, softmax_logits, aam_logits, cross_entropy, cosine_lr, early_stopping, mean_norm, mean_var_norm, framing, max_difference, norm_and_delta,
     )
 }
+QUERIES |= FILE_QUERIES

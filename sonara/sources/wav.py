@@ -1,4 +1,4 @@
-"""WAV files: discovery, headers, samples, snapshots of a directory tree."""
+"""WAV files: discovery, headers, samples, snapshots of a directory tree, writing."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.digests import merged_state, multiset_state
 from ..functions.text import parent_name
+from ..scratch import Scratch
 
 
 def discover(spark: SparkSession, root: str, expected: int | None = None) -> DataFrame:
@@ -83,3 +86,29 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     both = b.join(a, "path", "full")
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "modified")
     return both.select("path", change.alias("change")).where("change is not null")
+
+
+def write(waves: DataFrame, root: str) -> DataFrame:
+    """Write rows (path, rate, samples: array of 16-bit numbers) as mono WAV files below ``root``; rows (path, size).
+
+    Files are written where the rows are, each in one go, so a task that runs again puts the same file in place of its own.
+    The result is kept, so reading it again writes nothing.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            sizes = []
+            for path, rate, samples in zip(*(c.to_pylist() for c in batch.columns)):
+                body = io.BytesIO()
+                with wave.open(body, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(rate)
+                    w.writeframes(np.array(samples, "<i2").tobytes())
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(body.getvalue())
+                sizes.append(len(body.getvalue()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    return Scratch(waves.sparkSession, "wav-write").keep(waves.select("path", F.col("rate").cast("int"), F.col("samples").cast("array<int>")).mapInArrow(run, "path string, size long"), "written")

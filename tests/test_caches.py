@@ -126,12 +126,45 @@ def test_summaries_and_rates_against_numpy(spark):
         assert r["far"] == pytest.approx((values[targets == 0] >= r["threshold"]).mean()) and r["frr"] == pytest.approx((values[targets == 1] < r["threshold"]).mean())
 
 
-def test_loader_gives_batches_in_order(spark):
-    rows = spark.createDataFrame([(f"p{k}", k % 3) for k in range(10)], "path string, label int")
-    made = batching.random_batches(rows, "path", 4, 1)
-    loaded = list(batching.load(batching.collate(made, rows, "label")))
-    assert [b["batch_id"] for b in loaded] == [0, 1, 2] and [len(b["paths"]) for b in loaded] == [4, 4, 2]
-    assert all(len(b["label"]) == len(b["paths"]) for b in loaded)
+def test_batches_are_fed_in_order(spark):
+    rows = spark.createDataFrame([(f"p{k}", k % 3) for k in range(100)], "path string, label int")
+    collated = batching.collate(batching.random_batches(rows, "path", 4, 1), rows, "label").repartition(7)
+
+    def consume(fed):
+        last = None
+        for b in fed:
+            yield {"batch_id": b["batch_id"], "before": last, "n": len(b["label"])}
+            last = b["batch_id"]
+
+    got = sorted(map(tuple, batching.feed(collated, consume, "batch_id long, before long, n int", 3).collect()))
+    assert [b for b, _, _ in got] == list(range(25)) and all(n == 4 for _, _, n in got)
+    assert sum(before is None for _, before, _ in got) == 3 and all(before in (None, b - 1) for b, before, _ in got)
+
+
+def test_mixed_rows_are_not_collated(spark):
+    rows = spark.createDataFrame([("a", 1, [1.0]), ("b", 2, [2.0]), ("c", None, [3.0]), ("d", 4, [4.0, 5.0])], "path string, label int, v array<double>")
+    batch = lambda *paths: spark.createDataFrame([(0, k, p) for k, p in enumerate(paths)], "batch_id long, slot int, path string")
+    assert tuple(batching.collate(batch("b", "a"), rows, "label", "v").first()) == (0, ["b", "a"], [2, 1], [[2.0], [1.0]])
+    for paths, message in ((("a", "c"), "mixed values of label"), (("a", "d"), "mixed values of v"), (("a", "z"), "no row for z")):
+        with pytest.raises(Exception, match=message):
+            batching.collate(batch(*paths), rows, "label", "v").collect()
+
+
+def test_caches_are_built_and_gone_on_with(spark, tmp_path):
+    from sonara.plans import package
+    from sonara.sources import packs
+
+    manifest = spark.createDataFrame([(f"s{s}/{k}.wav", f"s{s}", s if s < 2 else -1, "train" if s < 2 else "validation") for s in range(3) for k in range(5)], "relative_audio_path string, speaker_id string, speaker_label int, final_split string")
+    features = manifest.selectExpr("relative_audio_path", "array(array(1.0f, 2.0f)) as fbank")
+    config, out = spark.range(1).selectExpr("4 as shard_size"), f"{tmp_path}/c"
+    assert package.build_cache(manifest, features, config, out, (1, 2), 4) == {"state": "new", "total": 5, "reused": 0, "written": 5}
+    assert package.build_cache(manifest, features, config, out, (1, 2), 4) == {"state": "complete", "total": 5, "reused": 5, "written": 0}
+    assert packs.read(spark, f"{out}/shards").count() == 15
+    for bad, message in ((features.limit(3), "missing_features"), (features.selectExpr("relative_audio_path", "array(array(1.0f)) as fbank"), "feature_shape")):
+        with pytest.raises(Exception, match=message):
+            package.build_cache(manifest, bad, config, f"{tmp_path}/d", (1, 2), 4)
+    with pytest.raises(ValueError, match="differs"):
+        package.build_cache(manifest, features, spark.range(1).selectExpr("5 as shard_size"), out, (1, 2), 4)
 
 
 def test_jobs_from_the_command_line(spark, tmp_path):
