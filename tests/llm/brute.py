@@ -67,3 +67,49 @@ def statistics(text):
 
 def multiset(rows):
     return Counter(map(tuple, rows))
+
+
+def folded_words(text):
+    """Words without the case of ASCII and Latin-1 letters, cut at ASCII characters other than letters and digits."""
+    out = []
+    for c in text or "":
+        if ord(c) < 128 and not c.isalnum():
+            c = " "
+        elif c.isascii() or 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7:
+            c = c.lower()
+        out.append(c)
+    return WORD.findall("".join(out))
+
+
+def tiled_words(item, text, m):
+    """Words of ``item`` in greedy tiles: the longest match of free words is marked again and again."""
+    free_item, free_text, total = [True] * len(item), [True] * len(text), 0
+    at = defaultdict(list)
+    for j, w in enumerate(text):
+        at[w].append(j)
+    while True:
+        best = (0, 0, 0)
+        for i, w in enumerate(item):
+            for j in at[w]:
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and free_item[i + n] and free_text[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < m:
+            return total
+        total += n
+        free_item[i : i + n] = free_text[j : j + n] = [False] * n
+
+
+def contaminated(docs, items, m=5, threshold=0.5):
+    """(doc_id, item_id, coverage) of all pairs that reach the threshold."""
+    out = []
+    known = [(k, w, {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}) for k, t in items if len(w := folded_words(t)) >= m]
+    for d, t in docs:
+        text = folded_words(t)
+        grams = {tuple(text[i : i + m]) for i in range(len(text) - m + 1)}
+        for k, w, own in known:
+            if own & grams and (share := tiled_words(w, text, m) / len(w)) >= threshold:
+                out.append((d, k, share))
+    return out

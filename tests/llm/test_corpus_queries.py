@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from sonara.llm import queries
 from sonara.llm.common import Scratch, table
+from sonara.llm.tokens import vocabulary_path
 
 from . import brute
 
@@ -36,6 +39,46 @@ def test_a_row_for_each_document(spark, name):
     assert queries.QUERIES[name](spark, SF).select("doc_id").distinct().count() == table(spark, SF, "documents").count()
 
 
+def pairs_of(frame):
+    return sorted((r["doc_id"], r["item_id"], round(r["coverage"], 9)) for r in frame.collect())
+
+
+def test_decontamination_against_plain_tiling(spark):
+    """The query's pairs, and the documents that the pipeline's stage leaves, are those of tiling every pair plainly."""
+    docs, items = ([tuple(r) for r in table(spark, SF, name).select(key, "text").collect()] for name, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want = brute.contaminated(docs, items)
+    assert want and pairs_of(queries.QUERIES["op2_tiling"](spark, SF)) == sorted((d, k, round(c, 9)) for d, k, c in want)
+    left = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, table(spark, SF, "documents"), SF)
+    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == sorted({d for d, _ in docs} - {d for d, _, _ in want})
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name,column,least", [("op7_pu_quality", "quality", 0.85), ("op8_mil_toxicity", "toxic", 0.88)])
+def test_accuracy_of_the_queries_on_held_out_rows(spark, name, column, least):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r[column] for r in table(spark, sf, "labels").collect() if r[column] is not None}
+    own = [r for r in queries.QUERIES[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert len(own) > 50 and sum(r["predicted"] == truth[r["doc_id"]] for r in own) >= least * len(own)
+
+
+def test_packed_stage_holds_all_tokens(spark):
+    """Pieces of the pipeline's last stage: the library's ids, cut only at 4096, gapless in sequences of 4096 at most."""
+    tokenizers = pytest.importorskip("tokenizers")
+    encode = tokenizers.Tokenizer.from_file(vocabulary_path()).encode
+    docs = table(spark, SF, "documents")
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    want = []
+    for r in docs.collect():
+        ids = [*encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want += [(r["doc_id"], k, lo, len(ids[lo : lo + 4096]), zlib.crc32(np.array(ids[lo : lo + 4096], "<u4").tobytes())) for k, lo in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == sorted(want)
+    sequences = {}
+    for r in sorted(pieces, key=lambda r: r["offset"]):
+        assert sequences.get(r["sequence_id"], 0) == r["offset"]
+        sequences[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(sequences.values()) <= 4096
+
+
 def test_pipeline_stages(spark):
     docs, scratch = table(spark, SF, "documents"), Scratch(spark, "test-pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
