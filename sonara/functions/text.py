@@ -20,14 +20,16 @@ def parsed_int(c: Column) -> Column:
 
 
 def casefolded(c: Column) -> Column:
-    """Full Unicode case folding, which ``lower`` only approximates; in Arrow batches."""
+    """Full Unicode case folding, which ``lower`` only approximates.  ASCII texts are folded by it; only the others go to
+    Python, in Arrow batches."""
     import pandas as pd
 
     def fold(texts):
         return texts.map(lambda x: None if x is None else x.casefold())
 
     fold.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(fold, T.StringType())(c)
+    ascii_only = c.rlike(r"\A\p{ASCII}*\z")
+    return F.coalesce(F.when(ascii_only, F.lower(c)), F.pandas_udf(fold, T.StringType())(F.when(~ascii_only, c)))
 
 
 def shortest_float(c: Column) -> Column:

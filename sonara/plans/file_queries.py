@@ -61,6 +61,10 @@ def wav_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav.changed(before, listing())
 
 
+def dataset_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return package.dataset_identity(wav.discover(spark, _tree(spark, sf_dir)))
+
+
 def created_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each split of a package that was created from WAV files, and then found as it should be."""
     root, out = _tree(spark, sf_dir), Scratch(spark, "created").path("package")
@@ -178,7 +182,7 @@ def fed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_QUERIES = {
     f.__name__: f
     for f in (
-        wav_headers, audio_contract, wav_samples, wav_features, wav_changes, created_package, built_cache, read_manifest, exact_write, config_files, first_batch, canonical_pairs, shortest_floats,
+        wav_headers, audio_contract, wav_samples, wav_features, wav_changes, dataset_identity, created_package, built_cache, read_manifest, exact_write, config_files, first_batch, canonical_pairs, shortest_floats,
         checkpoint_store, final_once, fed_batches,
     )
 }

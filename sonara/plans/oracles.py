@@ -383,6 +383,10 @@ ORACLE_SQL |= {
     "wav_samples": f"WITH {_TREE} SELECT path, 48000 AS n, CAST(total AS BIGINT) AS total FROM wu",
     "wav_features": f"WITH {_TREE} SELECT path, 301 AS frames, 80 AS bins, true AS whole FROM wu",
     "wav_changes": f"WITH {_TREE} SELECT path, 'modified' AS change FROM wu WHERE u % 10 = 4 UNION ALL SELECT s || '/1.wav', 'added' FROM wu WHERE u % 10 = 5",
+    "dataset_identity": f"""WITH {_TREE}, d AS (SELECT sha256('{{"path":"' || path || '","size":96044}}') AS d FROM wu), l AS (SELECT [CAST(CAST('0x' || substr(d, 1 + 16 * k, 16) AS UBIGINT) AS HUGEINT) FOR k IN range(0, 4)] AS l FROM d),
+s AS (SELECT count(*) AS n, sha256(concat_ws('|', count(*), sum(l[1]) % 18446744073709551616, sum(l[2]) % 18446744073709551616, sum(l[3]) % 18446744073709551616, sum(l[4]) % 18446744073709551616)) AS h FROM l)
+SELECT n AS n_files, n AS n_speakers, CAST(3 * n AS DOUBLE) AS seconds, 16000 AS sample_rate, 1 AS num_channels, h AS listing_sha256,
+  sha256('{{"listing_sha256":"' || h || '","n_files":' || n || ',"n_speakers":' || n || ',"num_channels":1,"sample_rate":16000,"seconds":' || CAST(3 * n AS VARCHAR) || '.0}}') AS identity_sha256 FROM s""",
     "created_package": f"WITH {_TREE}, {UTT.replace('FROM events', 'FROM (SELECT DISTINCT user_id, 0 AS event_id FROM events)')}, {SPLIT.removeprefix(UTT + ',')} SELECT 'created' AS first, 'verified_existing' AS second, final_split, count(*) AS n_rows FROM man GROUP BY 3",
     "built_cache": ORACLE_SQL["cache_identity"],
     "read_manifest": ORACLE_SQL["portable_manifest"],

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import sha256, table_identity
+from ..functions.digests import canonical_json, multiset_state, sha256, state_identity, table_identity
 from ..operators import caches, contracts, metrics, scoring, shards, splits, trials
 from ..scratch import Scratch
 from ..sources import packs, tables, versions, wav
@@ -27,8 +27,26 @@ def identities(built: dict[str, DataFrame]) -> DataFrame:
     return contracts.all_of(*[table_identity(rows).select(F.lit(name).alias("table"), "n_rows", "identity") for name, rows in built.items()])
 
 
+def dataset_identity(files: DataFrame) -> DataFrame:
+    """One row (n_files, n_speakers, seconds, sample_rate, num_channels, listing_sha256, identity_sha256): what a tree of
+    WAV files (as ``wav.discover`` lists them) is, whatever the order and times of its files.
+
+    Files of different rates or channels are an error.  The listing's digest is of paths and sizes; the last column hashes
+    the others.
+    """
+    heads = wav.headers(files)
+    mixed = F.raise_error(F.lit("the files differ in rate or channels"))
+    one = lambda c: F.when(F.min(c) == F.max(c), F.max(c)).otherwise(mixed).alias(c)
+    counts = heads.agg(F.count("*").alias("n_files"), F.countDistinct("speaker_id").alias("n_speakers"), F.coalesce(F.sum("num_samples"), F.lit(0)).alias("_samples"), one("sample_rate"), one("num_channels"))
+    counts = counts.select("n_files", "n_speakers", (F.col("_samples") / F.col("sample_rate")).alias("seconds"), "sample_rate", "num_channels")
+    listing = state_identity(multiset_state(files, "path", "size")).select(F.col("identity").alias("listing_sha256"))
+    row = counts.join(F.broadcast(listing))
+    return row.withColumn("identity_sha256", sha256(canonical_json(*row.columns)))
+
+
 def create_package(spark: SparkSession, root: str, out: str, expected: int | None = None, sizes: tuple[int, int, int] | None = None) -> str:
-    """Discover and check WAV files, build the package twice, compare, publish, and see that no file changed meanwhile."""
+    """Discover and check WAV files, build the package twice, compare, publish it with the dataset's identity, and see that
+    no file changed meanwhile."""
     files = wav.discover(spark, root, expected)
     before = wav.snapshot(files).first()
     contracts.require(contracts.audio_violations(wav.headers(files)))
@@ -41,6 +59,7 @@ def create_package(spark: SparkSession, root: str, out: str, expected: int | Non
     again = {r["table"]: r["identity"] for r in identities(package_tables(utterances, sizes)).collect()}
     if first != again:
         raise RuntimeError("two builds of the package differ")
+    built["dataset_identity"] = scratch.keep(dataset_identity(files), "dataset_identity")
     state = versions.publish(built, out)
     if wav.snapshot(wav.discover(spark, root, expected)).first() != before:
         raise RuntimeError("the dataset changed while the package was built")
@@ -68,7 +87,8 @@ def build_cache(manifest: DataFrame, features: DataFrame, config: DataFrame, out
 
 
 def evaluation_report(trial_rows: DataFrame, embeddings: DataFrame, digits: int | None = None) -> DataFrame:
-    """One row: the equal error rate, summaries of genuine and impostor scores, and the identity of the scored trials.
+    """One row: the equal error rate, summaries of genuine and impostor scores, and the identities of the scored trials and
+    of the embeddings they were scored with.
 
     Scores are rounded to ``digits`` places if given.  A trial without an embedding is an error.
     """
@@ -80,8 +100,9 @@ def evaluation_report(trial_rows: DataFrame, embeddings: DataFrame, digits: int
     summary = metrics.numeric_summary(scored, "score", "target")
     of = lambda t, name: summary.where(F.col("target") == t).select(F.struct(*[c for c in summary.columns if c != "target"]).alias(name))
     bound = table_identity(scored.select("left_audio_path", "right_audio_path", "target")).select(F.col("identity").alias("trials_identity"))
-    report = rate.join(F.broadcast(of(1, "genuine"))).join(F.broadcast(of(0, "impostor"))).join(F.broadcast(bound))
-    return report.withColumn("report_sha256", sha256(F.to_json(F.struct("eer", "genuine", "impostor", "trials_identity"))))
+    vectors = state_identity(multiset_state(embeddings, "path", "embedding")).select(F.col("identity").alias("embeddings_identity"))
+    report = rate.join(F.broadcast(of(1, "genuine"))).join(F.broadcast(of(0, "impostor"))).join(F.broadcast(bound)).join(F.broadcast(vectors))
+    return report.withColumn("report_sha256", sha256(F.to_json(F.struct("eer", "genuine", "impostor", "trials_identity", "embeddings_identity"))))
 
 
 def saved_embeddings(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray], path: str, binding: str, dimension: int, key: str = "path", vector: str = "features") -> DataFrame:
