@@ -144,13 +144,15 @@ def leaf_digest(text: Column, doc_id: str = "doc_id") -> Column:
     return F.sha2(F.concat(*[_field(F.col(c)) for c in (doc_id, "source", "lang", "n_chars")], _field(text)), 256)
 
 
-def _placed(rows: DataFrame, tree: str, order: list[Column], scratch: Scratch) -> DataFrame:
+def _placed(rows: DataFrame, tree: str, order: list[Column], scratch: Scratch, ranges: list[Column] | None = None) -> DataFrame:
     """``rows`` with ``place``, their 0-based place in their tree, and ``n``, the tree's size.
 
     Rows are sorted by ranges and written; a row's place is that in its range, less its tree's first one there, plus the
-    tree's rows in earlier ranges.
+    tree's rows in earlier ranges.  ``ranges``: what ranges are cut by, if not ``order`` itself; a sample of it goes to the
+    driver, so it is short.
     """
-    ordered = rows.repartitionByRange(F.col(tree).asc_nulls_first(), *order).sortWithinPartitions(F.col(tree).asc_nulls_first(), *order)
+    first = F.col(tree).asc_nulls_first()
+    ordered = rows.repartitionByRange(first, *(ranges or order)).sortWithinPartitions(first, *order)
     at = F.monotonically_increasing_id()
     kept = scratch.keep(ordered.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
     counts = kept.groupBy("_part", F.col(tree).alias("_tree")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
@@ -228,7 +230,8 @@ def manifest(docs: DataFrame, altered: Column | None = None, text: str = "text")
     body = F.col(text).cast("string")
     leaves = docs.select("doc_id", F.col("lang").cast("string").alias("tree"), leaf_digest(body).alias("digest"), leaf_digest(body if altered is None else altered).alias("altered_leaf"))
     id_order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("altered_leaf")]
-    placed = scratch.keep(_placed(scratch.keep(leaves, "leaves"), "tree", id_order, scratch), "placed")
+    ranges = [F.col("doc_id").asc_nulls_first(), F.substring("digest", 1, 6)]  # an id that many rows have is cut too
+    placed = scratch.keep(_placed(scratch.keep(leaves, "leaves"), "tree", id_order, scratch, ranges), "placed")
     passes, subroots = _climb(placed.select("tree", "n", "place", "digest"), "string", scratch)
 
     languages = subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("lang"), "digest")
