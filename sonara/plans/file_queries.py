@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import canonical_pair
@@ -13,7 +13,7 @@ from ..operators import batching, caches, contracts, features, splits, trials
 from ..scratch import Scratch
 from ..sources import tables, versions, wav
 from . import package
-from .carriers import embeddings, table, utterances
+from .carriers import embeddings, square, table, utterances
 
 #: Samples of a file, and their rate.
 SAMPLES, RATE = 48_000, 16_000
@@ -114,13 +114,9 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_json(spark, path, "n long, last long, event_type string").select("event_type", "n", "last")
 
 
-def _square(vector: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(vector, 8 * k + 1, F.lit(8)))
-
-
 def first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the first four embeddings as 8 x 8 features, of which one is not a number and one has lost a row."""
-    bent = F.when(F.col("vec_id") == 1, F.array(F.array(F.lit(float("nan")).cast("float")))).when(F.col("vec_id") == 2, F.slice(_square(F.col("embedding")), 1, 7)).otherwise(_square(F.col("embedding")))
+    bent = F.when(F.col("vec_id") == 1, F.array(F.array(F.lit(float("nan")).cast("float")))).when(F.col("vec_id") == 2, F.slice(square(F.col("embedding")), 1, 7)).otherwise(square(F.col("embedding")))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("relative_audio_path"), F.lit("train").alias("final_split"), F.col("vec_id").alias("manifest_row_index"), bent.alias("fbank"))
     return caches.first_batch_violations(rows, "train", shape=(8, 8)).select("rule", "key")
 

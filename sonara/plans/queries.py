@@ -11,7 +11,7 @@ from ..operators import batching, caches, contracts, features, learning, metrics
 from ..scratch import Scratch
 from ..sources import canonical, packs, tables, versions, wav
 from . import package
-from .carriers import embeddings, table, utterances
+from .carriers import embeddings, square, table, utterances
 from .file_queries import FILE_QUERIES
 
 WIDTH, SEED, EPOCH = 4, splits.SEED, 0
@@ -180,11 +180,6 @@ def normalised_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.normalised_index(old, second, index.where("final_split = 'validation'")).select("relative_audio_path", "speaker_label", "filename_group", "duplicate_group", "manifest_version", "manifest_row_index")
 
 
-def square(vector: Column) -> Column:
-    """64 numbers as 8 rows of 8."""
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(vector, 8 * k + 1, F.lit(8)))
-
-
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of 512 vectors as 8 x 8 features, some of which have a number that is not finite or lack their speaker."""
     rows = table(spark, sf_dir, "embeddings").select(

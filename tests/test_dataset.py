@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sonara.functions import text
 from sonara.functions.digests import canonical_pair, table_identity
 from sonara.functions.ranking import digest_rank, ordered_rank
-from sonara.operators import batching, contracts, shards, splits, trials
+from sonara.operators import batching, contracts, splits, trials
 
 
 @pytest.fixture(scope="module")
