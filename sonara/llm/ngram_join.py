@@ -21,6 +21,9 @@ prefixes share as many shingles as the lesser l of the two.  Unique shingles fil
 *No pairs within groups.*  First each document is verified against one leader only, the likeliest among those it shares
 prefix shingles with, and linked ones are merged; those left over meet the leader of the component around them.  Then candidates are formed only between different components, the
 largest component of each posting list never against itself, so a group of near copies costs a star and not a square.
+
+*Size bands.*  A posting list is cut into bands of set sizes, each as wide as the ratio of sizes that may link.  An entry
+meets its own band and those beside it that hold sizes in its reach, so the join never visits pairs of sizes far apart.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -56,6 +59,8 @@ MAX_MATCHES = 8
 PARITIES = ("b0", "b1", "b2", "b3")
 #: Times that documents are verified against leaders before other pairs are formed.
 LEADER_ROUNDS = 2
+#: Least width of a band of set sizes, as a logarithm.
+MIN_BAND = 0.01
 
 
 def shingle_sets(chunk: K.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +281,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def size_band(size: str | Column, percent: int) -> Column:
+    """The band of a set size.  Bands are a trifle wider than the ratio of sizes that link, whatever logarithms round to, so
+    sets that link lie in one band or in two that touch."""
+    width = max(math.log(100 / percent), MIN_BAND) * (1 + 1e-9)
+    return F.floor(F.log(F.greatest(F.col(size) if isinstance(size, str) else size, F.lit(1)).cast("double")) / width).cast("int")
+
+
+def bands_in_reach(size: str, percent: int) -> Column:
+    """The bands of all sizes that a set of ``size`` may link with: two or three."""
+    own = F.col(size).cast("long")
+    least, most = F.ceil(own * percent / 100), F.floor(own * 100 / percent)
+    return F.sequence(size_band(least, percent), size_band(most, percent))
+
+
 def _candidates(pairs: DataFrame, lesser: str, overlap: str) -> DataFrame:
     """Rows (a, b) of the pairs with enough common prefix tokens; of several texts of one id the least demanding decides."""
     return (
@@ -321,7 +340,7 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
         leaders = placed if links is None else placed.join(shares, "token").where("component = major")
         leading = leaders.groupBy("token").agg(F.max_by("node", "weight").alias("leader"), F.max_by("size", "weight").alias("leader_size"), F.count("*").alias("length"))
         led = placed if links is None else placed.join(shares, "token").where("component != major")
-        led = led.join(leading.where("length > 1") if links is None else leading, "token").where(f"node != leader and 100 * least(size, leader_size) >= {percent} * greatest(size, leader_size)")
+        led = led.join(leading.where("length > 1") if links is None else leading, "token").where(f"node != leader and 100L * least(size, leader_size) >= {percent}L * greatest(size, leader_size)")
         star = led.groupBy("node", "leader").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("leader", "shared").alias("b")).select(F.col("node").alias("a"), "b")
         found = scratch.keep(_verified(scratch.keep(star, "star"), docs, n, percent).distinct(), "star-links")
         # A linked document takes its leader's label; a label joins linked documents only, and need not join all of them.
@@ -334,16 +353,16 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75, te
         shares = placed.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max_by("component", "members").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
         shares = scratch.keep(shares, "shares")
 
-    # Candidates between different components.
-    mixed = placed.join(shares, "token")
-    minor = mixed.where("component != major").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "before", *PARITIES, "place", "component")])
+    # Candidates between different components; a posting list is met band by band.
+    mixed = placed.join(shares, "token").withColumn("band", size_band("size", percent))
+    minor = mixed.where("component != major").select("token", F.explode(bands_in_reach("size", percent)).alias("band"), *[F.col(c).alias(f"_{c}") for c in ("node", "size", "matches", "before", *PARITIES, "place", "component")])
     # A pair with both sides outside the major component is taken once; overlap is the least that links the two sizes, and
     # a document whose unique shingles alone exceed what it may lack links with nothing of that size.  Unique shingles of
     # both sides and classes whose parities differ count shingles that are in one set only.
-    overlap = f"ceil({percent} * (size + _size) / {100 + percent})"
+    overlap = f"ceil(({percent}L * size + {percent}L * _size) / {100 + percent})"
     lesser = "least(matches, _matches)"
-    pairs = minor.join(mixed, "token").where(
-        f"_component != component and (component = major or _node < node) and 100 * least(size, _size) >= {percent} * greatest(size, _size)"
+    pairs = minor.join(mixed, ["token", "band"]).where(
+        f"_component != component and (component = major or _node < node) and 100L * least(size, _size) >= {percent}L * greatest(size, _size)"
         f" and place < size - {overlap} + {lesser} and _place < _size - {overlap} + {lesser}"
         f" and before <= size - {overlap} and _before <= _size - {overlap}"
         f" and before + _before + {' + '.join(f'bit_count({c} ^ _{c})' for c in PARITIES)} <= size + _size - 2 * {overlap}"

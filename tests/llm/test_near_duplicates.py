@@ -40,6 +40,19 @@ def test_cells_survive_packing():
         assert np.array_equal(ngram_join._unpack_cells(*ngram_join._pack_cells(cells)), cells)
 
 
+@pytest.mark.parametrize("percent", [1, 50, 75, 90, 100])
+def test_sizes_that_link_meet_in_one_band(spark, percent):
+    reach = ngram_join.bands_in_reach("size", percent)
+    sizes = [*range(1, 400), 4096, 4097, 2**20, 3 * 2**28, 2**30]
+    rows = spark.createDataFrame([(s,) for s in sizes], "size int").select("size", ngram_join.size_band("size", percent).alias("band"), reach.alias("reach")).collect()
+    band = {r["size"]: r["band"] for r in rows}
+    for r in rows:
+        for other in sizes:
+            if 100 * min(r["size"], other) >= percent * max(r["size"], other):
+                assert band[other] in r["reach"], (r["size"], other)
+        assert len(r["reach"]) == len(set(r["reach"])) <= 3
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)]
