@@ -2,11 +2,13 @@
 
 A text is cut at ASCII white space, where that vocabulary's pre-tokenizer cuts too, so a text's ids are its words' ids
 laid end to end.  Each distinct word of a batch goes to the tokenizer once and is then looked up; the table of known
-words lives in the Python worker, is emptied at a fixed size and goes when other stages follow.
+words lives in the Python worker, is emptied at a fixed size and goes when other stages follow.  A file with another front
+end may tell white space or case apart, so its texts go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import time
@@ -25,6 +27,17 @@ RECENT_WORDS = 50_000
 #: A tokenizer that no batch has used for so long is dropped.
 IDLE_SECONDS = 15.0
 
+# The front end under which a text's ids are its words' ids.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+END_OF_WORD = "</w>"
+
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,")] = True
 _LETTER = np.zeros(256, bool)
@@ -37,8 +50,17 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cuts_at_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids laid end to end: the front end is the one above, words end in an id of their
+    own, and nothing is drawn at random, cut off or filled up."""
+    state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+    model = tokenizer.model
+    plain = getattr(model, "end_of_word_suffix", None) == END_OF_WORD and not model.dropout and tokenizer.truncation is None and tokenizer.padding is None
+    return plain and state(tokenizer.normalizer) == WORD_NORMALIZER and state(tokenizer.pre_tokenizer) == WORD_PRE_TOKENIZER
+
+
 class WordTokenizer:
-    """Encodes chunks of texts.  Only for vocabularies that drop white space and fold ASCII case."""
+    """Encodes chunks of texts: word by word where ``cuts_at_words`` says so, else whole."""
 
     _known: dict[str, WordTokenizer] = {}
 
@@ -63,11 +85,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = cuts_at_words(self.tokenizer)
+        if not self.by_words:
+            return
         special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.special = re.compile("|".join(re.escape(t.lower()) for t in special).encode()) if special else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
         self.mark = {m: self._ids([m])[0] for m in (".", ",")}
         self._clear()
 
@@ -140,6 +165,10 @@ class WordTokenizer:
         before it folds case or cuts words.
         """
         self.used_at = time.monotonic()
+        if not self.by_words:
+            body, cuts = chunk.data.tobytes(), chunk.offsets.tolist()
+            found = self._ids([body[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])])
+            return np.concatenate(found), np.r_[0, np.cumsum([len(x) for x in found])]
         data = K._LOWER[chunk.data]
         hits = np.array([m.start() for m in self.special.finditer(data)] if self.special else [], np.int64)
         whole = np.unique(np.searchsorted(chunk.offsets, hits, side="right") - 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -37,6 +38,44 @@ def test_ids_are_the_tokenizers(texts, encode, limit):
     assert got == [encode(t) for t in rows]
 
 
+def _changed_vocabulary(folder, change):
+    spec = json.load(open(tokens.vocabulary_path(), encoding="utf-8"))
+    change(spec)
+    path = folder / "changed.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda spec: spec["normalizer"]["normalizers"].pop(),  # case is told apart
+        lambda spec: spec["normalizer"]["normalizers"].pop(1),
+        lambda spec: spec["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated", invert=False),  # white space is kept
+        lambda spec: spec.update(truncation={"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}),
+    ],
+)
+def test_other_front_ends_get_whole_texts(tmp_path, texts, change):
+    path = _changed_vocabulary(tmp_path, change)
+    own, library = tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not own.by_words
+    rows = AWKWARD + ["One  TWO\n\nthree", *[t for _, t in texts][:20]]
+    got = []
+    for chunk in K.chunks(pa.array(rows, pa.string()), 1 << 12):
+        ids, at = own.encode(chunk)
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+
+def test_a_byte_vocabulary_gets_whole_texts(texts):
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    own, library = tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not own.by_words and tokens.WordTokenizer(tokens.vocabulary_path()).by_words
+    (chunk,) = K.chunks(pa.array(["A  b\tc", "", "x. y"]))
+    ids, at = own.encode(chunk)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in ("A  b\tc", "", "x. y")]
+
+
 def test_known_words_are_bounded(encode, monkeypatch):
     monkeypatch.setattr(tokens, "MAX_WORDS", 5)
     own = tokens.WordTokenizer(tokens.vocabulary_path())
