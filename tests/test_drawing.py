@@ -77,6 +77,19 @@ def test_legacy_pairs_are_drawn_from_all(spark):
     assert trials.drawn_pairs(spark.createDataFrame([("a", "a/1.wav")], "speaker_id string, path string"), 10).collect() == []
 
 
+@pytest.mark.parametrize("slack", [6.0, 0.0])
+def test_least_pairs_are_exact(spark, slack):
+    """Without slack some speakers come through a bound with too few pairs and go again."""
+    rows = [(f"s{s}", f"s{s}/{k}.wav") for s, n in enumerate([60, 45, 30, 2, 5] * 4) for k in range(n)]
+    quotas = spark.createDataFrame([(f"s{s}", 4 + s % 2) for s in range(20)], "speaker_id string, quota long")
+    got = trials._least_pairs(spark.createDataFrame(rows + rows[:9], "speaker_id string, path string"), quotas, 2026, slack).collect()
+    expected = set()
+    for s in range(20):
+        own = sorted(p for o, p in rows if o == f"s{s}")
+        expected |= set(sorted((digest("genuine", f"s{s}", a, b), a, b) for i, a in enumerate(own) for b in own[i + 1 :])[: 4 + s % 2])
+    assert len(got) == len(expected) and {(r["digest"], r["a"], r["b"]) for r in got} == expected
+
+
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("total", [9, 12])
 def test_impostors_of_few_utterances(spark, seed, total):
