@@ -6,6 +6,7 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonara.plans import package
 from sonara.sources import tables, wav
@@ -41,6 +42,27 @@ def test_discover_headers_samples(spark, tree):
         wav.discover(spark, f"file://{tree}/wavs", expected=3)
 
 
+def test_headers_of_every_layout(spark, tmp_path):
+    """Plain files go to Python by their first bytes; those with chunks before or within the format go whole."""
+    write_wav(tmp_path / "w" / "1" / "plain.wav", 5000)
+    plain = (tmp_path / "w" / "1" / "plain.wav").read_bytes()
+    note = b"LIST" + (6000).to_bytes(4, "little") + bytes(6000)
+    for name, body in {"noted": plain[:12] + note + plain[12:], "late": plain[:36] + note + plain[36:], "longer": plain[:16] + (18).to_bytes(4, "little") + plain[20:36] + b"\0\0" + plain[36:], "cut": plain[:40]}.items():
+        (tmp_path / "w" / "1" / f"{name}.wav").write_bytes(body)
+    files = wav.discover(spark, f"file://{tmp_path}/w")
+    got = {r["path"]: r["num_samples"] for r in wav.headers(files).collect()}
+    assert got == {"1/plain.wav": 5000, "1/noted.wav": 5000, "1/late.wav": 5000, "1/longer.wav": 5000, "1/cut.wav": None}
+
+
+def test_samples_that_do_not_fit_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("1/a.wav", 16000, [1, -2, 32767])], "path string, rate int, samples array<int>")
+    assert [r["size"] for r in wav.write(rows, f"file://{tmp_path}/w").collect()] == [50]
+    assert wav.discover(spark, f"file://{tmp_path}/w").select(wav.sample_totals(wav.samples("content")).alias("t")).select("t.*").collect() == [(3, 32766)]
+    for bad in (32768, -32769, None):
+        with pytest.raises(Exception, match="16-bit"):
+            wav.write(rows.withColumn("samples", F.array(F.lit(bad).cast("int"))), f"file://{tmp_path}/x")
+
+
 def test_package_is_published_once_and_verified_after(spark, tree):
     job = lambda: package.create_package(spark, f"file://{tree}/wavs", f"file://{tree}/out", 10, (3, 1, 1))
     assert job() == "created" and job() == "verified_existing"
