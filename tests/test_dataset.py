@@ -51,6 +51,14 @@ def test_ranks_are_global(spark):
     assert all(r["id"] == r["rank"] for r in ordered_rank(spark.range(1000), [F.col("id")]).collect())
 
 
+def test_costly_keys_are_columns_when_rows_are_sorted(spark):
+    """Expressions in a sort's order are worked out at every comparison."""
+    rows = spark.createDataFrame([(x,) for x in ("10", "9", "b", "A", "007", "7")], "speaker_id string")
+    keys = text.numeric_aware_columns(F.col("speaker_id"))
+    ranked = ordered_rank(rows, [F.col(k) for k in keys], "n", "test-keys", keys)
+    assert ranked.columns == ["speaker_id", "n"] and [r["speaker_id"] for r in ranked.orderBy("n").collect()] == ["007", "7", "9", "10", "A", "b"]
+
+
 def test_identity_ignores_order_and_sees_content(spark, utt):
     a = table_identity(utt).first()
     assert a == table_identity(utt.orderBy(F.desc("path")).repartition(3)).first()
