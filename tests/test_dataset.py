@@ -169,3 +169,20 @@ def test_round_robin_and_microbatches(spark, utt):
     assert all(r["distinct_speakers"] and r["n_rows"] == 4 for r in rows)
     with pytest.raises(ValueError):
         batching.resume(batches, 3, 3)
+
+
+def test_trials_are_made_once_for_all_their_rules(spark):
+    utterances = spark.createDataFrame([(s, f"{s}/{k}.wav") for s in "ab" for k in range(3)], "speaker_id string, path string")
+    rows = [("1", "a/0.wav", "a/1.wav", "a", "a", 1), ("1", "a/0.wav", "b/1.wav", "a", "b", 0), (None, "b/0.wav", "b/1.wav", "b", "b", 1), (None, "b/0.wav", "a/0.wav", "b", "a", 0), ("2", "a/0.wav", "b/0.wav", "a", "b", 0)]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(target):
+        made.add(1)
+        return target
+
+    given = spark.createDataFrame(rows, "trial_id string, left_audio_path string, right_audio_path string, left_speaker_id string, right_speaker_id string, target int")
+    found = trials.trial_violations(given.withColumn("target", counted("target")), utterances).collect()
+    assert {(r["key"], r["detail"]) for r in found if r["rule"] == "unique_id"} == {("1", "2"), (None, "2")}
+    assert {(r["key"], r["detail"]) for r in found if r["rule"] == "unique_pair"} == {("a/0.wav b/0.wav", "2")}
+    assert made.value == len(rows)
