@@ -77,6 +77,22 @@ def test_legacy_pairs_are_drawn_from_all(spark):
     assert trials.drawn_pairs(spark.createDataFrame([("a", "a/1.wav")], "speaker_id string, path string"), 10).collect() == []
 
 
+def test_legacy_trials_read_utterances_once_and_draw_on_all_cores(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(s, f"{s}/{k}.wav") for s in "abcd" for k in range(5)], "speaker_id string, path string").coalesce(1)
+    made = trials.legacy_trials(rows.mapInArrow(counted, rows.schema), 4)
+    assert made.count() == 32 and seen.value == 20
+    assert trials._spread(rows).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    drawn = rows.select(permutation.keyed_permutation(F.lit(0), F.lit(9), 1, F.col("path")))
+    assert "aggregate(" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("slack", [6.0, 0.0])
 def test_least_pairs_are_exact(spark, slack):
     """Without slack some speakers come through a bound with too few pairs and go again."""
