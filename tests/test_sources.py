@@ -71,6 +71,14 @@ def test_package_is_published_once_and_verified_after(spark, tree):
         package.create_package(spark, f"file://{tree}/wavs", f"file://{tree}/out", 11, (3, 1, 1))
 
 
+def test_small_files_make_few_tasks(spark, tmp_path):
+    for k in range(200):
+        write_wav(tmp_path / "wavs" / str(k) / "0.wav", 10)
+    heads = wav.headers(wav.discover(spark, f"file://{tmp_path}/wavs"))
+    assert heads.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    assert heads.where("num_samples = 10").count() == 200
+
+
 def test_changes_are_seen(spark, tree):
     before = spark.createDataFrame(wav.discover(spark, f"file://{tree}/wavs").select("path", "size", "modified").collect())
     write_wav(tree / "wavs" / "1" / "0.wav", 10)
