@@ -79,6 +79,13 @@ def test_small_files_make_few_tasks(spark, tmp_path):
     assert heads.where("num_samples = 10").count() == 200
 
 
+def test_package_reads_headers_once(spark, tree, monkeypatch):
+    calls, headers = [], wav.headers
+    monkeypatch.setattr(wav, "headers", lambda files: calls.append(1) or headers(files))
+    package.create_package(spark, f"file://{tree}/wavs", f"file://{tree}/out", 10, (3, 1, 1))
+    assert len(calls) == 1
+
+
 def test_changes_are_seen(spark, tree):
     before = spark.createDataFrame(wav.discover(spark, f"file://{tree}/wavs").select("path", "size", "modified").collect())
     write_wav(tree / "wavs" / "1" / "0.wav", 10)
