@@ -44,6 +44,13 @@ def test_canonical_files_are_proven_equal(spark, stored):
     assert rules(rows.where("k > 0"), path) == {"lines", "bytes", "content_or_order"}
 
 
+def test_lines_that_were_read_are_not_read_again(spark, stored):
+    rows, path = stored
+    lines = canonical.stored_lines(spark, path)
+    assert canonical.csv_violations(rows, f"{path}-gone", F.col("k"), stored=lines).collect() == []
+    assert {r["rule"] for r in canonical.csv_violations(rows, f"{path}-gone", F.col("k").desc(), stored=lines).collect()} == {"content_or_order"}
+
+
 @pytest.mark.parametrize("change,found", [
     (lambda b: b"".join([*(ls := b.splitlines(True))[:1], ls[2], ls[1], *ls[3:]]), {"content_or_order"}),
     (lambda b: b.replace(b"text 3", b"text 4", 1), {"content_or_order"}),
