@@ -114,7 +114,7 @@ def _pairs(entries: DataFrame, width: int) -> DataFrame:
     equal = " + ".join(f"if({differ} & {0xFF << 8 * p if p < 7 else '-72057594037927936L'} = 0, {1 << p}, 0)" for p in range(BYTES))
     tally = f"({equal})"
     first = f"{tally} & upto = shiftrightunsigned(key, {8 * width})"
-    met = entries.join(other, F.expr(f"key = _key and print < _print and bit_count({differ}) <= {MOST_BITS} and {first} and bit_count({tally}) >= {LEAST_SHARED}"))
+    met = entries.hint("merge").join(other, F.expr(f"key = _key and print < _print and bit_count({differ}) <= {MOST_BITS} and {first} and bit_count({tally}) >= {LEAST_SHARED}"))
     return met.select(F.col("node").alias("a"), F.col("_node").alias("b"))
 
 
@@ -134,7 +134,8 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     entries = _posted(classes, width)
     while True:
         sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("_key"), "m")
-        shared = scratch.keep(entries.join(sizes, F.col("key") == F.col("_key")).drop("_key"), "postings")
+        # Spark sizes exploded rows by those they come from, some tenths of what they are, and would send them to the driver.
+        shared = scratch.keep(entries.hint("merge").join(sizes, F.col("key") == F.col("_key")).drop("_key"), "postings")
         found.append(_pairs(shared.where(F.col("m") <= SHORT_LISTS[width]).drop("m"), width))
         left = shared.where(F.col("m") > SHORT_LISTS[width]).drop("m")
         if width == LEAST_SHARED:

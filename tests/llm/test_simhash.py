@@ -112,6 +112,23 @@ def test_links_reach_what_all_pairs_reach(spark, monkeypatch, short):
     assert reach(got) == reach(near)
 
 
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes exploded rows by those they come from, so it took many of them for few."""
+    monkeypatch.setattr(simhash, "SHORT_LISTS", {3: 4, 4: 512})
+    plans, keep = [], Scratch.keep
+
+    def recorded(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", recorded)
+    frame = spark.createDataFrame([(p - (p >> 63 << 64), k) for k, p in enumerate(clustered(random.Random(6)))], "print long, node long")
+    found = simhash.links(frame, Scratch(spark, "test-simhash"))
+    assert [name for name, _ in plans] == ["postings", "postings"]
+    assert not any("BroadcastExchange" in plan for _, plan in plans)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing_and_one(spark, nothing):
     assert simhash.near_duplicate_components(nothing).collect() == []
     rows = [(None, "a text without an id"), (None, None), (4, None), (3, "")]
