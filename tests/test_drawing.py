@@ -93,6 +93,28 @@ def test_legacy_trials_read_utterances_once_and_draw_on_all_cores(spark):
     assert "aggregate(" not in drawn._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """Names and plans of the tables that are kept meanwhile."""
+    found, keep = [], Scratch.keep
+
+    def recorded(self, df, name):
+        found.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", recorded)
+    return found
+
+
+def test_drawn_numbers_and_rounds_are_never_broadcast(spark, plans):
+    """Spark sizes exploded rows by those they come from, so it took many of them for few."""
+    rows = spark.createDataFrame([(s, f"{s}/{k}.wav") for s in "abcd" for k in range(5)], "speaker_id string, path string")
+    assert trials.legacy_trials(rows, 4).count() == 32
+    made = dict(plans)
+    assert {"genuine", "impostor"} <= set(made)
+    assert not any("BroadcastExchange" in made[name] for name in ("genuine", "impostor"))
+
+
 @pytest.mark.parametrize("slack", [6.0, 0.0])
 def test_least_pairs_are_exact(spark, slack):
     """Without slack some speakers come through a bound with too few pairs and go again."""
