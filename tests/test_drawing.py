@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from sonara.functions import permutation, ranking
 from sonara.operators import batching, contracts, shards, splits, trials
+from sonara.plans import queries
 from sonara.scratch import Scratch
 
+from .test_queries import SF
+
 
 def digest(*parts):
     return hashlib.sha256("\x1f".join(map(str, (2026, *parts))).encode()).hexdigest()
@@ -115,6 +119,12 @@ def test_drawn_numbers_and_rounds_are_never_broadcast(spark, plans):
     assert not any("BroadcastExchange" in made[name] for name in ("genuine", "impostor"))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_legacy_ids_broadcast_no_drawn_rows(spark, plans):
+    assert [(r["rule"], r["detail"]) for r in queries.legacy_ids(spark, SF).collect()] == [("contiguous_ids", "2997")]
+    assert not any("BroadcastExchange" in plan for name, plan in plans if name in ("genuine", "impostor"))
+
+
 @pytest.mark.parametrize("slack", [6.0, 0.0])
 def test_least_pairs_are_exact(spark, slack):
     """Without slack some speakers come through a bound with too few pairs and go again."""
