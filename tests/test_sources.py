@@ -71,6 +71,29 @@ def test_package_is_published_once_and_verified_after(spark, tree):
         package.create_package(spark, f"file://{tree}/wavs", f"file://{tree}/out", 11, (3, 1, 1))
 
 
+def test_listing_is_a_table_and_no_list_in_the_driver(spark, tmp_path):
+    """Names, levels and odd entries as Spark's file source takes them, without its index; headers and contents are the files'."""
+    root = tmp_path / "a b%41"
+    names = ["1/0.wav", "1/deep/er/x.WaV", "é ü/100%.wav", "2/_no/0.wav", "2/_a=1/0.wav", "2/.no/0.wav", "2/_0.wav", "2/.wav", "2/0.wav.txt", "3/0.wav._COPYING_", "4.wav/0.wav", "top.wav"]
+    for k, name in enumerate(names):
+        write_wav(root / name, 3000 + k)
+    (root / "1" / "empty.wav").touch()
+    (root / "1" / "bad.wav").write_bytes(b"RIFF")
+    (root / "none").mkdir()
+    files = wav.discover(spark, f"file://{root}")
+    assert not [f for f in files.inputFiles() if f.lower().endswith(".wav")]
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(f"file://{root}").collect()
+    expected = {(r["length"], bytes(r["content"]), r["modificationTime"].replace(microsecond=0)) for r in plain}
+    got = files.collect()
+    assert len(got) == len(plain) == 7 and {(r["size"], bytes(r["content"]), r["modified"].replace(microsecond=0)) for r in got} == expected
+    assert {(r["path"], r["speaker_id"]) for r in got} == {("1/0.wav", "1"), ("1/deep/er/x.WaV", "er"), ("é ü/100%.wav", "é ü"), ("2/_a=1/0.wav", "_a=1"), ("4.wav/0.wav", "4.wav"), ("top.wav", ""), ("1/bad.wav", "1")}
+    assert sorted(wav.headers(files).collect(), key=str) == sorted(wav.headers(files.where("size > 0")).collect(), key=str)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        wav.discover(spark, f"file://{root}/missing")
+    (root / "none" / "deeper").mkdir()
+    assert wav.discover(spark, f"file://{root}/none", 0).collect() == []
+
+
 def test_small_files_make_few_tasks(spark, tmp_path):
     for k in range(200):
         write_wav(tmp_path / "wavs" / str(k) / "0.wav", 10)
